@@ -12,6 +12,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .token_grammar import read_back, write_grammar
+
+    blocks = write_grammar(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return read_back(blocks)
+
+
 def op2_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .external_shuffle import shard_digest
 
@@ -42,6 +51,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_token_grammar": op1_token_grammar,
         "op2_external_shuffle": op2_external_shuffle,
         "op5_wu_manber": op5_wu_manber,
         "op6_byte_bpe": op6_byte_bpe,
