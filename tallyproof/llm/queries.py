@@ -43,6 +43,12 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_zstd_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .zstd_toxicity import toxicity
+
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import quality
 
@@ -55,6 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_external_shuffle": op2_external_shuffle,
         "op5_wu_manber": op5_wu_manber,
         "op6_byte_bpe": op6_byte_bpe,
+        "op8_zstd_toxicity": op8_zstd_toxicity,
         "op10_quality_rules": op10_quality_rules,
     }
 
