@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,3 +77,66 @@ def code_points(batch: pa.RecordBatch, name: str = "text") -> list[str]:
 def crc32_of_id(column: str = "doc_id"):
     """crc32 of the id as text; null where the id is null."""
     return F.crc32(F.col(column).cast("string"))
+
+
+#: What parts words of the kind ``[^\\x20\\x09-\\x0D]+``.
+_BLANK = np.zeros(256, dtype=bool)
+_BLANK[[0x20, *range(0x09, 0x0E)]] = True
+_BASE = 0x5851F42D4C957F2D  # odd, so that it has an inverse modulo 2**64
+_POWERS: list[np.ndarray] = []
+
+
+def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the blank-separated words of many texts in one byte array, and words by text.
+
+    Text i is data[offsets[i]:offsets[i + 1]]; no word crosses a border of texts.
+    """
+    word = ~_BLANK[data]
+    before = np.empty(len(word), dtype=bool)
+    before[1:] = word[:-1]
+    inside = offsets[(offsets >= 0) & (offsets < len(word))]
+    before[inside] = False
+    starts = np.flatnonzero(word & ~before)
+    after = np.empty(len(word), dtype=bool)
+    after[:-1] = word[1:]
+    after[offsets[offsets > 0] - 1] = False
+    ends = np.flatnonzero(word & ~after) + 1
+    return starts, ends, np.diff(np.searchsorted(starts, offsets))
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse; kept for the sizes that come again and again."""
+    if _POWERS and len(_POWERS[0]) >= n:
+        return _POWERS
+    made = []
+    for b in (_BASE, pow(_BASE, -1, 1 << 64)):
+        x = np.full(n, b, dtype=np.uint64)
+        x[0] = 1
+        made.append(np.multiply.accumulate(x))
+    if n <= 8 << 20:
+        _POWERS[:] = made
+    return made
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit values that spreads all bits."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the spans of a byte array: a polynomial in the bytes, by prefix sums."""
+    if not len(starts):
+        return np.zeros(0, dtype=np.uint64)
+    power, inverse = _powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=sums[1:])
+    return mixed((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * np.uint64(_BASE))
+
+
+def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A text column as one byte array and its len + 1 offsets from 0; null counts as empty."""
+    data, offsets = text_bytes(column)
+    at = np.array(offsets, dtype=np.int64)
+    return np.frombuffer(data, dtype=np.uint8, count=int(at[-1] - at[0]), offset=int(at[0])) if at[-1] > at[0] else np.zeros(0, np.uint8), at - at[0]

@@ -49,6 +49,12 @@ def op8_zstd_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import quality
 
@@ -62,12 +68,37 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_wu_manber": op5_wu_manber,
         "op6_byte_bpe": op6_byte_bpe,
         "op8_zstd_toxicity": op8_zstd_toxicity,
+        "op9_jaccard_join": op9_jaccard_join,
         "op10_quality_rules": op10_quality_rules,
     }
 
 
 #: DuckDB SQL by query name.
 ORACLE_SQL: dict[str, str] = {
+    "op9_jaccard_join": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, row_number() OVER () AS rid,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT rid, array_to_string(w[i : i + 4], ' ') AS sh
+  FROM d, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS r(i) WHERE len(w) > 0),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+p AS (
+  SELECT a.rid AS x, b.rid AS y, count(*) AS same
+  FROM s a JOIN s b ON a.sh = b.sh AND a.rid <> b.rid GROUP BY a.rid, b.rid),
+e AS (
+  SELECT x, y FROM p JOIN n u ON u.rid = x JOIN n v ON v.rid = y
+  WHERE 100 * same >= 75 * (u.n + v.n - same)),
+c(rid, reached) AS (
+  SELECT rid, rid FROM d
+  UNION
+  SELECT c.rid, e.y FROM c JOIN e ON e.x = c.reached),
+m AS (SELECT c.rid, min(d.doc_id) AS component_id FROM c JOIN d ON d.rid = c.reached GROUP BY c.rid)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id
+FROM d LEFT JOIN n USING (rid) JOIN m USING (rid)
+""",
     "op5_wu_manber": r"""
 WITH d AS (
   SELECT doc_id, row_number() OVER () AS rid,
