@@ -86,22 +86,21 @@ _BASE = 0x5851F42D4C957F2D  # odd, so that it has an inverse modulo 2**64
 _POWERS: list[np.ndarray] = []
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(data: np.ndarray, offsets: np.ndarray, parted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the blank-separated words of many texts in one byte array, and words by text.
 
-    Text i is data[offsets[i]:offsets[i + 1]]; no word crosses a border of texts.
+    Text i is data[offsets[i]:offsets[i + 1]]; no word crosses a border of texts, nor a
+    place where ``parted`` (a flag for each byte) lets another begin.
     """
     word = ~_BLANK[data]
-    before = np.empty(len(word), dtype=bool)
-    before[1:] = word[:-1]
-    inside = offsets[(offsets >= 0) & (offsets < len(word))]
-    before[inside] = False
-    starts = np.flatnonzero(word & ~before)
-    after = np.empty(len(word), dtype=bool)
-    after[:-1] = word[1:]
-    after[offsets[offsets > 0] - 1] = False
-    ends = np.flatnonzero(word & ~after) + 1
-    return starts, ends, np.diff(np.searchsorted(starts, offsets))
+    begins = np.ones(len(word), dtype=bool) if parted is None else parted.copy()
+    begins[1:] = ~word[:-1] if parted is None else begins[1:] | ~word[:-1]
+    begins[:1] = True
+    begins[offsets[offsets < len(word)]] = True
+    ends = np.ones(len(word), dtype=bool)
+    ends[:-1] = begins[1:] | ~word[1:]
+    starts = np.flatnonzero(word & begins)
+    return starts, np.flatnonzero(word & ends) + 1, np.diff(np.searchsorted(starts, offsets))
 
 
 def _powers(n: int) -> list[np.ndarray]:
