@@ -43,6 +43,13 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .string_kernel import identify
+
+    docs = _table(spark, sf_dir, "documents")
+    return identify(docs, docs)
+
+
 def op8_zstd_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .zstd_toxicity import toxicity
 
@@ -67,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_external_shuffle": op2_external_shuffle,
         "op5_wu_manber": op5_wu_manber,
         "op6_byte_bpe": op6_byte_bpe,
+        "op7_string_kernel": op7_string_kernel,
         "op8_zstd_toxicity": op8_zstd_toxicity,
         "op9_jaccard_join": op9_jaccard_join,
         "op10_quality_rules": op10_quality_rules,
