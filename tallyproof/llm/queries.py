@@ -27,6 +27,18 @@ def op2_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_digest(_table(spark, sf_dir, "documents"), shards=8)
 
 
+def op3_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii_boosting import find_pii
+
+    return find_pii(_table(spark, sf_dir, "documents"))
+
+
+def op4_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_ownership import find_secrets
+
+    return find_secrets(_table(spark, sf_dir, "documents")).drop("places")
+
+
 def op5_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .wu_manber import contamination
 
@@ -72,6 +84,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_grammar": op1_token_grammar,
         "op2_external_shuffle": op2_external_shuffle,
+        "op3_pii_boosting": op3_pii_boosting,
+        "op4_secret_ownership": op4_secret_ownership,
         "op5_wu_manber": op5_wu_manber,
         "op6_byte_bpe": op6_byte_bpe,
         "op7_string_kernel": op7_string_kernel,
