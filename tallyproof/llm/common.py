@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -31,7 +32,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def picked(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished steps now: it does so when their plans are collected as garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def kept_schema(docs: DataFrame, keep: tuple[str, ...]) -> str:
+    """The kept columns' part of a schema string."""
+    return "".join(f", `kept_{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+
+
+def picked(docs: DataFrame, id_col: str, text_col: str, *more) -> DataFrame:
     """Only the id (as ``doc_id``), the text (as ``text``) and the columns asked for.
 
     Whatever else the caller's table holds can't clash with an operator's own columns.
@@ -39,7 +51,7 @@ def picked(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame
     return docs.select(
         docs[id_col].cast("long").alias("doc_id"),
         docs[text_col].cast("string").alias("text"),
-        *(docs[c] for c in more),
+        *(docs[c] if isinstance(c, str) else c for c in more),
     )
 
 

@@ -11,9 +11,10 @@ Candidates are verified on the sets themselves.
 Work that the bounds make needless is dropped first, never a link:
 1. A set with more than a quarter of its shingles found in no other class has no partner.
    A hashed third of the universe is counted, which decides for nearly all sets.
-2. Sets that meet the least class of their best shared segments and link with it are one
-   component at once; segments that meet only inside a component cost nothing further.
-3. A set whose needed segments all stay inside its component has no partner outside it.
+2. Sets try the least class that shares most of their eight least shingle hashes; where they
+   link, they are one component at once. Then step 1 again, for components instead of classes.
+3. Of the rest, a set whose needed segments all stay inside its component has no partner
+   outside it. Costs of segments count other components only.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bytes_of, mixed, picked, pieces, span_hashes, stored, word_spans
+from .common import bytes_of, mixed, picked, pieces, release, span_hashes, stored, word_spans
 from .components import components
 
 #: Links need 100 * intersection >= PERCENT * union. The bounds below are those of 75.
@@ -74,7 +75,7 @@ def _classes(k: int):
             keys = [_class_of(s) for s in sets]
             yield pa.RecordBatch.from_pydict(
                 {
-                    "doc_id": batch.column("doc_id"), "n": pa.array([len(s) for s in sets], pa.int64()),
+                    "rid": batch.column("rid"), "doc_id": batch.column("doc_id"), "n": pa.array([len(s) for s in sets], pa.int64()),
                     "ca": pa.array([a for a, _ in keys], pa.int64()), "cb": pa.array([b for _, b in keys], pa.int64()),
                 }
             )
@@ -208,18 +209,80 @@ def _with_labels(rows: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
+def _sketch(least: int):
+    """The ``least`` least shingle hashes of each set."""
+
+    def run(batches):
+        for batch in batches:
+            cas, hs = [], []
+            for ca, s in zip(batch.column("ca").to_pylist(), batch.column("sh").to_numpy(zero_copy_only=False), strict=True):
+                h = np.sort(mixed(np.asarray(s, dtype=np.int64).view(np.uint64)))[:least]
+                hs.append(h.view(np.int64))
+                cas.append(np.full(len(h), ca, dtype=np.int64))
+            if cas:
+                yield pa.RecordBatch.from_pydict({"h": pa.array(np.concatenate(hs)), "ca": pa.array(np.concatenate(cas))})
+
+    return run
+
+
+def _counted_again(batches):
+    """The counted part of the universe, of stored sets."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sets = batch.column("sh").flatten().to_numpy().view(np.uint64)
+        n = batch.column("n").to_numpy()
+        keep = (sets & np.uint64(15)) < COUNTED
+        cols = {c: np.repeat(batch.column(c).to_numpy(), n)[keep] for c in ("ca", "label", "n")}
+        yield pa.RecordBatch.from_pydict({"sh": pa.array(sets[keep].view(np.int64)), **{c: pa.array(x) for c, x in cols.items()}})
+
+
+def _stars(sets: DataFrame) -> DataFrame:
+    """Step 2: links with the hubs of the sketches."""
+    sketch = sets.select("ca", "sh").mapInArrow(_sketch(8), "h long, ca long")
+    hubs = sketch.groupBy("h").agg(F.min("ca").alias("hub"), F.max("ca").alias("top")).filter("hub <> top").select("h", "hub")
+    met = sketch.join(hubs, "h").filter("ca <> hub").groupBy("ca", "hub").count()
+    best = met.groupBy("ca").agg(F.max_by("hub", F.struct("count", "hub")).alias("hub"))
+    return stored(_linked(best.select(F.col("ca").alias("a"), F.col("hub").alias("b")), sets), "star")
+
+
+def _still_open(sets: DataFrame, labels: DataFrame) -> DataFrame:
+    """ca, n, sh, label of the sets that may have partners outside their component."""
+    named = _with_labels(sets, labels).select("ca", "n", "label", "sh")
+    rows = named.mapInArrow(_counted_again, "sh long, ca long, label long, n long")
+    crossed = rows.groupBy("sh").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("sh")
+    total = rows.groupBy("ca").agg(F.count("*").alias("counted"), F.first("n").alias("n"))
+    met = rows.join(crossed, "sh").groupBy("ca").agg(F.count("*").alias("met"))
+    # counted - met shingles stand in this component alone
+    open_ = total.join(met, "ca").filter("4 * (counted - met) <= n").select("ca")
+    small = sets.select("ca", "n").join(
+        sets.filter(f"size(filter(sh, x -> (x & 15) < {COUNTED})) = 0").select("ca"), "ca", "left_semi"
+    ).select("ca")  # nothing of theirs was counted
+    return stored(named.join(stored(open_.unionByName(small).distinct(), "open"), "ca"), "open_sets")
+
+
 def links(sets: DataFrame) -> DataFrame:
     """Edges (u, v) between classes that make the same components as all links between them."""
     spark = sets.sparkSession
-    whole = stored(sets.select("ca", "sh").mapInArrow(_index(False), INDEX_SCHEMA), "segments")
-    # Step 2: the least class of every segment is its hub; each class tries the hub that it meets most often.
-    hubs = whole.groupBy("sig").agg(F.min("ca").alias("hub"), F.max("ca").alias("top")).filter("hub <> top").select("sig", "hub")
-    met = whole.select("sig", "ca").join(hubs, "sig").filter("ca <> hub").groupBy("ca", "hub").count()
-    best = met.groupBy("ca").agg(F.max_by("hub", F.struct("count", "hub")).alias("hub"))
-    edges = stored(_linked(best.select(F.col("ca").alias("a"), F.col("hub").alias("b")), sets), "star")
+    edges = _stars(sets)
+    release(spark)
     labels = components(edges)
-    # Step 3: segments that meet across components, and the sets that can't do without them.
-    named = stored(_with_labels(whole, labels), "named")
+    rest = _still_open(sets, labels)
+    release(spark)
+    if rest.isEmpty():
+        return edges
+    pairs = _candidates(rest)
+    if pairs is None:
+        return edges
+    found = stored(_linked(pairs, rest), "links")
+    release(spark)
+    return edges.unionByName(found)
+
+
+def _candidates(sets: DataFrame) -> DataFrame | None:
+    """Step 3: pairs (a, b) of classes of different components that the allotted segments let meet."""
+    label = sets.select("ca", "label")
+    named = stored(sets.select("ca", "sh").mapInArrow(_index(False), INDEX_SCHEMA).join(label, "ca"), "segments")
     crossed = named.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("sig")
     short = (
         named.join(crossed, "sig").groupBy("ca", "sc").agg(F.count("*").alias("met"), F.first("have").alias("have"), F.first("need").alias("need"))
@@ -227,12 +290,12 @@ def links(sets: DataFrame) -> DataFrame:
     )
     short = stored(short, "short")
     if short.isEmpty():
-        return edges
+        return None
     # Both ends of a link that is still open are short in the partition that they share.
-    full = named.join(short, ["ca", "sc"])
-    open_sets = sets.join(short.groupBy("ca").agg(F.collect_set("sc").alias("only")), "ca").select("ca", "sh", "only")
-    less = _with_labels(open_sets.mapInArrow(_index(True), INDEX_SCHEMA), labels)
-    full, less = stored(full, "full"), stored(less, "less")
+    full = stored(named.join(short, ["ca", "sc"]), "full")
+    only = short.groupBy("ca").agg(F.collect_set("sc").alias("only"))
+    less = stored(sets.select("ca", "sh").join(only, "ca").mapInArrow(_index(True), INDEX_SCHEMA).join(label, "ca"), "less")
+    release(sets.sparkSession)
     per_sig = full.groupBy("sig").agg(F.count("*").alias("nf"), F.min("label").alias("x"), F.max("label").alias("y"))
     per_less = less.groupBy("sig").agg(F.count("*").alias("nd"))
     key = ["ca", "sc", "seg"]
@@ -250,46 +313,73 @@ def links(sets: DataFrame) -> DataFrame:
     mine = full.join(allotted, key).select("sig", F.col("ca").alias("a"), F.col("label").alias("la"), "e")
     other = lambda t: t.select("sig", F.col("ca").alias("b"), F.col("label").alias("lb"))
     mine_less = less.join(allotted.filter("e = 1"), key).select("sig", F.col("ca").alias("a"), F.col("label").alias("la"))
-    pairs = (
+    return (
         mine.filter("e = 0").drop("e").join(other(full), "sig")
         .unionByName(mine.filter("e = 1").drop("e").join(other(less), "sig"))
         .unionByName(mine_less.join(other(full), "sig"))
         .filter("la <> lb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     )
-    return edges.unionByName(stored(_linked(pairs, sets), "links"))
+
+
+def _live(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All rows with their classes, the classes, and those that step 1 leaves."""
+    table = stored(rows.mapInArrow(_classes(k), "rid long, doc_id long, n long, ca long, cb long"), "sets")
+    classes = stored(table.filter("n > 0").groupBy("ca", "cb", "n").agg(F.min("doc_id").alias("rep")), "classes")
+    counted = rows.mapInArrow(_counted(k), "sh long, ca long")
+    of_sh = counted.groupBy("sh").agg(F.min("ca").alias("ca"), F.max("ca").alias("top")).filter("ca = top")
+    alone = of_sh.groupBy("ca").agg(F.count("*").alias("alone"))
+    live = classes.join(alone, "ca", "left").filter("4 * coalesce(alone, 0) <= n").select("ca", "rep")
+    return table, classes, stored(live, "live")
 
 
 def near_duplicates(
-    docs: DataFrame, *, k: int = 5, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 1_000_000
-) -> DataFrame:
+    docs: DataFrame, *, k: int = 5, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 1_000_000,
+    row_key: str | None = None,
+) -> DataFrame:
     """doc_id, n_shingles (size of the set), component_id (least doc_id reachable by links, itself included).
 
-    A row for each input row; repeated ids stay apart, each with its own text's set, and a
-    null id never names a component that has another. Texts without words (null too) link
-    with nothing. Equal sets are one class wherever they stand, however many; classes are
-    told apart by 128-bit hashes, and the graph names them by 64 bits. The ids whose sets
-    are fetched again are broadcast only up to ``broadcast_rows``; beyond, texts are shuffled.
+    Also rid (``row_key`` of the input, a long, else null) and component, a 64-bit name of the
+    component (null for a text without words). A row for each input row; repeated ids
+    stay apart, each with its own text's set, and a null id never names a component that has
+    another. Texts without words (null too) link with nothing. Equal sets are one class
+    wherever they stand, however many; classes are told apart by 128-bit hashes, and the
+    graph names them by 64 bits. The ids whose sets are fetched again are broadcast only up
+    to ``broadcast_rows``; beyond, texts are shuffled.
     """
-    rows = picked(docs, id_col, text_col)
-    table = stored(rows.mapInArrow(_classes(k), "doc_id long, n long, ca long, cb long"), "sets")
-    classes = stored(table.filter("n > 0").groupBy("ca", "cb", "n").agg(F.min("doc_id").alias("rep")), "classes")
-    # Step 1: shingles of one class alone.
-    counted = rows.mapInArrow(_counted(k), "sh long, ca long")
-    alone = counted.groupBy("sh").agg(F.min("ca").alias("ca"), F.max("ca").alias("top")).filter("ca = top").groupBy("ca").agg(F.count("*").alias("alone"))
-    live = stored(
-        classes.join(alone, "ca", "left").filter("4 * coalesce(alone, 0) <= n").select("ca", "rep"), "live"
-    )
+    rid = docs[row_key].cast("long") if row_key else F.lit(None).cast("long")
+    rows = picked(docs, id_col, text_col, rid.alias("rid"))
+    table, classes, live = _live(rows, k)
+    release(docs.sparkSession)
     wanted = live.select("ca", F.col("rep").alias("doc_id"))
     if live.count() <= broadcast_rows:
         wanted = F.broadcast(wanted)
     same_id = rows["doc_id"].eqNullSafe(wanted["doc_id"])
     fetched = rows.join(wanted, same_id).select(rows["doc_id"], "text", "ca").mapInArrow(_sets(k), "ca long, n long, sh array<long>")
-    sets = stored(fetched.dropDuplicates(["ca"]), "open_sets")
+    sets = stored(fetched, "live_sets")
+    if not sets.groupBy("ca").count().filter("count > 1").isEmpty():  # repeated rows of an id were fetched
+        sets = stored(sets.dropDuplicates(["ca"]), "live_sets")
     labels = components(links(sets))
     named = classes.join(labels.select(F.col("node").alias("ca"), "label"), "ca", "left").withColumn("label", F.coalesce("label", "ca"))
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    of_class = named.join(least, "label").select("ca", "cb", "n", "component_id")
+    of_class = named.join(least, "label").select("ca", "cb", "n", "component_id", F.col("label").alias("component"))
     return table.join(of_class, ["ca", "cb", "n"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
-        F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "rid", "component",
     )
+
+
+def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 1_000_000) -> DataFrame:
+    """``docs`` with one row of each component: the one with the least (id, place in the table).
+
+    Rows without words all stay. ``docs`` must be a stored table, as its rows are told apart
+    by their places in it. The rows that go are broadcast up to ``broadcast_rows``.
+    """
+    placed = docs.withColumn("_rid", F.monotonically_increasing_id())
+    found = near_duplicates(placed, id_col=id_col, text_col=text_col, row_key="_rid").filter("n_shingles > 0")
+    found = stored(found.select("rid", "doc_id", "component"), "members")
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("f"))
+    gone = found.join(first.select(F.col("f.rid").alias("rid")), "rid", "left_anti").select(F.col("rid").alias("_rid"))
+    gone = stored(gone, "copies")
+    if gone.count() <= broadcast_rows:
+        gone = F.broadcast(gone)
+    return placed.join(gone, "_rid", "left_anti").drop("_rid")

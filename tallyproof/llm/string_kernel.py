@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, crc32_of_id, picked, pieces
+from .common import bytes_of, crc32_of_id, kept_schema, picked, pieces
 from .labelled import sample
 
 UNKNOWN = "und"
@@ -118,8 +118,9 @@ def lettered(data: np.ndarray, offsets: np.ndarray) -> list[bool]:
 def identify(
     docs: DataFrame, train: DataFrame, *, most: int = 400, folds: int = 4, held_out_fold: int = 2,
     id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """doc_id, held_out, lang_pred, score (share of the predicted language, 0 to 1).
+    """doc_id, held_out, lang_pred, score (share of the predicted language, 0 to 1), kept_<c> for each column c of ``keep``.
 
     The model is fitted on at most ``most`` rows of ``train`` of each language, of the folds
     crc32(doc_id as text) mod ``folds`` that are not ``held_out_fold``; a prediction reads the
@@ -127,11 +128,11 @@ def identify(
     language could be learned. Repeated ids stay apart; a null id is held out of nothing.
     """
     spark = docs.sparkSession
-    rows = picked(docs, id_col, text_col)
+    rows = picked(docs, id_col, text_col, *(docs[c].alias(f"kept_{c}") for c in keep))
     fold = F.pmod(crc32_of_id(), F.lit(folds)) == held_out_fold
     known = picked(train, id_col, text_col, lang_col).withColumnRenamed(lang_col, "lang")
     marks = known.filter("text is not null").select("doc_id", "lang")
-    fitted, _ = sample(known.drop("lang"), marks, F.col("lang"), ~fold, most)
+    fitted, _ = sample(known.select("doc_id", "text"), marks, F.col("lang"), ~fold, most)
     shared = spark.sparkContext.broadcast(fit([(t.encode(), y) for t, y in fitted if t]))
 
     def run(batches):
@@ -148,9 +149,10 @@ def identify(
                     "doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"),
                     "lang_pred": pa.array([names[b] if k else UNKNOWN for b, k in zip(best.tolist(), ok, strict=True)], pa.string()),
                     "score": pa.array(np.where(ok, share[np.arange(n), best], 0.0).astype(np.float64)),
+                    **{c: batch.column(c) for c in batch.schema.names if c.startswith("kept_")},
                 }
             )
 
     return rows.withColumn("held_out", F.coalesce(fold, F.lit(False))).mapInArrow(
-        run, "doc_id long, held_out boolean, lang_pred string, score double"
+        run, "doc_id long, held_out boolean, lang_pred string, score double" + kept_schema(docs, keep)
     )

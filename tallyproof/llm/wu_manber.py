@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import picked, pieces, stored, text_bytes
+from .common import kept_schema, picked, pieces, stored, text_bytes
 
 #: Words of lower-cased UTF-8: ASCII digits and letters, and every byte above ASCII.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -103,7 +103,7 @@ class _Tables:
         return np.concatenate(places), np.concatenate(found)
 
 
-def _searched(matcher: Matcher, batch: pa.RecordBatch, intervals: bool) -> tuple[list[int], list[list[int]], list[list]]:
+def _searched(matcher: Matcher, batch: pa.RecordBatch) -> tuple[list[int], list[list[int]], list[list]]:
     """Words, hit stretches (start, end, start, end ...) and items of each text."""
     data, offsets = text_bytes(batch.column("text"))
     vectors, lengths = [], []
@@ -131,18 +131,22 @@ def _searched(matcher: Matcher, batch: pa.RecordBatch, intervals: bool) -> tuple
     return lengths, stretches, [list(x) for x in items]
 
 
+def _kept(batch: pa.RecordBatch) -> dict:
+    return {c: batch.column(c) for c in batch.schema.names if c.startswith("kept_")}
+
+
 def _searcher(shared, window: int):
     def run(batches):
         matcher = Matcher(shared.value, window)
         for batch in pieces(batches):
-            lengths, stretches, items = _searched(matcher, batch, True)
+            _, stretches, items = _searched(matcher, batch)
             old = batch.column("stretches").to_pylist(), batch.column("items").to_pylist()
             yield pa.RecordBatch.from_pydict(
                 {
-                    "rid": batch.column("rid"), "doc_id": batch.column("doc_id"), "text": batch.column("text"),
-                    "n_words": pa.array(lengths, pa.int64()),
+                    "doc_id": batch.column("doc_id"), "text": batch.column("text"),
                     "stretches": pa.array([(a or []) + b for a, b in zip(old[0], stretches, strict=True)], pa.list_(pa.int64())),
                     "items": pa.array([(a or []) + b for a, b in zip(old[1], items, strict=True)], pa.list_(pa.int64())),
+                    **_kept(batch),
                 }
             )
 
@@ -155,7 +159,7 @@ def _digester(shared, window: int):
     def run(batches):
         matcher = Matcher(shared.value, window)
         for batch in pieces(batches):
-            lengths, stretches, items = _searched(matcher, batch, True)
+            lengths, stretches, items = _searched(matcher, batch)
             if "stretches" in batch.schema.names:
                 stretches = [(a or []) + b for a, b in zip(batch.column("stretches").to_pylist(), stretches, strict=True)]
                 items = [(a or []) + b for a, b in zip(batch.column("items").to_pylist(), items, strict=True)]
@@ -168,11 +172,12 @@ def _digester(shared, window: int):
             names = [sorted({str(y) for y in x}) for x in items]
             yield pa.RecordBatch.from_pydict(
                 {
-                    "rid": batch.column("rid"), "doc_id": batch.column("doc_id"),
+                    "doc_id": batch.column("doc_id"),
                     "n_words": pa.array(lengths, pa.int64()), "n_hit": pa.array(hits, pa.int64()),
                     "n_items": pa.array([len(x) for x in names], pa.int64()),
                     "items_sha256": pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in names]),
                     "contaminated": pa.array([n > 0 for n in hits]),
+                    **_kept(batch),
                 }
             )
 
@@ -197,36 +202,34 @@ def blocks_of(benchmark: DataFrame, block_bytes: int, item_col: str = "item_id",
 
 def contamination(
     docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, block_bytes: int = 16 << 20,
-    id_col: str = "doc_id", text_col: str = "text", row_key: str | None = None,
+    id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """Words of each text that lie in an occurrence of a benchmark window.
 
-    Result: rid (``row_key`` of the input, else null), doc_id, n_words, n_hit, n_items,
-    items_sha256, contaminated; a row for each row of ``docs``. A window is ``window``
+    Result: doc_id, n_words, n_hit, n_items, items_sha256, contaminated and kept_<c> for each
+    column c of ``keep``; a row for each row of ``docs``. A window is ``window``
     consecutive words of an item, or all words of a shorter one; items without words and
     null texts have none. Repeated items count once by item_id. The items are broadcast in
     blocks of at most about ``block_bytes``; with more than one block the stretches found so
     far are stored with the texts between the passes, so every block sees every text.
     """
     spark = docs.sparkSession
-    rid = docs[row_key].cast("long") if row_key else F.lit(None).cast("long")
-    rows = docs.select(
-        rid.alias("rid"), docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")
-    )
+    rows = picked(docs, id_col, text_col, *(docs[c].alias(f"kept_{c}") for c in keep))
+    kept = kept_schema(docs, keep)
     for last, items in blocks_of(benchmark, block_bytes):
         shared = spark.sparkContext.broadcast(items)
         if last:
             return rows.mapInArrow(
                 _digester(shared, window),
-                "rid long, doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean",
+                "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean" + kept,
             )
         if "stretches" not in rows.columns:
             rows = rows.withColumn("stretches", F.lit(None).cast("array<long>")).withColumn("items", F.lit(None).cast("array<long>"))
         rows = stored(
             rows.mapInArrow(
                 _searcher(shared, window),
-                "rid long, doc_id long, text string, n_words long, stretches array<long>, items array<long>",
-            ).drop("n_words"),
+                "doc_id long, text string, stretches array<long>, items array<long>" + kept,
+            ),
             "contamination",
         )
     raise AssertionError("blocks_of yields at least one block")

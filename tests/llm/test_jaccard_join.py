@@ -68,13 +68,13 @@ def test_components_equal_brute_force(spark, seed):
     rows = corpus(seed)
     rows += [(5000, None), (5001, ""), (5002, " \n"), (None, rows[0][1]), (None, "all alone"), (rows[1][0], rows[1][1]), (rows[2][0], rows[3][1])]
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n int").repartition(3)
-    got = [tuple(r) for r in near_duplicates(docs).collect()]
+    got = [tuple(r)[:3] for r in near_duplicates(docs).collect()]
     assert sorted(got, key=str) == sorted(brute(rows), key=str)
 
 
 def test_no_rows_and_no_links(spark):
     docs = spark.createDataFrame([(1, "a b c d e f"), (2, "g h i j k")], "doc_id long, text string")
-    assert sorted(map(tuple, near_duplicates(docs, broadcast_rows=0).collect())) == [(1, 2, 1), (2, 1, 2)]
+    assert sorted(tuple(r)[:3] for r in near_duplicates(docs, broadcast_rows=0).collect()) == [(1, 2, 1), (2, 1, 2)]
     assert near_duplicates(docs.limit(0)).count() == 0
 
 

@@ -32,7 +32,7 @@ def test_search_equals_brute_force(seed):
     vocabulary = [f"W{k}é" for k in range(rng.choice([2, 3, 60]))]
     items = [(i, made(rng, rng.choice([0, 1, 2, 3, 5, 9, 10, 11, 14, 30]), vocabulary)) for i in range(12)]
     docs = [made(rng, rng.choice([0, 1, 5, 20, 60]), vocabulary) + " " + rng.choice(["", rng.choice(items)[1]]) for _ in range(8)] + [None]
-    n, stretches, found = _searched(Matcher(items), pa.RecordBatch.from_pydict({"text": pa.array(docs, pa.string())}), True)
+    n, stretches, found = _searched(Matcher(items), pa.RecordBatch.from_pydict({"text": pa.array(docs, pa.string())}))
     got = [(a, sum(x[1::2]) - sum(x[::2]), set(y)) for a, x, y in zip(n, stretches, found)]
     assert got == brute(docs, items)
 
