@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import views as V
 
 _E, _L, _W = (f"({V.in_duckdb(x)})" for x in (V.EVENT_LEDGER, V.LINE_LEDGER, V.MADE_WORDS))
+_LINES = f"({V.in_duckdb(V.EVENT_LINES)})"
 _JOBS, _CODES = (f"({V.in_duckdb(x)})" for x in (V.JOB_ROWS, V.CODE_ROWS))
 _PRICE = "cast(l_extendedprice AS decimal(18,2))"
 _FIGURE = r"[-+]?\$?\s?[0-9]{1,3}(?:,[0-9]{3})*\.[0-9]{2}-?|\(\$?[0-9]{1,3}(?:,[0-9]{3})*\.[0-9]{2}\)"
@@ -175,4 +176,40 @@ WITH t AS (SELECT *, cast(CASE WHEN block_id % 3 = 0 THEN -amount ELSE amount EN
 SELECT 'events' AS source, 'Bank' AS institution, CASE WHEN block_id % 4 = 0 THEN '0000' ELSE 'Acct ' || block_id END AS account, day AS date, section || ' ' || seq AS description,
        CASE WHEN a IS NULL THEN '' WHEN a >= 0 THEN 'Credit' ELSE 'Debit' END AS type, a AS amount, balance,
        CASE WHEN amount IS NULL THEN 'NEEDS_REVIEW' ELSE 'OK' END AS status, '' AS note, CASE WHEN amount IS NULL THEN section END AS raw FROM t""",
+    "row_scan": f"""
+SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linenumber % 4 < 3 THEN cast(month(l_shipdate) AS int) END AS m, CASE WHEN l_linenumber % 4 < 3 THEN cast(day(l_shipdate) AS int) END AS d,
+       l_linenumber % 4 = 1 AS second, CASE l_linenumber % 4 WHEN 2 THEN 2 ELSE 1 END AS n, {_PRICE} AS value, CASE WHEN l_linenumber % 4 IN (1, 2) THEN -1 END AS sign,
+       CASE l_linenumber % 4 WHEN 0 THEN 'Card shop' WHEN 1 THEN 'REF123 shop' WHEN 2 THEN 'shop' ELSE 'no date' END AS description FROM lineitem""",
+    "section_fill": f"""
+WITH m AS (SELECT *, CASE WHEN event_type = 'error' THEN 'x' WHEN event_type = 'signup' THEN CASE WHEN event_id % 2 = 0 THEN 'c' ELSE 'd' END END AS mark FROM {_LINES}),
+f AS (SELECT *, last_value(mark IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS cur FROM m)
+SELECT doc_id, seq, CASE cur WHEN 'c' THEN 'Deposits and other credits' WHEN 'd' THEN 'Checks and DEBITS' ELSE '' END AS section, CASE cur WHEN 'c' THEN 1 WHEN 'd' THEN -1 END AS section_dir FROM f""",
+    "stop_resume": f"""
+WITH l AS (SELECT *, event_id % 41 = 0 AS stop, event_id % 29 = 0 AND doc_id % 2 = 0 AS resume FROM {_LINES}),
+r AS (SELECT doc_id, max(page) AS resume_page FROM l WHERE resume GROUP BY doc_id),
+s AS (SELECT l.doc_id, min(seq) AS stop_seq, min(page) AS stop_page FROM l LEFT JOIN r USING (doc_id) WHERE stop AND NOT coalesce(resume_page > page, false) GROUP BY l.doc_id)
+SELECT l.doc_id, count(*) AS n, max(seq) AS last, coalesce((SELECT bool_or(x.page > s2.stop_page AND x.event_type = 'purchase') FROM l x JOIN s s2 USING (doc_id) WHERE x.doc_id = l.doc_id), false) AS incomplete
+FROM l LEFT JOIN s USING (doc_id) WHERE stop_seq IS NULL OR seq < stop_seq GROUP BY l.doc_id""",
+    "wrapped_rows": f"""
+WITH a AS (SELECT *, sum(CASE WHEN kind IN ('R','N','C') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY seq) AS anc, lead(kind) OVER (PARTITION BY doc_id ORDER BY seq) AS nk FROM {_LINES}),
+b AS (SELECT *, max(CASE WHEN kind = 'R' OR (kind = 'N' AND nk = 'M') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, anc) AS ok FROM a WHERE kind <> 'T')
+SELECT doc_id, min(seq) AS anchor, count(*) AS lines, string_agg(text, ' ' ORDER BY seq) AS description, arg_min(value, seq) FILTER (WHERE kind IN ('R', 'M')) AS amount
+FROM b WHERE ok = 1 GROUP BY doc_id, anc""",
+    "sign_resolution": f"""
+WITH l AS (SELECT *, event_id % 7 = 0 AS ex, CASE WHEN event_id % 5 = 0 THEN 1 WHEN event_id % 11 = 0 THEN -1 ELSE 0 END AS col, CASE WHEN event_id % 3 = 0 THEN 1 WHEN event_id % 13 = 0 THEN -1 ELSE 0 END AS sec,
+        CASE event_type WHEN 'purchase' THEN -1 WHEN 'signup' THEN 1 ELSE 0 END AS wd FROM {_LINES}),
+s AS (SELECT *, CASE WHEN ex THEN 'explicit' WHEN col = 1 THEN 'column:credit' WHEN col = -1 THEN 'column:debit' WHEN doc_id % 2 = 0 AND sec <> 0 THEN 'section' WHEN wd <> 0 THEN 'row-words'
+        WHEN sec <> 0 THEN 'section' WHEN doc_id % 5 = 0 THEN 'default' ELSE 'unknown' END AS sign_source FROM l),
+t AS (SELECT *, CASE sign_source WHEN 'column:credit' THEN 1 WHEN 'column:debit' THEN -1 WHEN 'section' THEN sec WHEN 'row-words' THEN wd WHEN 'default' THEN -1 ELSE 0 END AS dir FROM s)
+SELECT doc_id, seq, cast(CASE WHEN sign_source = 'explicit' THEN CASE WHEN doc_id % 3 = 0 THEN value ELSE -value END WHEN dir = 0 THEN value
+         ELSE abs(value) * CASE WHEN doc_id % 3 = 0 THEN -dir ELSE dir END END AS decimal(18,2)) AS signed, sign_source,
+       CASE WHEN sign_source = 'unknown' THEN 'NEEDS_REVIEW' ELSE 'OK' END AS status,
+       CASE WHEN sign_source = 'unknown' THEN 'Direction of ' || value || ' could not be determined (no sign, no matching section or wording).' ELSE '' END AS note FROM t""",
+    "card_summary_charges": f"""
+WITH s AS (SELECT doc_id, seq, CASE WHEN event_id % 2 = 0 THEN 'Interest' ELSE 'Fees' END AS charge, CASE WHEN event_id % 9 = 0 THEN 0 ELSE value END AS amount FROM {_LINES} WHERE event_type = 'view' AND event_id % 4 <> 0),
+f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, charge ORDER BY seq) AS r FROM s),
+named AS (SELECT DISTINCT doc_id FROM {_LINES} WHERE event_type = 'purchase' AND event_id % 50 = 0)
+SELECT doc_id, date '2024-01-31' AS date, charge || ' charged' AS description, cast(amount AS decimal(18,2)) AS amount FROM f
+WHERE r = 1 AND amount <> 0 AND NOT (charge = 'Interest' AND doc_id IN (SELECT doc_id FROM named))""",
+    "incremental_ingest": "SELECT user_id, count(*) AS n, cast(sum(cast(value AS decimal(18,2))) AS decimal(18,2)) AS total FROM events GROUP BY user_id",
 }

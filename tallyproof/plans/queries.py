@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import audit, documents, geometry, projection, reconcile, settlement
+from ..operators import audit, documents, geometry, projection, reconcile, settlement, statement
+from ..streaming.ingest import ingest
 from . import views as V
 
 KEY = ["l_orderkey", "l_linenumber", "l_partkey"]
@@ -282,11 +283,92 @@ def bank_projection(spark, d):
     return projection.bank_projection(txns)
 
 
+def row_scan(spark, d):
+    price = F.format_number(F.col("l_extendedprice").cast(S.MONEY), 2)
+    shape = F.col("l_linenumber") % 4
+    tokens = (
+        F.when(shape == 0, F.array(F.date_format("l_shipdate", "MM/dd"), F.lit("Card"), F.lit("shop"), price))
+        .when(shape == 1, F.array(F.lit("REF123"), F.date_format("l_shipdate", "M/d"), F.date_format("l_shipdate", "MM-dd"), F.lit("shop"), price, F.lit("-")))
+        .when(shape == 2, F.array(F.date_format("l_shipdate", "MMM"), F.date_format("l_shipdate", "d,"), F.lit("-"), price, F.lit("shop"), F.lit("9.99")))
+        .otherwise(F.array(F.lit("no"), F.lit("date"), price))
+    )
+    words = F.transform(tokens, lambda t, i: F.struct(t.alias("text"), (i * 40.0).alias("x0"), (i * 40.0 + 35.0).alias("x1")))
+    rows = V.table(spark, d, "lineitem").withColumn("words", words).select(*KEY, statement.row_scan(F.col("words")).alias("r"))
+    figure = lambda i, f: F.get("r.moneys", i)[f]
+    return rows.select(
+        *KEY, F.col("r.date.m").alias("m"), F.col("r.date.d").alias("d"), F.col("r.date2").isNotNull().alias("second"), F.size("r.moneys").alias("n"),
+        figure(0, "value").alias("value"), figure(0, "sign").alias("sign"), F.col("r.description").alias("description"),
+    )
+
+
+def _event_lines(spark, d):
+    return V.view(spark, d, V.EVENT_LINES)
+
+
+def section_fill(spark, d):
+    lines = _event_lines(spark, d)
+    direction = statement.section_direction(F.col("text"), ["^deposits", "credits$"], ["debits"])
+    return statement.section_fill(lines, ["doc_id"], ["seq"], F.col("text"), direction, F.col("event_type") == "error").select("doc_id", "seq", "section", "section_dir")
+
+
+def stop_resume(spark, d):
+    lines = _event_lines(spark, d).select(
+        "doc_id", "seq", "page", "event_id", (F.col("event_type") == "purchase").alias("has_date"), (F.col("event_type") == "purchase").alias("has_money")
+    )
+    read = statement.stop_reading(lines, ["doc_id"], "page", ["seq"], F.col("event_id") % 41 == 0, (F.col("event_id") % 29 == 0) & (F.col("doc_id") % 2 == 0))
+    return read.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("seq").alias("last"), F.max("incomplete").alias("incomplete"))
+
+
+def wrapped_rows(spark, d):
+    lines = _event_lines(spark, d).select("doc_id", "seq", "kind", "text", F.when(F.col("kind").isin("R", "M"), F.col("value")).alias("amount"))
+    return statement.wrapped_rows(lines, ["doc_id"], "seq")
+
+
+def sign_resolution(spark, d):
+    rows = _event_lines(spark, d).select(
+        "doc_id", "seq", F.col("value").alias("amount"), F.when(F.col("event_id") % 7 == 0, -1).alias("sign"),
+        F.when(F.col("event_id") % 5 == 0, "deposits").when(F.col("event_id") % 11 == 0, "charges").alias("label"),
+        F.when(F.col("event_id") % 3 == 0, 1).when(F.col("event_id") % 13 == 0, -1).alias("section_dir"),
+        F.when(F.col("event_type") == "purchase", "Card pur chase at shop").when(F.col("event_type") == "signup", "Interest paid").otherwise("misc").alias("description"),
+    )
+    words = statement.word_direction(F.col("description"), [r"\binterest paid\b"], [r"\bpurchase\b"])
+    out = statement.resolve_signs(
+        rows, words, section_first=F.col("doc_id") % 2 == 0, default_direction=F.when(F.col("doc_id") % 5 == 0, -1).otherwise(0),
+        card=F.col("doc_id") % 3 == 0, card_explicit=F.lit(-1),
+    )
+    return out.select("doc_id", "seq", "signed", "sign_source", "status", "note")
+
+
+def card_summary_charges(spark, d):
+    lines = _event_lines(spark, d)
+    rows = lines.filter("event_type = 'purchase' and event_id % 50 = 0").select("doc_id", F.lit("In terest charge on purchases").alias("description"))
+    summaries = lines.filter("event_type = 'view'").select(
+        "doc_id", F.col("seq").alias("line_no"), F.when(F.col("event_id") % 2 == 0, "Interest").otherwise("Fees").alias("charge"),
+        F.when(F.col("event_id") % 9 == 0, 0).otherwise(F.col("value")).cast(S.MONEY).alias("amount"), F.lit("2024-01-31").cast("date").alias("period_end"),
+        (F.col("event_id") % 4 == 0).alias("year_to_date"),
+    )
+    return statement.card_summary_charges(rows, summaries, ["doc_id"])
+
+
+def incremental_ingest(spark, d):
+    """Events written as dropped files, taken in two runs; then the ledger proof over what arrived."""
+    root = V.scratch(spark, "ingest")
+    events = V.table(spark, d, "events").select("event_id", "user_id", "event_type", F.col("value").cast(S.MONEY).alias("value"))
+    schema = "event_id long, user_id long, event_type string, value decimal(18,2)"
+    totals = lambda rows: rows.groupBy("user_id").agg(F.count("*").alias("n"), F.sum("value").cast(S.MONEY).alias("total"))
+    for half in (0, 1):
+        events.filter(F.col("event_id") % 2 == half).write.mode("append").parquet(f"{root}/drop")
+        ingest(spark, f"{root}/drop", schema, totals, f"{root}/out", f"{root}/checkpoint")
+    out = spark.read.parquet(f"{root}/out")
+    return out.groupBy("user_id").agg(F.sum("n").alias("n"), F.sum("total").cast(S.MONEY).alias("total"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         money_tokens, document_figures, date_tokens, month_name_dates, statement_periods, text_facts, native_or_scan, profile_scores, statement_split,
         page_skew, line_groups, line_text, money_columns, nearest_column, column_labels, ocr_confidence, ocr_lines, balance_chain, chain_flags,
         block_proof, section_totals, document_outcome, run_summary, code_totals, job_chain, job_proof, order_pay_proof, cross_foot, section_subtotals,
-        escrow_rollforward, printed_vs_captured, golden_compare, bank_projection,
+        escrow_rollforward, printed_vs_captured, golden_compare, bank_projection, row_scan, section_fill, stop_resume, wrapped_rows, sign_resolution,
+        card_summary_charges, incremental_ingest,
     )
     return {f.__name__: f for f in every}

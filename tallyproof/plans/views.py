@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -64,8 +65,18 @@ FROM (SELECT *, sum(amount) OVER (PARTITION BY job_id ORDER BY seq) AS running
 """
 
 
+#: A user's events as statement lines on pages of twenty.
+EVENT_LINES = """
+SELECT user_id AS doc_id, seq, cast((seq - 1) // 20 + 1 AS int) AS page, event_type, cast(value AS decimal(18,2)) AS value, event_id,
+       CASE event_type WHEN 'signup' THEN CASE WHEN event_id % 2 = 0 THEN 'Deposits and other credits' ELSE 'Checks and DEBITS' END ELSE 'row ' || cast(event_id AS {string}) END AS text,
+       CASE event_type WHEN 'purchase' THEN CASE WHEN event_id % 3 = 0 THEN 'N' ELSE 'R' END WHEN 'error' THEN CASE WHEN event_id % 2 = 0 THEN 'C' ELSE 'T' END
+            WHEN 'view' THEN 'M' ELSE 'U' END AS kind
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq FROM {events}) t
+"""
+
+
 def in_spark(sql: str, sf_dir: str) -> str:
-    sql = sql.replace("{string}", "string")
+    sql = sql.replace("{string}", "string").replace(" // ", " div ")
     return re.sub(r"\{(\w+)\}", lambda m: f"parquet.`{sf_dir}/{m[1]}.parquet`", sql)
 
 
@@ -77,5 +88,11 @@ def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return spark.sql(in_spark(sql, sf_dir))
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path under the folder that all executors share (``spark.checkpoint.dir``), else under the warehouse."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
