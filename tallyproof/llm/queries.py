@@ -95,6 +95,35 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+def _quality_sql() -> str:
+    """The measures and the threshold table in DuckDB's words; the table is read, not repeated."""
+    from .quality_rules import RULES, STOP_WORDS
+
+    stop = "|".join(sorted({w for ws in STOP_WORDS.values() for w in ws}))
+    tests = []
+    for r in RULES:
+        ends = [f"{r.measure} < {r.low}"] * (r.low is not None) + [f"{r.measure} > {r.high}"] * (r.high is not None)
+        tests.append(f"CASE WHEN {' OR '.join(ends)} THEN '{r.name}' END")
+    return rf"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w FROM documents),
+win AS (SELECT rid, i, array_to_string(w[i : i + 4], ' ') AS g FROM d, unnest(range(1, len(w) - 3)) AS r(i)),
+twice AS (SELECT rid, g FROM win GROUP BY rid, g HAVING count(*) > 1),
+hit AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + 5)) AS p FROM win JOIN twice USING (rid, g)) GROUP BY rid),
+l AS (SELECT rid, count(*) AS n_lines, count(*) - count(DISTINCT x) AS n_dup FROM (SELECT rid, unnest(string_split(t, chr(10))) AS x FROM d)
+      WHERE regexp_matches(x, '[^ 	-]') GROUP BY rid),
+s AS (SELECT rid, count(*) AS n FROM (SELECT rid, unnest(w) AS x FROM d) WHERE regexp_matches(lower(x), '^(?:{stop})(?:[.,;:!?]|$)') GROUP BY rid),
+m AS (SELECT doc_id, cast(len(w) AS BIGINT) AS n_words, cast(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+             cast(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(n_dup, 0) AS n_dup_lines,
+             coalesce(n_lines, 0) AS n_lines, coalesce(hit.n, 0) AS n_repeat_words, coalesce(s.n, 0) AS n_stop
+      FROM d LEFT JOIN hit USING (rid) LEFT JOIN l USING (rid) LEFT JOIN s USING (rid)),
+q AS (SELECT *, word_chars / greatest(n_words, 1) AS mean_word_length, n_symbols / greatest(n_words, 1) AS symbol_ratio, n_stop / greatest(n_words, 1) AS stop_ratio,
+             n_repeat_words / greatest(n_words, 1) AS repeat_ratio, n_dup_lines / greatest(n_lines, 1) AS dup_line_ratio,
+             n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m),
+f AS (SELECT *, concat_ws(',', {", ".join(tests)}) AS failed_rules FROM q)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failed_rules = '' AS kept, failed_rules FROM f
+"""
+
+
 #: DuckDB SQL by query name.
 ORACLE_SQL: dict[str, str] = {
     "op9_jaccard_join": r"""
@@ -147,3 +176,4 @@ SELECT d.doc_id, cast(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN h USING (rid) LEFT JOIN t USING (rid)
 """,
 }
+ORACLE_SQL["op10_quality_rules"] = _quality_sql()
