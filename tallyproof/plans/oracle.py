@@ -212,4 +212,18 @@ named AS (SELECT DISTINCT doc_id FROM {_LINES} WHERE event_type = 'purchase' AND
 SELECT doc_id, date '2024-01-31' AS date, charge || ' charged' AS description, cast(amount AS decimal(18,2)) AS amount FROM f
 WHERE r = 1 AND amount <> 0 AND NOT (charge = 'Interest' AND doc_id IN (SELECT doc_id FROM named))""",
     "incremental_ingest": "SELECT user_id, count(*) AS n, cast(sum(cast(value AS decimal(18,2))) AS decimal(18,2)) AS total FROM events GROUP BY user_id",
+    "account_blocks": f"""
+WITH l AS (SELECT *, event_type = 'signup' AS b, event_id % 3 <> 0 AS v FROM {_LINES}),
+p AS (SELECT doc_id, seq, coalesce(lag(seq) OVER (PARTITION BY doc_id ORDER BY seq), 0) AS prev, lag(v) OVER (PARTITION BY doc_id ORDER BY seq) AS prev_v FROM l WHERE b),
+o AS (SELECT doc_id, seq FROM p WHERE coalesce(prev_v, false) OR EXISTS (SELECT 1 FROM l WHERE l.doc_id = p.doc_id AND l.seq > p.prev AND l.seq < p.seq AND l.event_type = 'purchase'))
+SELECT l.doc_id, l.seq, 1 + (SELECT count(*) FROM o WHERE o.doc_id = l.doc_id AND o.seq <= l.seq) AS block_no FROM l""",
+    "printed_balances": f"""
+WITH e AS (SELECT *, CASE WHEN event_id % 3 <> 0 THEN value END AS v FROM {_LINES}),
+f AS (SELECT doc_id, page, event_type, first(v ORDER BY seq) AS a, last(v ORDER BY seq) AS z FROM e WHERE v IS NOT NULL GROUP BY ALL)
+SELECT d.doc_id, d.page, coalesce(s.a, c.a) AS beginning, coalesce(x.z, w.a) AS ending FROM (SELECT DISTINCT doc_id, page FROM e) d
+LEFT JOIN f s ON s.doc_id = d.doc_id AND s.page = d.page AND s.event_type = 'signup' LEFT JOIN f c ON c.doc_id = d.doc_id AND c.page = d.page AND c.event_type = 'click'
+LEFT JOIN f x ON x.doc_id = d.doc_id AND x.page = d.page AND x.event_type = 'error' LEFT JOIN f w ON w.doc_id = d.doc_id AND w.page = d.page AND w.event_type = 'view'""",
+    "section_total_lines": """
+SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'Checks paid' WHEN 1 THEN o_orderpriority || ' orders' END AS name,
+       CASE WHEN o_orderkey % 3 < 2 THEN cast(o_totalprice AS decimal(18,2)) END AS amount FROM orders""",
 }

@@ -350,6 +350,28 @@ def card_summary_charges(spark, d):
     return statement.card_summary_charges(rows, summaries, ["doc_id"])
 
 
+def account_blocks(spark, d):
+    lines = _event_lines(spark, d)
+    value = F.when(F.col("event_id") % 3 != 0, F.col("value"))
+    out = statement.account_blocks(lines, ["doc_id"], ["seq"], F.col("event_type") == "signup", value, F.col("event_type") == "purchase")
+    return out.select("doc_id", "seq", "block_no")
+
+
+def printed_balances(spark, d):
+    kinds = F.create_map(*(F.lit(x) for x in ("signup", "begin_row", "error", "end_row", "click", "begin_fill", "view", "end_fill")))
+    events = _event_lines(spark, d).select("doc_id", "page", "seq", kinds[F.col("event_type")].alias("kind"), F.when(F.col("event_id") % 3 != 0, F.col("value")).alias("value"))
+    return statement.printed_balances(events, ["doc_id", "page"], "seq")
+
+
+def section_total_lines(spark, d):
+    price = F.format_number(F.col("o_totalprice").cast(S.MONEY), 2)
+    text = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("TOTAL Checks paid  $"), price)).when(
+        F.col("o_orderkey") % 3 == 1, F.concat(F.lit("Total "), F.col("o_orderpriority"), F.lit(" orders "), price, F.lit("-"))
+    ).otherwise(F.concat(F.lit("Totals "), price))
+    t = statement.section_total(text)
+    return V.table(spark, d, "orders").select("o_orderkey", t["name"].alias("name"), t["amount"].alias("amount"))
+
+
 def incremental_ingest(spark, d):
     """Events written as dropped files, taken in two runs; then the ledger proof over what arrived."""
     root = V.scratch(spark, "ingest")
@@ -369,6 +391,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         page_skew, line_groups, line_text, money_columns, nearest_column, column_labels, ocr_confidence, ocr_lines, balance_chain, chain_flags,
         block_proof, section_totals, document_outcome, run_summary, code_totals, job_chain, job_proof, order_pay_proof, cross_foot, section_subtotals,
         escrow_rollforward, printed_vs_captured, golden_compare, bank_projection, row_scan, section_fill, stop_resume, wrapped_rows, sign_resolution,
-        card_summary_charges, incremental_ingest,
+        card_summary_charges, account_blocks, printed_balances, section_total_lines, incremental_ingest,
     )
     return {f.__name__: f for f in every}
