@@ -24,14 +24,23 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as a table in the shared folder and read again: its lineage ends here."""
+def stored(df: DataFrame, name: str, within: str | None = None) -> DataFrame:
+    """``df`` written as a table in the shared folder and read again: its lineage ends here.
+
+    ``within``: a folder of the caller's, from shared_dir, that it discards as a whole.
+    """
     spark = df.sparkSession
-    path = shared_dir(spark, name)
+    path = f"{within}/{name}-{uuid.uuid4().hex}" if within else shared_dir(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of intermediate tables that nothing reads any more."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of finished steps now: it does so when their plans are collected as garbage."""
     gc.collect()

@@ -13,7 +13,7 @@ def _state(edges: DataFrame) -> tuple[int, int]:
     return row["n"], int(row["h"] or 0)
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int = 60, within: str | None = None) -> DataFrame:
     """(node, label) for the nodes of ``edges`` (long columns u, v); label is the component's least node.
 
     Large star: every node hangs its larger neighbours on its least neighbour. Small star:
@@ -22,7 +22,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     which also cuts the lineage. Only counts and checksums reach the driver.
     """
     edges = stored(
-        edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges"
+        edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges", within
     )
     before = _state(edges)
     for _ in range(most_rounds):
@@ -34,7 +34,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         )
-        edges = stored(small, "edges")
+        edges = stored(small, "edges", within)
         after = _state(edges)
         if after == before:
             break

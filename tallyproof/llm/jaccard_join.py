@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bytes_of, mixed, picked, pieces, release, span_hashes, stored, word_spans
+from .common import bytes_of, discard, mixed, picked, pieces, release, shared_dir, span_hashes, stored, word_spans
 from .components import components
 
 #: Links need 100 * intersection >= PERCENT * union. The bounds below are those of 75.
@@ -154,7 +154,7 @@ def segments(s: np.ndarray, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray,
 
 
 def _signature(total: np.ndarray, number: np.ndarray, b: int) -> np.ndarray:
-    return mixed(total + number.astype(np.uint64) * _ODD[0] + np.uint64(b) * _ODD[1]).view(np.int64)
+    return mixed(total + number.astype(np.uint64) * _ODD[0] + np.array([b], dtype=np.uint64) * _ODD[1]).view(np.int64)
 
 
 INDEX_SCHEMA = "sig long, ca long, sc int, seg int, size int, have int, need int"
@@ -191,12 +191,27 @@ def _index(deletions: bool):
     return run
 
 
-def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes whose sets reach the similarity, by the exact intersection."""
-    one = sets.select(F.col("ca").alias("a"), F.col("n").alias("na"), F.col("sh").alias("sa"))
-    two = sets.select(F.col("ca").alias("b"), F.col("n").alias("nb"), F.col("sh").alias("sb"))
-    near = pairs.join(one.drop("sa"), "a").join(two.drop("sb"), "b").filter("100 * least(na, nb) >= 75 * greatest(na, nb)")
-    both = near.select("a", "b").join(one, "a").join(two, "b")
+def _fingerprints(sets: DataFrame) -> DataFrame:
+    """ca, n and the distinct 16-bit fingerprints of the sets."""
+    prints = F.array_distinct(F.transform("sh", lambda x: (x.bitwiseAND(F.lit(0xFFFF)) - 0x8000).cast("smallint")))
+    return sets.select("ca", "n", prints.alias("f"))
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, small: DataFrame, work: str) -> DataFrame:
+    """The pairs (a, b) of classes whose sets reach the similarity, by the exact intersection.
+
+    First by 16-bit fingerprints, a quarter of the bytes: two sets share no more shingles than
+    fingerprints, plus what one of them has lost to equal fingerprints. Whole sets travel for
+    the pairs that this bound leaves, which are hardly more than the links.
+    """
+    one = small.select(F.col("ca").alias("a"), F.col("n").alias("na"), F.col("f").alias("fa"))
+    two = small.select(F.col("ca").alias("b"), F.col("n").alias("nb"), F.col("f").alias("fb"))
+    sized = pairs.join(one.drop("fa"), "a").join(two.drop("fb"), "b").filter("100 * least(na, nb) >= 75 * greatest(na, nb)")
+    most = F.size(F.array_intersect("fa", "fb")) + F.col("na") - F.size("fa")
+    near = sized.select("a", "b").join(one, "a").join(two, "b").filter((100 + PERCENT) * most >= PERCENT * (F.col("na") + F.col("nb")))
+    left = sets.select(F.col("ca").alias("a"), F.col("n").alias("na"), F.col("sh").alias("sa"))
+    right = sets.select(F.col("ca").alias("b"), F.col("n").alias("nb"), F.col("sh").alias("sb"))
+    both = stored(near.select("a", "b"), "near", work).join(left, "a").join(right, "b")
     same = F.size(F.array_intersect("sa", "sb")).cast("long")
     return both.filter(100 * same >= PERCENT * (F.col("na") + F.col("nb") - same)).select(
         F.col("a").alias("u"), F.col("b").alias("v")
@@ -237,16 +252,37 @@ def _counted_again(batches):
         yield pa.RecordBatch.from_pydict({"sh": pa.array(sets[keep].view(np.int64)), **{c: pa.array(x) for c, x in cols.items()}})
 
 
-def _stars(sets: DataFrame) -> DataFrame:
-    """Step 2: links with the hubs of the sketches."""
-    sketch = sets.select("ca", "sh").mapInArrow(_sketch(8), "h long, ca long")
-    hubs = sketch.groupBy("h").agg(F.min("ca").alias("hub"), F.max("ca").alias("top")).filter("hub <> top").select("h", "hub")
-    met = sketch.join(hubs, "h").filter("ca <> hub").groupBy("ca", "hub").count()
-    best = met.groupBy("ca").agg(F.max_by("hub", F.struct("count", "hub")).alias("hub"))
-    return stored(_linked(best.select(F.col("ca").alias("a"), F.col("hub").alias("b")), sets), "star")
-
+def _stars(sets: DataFrame, small: DataFrame, work: str, rounds: int = 4) -> tuple[DataFrame, DataFrame]:
+    """Step 2: links with the hubs of the sketches, and the components that they make.
 
-def _still_open(sets: DataFrame, labels: DataFrame) -> DataFrame:
+    Each round every class tries one more class: of those that are the hub (the least by the
+    round's hash) of a sketch value that both hold, and stand in another component, the one
+    met most often. Pairs are tried once. So a class makes at most ``rounds`` trials.
+    """
+    spark = sets.sparkSession
+    sketch = stored(sets.select("ca", "sh").mapInArrow(_sketch(16), "h long, ca long"), "sketch", work)
+    edges = tried = labels = None
+    for r in range(rounds):
+        named = sketch.select("h", "ca", F.col("ca").alias("label")) if labels is None else _with_labels(sketch, labels)
+        hub = F.min_by(F.struct("ca", "label"), F.xxhash64(F.lit(r), "ca"))
+        hubs = named.groupBy("h").agg(hub.alias("hub"), F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("h", "hub")
+        met = named.join(hubs, "h").filter("label <> hub.label").groupBy("ca", F.col("hub.ca").alias("hub")).count()
+        pairs = met.select(F.least("ca", "hub").alias("a"), F.greatest("ca", "hub").alias("b"), "ca", "count")
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        best = pairs.groupBy("ca").agg(F.max_by(F.struct("a", "b"), F.struct("count", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
+        best = stored(best, "tried", work)
+        found = stored(_linked(best, sets, small, work), "star", work)
+        tried = best if tried is None else tried.unionByName(best)
+        edges = found if edges is None else edges.unionByName(found)
+        release(spark)
+        if found.isEmpty():
+            break
+        labels = components(edges, within=work)
+    return edges, components(edges, within=work) if labels is None else labels
+
+
+def _still_open(sets: DataFrame, labels: DataFrame, work: str) -> DataFrame:
     """ca, n, sh, label of the sets that may have partners outside their component."""
     named = _with_labels(sets, labels).select("ca", "n", "label", "sh")
     rows = named.mapInArrow(_counted_again, "sh long, ca long, label long, n long")
@@ -258,43 +294,42 @@ def _still_open(sets: DataFrame, labels: DataFrame) -> DataFrame:
     small = sets.select("ca", "n").join(
         sets.filter(f"size(filter(sh, x -> (x & 15) < {COUNTED})) = 0").select("ca"), "ca", "left_semi"
     ).select("ca")  # nothing of theirs was counted
-    return stored(named.join(stored(open_.unionByName(small).distinct(), "open"), "ca"), "open_sets")
+    return stored(named.join(stored(open_.unionByName(small).distinct(), "open", work), "ca"), "open_sets", work)
 
 
 def links(sets: DataFrame) -> DataFrame:
-    """Edges (u, v) between classes that make the same components as all links between them."""
+    """Edges (u, v) between classes that make the same components as all links between them; a stored table."""
     spark = sets.sparkSession
-    edges = _stars(sets)
-    release(spark)
-    labels = components(edges)
-    rest = _still_open(sets, labels)
+    work = shared_dir(spark, "links")
+    small = stored(_fingerprints(sets), "fingerprints", work)
+    edges, labels = _stars(sets, small, work)
+    rest = _still_open(sets, labels, work)
     release(spark)
-    if rest.isEmpty():
-        return edges
-    pairs = _candidates(rest)
-    if pairs is None:
-        return edges
-    found = stored(_linked(pairs, rest), "links")
+    pairs = None if rest.isEmpty() else _candidates(rest, work)
+    if pairs is not None:
+        edges = edges.unionByName(_linked(pairs, rest, small, work))
+    edges = stored(edges, "edges")
+    discard(spark, work)  # the edges are all that is read from here on
     release(spark)
-    return edges.unionByName(found)
+    return edges
 
 
-def _candidates(sets: DataFrame) -> DataFrame | None:
+def _candidates(sets: DataFrame, work: str) -> DataFrame | None:
     """Step 3: pairs (a, b) of classes of different components that the allotted segments let meet."""
     label = sets.select("ca", "label")
-    named = stored(sets.select("ca", "sh").mapInArrow(_index(False), INDEX_SCHEMA).join(label, "ca"), "segments")
+    named = stored(sets.select("ca", "sh").mapInArrow(_index(False), INDEX_SCHEMA).join(label, "ca"), "segments", work)
     crossed = named.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("sig")
     short = (
         named.join(crossed, "sig").groupBy("ca", "sc").agg(F.count("*").alias("met"), F.first("have").alias("have"), F.first("need").alias("need"))
         .filter("have - met < need").select("ca", "sc")
     )
-    short = stored(short, "short")
+    short = stored(short, "short", work)
     if short.isEmpty():
         return None
     # Both ends of a link that is still open are short in the partition that they share.
-    full = stored(named.join(short, ["ca", "sc"]), "full")
+    full = stored(named.join(short, ["ca", "sc"]), "full", work)
     only = short.groupBy("ca").agg(F.collect_set("sc").alias("only"))
-    less = stored(sets.select("ca", "sh").join(only, "ca").mapInArrow(_index(True), INDEX_SCHEMA).join(label, "ca"), "less")
+    less = stored(sets.select("ca", "sh").join(only, "ca").mapInArrow(_index(True), INDEX_SCHEMA).join(label, "ca"), "less", work)
     release(sets.sparkSession)
     per_sig = full.groupBy("sig").agg(F.count("*").alias("nf"), F.min("label").alias("x"), F.max("label").alias("y"))
     per_less = less.groupBy("sig").agg(F.count("*").alias("nd"))
@@ -309,16 +344,33 @@ def _candidates(sets: DataFrame) -> DataFrame | None:
         cost.filter("size > 1").select(*key, "need", F.lit(1).alias("e"), F.greatest("c0", "c1").alias("c"))
     )
     rank = F.row_number().over(Window.partitionBy("ca", "sc").orderBy("c", "e", "seg"))
-    allotted = stored(steps.withColumn("r", rank).filter("r <= need").select(*key, "e"), "allotted")
+    allotted = stored(steps.withColumn("r", rank).filter("r <= need").select(*key, "e"), "allotted", work)
     mine = full.join(allotted, key).select("sig", F.col("ca").alias("a"), F.col("label").alias("la"), "e")
-    other = lambda t: t.select("sig", F.col("ca").alias("b"), F.col("label").alias("lb"))
+    # The other side is named by component: however many of its sets share a segment, it is met once.
+    other = lambda t: t.select("sig", F.col("label").alias("lb")).distinct()
     mine_less = less.join(allotted.filter("e = 1"), key).select("sig", F.col("ca").alias("a"), F.col("label").alias("la"))
-    return (
-        mine.filter("e = 0").drop("e").join(other(full), "sig")
-        .unionByName(mine.filter("e = 1").drop("e").join(other(less), "sig"))
-        .unionByName(mine_less.join(other(full), "sig"))
-        .filter("la <> lb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    meets = (
+        mine.filter("e = 0").drop("e").join(other(full), "sig").filter("la <> lb").select("a", "lb")
+        .unionByName(mine.filter("e = 1").drop("e").join(other(less), "sig").filter("la <> lb").select("a", "lb"))
+        .unionByName(mine_less.join(other(full), "sig").filter("la <> lb").select("a", "lb")).distinct()
     )
+    meets = stored(meets, "meets", work)
+    release(sets.sparkSession)
+    sizes = sets.groupBy("label").agg(F.count("*").alias("k")).select(F.col("label").alias("lb"), "k")
+    meets = meets.join(sizes, "lb")
+    members = sets.select(F.col("label").alias("lb"), F.col("ca").alias("b"))
+    pairs = meets.filter("k = 1").join(members, "lb").select("a", "b")
+    # No set of a larger component holds more of a's shingles than all of them together do: that must be three quarters of a.
+    large = stored(meets.filter("k > 1").select("a", "lb"), "large", work)
+    of_a = large.join(sets.select(F.col("ca").alias("a"), "n", "sh"), "a").select("a", "lb", "n", F.explode("sh").alias("s"))
+    unions = (
+        sets.join(large.select(F.col("lb").alias("label")).distinct(), "label", "left_semi")
+        .select(F.col("label").alias("lb"), F.explode("sh").alias("s")).distinct()
+    )
+    reach = of_a.join(unions, ["lb", "s"]).groupBy("a", "lb").agg(F.count("*").alias("held"), F.first("n").alias("n")).filter("4 * held >= 3 * n")
+    more = stored(reach.select("a", "lb"), "reach", work).join(members, "lb").select("a", "b")
+    release(sets.sparkSession)
+    return pairs.unionByName(more).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _live(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -63,7 +63,7 @@ def corpus(seed, n=160):
     return rows
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("seed", [1, 2])
 def test_components_equal_brute_force(spark, seed):
     rows = corpus(seed)
     rows += [(5000, None), (5001, ""), (5002, " \n"), (None, rows[0][1]), (None, "all alone"), (rows[1][0], rows[1][1]), (rows[2][0], rows[3][1])]
