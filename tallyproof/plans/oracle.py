@@ -226,4 +226,15 @@ LEFT JOIN f x ON x.doc_id = d.doc_id AND x.page = d.page AND x.event_type = 'err
     "section_total_lines": """
 SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'Checks paid' WHEN 1 THEN o_orderpriority || ' orders' END AS name,
        CASE WHEN o_orderkey % 3 < 2 THEN cast(o_totalprice AS decimal(18,2)) END AS amount FROM orders""",
+    "native_pages": """
+SELECT page_id // 5 AS doc_id, cast(coalesce(sum(length(html)), 0) AS bigint) AS chars, count(*) AS pages,
+       coalesce(sum(length(html)), 0) >= 10000 * greatest(1, count(*) // 3) AS is_native FROM pages GROUP BY 1""",
+    "statement_split_pages": r"""
+SELECT doc_id, page_id AS page, cast(sum(CASE WHEN page_id % 5 = 0 OR first OR inside THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY page_id) AS bigint) AS stmt_no
+FROM (SELECT page_id, page_id // 12 AS doc_id, row_number() OVER (PARTITION BY page_id // 12 ORDER BY page_id) = 1 AS first,
+        coalesce(regexp_matches(html, 'page\s*1\s*of\s*[0-9]+', 'i'), false) AS inside FROM pages)""",
+    "printed_vs_altered": f"""
+WITH f AS (SELECT doc_id, unnest(f) AS value, generate_subscripts(f, 1) AS i FROM (SELECT doc_id, {_FIGURES} AS f FROM documents)),
+h AS (SELECT doc_id, CASE WHEN i % 3 = 1 THEN value + 1000000 ELSE value END AS value FROM f UNION SELECT doc_id, 1.00 FROM f)
+SELECT DISTINCT doc_id, value FROM f WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.doc_id = f.doc_id AND h.value = f.value)""",
 }

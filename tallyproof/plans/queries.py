@@ -111,6 +111,21 @@ def statement_split(spark, d):
     return documents.statement_split(pages).drop("text")
 
 
+def native_pages(spark, d):
+    """B1 over whole pages, five a document; the bound is high enough that both outcomes occur."""
+    pages = V.table(spark, d, "pages").select(F.floor(F.col("page_id") / 5).alias("doc_id"), F.col("page_id").alias("page"), F.col("html").alias("text"))
+    return documents.native_or_scan(pages, least=10_000)
+
+
+def statement_split_pages(spark, d):
+    """B5 over whole pages, each under a rendered page head, twelve a document."""
+    pages = V.table(spark, d, "pages").select(
+        F.floor(F.col("page_id") / 12).alias("doc_id"), F.col("page_id").alias("page"),
+        F.concat(F.lit("Page "), (F.col("page_id") % 5 + 1).cast("string"), F.lit(" of 5\n"), F.coalesce("html", F.lit(""))).alias("text"),
+    )
+    return documents.statement_split(pages).drop("text")
+
+
 def page_skew(spark, d):
     return geometry.page_skew(_words(spark, d)).drop("page")
 
@@ -267,6 +282,15 @@ def printed_vs_captured(spark, d):
     return audit.printed_not_captured(docs, captured)
 
 
+def printed_vs_altered(spark, d):
+    """I1 over all documents: every third figure of each was captured with another amount."""
+    docs = V.table(spark, d, "documents").select("doc_id", "text")
+    captured = docs.select("doc_id", F.posexplode(S.money_in_text(F.col("text"))).alias("i", "value")).select(
+        "doc_id", (F.col("value") + F.when(F.col("i") % 3 == 0, 1_000_000).otherwise(0)).cast(S.MONEY).alias("amount"), F.lit("paid 1.00").alias("description")
+    )
+    return audit.printed_not_captured(docs, captured)
+
+
 def golden_compare(spark, d):
     golden = _events(spark, d).select("block_id", "seq", "amount", "section")
     found = golden.filter("seq % 101 <> 0").withColumn("amount", F.when(F.col("seq") % 103 == 0, F.col("amount") + 1).otherwise(F.col("amount")).cast(S.MONEY))
@@ -392,5 +416,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         block_proof, section_totals, document_outcome, run_summary, code_totals, job_chain, job_proof, order_pay_proof, cross_foot, section_subtotals,
         escrow_rollforward, printed_vs_captured, golden_compare, bank_projection, row_scan, section_fill, stop_resume, wrapped_rows, sign_resolution,
         card_summary_charges, account_blocks, printed_balances, section_total_lines, incremental_ingest,
+        native_pages, statement_split_pages, printed_vs_altered,
     )
     return {f.__name__: f for f in every}
