@@ -2,7 +2,7 @@
 
 Texts are encoded in ascending doc_id order and written as blocks. A block holds the ids
 of whole documents as a grammar: rules (nonterminal -> pair), the expansion length of
-every symbol, and the start sequence. Rules are found by Re-Pair rounds over the block: the
+every nonterminal, and the start sequence. Rules are found by Re-Pair rounds over the block: the
 pairs that occur most often are replaced at once (those of one round share no occurrence),
 until no pair is frequent enough. Any range of ids is decoded by expanding only the
 symbols that cover it.
@@ -22,59 +22,75 @@ from pyspark.sql import functions as F
 from .common import bytes_of, picked, pieces, shared_dir, span_hashes, word_spans
 
 BLOCK_SCHEMA = (
-    "shard int, block int, doc_ids array<long>, counts array<long>, n_ids long, base int, rules binary, symbols binary"
+    "shard int, block int, doc_ids array<long>, counts array<long>, n_ids long, base int, rules binary, lengths binary, symbols binary"
 )
 
 
 # ---- the grammar -----------------------------------------------------------------------
 
 
-def re_pair(ids: np.ndarray, base: int, *, least: int = 8, rounds: int = 4, at_once: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+def _slots(left: np.ndarray, right: np.ndarray, turn: int, bits: int) -> np.ndarray:
+    """Hashes of pairs, another function each turn."""
+    h = ((left * np.uint32(0x9E3779B1 + 2 * turn)) ^ (right * np.uint32(0x85EBCA6B + 4 * turn))) * np.uint32(0xC2B2AE35)
+    return (h >> np.uint32(32 - bits)).astype(np.int32)
+
+
+def re_pair(ids: np.ndarray, base: int, *, least: int = 8) -> tuple[np.ndarray, np.ndarray]:
     """(rules as k x 2, start sequence). Symbol base + i expands to rules[i].
 
-    A round counts all neighbouring pairs in a table of hashed pairs, takes the slots with
-    the highest counts (at most ``at_once``, each ``least`` or more), lets the last pair of
-    each slot stand for it, and replaces its occurrences from left to right.
+    Rounds run until no pair stands ``least`` times or more. A round counts pairs in a table
+    of hashed pairs, lets one pair of each slot of ``least`` or more stand for it, and replaces
+    that pair's occurrences from left to right if they are frequent. The hash differs from
+    round to round, so that pairs which share a slot get their turn. All occurrences of a pair come into being in one
+    round; where a slot's count is below ``least``, its pairs are never looked at again.
     """
     seq = ids.astype(np.uint32)
-    rules = np.zeros((0, 2), dtype=np.uint32)
-    bits = max(10, min(20, len(seq).bit_length()))
-    for _ in range(rounds):
-        if len(seq) < 2 * least:
+    found: list[np.ndarray] = []
+    n_rules, turn = 0, 0
+    open_ = np.ones(len(seq), dtype=bool)  # pairs that begin here may be frequent
+    open_[-1:] = False
+    while True:
+        place = np.flatnonzero(open_)
+        if len(place) < least:
             break
-        left, right = seq[:-1], seq[1:]
-        slot = ((left * np.uint32(0x9E3779B1)) ^ (right * np.uint32(0x85EBCA6B))) * np.uint32(0xC2B2AE35)
-        slot = (slot >> np.uint32(32 - bits)).astype(np.int32)
+        left, right = seq[place], seq[place + 1]
+        bits = max(10, min(20, len(place).bit_length() + 1))
+        slot = _slots(left, right, turn, bits)
+        turn += 1
         counts = np.bincount(slot, minlength=1 << bits)
-        chosen = np.flatnonzero(counts >= least)
-        if len(chosen) > at_once:
-            chosen = chosen[np.argpartition(-counts[chosen], at_once)[:at_once]]
-        last = np.empty(1 << bits, dtype=np.int32)
-        last[slot] = np.arange(len(slot), dtype=np.int32)
-        pairs = np.stack([left[last[chosen]], right[last[chosen]]], axis=1)
-        number = np.full(1 << bits, -1, dtype=np.int32)
-        number[chosen] = np.arange(len(chosen), dtype=np.int32)
-        rule = number[slot]
-        at = np.flatnonzero(rule >= 0)
-        rule = rule[at]
-        same = (left[at] == pairs[rule, 0]) & (right[at] == pairs[rule, 1])
-        at, rule = at[same], rule[same]
-        often = np.bincount(rule, minlength=len(chosen)) >= least
-        if not often.any():
+        full = counts[slot] >= least
+        open_[place[~full]] = False
+        place, left, right, slot = place[full], left[full], right[full], slot[full]
+        if not len(place):
             break
-        at, rule = at[often[rule]], (np.cumsum(often) - 1)[rule[often[rule]]]
+        stands = np.empty(1 << bits, dtype=np.int32)
+        stands[slot] = np.arange(len(slot), dtype=np.int32)
+        rule = stands[slot]
+        same = (left == left[rule]) & (right == right[rule])
+        often = np.bincount(rule[same], minlength=len(slot)) >= least
+        take = same & often[rule]
+        open_[place[same & ~often[rule]]] = False  # counted exactly, and rare
+        at, rule = place[take], rule[take]
+        if not len(at):
+            continue
         # Occurrences that overlap stand next to each other: in each run of them take every other one.
         new_run = np.concatenate([[True], np.diff(at) != 1])
         first = at[new_run][np.cumsum(new_run) - 1]
-        take = (at - first) % 2 == 0
-        at, rule = at[take], rule[take]
-        out = seq.copy()
-        out[at] = base + len(rules) + rule
+        chosen = (at - first) % 2 == 0
+        at, rule = at[chosen], rule[chosen]
+        which = np.flatnonzero(np.bincount(rule, minlength=len(slot)))
+        number = np.zeros(len(slot), dtype=np.uint32)
+        number[which] = np.arange(len(which), dtype=np.uint32)
+        found.append(np.stack([left[which], right[which]], axis=1))
+        seq[at] = np.uint32(base + n_rules) + number[rule]
+        n_rules += len(which)
+        open_[at] = True
+        open_[at[at > 0] - 1] = True
         keep = np.ones(len(seq), dtype=bool)
         keep[at + 1] = False
-        seq = out[keep]
-        rules = np.concatenate([rules, pairs[often]])
-    return rules, seq
+        seq, open_ = seq[keep], open_[keep]
+        open_[-1:] = False
+    return np.concatenate([np.zeros((0, 2), dtype=np.uint32), *found]), seq
 
 
 def lengths(rules: np.ndarray, base: int) -> np.ndarray:
@@ -91,33 +107,63 @@ def lengths(rules: np.ndarray, base: int) -> np.ndarray:
     return out
 
 
-def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
-    """The ids that the symbols stand for."""
+def expand(symbols: np.ndarray, rules: np.ndarray, base: int, size: np.ndarray | None = None) -> np.ndarray:
+    """The ids that the symbols stand for. ``size``: the rules' lengths, if they are known.
+
+    Every symbol goes straight to its place, so the work is that of the ids and rules met, however deep the grammar is.
+    """
+    size = lengths(rules, base) if size is None else size
     seq = symbols.astype(np.int64)
-    while True:
+    width = _widths(seq, size, base)
+    place = np.cumsum(width) - width
+    out = np.empty(int(width.sum()), dtype=np.uint32)
+    while len(seq):
         inner = seq >= base
-        if not inner.any():
-            return seq.astype(np.uint32)
-        width = 1 + inner.astype(np.int64)
-        place = np.cumsum(width) - width
-        out = np.empty(int(width.sum()), dtype=np.int64)
-        out[place] = np.where(inner, 0, seq)
-        pair = rules[seq[inner] - base]
-        out[place[inner]], out[place[inner] + 1] = pair[:, 0], pair[:, 1]
-        seq = out
-
-
-def decode_range(rules: np.ndarray, symbols: np.ndarray, base: int, start: int, stop: int) -> np.ndarray:
-    """Ids start to stop of a block, by expanding no more than the symbols that cover them."""
-    size = lengths(rules, base)
-    inner = symbols.astype(np.int64) - base
-    ends = np.cumsum(np.where(inner < 0, 1, size[np.maximum(inner, 0)] if len(size) else 1))
-    stop = min(stop, int(ends[-1]) if len(ends) else 0)
+        out[place[~inner]] = seq[~inner]
+        pair, place = rules[seq[inner] - base].astype(np.int64), place[inner]
+        place = np.concatenate([place, place + _widths(pair[:, 0], size, base)])
+        seq = np.concatenate([pair[:, 0], pair[:, 1]])
+    return out
+
+
+def _widths(symbols: np.ndarray, size: np.ndarray, base: int) -> np.ndarray:
+    """How many ids each symbol stands for."""
+    if not len(size):
+        return np.ones(len(symbols), dtype=np.int64)
+    return np.where(symbols < base, 1, size[np.maximum(symbols - base, 0)])
+
+
+def decode_range(
+    rules: np.ndarray, symbols: np.ndarray, base: int, start: int, stop: int, size: np.ndarray | None = None
+) -> np.ndarray:
+    """Ids start to stop of a block, by expanding no more than the symbols and parts of symbols that cover them.
+
+    ``size``: the block's stored lengths; without them they are computed from the rules.
+    """
+    size = lengths(rules, base) if size is None else size
+    ends = np.cumsum(_widths(symbols.astype(np.int64), size, base))
+    start, stop = max(start, 0), min(stop, int(ends[-1]) if len(ends) else 0)
     if start >= stop:
         return np.zeros(0, dtype=np.uint32)
     a, b = int(np.searchsorted(ends, start, side="right")), int(np.searchsorted(ends, stop, side="left"))
-    skip = start - (int(ends[a - 1]) if a else 0)
-    return expand(symbols[a : b + 1], rules, base)[skip : skip + stop - start]
+
+    def edge(i: int) -> np.ndarray:
+        """The largest parts of the i-th symbol that lie in the range, in order."""
+        kept, todo = [], [(int(symbols[i]), int(ends[i - 1]) if i else 0)]
+        while todo:
+            x, at = todo.pop()
+            n = int(size[x - base]) if x >= base else 1
+            if at >= stop or at + n <= start:
+                continue
+            if start <= at and at + n <= stop:
+                kept.append(x)
+                continue
+            left, right = (int(y) for y in rules[x - base])
+            todo += [(right, at + (int(size[left - base]) if left >= base else 1)), (left, at)]
+        return np.array(kept, dtype=np.int64)
+
+    parts = [edge(a)] if a == b else [edge(a), symbols[a + 1 : b].astype(np.int64), edge(b)]
+    return expand(np.concatenate(parts), rules, base, size)
 
 
 # ---- encoding --------------------------------------------------------------------------
@@ -245,6 +291,7 @@ def _writer(vocabulary: str, end_id: int, block_ids: int):
                     "doc_ids": pa.array([docs], pa.list_(pa.int64())), "counts": pa.array([counts], pa.list_(pa.int64())),
                     "n_ids": pa.array([total], pa.int64()), "base": pa.array([base], pa.int32()),
                     "rules": pa.array([rules.astype("<u4").tobytes()], pa.binary()),
+                    "lengths": pa.array([lengths(rules, base).astype("<u4").tobytes()], pa.binary()),
                     "symbols": pa.array([_packed(symbols)], pa.binary()),
                 }
             )
@@ -326,8 +373,8 @@ def read_back(blocks: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                symbols = unpacked(row["symbols"])
-                ids = expand(symbols, np.frombuffer(row["rules"], dtype="<u4").reshape(-1, 2), row["base"]).astype("<u4")
+                symbols, size = unpacked(row["symbols"]), np.frombuffer(row["lengths"], dtype="<u4").astype(np.int64)
+                ids = expand(symbols, np.frombuffer(row["rules"], dtype="<u4").reshape(-1, 2), row["base"], size).astype("<u4")
                 raw, counts = memoryview(ids.tobytes()), np.array(row["counts"], dtype=np.int64)
                 ends = np.cumsum(counts)
                 crc = [zlib.crc32(raw[4 * (e - n) : 4 * e]) for n, e in zip(counts.tolist(), ends.tolist(), strict=True)]

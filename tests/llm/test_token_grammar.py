@@ -6,7 +6,7 @@ import public_tokenizers as P
 import pytest
 from tokenizers import Tokenizer
 
-from tallyproof.llm.token_grammar import decode_range, expand, lengths, re_pair, read_back, write_grammar
+from tallyproof.llm.token_grammar import decode_range, expand, lengths, re_pair, read_back, unpacked, write_grammar
 
 VOCABULARY = P.path("word_bpe_49k.json")
 
@@ -49,3 +49,27 @@ def test_files_hold_the_library_s_ids_in_order(spark):
     in_order = [r["doc_id"] for r in sorted(got, key=lambda r: r["start"])]
     assert in_order[0] is None and in_order[1:] == sorted(in_order[1:])
     assert read_back(write_grammar(docs.limit(0), VOCABULARY)).count() == 0
+
+
+def test_no_frequent_pair_is_left_and_long_copies_shrink():
+    rng = np.random.default_rng(4)
+    passage = rng.integers(0, 300, 700).astype(np.uint32)
+    for ids in (np.tile(passage, 2000), np.zeros(100_000, np.uint32), rng.integers(0, 40, 60_000).astype(np.uint32), (rng.zipf(1.3, 200_000) % 4000).astype(np.uint32)):
+        rules, symbols = re_pair(ids, 5000, least=8)
+        assert (expand(symbols, rules, 5000) == ids).all()
+        left, right = symbols[:-1].astype(np.int64), symbols[1:].astype(np.int64)
+        assert not len(left) or np.unique((left << 32) | right, return_counts=True)[1].max() < 8
+    rules, symbols = re_pair(np.tile(passage, 2000), 5000)
+    assert len(symbols) + 2 * len(rules) < 2000 * 700 / 300  # four rounds end at a sixteenth
+    size = lengths(rules, 5000)
+    assert size.max() > 10_000 and decode_range(rules, symbols, 5000, 699_990, 700_010, size).tolist() == np.tile(passage, 2)[690:710].tolist()
+
+
+def test_blocks_store_the_lengths_that_range_access_reads(spark):
+    docs = spark.createDataFrame([(i, "the same old words again and again " * 40) for i in range(60)], "doc_id long, text string")
+    for row in write_grammar(docs, VOCABULARY).collect():
+        rules, symbols = np.frombuffer(row["rules"], "<u4").reshape(-1, 2), unpacked(row["symbols"])
+        size = np.frombuffer(row["lengths"], "<u4").astype(np.int64)
+        assert len(size) == len(rules) > 0 and (size == lengths(rules, row["base"])).all()
+        ids = expand(symbols, rules, row["base"])
+        assert len(ids) == row["n_ids"] and decode_range(rules, symbols, row["base"], 17, 400, size).tolist() == ids[17:400].tolist()
