@@ -3,7 +3,8 @@
 Candidates are spans of three base formats and of further ones (service keys by prefix,
 long mixed tokens). Each candidate's value is hashed; over the whole corpus a hash is
 counted by distinct repositories (documents) and owners (sources). Values that many owners
-hold are copied examples; values of one or two owners that look random are live. Base spans
+hold are copied examples; values of one or two owners that look random are live, in however
+many of their repositories they stand. Base spans
 always stay; further candidates are added where they look live and overlap no base span.
 """
 
@@ -79,7 +80,7 @@ def ownership(candidates: DataFrame) -> DataFrame:
 
 
 def find_secrets(
-    docs: DataFrame, *, most_owners: int = 2, most_repositories: int = 50, id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, *, most_owners: int = 2, id_col: str = "doc_id", text_col: str = "text",
     owner_col: str = "source", keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """Counts and spans of secrets, a row for each document.
@@ -87,7 +88,7 @@ def find_secrets(
     doc_id, n_assign, n_access, n_hex (base spans), base_sha256 (of the base spans as written),
     spans (all spans as written: kind:start:end in code points, by start; added ones have the
     kind ``live``), n_live and n_copied (spans whose value looks live, or is held by more
-    than ``most_owners`` owners or ``most_repositories`` repositories), places (array of
+    than ``most_owners`` owners), places (array of
     start and end) and the columns of ``keep`` as they were. Null and empty texts have no
     spans; a null owner counts as one owner; repeated ids stay apart. The spans are
     found once and written without texts (unless kept); only candidates are shuffled.
@@ -106,7 +107,7 @@ def find_secrets(
         "_rid", F.coalesce(F.col("_owner"), F.lit("")).alias("owner"), F.col("_id").alias("repo"),
         F.explode(F.concat("_base", apart)).alias("c"),
     ).withColumn("hash", F.xxhash64("c.v"))
-    live = (F.col("owners") <= most_owners) & (F.col("repositories") <= most_repositories)
+    live = F.col("owners") <= most_owners  # repositories grow with the corpus and with copies of one text; owners judge
     judged = (
         one.select("_rid", "c", "hash").join(ownership(one), "hash")
         .select("_rid", "c", live.alias("live"), looks_random(F.col("c.v")).alias("random"))
