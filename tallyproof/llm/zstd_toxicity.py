@@ -8,6 +8,7 @@ labelled documents turns the gains of a whole text into a score.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import random
 import re
@@ -30,39 +31,71 @@ PAD = b" " + b"\n" * 40
 _REPEATS = b"\x01\0\0\0\x04\0\0\0\x08\0\0\0"
 
 
-def cut(text: bytes, words: int) -> list[bytes]:
-    """Windows of ``words`` lower-cased words each, over the whole text."""
-    found = WORD.findall(text.lower())
+#: Letters of scripts that are written without blanks (Thai to Khmer, kana, Han).
+UNSPACED = re.compile("[\u0e00-\u0eff\u0f00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+#: Words of fewer bytes save next to nothing as matches; those that toxic texts prefer are spelled out.
+SHORT = 4
+
+
+def spelled(word: bytes) -> bytes:
+    """A short word and eight letters of its hash: long enough for a match that saves bytes."""
+    return word + hashlib.blake2b(word, digest_size=4).hexdigest().encode()
+
+
+def _lone(word: bytes) -> bool:
+    """Whether this is one short code point of a script without blanks, which stands inside of runs."""
+    return len(word) == 3 and bool(UNSPACED.fullmatch(word.decode(errors="ignore")))
+
+
+def cut(text: bytes, words: int, short: frozenset[bytes] = frozenset(), points: tuple[bytes, ...] = ()) -> list[bytes]:
+    """Windows of ``words`` lower-cased words each, over the whole text; those of ``short`` and all of ``points`` are spelled out."""
+    text = text.lower()
+    for p in points:
+        text = text.replace(p, spelled(p))
+    found = WORD.findall(text)
+    if short:
+        found = [spelled(w) if len(w) < SHORT and w in short else w for w in found]
     return [b" " + b" ".join(found[i : i + words]) + PAD for i in range(0, len(found), words)]
 
 
-def _starts(text: bytes) -> set[str]:
-    """Words and their beginnings of 4 to 14 letters."""
+def _parts(text: bytes) -> set[str]:
+    """What a dictionary may hold of a text: whole words of any length, their beginnings of 4 to 14 letters and
+
+    pieces of 4 to 6 letters; of scripts without blanks, pieces of 1 to 8 code points that stand anywhere.
+    """
     out = set()
     for w in set(WORD.findall(text.lower())):
         u = w.decode(errors="ignore")
+        out.add(u)
         out.update(u[:k] for k in range(4, min(len(u), 14) + 1))
+        low, high = (1, 8) if UNSPACED.search(u) else (4, 6)
+        out.update(u[i : i + k] for k in range(low, high + 1) for i in range(len(u) - k + 1))
+    out.discard("")
     return out
 
 
-def contrast(toxic: list[bytes], ordinary: list[bytes], *, least: int = 5, ratio: float = 10.0, size: int = 8192) -> bytes:
-    """What toxic texts hold ``ratio`` times as often as ordinary ones, the strongest last (nearest)."""
+def contrast(toxic: list[bytes], ordinary: list[bytes], *, least: int = 5, ratio: float = 10.0) -> tuple[bytes, frozenset[bytes], tuple[bytes, ...]]:
+    """What toxic texts hold ``ratio`` times as often as ordinary ones, the strongest last (nearest); its short words and lone code points."""
     ours: Counter = Counter()
     for t in toxic:
-        ours.update(_starts(t))
+        ours.update(_parts(t))
     ours = Counter({w: k for w, k in ours.items() if k >= least})
     theirs: Counter = Counter()
     for t in ordinary:
-        theirs.update(_starts(t) & ours.keys())
+        theirs.update(_parts(t) & ours.keys())
     odds = {w: (k + 0.5) / (len(toxic) + 1) / ((theirs[w] + 0.5) / (len(ordinary) + 1)) for w, k in ours.items()}
     good = {w for w, o in odds.items() if o >= ratio}
     longer: dict[str, int] = {}
     for w in good:
-        if w[:-1] in good:
-            longer[w[:-1]] = max(longer.get(w[:-1], 0), ours[w])
-    keep = [w for w in good if longer.get(w, 0) < 0.9 * ours[w]]  # of beginnings of one word the longest is enough
+        for inner in {w[:-1], w[1:]} & good:
+            longer[inner] = max(longer.get(inner, 0), ours[w])
+    keep = [w for w in good if longer.get(w, 0) < 0.9 * ours[w]]  # of parts of one word the longest is enough
     keep.sort(key=lambda w: (ours[w] * math.log(odds[w]), w))
-    return (b" " + b"  ".join(w.encode() for w in keep) + b" ")[-size:]
+    raw = [w.encode() for w in keep]
+    points = tuple(sorted(w for w in raw if _lone(w)))
+    short = frozenset(w for w in raw if len(w) < SHORT) - set(points)
+    entries = [cut(w, 1, short, points)[0][1 : -len(PAD)] for w in raw]  # as windows will show them
+    return b" " + b"  ".join(entries) + b" ", short, points
 
 
 @dataclass
@@ -76,12 +109,14 @@ class Model:
     scale: np.ndarray = field(default_factory=lambda: np.ones(0))
     weight: np.ndarray = field(default_factory=lambda: np.zeros(0))
     shift: float = 0.0
+    short: frozenset[bytes] = frozenset()
+    points: tuple[bytes, ...] = ()
 
     def lengths(self):
         """Two functions: the compressed length of a window with either dictionary."""
         settings = zstandard.ZstdCompressionParameters(
             format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False,
-            window_log=15, hash_log=14, chain_log=14, search_log=4, min_match=4, target_length=16,
+            window_log=max(15, (len(self.toxic) + 4096).bit_length()), hash_log=14, chain_log=14, search_log=4, min_match=4, target_length=16,
             strategy=zstandard.STRATEGY_LAZY2,
         )
         out = []
@@ -92,7 +127,7 @@ class Model:
         return out
 
     def features(self, text: bytes, ordinary, toxic) -> list[float]:
-        gains = np.array([len(ordinary(w)) - len(toxic(w)) for w in cut(text, self.words)] or [0])
+        gains = np.array([len(ordinary(w)) - len(toxic(w)) for w in cut(text, self.words, self.short, self.points)] or [0])
         top = np.sort(gains)[::-1][:3].tolist()
         counts = [int((gains >= k).sum()) for k in range(1, 8)]
         return [
@@ -107,11 +142,12 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
-def fit(rows: list[tuple[bytes, int]], share: float | None = None, *, words: int = 6, seed: int = 7) -> Model:
+def fit(rows: list[tuple[bytes, int]], share: float | None = None, *, words: int = 6, seed: int = 7, most_windows: int = 20_000) -> Model:
     """Dictionaries from two thirds of the rows; curve and threshold from the others.
 
     The threshold is calibrated to the best balance of precision and recall (F1) where
-    toxic documents are ``share`` of all (None: as in ``rows``), and moved to 0.5. Without rows of both labels the model scores 0 throughout.
+    toxic documents are ``share`` of all (None: as in ``rows``), and moved to 0.5. The ordinary dictionary is
+    trained on at most ``most_windows`` windows of ordinary rows, drawn at random. Without rows of both labels the model scores 0 throughout.
     """
     rng = random.Random(seed)
     rows = rows[:]
@@ -123,11 +159,12 @@ def fit(rows: list[tuple[bytes, int]], share: float | None = None, *, words: int
     samples = [w[: -len(PAD)] + b" " for t in ordinary[:b] for w in cut(t, 8)]
     rng.shuffle(samples)
     try:
-        shared = zstandard.train_dictionary(8192, samples[:20_000], k=32, d=6).as_bytes()
+        shared = zstandard.train_dictionary(8192, samples[:most_windows], k=32, d=6).as_bytes()
         shared = shared[shared.index(_REPEATS) + len(_REPEATS) :]
     except (zstandard.ZstdError, ValueError):  # too few or too short samples to train on
         shared = b"".join(samples)[-8192:]
-    model = Model(shared, contrast(toxic[:a], ordinary[:b]) + shared, words)
+    strong, short, points = contrast(toxic[:a], ordinary[:b])
+    model = Model(shared, strong + shared, words, short=short, points=points)
     one, two = model.lengths()
     held = [(t, 1) for t in toxic[a:]] + [(t, 0) for t in ordinary[b:]]
     x = np.array([model.features(t, one, two) for t, _ in held])
@@ -152,12 +189,13 @@ def fit(rows: list[tuple[bytes, int]], share: float | None = None, *, words: int
 
 
 def toxicity(
-    docs: DataFrame, labels: DataFrame, *, most: int = 3000, folds: int = 5, held_out_fold: int = 0,
+    docs: DataFrame, labels: DataFrame, *, most: int = 3000, most_windows: int = 20_000, folds: int = 5, held_out_fold: int = 0,
     id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic",
 ) -> DataFrame:
     """doc_id, held_out, score (0 to 1, higher: likelier toxic), predicted (score >= 0.5).
 
-    The model is fitted on at most ``most`` labelled documents of each label whose
+    The model is fitted on at most ``most`` labelled documents of each label (its ordinary
+    dictionary on at most ``most_windows`` windows of eight words of them) whose
     crc32(doc_id as text) mod ``folds`` is not ``held_out_fold``; neither labels nor ids nor
     any other column takes part in a score. Every whole text is scored in windows; null and
     empty texts are scored as no windows. Repeated ids stay apart, each text scored by itself;
@@ -169,7 +207,7 @@ def toxicity(
     marks = labels.select(labels[id_col].cast("long").alias("doc_id"), labels[toxic_col].cast("int").alias("toxic"))
     known, counts = sample(rows, marks.filter("toxic in (0, 1)"), F.col("toxic"), ~fold, most)
     shared = spark.sparkContext.broadcast(
-        fit([(t.encode(), y) for t, y in known], counts.get(1, 0) / max(1, sum(counts.values())))
+        fit([(t.encode(), y) for t, y in known], counts.get(1, 0) / max(1, sum(counts.values())), most_windows=most_windows)
     )
 
     def run(batches):

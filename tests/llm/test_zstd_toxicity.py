@@ -1,7 +1,10 @@
 import random
 import zlib
 
-from tallyproof.llm.zstd_toxicity import toxicity
+import numpy as np
+import pytest
+
+from tallyproof.llm.zstd_toxicity import fit, toxicity
 
 
 def made(rng, bad):
@@ -28,3 +31,31 @@ def test_held_out_accuracy_and_odd_rows(spark):
     assert by[5001]["predicted"] == 0 and by[5000]["score"] == by[5001]["score"] and by[5002]["predicted"] == 1
     assert toxicity(docs.limit(0), labels).count() == 0
     assert {r["score"] for r in toxicity(docs, labels.limit(0)).collect()} == {0.0}
+
+
+@pytest.mark.parametrize("toxic", [["zx", "qy", "wv"], ["zxq", "qyw", "wvj"], ["悪口", "馬鹿", "死ね"], ["悪", "鹿"], ["blork" * 4]])
+def test_short_unspaced_and_long_toxic_words_are_learned(toxic):
+    rng = random.Random(9)
+    unspaced = not toxic[0].isascii()
+
+    def text(bad):
+        if unspaced:
+            run = [rng.choice("山川田中村木林森空海風花月") for _ in range(rng.randrange(60, 160))]
+            for _ in range(4 if bad else 0):
+                run.insert(rng.randrange(len(run)), rng.choice(toxic))
+            return "".join(run).encode()
+        words = made(rng, False).split()
+        for _ in range(rng.randrange(4, 8) if bad else 0):
+            words.insert(rng.randrange(len(words)), rng.choice(toxic) if len(toxic) > 1 else rng.choice("abcdefgh") + rng.choice("ijklm") + toxic[0])
+        return " ".join(words).encode()
+
+    model = fit([(text(i % 3 == 0), int(i % 3 == 0)) for i in range(600)])
+    one, two = model.lengths()
+    rows = [(text(y), y) for y in (0, 1) for _ in range(80)]
+    score = model.score(np.array([model.features(t, one, two) for t, _ in rows]))
+    assert sum((s >= 0.5) == bool(y) for s, (_, y) in zip(score, rows)) >= 0.9 * len(rows)
+
+
+def test_window_bound_is_a_parameter():
+    rows = [(made(random.Random(i), i % 3 == 0).encode(), int(i % 3 == 0)) for i in range(300)]
+    assert fit(rows, most_windows=200).ordinary != fit(rows, most_windows=2000).ordinary
