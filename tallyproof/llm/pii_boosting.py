@@ -6,8 +6,10 @@ separators). Candidates that pass their kind's check (digits, Luhn, octets) are
 examples, those that fail are negative ones. Format and context features that leave the
 check out are counted over the whole corpus; the counts (a table no larger than the product
 of the features' values) train boosted trees of depth two, which go back into the plan
-as CASE expressions. Each kind's threshold is the lowest score at which the counted
-candidates of the other fold reach the wished precision. Base spans always stay; wider
+as CASE expressions. A document counts once in each cell, and a source no more than the median
+source of its kind, so that no writer of many digits outvotes the others. Each kind's threshold is
+the lowest score at which, in the other fold, candidates that pass their check reach the wished
+precision; how many pass by chance is told by those that fail. Base spans always stay; wider
 candidates that pass their check, overlap no base span and reach the threshold are added.
 """
 
@@ -19,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import picked
+from .common import picked, stored
 from .spans import located, no_spans, written
 
 KINDS = ("email", "ip", "card", "phone")
@@ -133,18 +135,30 @@ def proposed(text: Column, kind: str, wide: bool) -> Column:
 # ---- training on counts ----------------------------------------------------------------
 
 
+#: Of candidates that mean something else, how many pass their check for each one that fails: one in ten numbers passes Luhn.
+BY_CHANCE = {"email": 0.0, "ip": 0.0, "card": 1 / 9, "phone": 0.0}
+
+
 def counted(rows: DataFrame) -> list[dict]:
     """Candidates by kind, fold and features: how many pass their check and how many fail it.
 
-    One aggregation over every candidate of the corpus. At most 2 x 4 x 9 x 6 x 7 x 2 x 5 x 5 x 2
-    rows can come back, whatever the corpus.
+    Of a document, candidates with the same features and verdict count once. A source (column
+    ``source``; all rows are one where it is null) whose sum of a kind is over the median
+    source's is scaled down to it. One aggregation over every candidate of the corpus, then one over sources. At most
+    2 x 4 x 9 x 6 x 7 x 2 x 5 x 5 x 2 rows can come back, whatever the corpus.
     """
-    every = F.concat(*(proposed(F.col("text"), k, w) for k in KINDS for w in (False, True)))
-    one = rows.select(F.pmod(F.xxhash64("text"), F.lit(2)).alias("fold"), F.explode(every).alias("c"))
-    grouped = one.groupBy("fold", F.col("c.k").alias("k"), *(F.col(f"c.f.{f}").alias(f) for f in FEATURES)).agg(
+    every = F.array_distinct(F.concat(*(F.transform(proposed(F.col("text"), k, w), lambda c: F.struct(c["k"], c["ok"], c["f"])) for k in KINDS for w in (False, True))))
+    one = rows.select("source", F.pmod(F.xxhash64("text"), F.lit(2)).alias("fold"), F.explode(every).alias("c"))
+    cells = one.groupBy("source", "fold", F.col("c.k").alias("k"), *(F.col(f"c.f.{f}").alias(f) for f in FEATURES)).agg(
         F.sum(F.col("c.ok").cast("long")).alias("good"), F.sum((~F.col("c.ok")).cast("long")).alias("bad")
     )
-    return [r.asDict() for r in grouped.collect()]
+    cells = stored(cells, "pii")  # no larger than the cells of all sources
+    sums = cells.groupBy("source", "k").agg(F.sum(F.col("good") + F.col("bad")).alias("n"))
+    bound = sums.groupBy("k").agg(F.percentile_approx("n", 0.5, 10_000).alias("bound"))
+    share = sums.join(F.broadcast(bound), "k").select("k", F.col("source").alias("of"), F.least(F.lit(1.0), F.col("bound") / F.col("n")).alias("w"))
+    weighed = cells.join(share.withColumnRenamed("k", "kind"), (F.col("k") == F.col("kind")) & F.col("source").eqNullSafe(F.col("of")))
+    grouped = weighed.groupBy("fold", "k", *FEATURES).agg(F.sum(F.col("good") * F.col("w")).alias("good"), F.sum(F.col("bad") * F.col("w")).alias("bad"))
+    return [r.asDict() for r in grouped.orderBy("fold", "k", *FEATURES).collect()]
 
 
 def _tree(x: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int, ridge: float = 1.0):
@@ -185,15 +199,20 @@ def boost(cells: list[dict], *, rounds: int = 20, rate: float = 0.4) -> tuple[fl
     return start, trees
 
 
-def threshold(cells: list[dict], start: float, trees: list, rate: float, precision: float) -> float:
-    """The lowest log-odds at which the held cells reach the precision (with a smoothed count); infinite if none does."""
+def threshold(cells: list[dict], start: float, trees: list, rate: float, precision: float, by_chance: float = 0.0) -> float:
+    """The lowest log-odds at which the held candidates that pass reach the precision; infinite if none does.
+
+    ``by_chance``: how many pass though they mean something else, for each one that fails.
+    Without it what fails counts against what passes, as no check tells them apart.
+    """
     if not cells:
         return math.inf
     x = np.array([[c[f] for f in FEATURES] for c in cells])
     z = start + rate * sum((_value(t, x) for t in trees), np.zeros(len(cells)))
     good, bad = np.array([c["good"] for c in cells], float), np.array([c["bad"] for c in cells], float)
-    order = np.argsort(-z)
-    share = np.cumsum(good[order]) / (np.cumsum(good[order] + bad[order]) + 1)
+    order = np.argsort(-z, kind="stable")
+    false = np.minimum(good, bad * by_chance)
+    share = np.cumsum((good - false)[order]) / (np.cumsum((good if by_chance else good + bad)[order]) + 1)
     ok = np.flatnonzero(share >= precision)
     return float(z[order][ok[-1]]) if len(ok) else math.inf
 
@@ -212,19 +231,20 @@ def trained(rows: DataFrame, *, precision: float = 0.9, rate: float = 0.4) -> di
     for kind in KINDS:
         one, two = ([c for c in cells if c["k"] == kind and c["fold"] == fold] for fold in (0, 1))
         start, trees = boost(one, rate=rate) if one else (0.0, [])
-        out[kind] = (start, trees, threshold(two, start, trees, rate, precision))
+        out[kind] = (start, trees, threshold(two, start, trees, rate, precision, BY_CHANCE[kind]))
     return out
 
 
-def find_pii(docs: DataFrame, *, precision: float = 0.9, rate: float = 0.4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_pii(docs: DataFrame, *, precision: float = 0.9, rate: float = 0.4, id_col: str = "doc_id", text_col: str = "text", source_col: str | None = None) -> DataFrame:
     """Counts and spans of personal data, a row for each document.
 
     doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256 (of the base spans as
     written), spans (all spans as written: kind:start:end in code points, by kind, then start),
-    n_added. Null and empty texts have no spans; repeated ids stay apart. Two narrow passes:
+    n_added. ``source_col`` names who wrote a text; it takes part in the counts alone. Null and empty texts have no spans; repeated ids stay apart. Two narrow passes:
     one counts candidates to train, one finds and selects; neither shuffles texts.
     """
-    rows = picked(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
+    source = (docs[source_col] if source_col else F.lit(None)).cast("string").alias("source")
+    rows = picked(docs, id_col, text_col, source).withColumn("text", F.coalesce("text", F.lit("")))
     models = trained(rows, precision=precision, rate=rate)
     base = {k: F.filter(proposed(F.col("text"), k, False), lambda x: x["ok"]) for k in KINDS}
     rows = rows.select(

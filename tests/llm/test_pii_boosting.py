@@ -64,3 +64,20 @@ def test_wide_candidates_are_learned_from_the_counts(spark):
     assert sum(r["n_added"] >= 2 for r in got.values()) > 190 and got[250]["spans"] == ""
     plan = find_pii(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
+
+
+def test_a_source_of_failing_numbers_leaves_other_sources_their_cards(spark):
+    rng = random.Random(8)
+
+    def number(valid):
+        d = "".join(str(rng.randrange(10)) for _ in range(15))
+        d += next(c for c in "0123456789" if luhn(d + c) == valid)
+        return ".".join(d[i : i + 4] for i in range(0, 16, 4))
+
+    rows = [(i, f"my number {number(True)} here", f"s{i % 20}") for i in range(400)]
+    rows += [(1000 + i, " and ".join(f"number {number(rng.random() < 0.1)} here" for _ in range(rng.randrange(1, 60))), "hot") for i in range(200)]
+    rows += [(2000 + i, f"nothing {i}", f"s{i % 20}") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    for by in (None, "source"):
+        got = {r["doc_id"]: r for r in find_pii(docs, source_col=by).collect()}
+        assert all(got[i]["n_added"] == 1 and got[i]["spans"].startswith("card:10:") for i in range(400))
