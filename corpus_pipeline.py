@@ -17,13 +17,13 @@ from tallyproof.llm.string_kernel import UNKNOWN, identify
 from tallyproof.llm.wu_manber import contamination
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Documents whose language is less sure than this go; four languages alike would have 0.25.
-LEAST_SCORE = 0.3
+#: Documents whose language leads by less than this part of its usual lead go, however many languages there are.
+LEAST_LEAD = 0.1
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a known language stay, as they are; those without letters or any clear language go."""
-    found = identify(docs, docs, keep=COLUMNS).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    found = identify(docs, docs, keep=COLUMNS).filter((F.col("lang_pred") != UNKNOWN) & (F.col("lead") >= LEAST_LEAD))
     return found.select(*(F.col(f"kept_{c}").alias(c) for c in COLUMNS))
 
 

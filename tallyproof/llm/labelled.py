@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Texts longer than this many bytes are not fitted on (they are scored whole like all others).
 LONGEST = 200_000
+#: Tables with more labels than this are refused, as each is one query and a part of the model.
+MOST_LABELS = 1000
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: Column, fit: Column, most: int) -> tuple[list[tuple[str, object]], dict]:
@@ -20,7 +22,9 @@ def sample(docs: DataFrame, labels: DataFrame, label: Column, fit: Column, most:
     spark = docs.sparkSession
     known = labels.select("doc_id", label.alias("label"), fit.alias("fit")).filter("fit and label is not null and doc_id is not null")
     known = known.groupBy("doc_id").agg(F.min("label").alias("label"))
-    counts = {r["label"]: r["count"] for r in known.groupBy("label").count().limit(1000).collect()}
+    counts = {r["label"]: r["count"] for r in known.groupBy("label").count().limit(MOST_LABELS + 1).collect()}
+    if len(counts) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels to fit on")
     chosen: list[tuple[int, object]] = []
     for name in sorted(counts, key=str):
         part = known.filter(F.col("label") == F.lit(name)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)

@@ -59,7 +59,7 @@ def op7_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .string_kernel import identify
 
     docs = _table(spark, sf_dir, "documents")
-    return identify(docs, docs)
+    return identify(docs, docs).drop("lead")
 
 
 def op8_zstd_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,6 +43,7 @@ class Model:
     columns: int
     landmarks: np.ndarray
     weights: np.ndarray
+    usual: np.ndarray  # by language: the median lead of rows that were not fitted
 
     def presence(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """One row a text, 1 where it holds the n-gram of the column, scaled to length 1."""
@@ -58,24 +59,58 @@ class Model:
         out = out[:, :-1]
         return out / np.sqrt(np.maximum(out.sum(axis=1, keepdims=True), 1))
 
-    def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Shares of the languages, one row a text."""
-        z = (self.presence(data, offsets) @ self.landmarks.T) @ self.weights[:-1] + self.weights[-1]
+    def raw(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Ridge scores of the languages, one row a text."""
+        return (self.presence(data, offsets) @ self.landmarks.T) @ self.weights[:-1] + self.weights[-1]
+
+    def scores(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Shares of the languages, one row a text; and the leads in terms of the usual one."""
+        z = self.raw(data, offsets)
+        ahead = leads(z) / self.usual[z.argmax(axis=1)]
         z = np.exp(4 * (z - z.max(axis=1, keepdims=True)))
-        return z / z.sum(axis=1, keepdims=True)
+        return z / z.sum(axis=1, keepdims=True), ahead
+
+
+def leads(z: np.ndarray) -> np.ndarray:
+    """How far the best language is before the second; before -1, what others are fitted to, if it is alone."""
+    return z[:, 0] + 1 if z.shape[1] == 1 else np.diff(np.partition(z, -2, axis=1)[:, -2:], axis=1)[:, 0]
 
 
-def fit(rows: list[tuple[bytes, str]], *, columns: int = 4096, landmarks: int = 32, ridge: float = 0.1) -> Model | None:
-    """``landmarks`` a language, the most widespread ``columns`` n-grams of the rows; None without rows."""
+def _columns(rows: list[tuple[bytes, str]], languages: list[str], columns: int, least: int) -> list[int]:
+    """The most widespread n-grams of each language in equal numbers, then of all rows up to ``columns``."""
+    of: dict[str, Counter] = {name: Counter() for name in languages}
+    for t, y in rows:
+        two, three = _codes(np.frombuffer(t.ljust(3), dtype=np.uint8))
+        of[y].update(np.unique(two).tolist())
+        of[y].update((np.unique(three).astype(np.int64) + (1 << 16)).tolist())
+    ranked = lambda c: [g for g, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))]
+    own = max(least, columns // len(languages))
+    kept = dict.fromkeys(g for name in languages for g in ranked(of[name])[:own])
+    for g in ranked(sum(of.values(), Counter())):
+        if len(kept) >= columns:
+            break
+        kept.setdefault(g)
+    return list(kept)
+
+
+def fit(
+    rows: list[tuple[bytes, str]], *, columns: int = 4096, least_columns: int = 128, landmarks: int = 32, ridge: float = 0.1
+) -> Model | None:
+    """``landmarks`` a language and ``columns`` n-grams, ``least_columns`` or more a language; None without rows.
+
+    Of languages with ten rows or more every fifth is not fitted, but tells the usual lead of its language.
+    """
     languages = sorted({y for _, y in rows})
     if not languages:
         return None
-    grams: Counter = Counter()
-    for t, _ in rows:
-        two, three = _codes(np.frombuffer(t.ljust(3), dtype=np.uint8))
-        grams.update(np.unique(two).tolist())
-        grams.update((np.unique(three).astype(np.int64) + (1 << 16)).tolist())
-    kept = [g for g, _ in sorted(grams.items(), key=lambda x: (-x[1], x[0]))[:columns]]
+    seen: Counter = Counter()
+    many = Counter(y for _, y in rows)
+    held, fitted = [], []
+    for row in rows:
+        seen[row[1]] += 1
+        (held if many[row[1]] >= 10 and seen[row[1]] % 5 == 0 else fitted).append(row)
+    rows = fitted
+    kept = _columns(rows, languages, columns, least_columns)
     of_two = np.full(1 << 16, len(kept), dtype=np.int32)
     of_three = np.full(1 << _BITS, len(kept), dtype=np.int32)
     for i, g in enumerate(kept):
@@ -83,7 +118,7 @@ def fit(rows: list[tuple[bytes, str]], *, columns: int = 4096, landmarks: int =
             of_two[g] = i
         else:
             of_three[g - (1 << 16)] = i
-    model = Model(languages, of_two, of_three, len(kept), np.zeros((0, len(kept)), np.float32), np.zeros((1, len(languages))))
+    model = Model(languages, of_two, of_three, len(kept), np.zeros((0, len(kept)), np.float32), np.zeros((1, len(languages))), np.ones(len(languages)))
     x = np.concatenate(
         [model.presence(*_joined([t for t, _ in rows[i : i + 256]])) for i in range(0, len(rows), 256)]
     )
@@ -97,6 +132,12 @@ def fit(rows: list[tuple[bytes, str]], *, columns: int = 4096, landmarks: int =
     share = np.array([1 / sum(b == lang for _, b in rows) for _, lang in rows])[:, None] * len(rows) / len(languages)
     beta = np.linalg.solve(phi.T @ (phi * share) + ridge * np.eye(phi.shape[1]), phi.T @ (y * share))
     model.weights = np.r_[whiten @ beta[:-1], beta[-1:]].astype(np.float32)
+    held = held or rows
+    z = np.concatenate([model.raw(*_joined([t for t, _ in held[i : i + 256]])) for i in range(0, len(held), 256)])
+    lead, best, true = leads(z), z.argmax(axis=1), np.array([languages.index(lang) for _, lang in held])
+    right = best == true
+    common = float(np.median(lead[right])) if right.any() else 1.0
+    model.usual = np.array([max(1e-3, float(np.median(x)) if len(x := lead[right & (true == i)]) else common) for i in range(len(languages))])
     return model
 
 
@@ -120,11 +161,12 @@ def identify(
     id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """doc_id, held_out, lang_pred, score (share of the predicted language, 0 to 1), kept_<c> for each column c of ``keep``.
+    """doc_id, held_out, lang_pred, score (share of the predicted language, 0 to 1), lead, kept_<c> for each column c of ``keep``.
 
     The model is fitted on at most ``most`` rows of ``train`` of each language, of the folds
     crc32(doc_id as text) mod ``folds`` that are not ``held_out_fold``; a prediction reads the
-    text alone. ``und`` with score 0: null, empty and letterless texts, and every text if no
+    text alone. ``lead`` is how far the language is before the second, 1 where it is as far as the
+    median of known rows of it that were not fitted; unlike the share it doesn't depend on how many languages there are. ``und`` with score 0: null, empty and letterless texts, and every text if no
     language could be learned. Repeated ids stay apart; a null id is held out of nothing.
     """
     spark = docs.sparkSession
@@ -140,7 +182,7 @@ def identify(
         for batch in pieces(batches, most=2 << 20, rows=512):
             data, offsets = bytes_of(batch.column("text"))
             n = len(offsets) - 1
-            share = model.scores(data, offsets) if model else np.zeros((n, 1))
+            share, ahead = model.scores(data, offsets) if model else (np.zeros((n, 1)), np.zeros(n))
             names = model.languages if model else [UNKNOWN]
             ok = lettered(data, offsets) if model else [False] * n
             best = share.argmax(axis=1)
@@ -149,10 +191,11 @@ def identify(
                     "doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"),
                     "lang_pred": pa.array([names[b] if k else UNKNOWN for b, k in zip(best.tolist(), ok, strict=True)], pa.string()),
                     "score": pa.array(np.where(ok, share[np.arange(n), best], 0.0).astype(np.float64)),
+                    "lead": pa.array(np.where(ok, ahead, 0.0).astype(np.float64)),
                     **{c: batch.column(c) for c in batch.schema.names if c.startswith("kept_")},
                 }
             )
 
     return rows.withColumn("held_out", F.coalesce(fold, F.lit(False))).mapInArrow(
-        run, "doc_id long, held_out boolean, lang_pred string, score double" + kept_schema(docs, keep)
+        run, "doc_id long, held_out boolean, lang_pred string, score double, lead double" + kept_schema(docs, keep)
     )

@@ -1,7 +1,11 @@
 import random
 import zlib
 
-from tallyproof.llm.string_kernel import identify
+import pytest
+
+from corpus_pipeline import language_id
+from tallyproof.llm import labelled
+from tallyproof.llm.string_kernel import fit, identify, _joined
 
 SYLLABLES = {"aa": ["ka", "to", "ni", "ra"], "bb": ["sch", "ung", "ein", "ber"], "cc": ["ção", "lho", "que", "mente"]}
 
@@ -26,3 +30,33 @@ def test_held_out_accuracy_and_odd_rows(spark):
     assert by[900] == by[901] == by[902] == "und" and by[None] == by[0] and by[903] == by[5] and by[904] != "und"
     assert identify(docs.limit(0), docs).count() == 0
     assert {r["lang_pred"] for r in identify(docs, docs.limit(0)).collect()} == {"und"}
+
+
+@pytest.mark.parametrize("n", [2, 40])
+def test_verdicts_don_t_depend_on_the_number_of_languages(spark, n):
+    rng = random.Random(12)
+    parts = [["".join(rng.choice(x) for x in ("bcdfghjklmnprstvz", "aeiou", "bdgklmnrst")) for _ in range(8)] for _ in range(40)]
+    say = lambda i: " ".join("".join(rng.choice(parts[i]) for _ in range(rng.randrange(1, 3))) for _ in range(40))
+    rows = [(1000 * i + k, say(i), f"l{i:02}", "s", 1) for i in range(n) for k in range(30)]
+    junk = [(900_000 + k, "ქართული " * 5 + "ⴰⵎⴰⵣⵉⵖ " * k, None, "s", 1) for k in range(1, 20)]
+    docs = spark.createDataFrame(rows + junk, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"] for r in language_id(spark, docs, "").collect()}
+    assert kept == {r[0] for r in rows}
+
+
+def test_a_rare_script_has_columns_of_its_own():
+    rng = random.Random(13)
+    word = lambda signs: "".join(rng.choice(signs) for _ in range(rng.randrange(2, 8)))
+    rows = [(" ".join(word("abcdefghijklmnopqrstuvwxyz"[k : k + 20]) for _ in range(300)).encode(), f"l{k}") for k in (0, 6) for _ in range(300)]
+    rows += [(" ".join(word("αβγδεζηθικλμνξοπρστυφχψω") for _ in range(30)).encode(), "gr") for _ in range(12)]
+    model = fit(rows)
+    assert model.presence(*_joined([rows[-1][0]])).any()
+    share, _ = model.scores(*_joined([" ".join(word("αβγδεζηθικλμνξοπρστυφχψω") for _ in range(30)).encode() for _ in range(20)]))
+    assert {model.languages[i] for i in share.argmax(axis=1)} == {"gr"}
+
+
+def test_too_many_labels_are_refused(spark):
+    docs = spark.range(2000).selectExpr("id AS doc_id", "'some text' AS text", "cast(id AS string) AS lang")
+    with pytest.raises(ValueError):
+        identify(docs, docs)
+    assert labelled.MOST_LABELS == 1000
