@@ -237,4 +237,13 @@ FROM (SELECT page_id, page_id // 12 AS doc_id, row_number() OVER (PARTITION BY p
 WITH f AS (SELECT doc_id, unnest(f) AS value, generate_subscripts(f, 1) AS i FROM (SELECT doc_id, {_FIGURES} AS f FROM documents)),
 h AS (SELECT doc_id, CASE WHEN i % 3 = 1 THEN value + 1000000 ELSE value END AS value FROM f UNION SELECT doc_id, 1.00 FROM f)
 SELECT DISTINCT doc_id, value FROM f WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.doc_id = f.doc_id AND h.value = f.value)""",
+    "cross_foot_parts": """
+SELECT c_custkey, c_custkey % 7 <> 0 AS earnings_ok, true AS gross_ok, c_custkey % 11 <> 0 AS deductions_ok, c_custkey % 13 <> 0 AS reimbursements_ok, true AS net_pay_ok,
+       c_custkey % 7 <> 0 AND c_custkey % 11 <> 0 AND c_custkey % 13 <> 0 AS passed FROM customer""",
+    "report_totals": """
+WITH s AS (SELECT l_suppkey AS doc_id, count(*) AS rows FROM lineitem GROUP BY 1),
+p AS (SELECT *, CASE WHEN doc_id % 11 <> 0 THEN 1 ELSE 0 END AS codes, CASE WHEN doc_id % 7 <> 0 THEN 1 ELSE 0 END AS reports FROM s),
+m AS (SELECT *, CASE WHEN reports = 1 AND (doc_id % 5 = 0 OR doc_id % 3 = 0) THEN 1 ELSE 0 END AS mismatches FROM p)
+SELECT doc_id, rows, cast(codes AS bigint) AS codes, cast(reports AS bigint) AS reports, cast(mismatches AS bigint) AS mismatches,
+       CASE WHEN codes + reports > 0 THEN mismatches = 0 AND codes = 1 AND reports = 1 END AS passed FROM m""",
 }

@@ -253,7 +253,36 @@ def cross_foot(spark, d):
     }
     figures = c.select("c_custkey", F.explode(F.array(*(
         F.struct(F.lit(n).alias("name"), v.cast(S.MONEY).alias("amount"), F.lit(i).alias("seq")) for i, (n, v) in enumerate(values.items())))).alias("f")).select("c_custkey", "f.*")
-    return settlement.cross_foot(figures.filter(~((F.col("name") == "net_pay") & (F.col("c_custkey") % 17 == 0))), ["c_custkey"])
+    return settlement.cross_foot(figures.filter(~((F.col("name") == "net_pay") & (F.col("c_custkey") % 17 == 0))), ["c_custkey"]).drop("earnings_ok", "deductions_ok", "reimbursements_ok")
+
+
+def cross_foot_parts(spark, d):
+    """G17 with the itemised parts: each of their three identities is off for some customers, whose printed totals agree."""
+    c = V.table(spark, d, "customer")
+    base = F.col("c_acctbal").cast(S.MONEY)
+    off = lambda k: F.when(F.col("c_custkey") % k == 0, F.lit(1)).otherwise(F.lit(0))
+    values = {
+        "summary_order_pay": base, "other_earnings": F.lit(7), "earning_rows": 7 + off(7), "gross": base + 7, "deductions": F.lit(-9),
+        "driver_deduction_rows": -2 - off(11), "recurring_rows": F.lit(-3), "itemized_rows": F.lit(-4), "reimbursements": F.lit(5),
+        "order_reimbursement_rows": 2 + off(13), "page_reimbursement_rows": F.lit(3), "net_pay": base + 3,
+    }
+    figures = c.select("c_custkey", F.explode(F.array(*(
+        F.struct(F.lit(n).alias("name"), v.cast(S.MONEY).alias("amount"), F.lit(1).alias("seq")) for n, v in values.items()))).alias("f")).select("c_custkey", "f.*")
+    return settlement.cross_foot(figures, ["c_custkey"]).select("c_custkey", "earnings_ok", "gross_ok", "deductions_ok", "reimbursements_ok", "net_pay_ok", "passed")
+
+
+def report_totals(spark, d):
+    """G12 over the line items of each supplier: one code total and one report total, off for some."""
+    amount = F.col("l_extendedprice").cast(S.MONEY)
+    rows = V.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("doc_id"), F.struct(F.lit(0), "l_orderkey", "l_linenumber", "l_partkey").alias("seq"), amount.alias("amount"))
+    sums = rows.groupBy("doc_id").agg(F.sum("amount").alias("s"), F.count("*").alias("n"))
+    last = lambda k: F.struct(F.lit(k), F.lit(0).cast("long"), F.lit(0).cast("long"), F.lit(0).cast("long")).alias("seq")
+    off = lambda k: F.when(F.col("doc_id") % k == 0, F.lit(1)).otherwise(F.lit(0))
+    codes = sums.filter("doc_id % 11 <> 0").select("doc_id", last(1), F.col("n").alias("printed_n"), F.col("s").cast(S.MONEY).alias("printed_sum"))
+    report = sums.filter("doc_id % 7 <> 0").select("doc_id", last(2), (F.col("n") + off(5)).alias("report_n"), (F.col("s") + off(3)).cast(S.MONEY).alias("report_sum"))
+    named = lambda t: t.withColumn("seq", t["seq"].cast("struct<col1:bigint,l_orderkey:bigint,l_linenumber:bigint,l_partkey:bigint>"))
+    both = named(rows).unionByName(named(codes), allowMissingColumns=True).unionByName(named(report), allowMissingColumns=True)
+    return settlement.report_totals(both, ["doc_id"], ["seq"])
 
 
 def section_subtotals(spark, d):
@@ -416,6 +445,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         block_proof, section_totals, document_outcome, run_summary, code_totals, job_chain, job_proof, order_pay_proof, cross_foot, section_subtotals,
         escrow_rollforward, printed_vs_captured, golden_compare, bank_projection, row_scan, section_fill, stop_resume, wrapped_rows, sign_resolution,
         card_summary_charges, account_blocks, printed_balances, section_total_lines, incremental_ingest,
-        native_pages, statement_split_pages, printed_vs_altered,
+        native_pages, statement_split_pages, printed_vs_altered, cross_foot_parts, report_totals,
     )
     return {f.__name__: f for f in every}
