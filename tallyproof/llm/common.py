@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import uuid
 from collections.abc import Iterator
 
@@ -11,6 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Lets Spark delete the shuffle files of a query once it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new path under the folder that all executors share.
@@ -27,11 +29,17 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 def stored(df: DataFrame, name: str, within: str | None = None) -> DataFrame:
     """``df`` written as a table in the shared folder and read again: its lineage ends here.
 
+    Shuffle files of the write go at its end, as nothing reads them any more.
     ``within``: a folder of the caller's, from shared_dir, that it discards as a whole.
     """
     spark = df.sparkSession
     path = f"{within}/{name}-{uuid.uuid4().hex}" if within else shared_dir(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.select("*").write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -41,12 +49,6 @@ def discard(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished steps now: it does so when their plans are collected as garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def kept_schema(docs: DataFrame, keep: tuple[str, ...]) -> str:
     """The kept columns' part of a schema string."""
     return "".join(f", `kept_{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
@@ -76,7 +78,7 @@ def text_bytes(column: pa.Array) -> tuple[memoryview, list[int]]:
     return memoryview(data if data is not None else b""), offsets.to_pylist()
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 4 << 20, rows: int = 4096) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 1 << 20, rows: int = 4096) -> Iterator[pa.RecordBatch]:
     """Slices of the batches that hold about ``most`` bytes of text (or one row) and ``rows`` rows at most.
 
     Bounds what a Python worker holds at once, however many rows Spark puts in a batch.
@@ -103,10 +105,6 @@ def crc32_of_id(column: str = "doc_id"):
 #: What parts words of the kind ``[^\\x20\\x09-\\x0D]+``.
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
-_BASE = 0x5851F42D4C957F2D  # odd, so that it has an inverse modulo 2**64
-_POWERS: list[np.ndarray] = []
-
-
 def word_spans(data: np.ndarray, offsets: np.ndarray, parted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the blank-separated words of many texts in one byte array, and words by text.
 
@@ -124,20 +122,6 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, parted: np.ndarray | None
     return starts, np.flatnonzero(word & ends) + 1, np.diff(np.searchsorted(starts, offsets))
 
 
-def _powers(n: int) -> list[np.ndarray]:
-    """Powers of the base and of its inverse; kept for the sizes that come again and again."""
-    if _POWERS and len(_POWERS[0]) >= n:
-        return _POWERS
-    made = []
-    for b in (_BASE, pow(_BASE, -1, 1 << 64)):
-        x = np.full(n, b, dtype=np.uint64)
-        x[0] = 1
-        made.append(np.multiply.accumulate(x))
-    if n <= 8 << 20:
-        _POWERS[:] = made
-    return made
-
-
 def mixed(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads all bits."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -145,14 +129,36 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+#: Masks that keep the first 0 to 8 bytes of a lane.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def lanes_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The spans of a byte array in lanes of eight bytes (the last one filled with zeros).
+
+    Lane values, the number of each within its span, and where each span's lanes begin.
+    """
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(shape=(len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    lanes = (ends - starts + 7) >> 3
+    first = np.cumsum(lanes) - lanes
+    if len(lanes) and lanes.max() == 1:
+        j, at, left = np.zeros(len(starts), np.int64), starts, ends - starts
+    else:
+        j = np.arange(int(lanes.sum())) - np.repeat(first, lanes)
+        at = np.repeat(starts, lanes) + 8 * j
+        left = np.repeat(ends, lanes) - at
+    return eight[at] & _FIRST[np.minimum(left, 8)], j, first
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the spans of a byte array: a polynomial in the bytes, by prefix sums."""
+    """64-bit hashes of the spans (none empty) of a byte array: each lane is mixed with its number, then they are summed."""
     if not len(starts):
         return np.zeros(0, dtype=np.uint64)
-    power, inverse = _powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * np.uint64(_BASE))
+    value, j, first = lanes_of(data, starts, ends)
+    total = np.add.reduceat(mixed(value + mixed((j + 1).astype(np.uint64) * _STEP)), first)
+    return mixed(total + (ends - starts).astype(np.uint64) * _STEP)
 
 
 def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -13,7 +13,7 @@ def _state(edges: DataFrame) -> tuple[int, int]:
     return row["n"], int(row["h"] or 0)
 
 
-def components(edges: DataFrame, most_rounds: int = 60, within: str | None = None) -> DataFrame:
+def components(edges: DataFrame, within: str | None = None) -> DataFrame:
     """(node, label) for the nodes of ``edges`` (long columns u, v); label is the component's least node.
 
     Large star: every node hangs its larger neighbours on its least neighbour. Small star:
@@ -25,7 +25,7 @@ def components(edges: DataFrame, most_rounds: int = 60, within: str | None = Non
         edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges", within
     )
     before = _state(edges)
-    for _ in range(most_rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -39,7 +39,5 @@ def components(edges: DataFrame, most_rounds: int = 60, within: str | None = Non
         if after == before:
             break
         before = after
-    else:
-        raise RuntimeError(f"components: no end after {most_rounds} rounds")
     labels = edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
     return labels.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label"))).distinct()

@@ -1,32 +1,39 @@
 """N-gram Jaccard join by partitions of the universe of shingles.
 
 Sets of word shingles link when their Jaccard similarity reaches a threshold. Equal sets
-are one class. The universe of shingles is hashed into segments, their number set by a
-band of set sizes. Two sets that link differ in few shingles, so by the pigeonhole
-principle they agree in some segment, or differ there by one shingle: segments are indexed
-whole and with one shingle left out. Which segments of a set are probed, and how (not at
-all, whole, or with one deletion), is allotted by the number of other sets met there.
-Candidates are verified on the sets themselves.
-
-Work that the bounds make needless is dropped first, never a link:
-1. A set with more than a quarter of its shingles found in no other class has no partner.
-   A hashed third of the universe is counted, which decides for nearly all sets.
-2. Sets try the least class that shares most of their eight least shingle hashes; where they
-   link, they are one component at once. Then step 1 again, for components instead of classes.
-3. Of the rest, a set whose needed segments all stay inside its component has no partner
-   outside it. Costs of segments count other components only.
+are one class. For each band of set sizes the universe of shingles is hashed into segments,
+so many that a segment holds one shingle of a set: its subsets are single shingles. The
+pigeonhole principle: two sets that link hold so much in common that they meet in one of
+their cheapest segments. Cost is the number of sets that a segment's shingle stands in.
+
+- A set of n shingles with r of them left from a segment on (in order of cost) can share at
+  most r with a partner that it meets there first, so the partner has at most 7 r / 3 - n.
+  That bound is allotted to each segment of each set. Segments whose bound lets no partner
+  of the band in are not indexed; two sets meet only if each is within the other's bound.
+- Sets meet the hub of a segment first (the set that comes to it after the fewest cheaper ones),
+  are verified and become one component where they link. Only the sets of different
+  components are then paired, within the bounds, and verified: groups of copies cost as much
+  as they have members, and no link between components is lost.
+
+A segment's one-deletion neighbourhood would let coarser segments be used, but then gains
+count against the pigeonholes as well as losses: twice as many segments must be probed,
+down into those that whole families share (README has the figures).
+
+Before all that, a set with more than a quarter of its shingles in no other class is set aside: it has
+no partner. A hashed part of the universe is counted, which decides for nearly all sets.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, discard, mixed, picked, pieces, release, shared_dir, span_hashes, stored, word_spans
+from .common import bytes_of, discard, mixed, picked, pieces, shared_dir, span_hashes, stored, word_spans
 from .components import components
 
 #: Links need 100 * intersection >= PERCENT * union. The bounds below are those of 75.
@@ -120,257 +127,128 @@ def _sets(k: int):
 # ---- the index -------------------------------------------------------------------------
 
 
-def band(n: int) -> int:
-    return n.bit_length() - 1
-
-
-def segments_of_band(b: int) -> int:
-    """Small sets get so many segments that their shingles mostly stand alone."""
-    return 16 << b if b < 5 else (6 << b) // 5
-
-
-def schemes(n: int) -> list[tuple[int, int]]:
-    """(band whose partition is used, segments that must be probed) for a set of n shingles.
-
-    A set of n can differ from a partner in at most n / 3 shingles (the larger partner holds
-    n / 0.75), from one that is not larger in 2 n / 7. Partners stand in its own band, or in
-    the next smaller one if that reaches 0.75 n; larger ones come down in the same way.
-    """
-    b = band(n)
-    out = [(b, n // 3 + 1)]
-    if b and 3 * n < 4 << b:
-        out.append((b - 1, 2 * n // 7 + 1))
+def _borders() -> list[int]:
+    """Least sizes of the bands: a partner that is not larger stands in a set's own band or in the next one down."""
+    out = [1]
+    while out[-1] < 1 << 40:
+        out.append(out[-1] * 4 // 3 + 1)
     return out
 
 
-def segments(s: np.ndarray, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a set under the partition of a band: segment numbers, sizes, sums; and each member's segment row and value."""
-    number = (mixed(s ^ np.uint64(0xABCD0000 + b)) % np.uint64(segments_of_band(b))).astype(np.int64)
-    order = np.argsort(number, kind="stable")
-    number, value = number[order], mixed(s[order] + np.uint64(77))
-    first = np.flatnonzero(np.concatenate([[True], np.diff(number) != 0]))
-    size = np.diff(np.append(first, len(number)))
-    return number[first], size, np.add.reduceat(value, first), np.repeat(np.arange(len(first)), size), value
+BORDERS = _borders()
 
 
-def _signature(total: np.ndarray, number: np.ndarray, b: int) -> np.ndarray:
-    return mixed(total + number.astype(np.uint64) * _ODD[0] + np.array([b], dtype=np.uint64) * _ODD[1]).view(np.int64)
+def probes(n: int, cost: np.ndarray, sh: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a set of n shingles: signatures of the segments to probe, places in order of cost, bounds on a partner's size.
 
+    ``sh``: those of its shingles that other sets hold too, ``cost``: by how many. The
+    others are the cheapest and let nobody meet. Its own band's segments are probed while
+    the bound reaches a partner there; so are those of the next band down.
+    """
+    order = np.lexsort((mixed(sh), cost))
+    place = n - len(sh) + np.arange(len(sh))
+    bound = 7 * (n - place) // 3 - n
+    band, least = bisect_right(BORDERS, n) - 1, -(-3 * n // 4)
+    sig, at = [], []
+    for b, from_ in ((band, max(least, BORDERS[band])), (band - 1, max(least, BORDERS[band - 1]))):
+        if b >= 0 and least < BORDERS[b + 1]:
+            upto = int(np.searchsorted(-bound, -from_, side="right"))
+            sig.append(mixed(sh[order[:upto]] ^ mixed(np.array([b + 1], dtype=np.uint64))).view(np.int64))
+            at.append(np.arange(upto))
+    at = np.concatenate(at)
+    return np.concatenate(sig), place[at], bound[at]
 
-INDEX_SCHEMA = "sig long, ca long, sc int, seg int, size int, have int, need int"
-
-
-def _index(deletions: bool):
-    """Signatures of the segments: of the whole ones, or of all that lack one of two or more shingles."""
-
-    def run(batches):
-        for batch in batches:
-            cols: list[list] = [[] for _ in range(7)]
-            wanted = batch.column("only").to_pylist() if "only" in batch.schema.names else None
-            for i, (ca, s) in enumerate(zip(batch.column("ca").to_pylist(), batch.column("sh").to_pylist(), strict=True)):
-                s = np.array(s, dtype=np.int64).view(np.uint64)
-                for b, need in schemes(len(s)):
-                    if wanted is not None and b not in wanted[i]:
-                        continue
-                    number, size, total, row, value = segments(s, b)
-                    if 2 * len(number) < need:
-                        raise ValueError(f"too few segments for {len(s)} shingles; change segments_of_band")
-                    if deletions:
-                        row, value = row[size[row] > 1], value[size[row] > 1]
-                        sig, seg, size = _signature(total[row] - value, number[row], b), number[row], size[row]
-                    else:
-                        sig, seg = _signature(total, number, b), number
-                    m = len(sig)
-                    for c, x in zip(cols, (sig, [ca] * m, [b] * m, seg, size, [len(number)] * m, [need] * m), strict=True):
-                        c.append(np.asarray(x, dtype=np.int64))
-            names = [x.split()[0] for x in INDEX_SCHEMA.split(", ")]
-            whole = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in cols]
-            types = [pa.int64(), pa.int64(), *[pa.int32()] * 5]
-            yield pa.RecordBatch.from_pydict({k: pa.array(x, pa.int64()).cast(t) for k, x, t in zip(names, whole, types, strict=True)})
-
-    return run
 
+PROBES = "sig long, ca long, n long, place int, bound long"
 
-def _fingerprints(sets: DataFrame) -> DataFrame:
-    """ca, n and the distinct 16-bit fingerprints of the sets."""
-    prints = F.array_distinct(F.transform("sh", lambda x: (x.bitwiseAND(F.lit(0xFFFF)) - 0x8000).cast("smallint")))
-    return sets.select("ca", "n", prints.alias("f"))
 
+def _probes(batches):
+    for batch in batches:
+        ns, cas = batch.column("n").to_pylist(), batch.column("ca").to_pylist()
+        lists = batch.column("held")
+        ends = np.cumsum([0, *(len(x) for x in lists)])
+        every = lists.flatten()
+        cost, sh = every.field("cost").to_numpy(), every.field("sh").to_numpy().view(np.uint64)
+        found = [probes(n, cost[a:b], sh[a:b]) for n, a, b in zip(ns, ends, ends[1:], strict=False)]
+        size = [len(f[0]) for f in found]
+        if sum(size):
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "sig": np.concatenate([f[0] for f in found]), "ca": np.repeat(np.array(cas, np.int64), size),
+                    "n": np.repeat(np.array(ns, np.int64), size), "place": np.concatenate([f[1] for f in found]).astype(np.int32),
+                    "bound": np.concatenate([f[2] for f in found]),
+                }
+            )
 
-def _linked(pairs: DataFrame, sets: DataFrame, small: DataFrame, work: str) -> DataFrame:
-    """The pairs (a, b) of classes whose sets reach the similarity, by the exact intersection.
 
-    First by 16-bit fingerprints, a quarter of the bytes: two sets share no more shingles than
-    fingerprints, plus what one of them has lost to equal fingerprints. Whole sets travel for
-    the pairs that this bound leaves, which are hardly more than the links.
-    """
-    one = small.select(F.col("ca").alias("a"), F.col("n").alias("na"), F.col("f").alias("fa"))
-    two = small.select(F.col("ca").alias("b"), F.col("n").alias("nb"), F.col("f").alias("fb"))
-    sized = pairs.join(one.drop("fa"), "a").join(two.drop("fb"), "b").filter("100 * least(na, nb) >= 75 * greatest(na, nb)")
-    most = F.size(F.array_intersect("fa", "fb")) + F.col("na") - F.size("fa")
-    near = sized.select("a", "b").join(one, "a").join(two, "b").filter((100 + PERCENT) * most >= PERCENT * (F.col("na") + F.col("nb")))
+def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes whose sets reach the similarity, by the exact intersection; b is the hub, if there is one."""
     left = sets.select(F.col("ca").alias("a"), F.col("n").alias("na"), F.col("sh").alias("sa"))
     right = sets.select(F.col("ca").alias("b"), F.col("n").alias("nb"), F.col("sh").alias("sb"))
-    both = stored(near.select("a", "b"), "near", work).join(left, "a").join(right, "b")
+    right = right.join(pairs.select("b").distinct(), "b", "left_semi")
+    both = pairs.select("a", "b").join(left, "a").join(right, "b")
     same = F.size(F.array_intersect("sa", "sb")).cast("long")
-    return both.filter(100 * same >= PERCENT * (F.col("na") + F.col("nb") - same)).select(
-        F.col("a").alias("u"), F.col("b").alias("v")
-    )
-
-
-def _with_labels(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    return rows.join(labels.select(F.col("node").alias("ca"), "label"), "ca", "left").withColumn(
-        "label", F.coalesce("label", "ca")
-    )
+    return both.filter(100 * same >= PERCENT * (F.col("na") + F.col("nb") - same)).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def _sketch(least: int):
-    """The ``least`` least shingle hashes of each set."""
+def links(sets: DataFrame, hub_rounds: int = 6) -> tuple[DataFrame, DataFrame]:
+    """Edges (u, v) between classes that make the same components as all links between them, and the components.
 
-    def run(batches):
-        for batch in batches:
-            cas, hs = [], []
-            for ca, s in zip(batch.column("ca").to_pylist(), batch.column("sh").to_numpy(zero_copy_only=False), strict=True):
-                h = np.sort(mixed(np.asarray(s, dtype=np.int64).view(np.uint64)))[:least]
-                hs.append(h.view(np.int64))
-                cas.append(np.full(len(h), ca, dtype=np.int64))
-            if cas:
-                yield pa.RecordBatch.from_pydict({"h": pa.array(np.concatenate(hs)), "ca": pa.array(np.concatenate(cas))})
-
-    return run
-
-
-def _counted_again(batches):
-    """The counted part of the universe, of stored sets."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        sets = batch.column("sh").flatten().to_numpy().view(np.uint64)
-        n = batch.column("n").to_numpy()
-        keep = (sets & np.uint64(15)) < COUNTED
-        cols = {c: np.repeat(batch.column(c).to_numpy(), n)[keep] for c in ("ca", "label", "n")}
-        yield pa.RecordBatch.from_pydict({"sh": pa.array(sets[keep].view(np.int64)), **{c: pa.array(x) for c, x in cols.items()}})
-
-
-def _stars(sets: DataFrame, small: DataFrame, work: str, rounds: int = 4) -> tuple[DataFrame, DataFrame]:
-    """Step 2: links with the hubs of the sketches, and the components that they make.
-
-    Each round every class tries one more class: of those that are the hub (the least by the
-    round's hash) of a sketch value that both hold, and stand in another component, the one
-    met most often. Pairs are tried once. So a class makes at most ``rounds`` trials.
+    ``sets``: ca, n, sh. In each of at most ``hub_rounds`` rounds every class that meets other
+    components tries one hub, the one it meets most often; the last step pairs what is left,
+    however much that is.
     """
     spark = sets.sparkSession
-    sketch = stored(sets.select("ca", "sh").mapInArrow(_sketch(16), "h long, ca long"), "sketch", work)
-    edges = tried = labels = None
-    for r in range(rounds):
-        named = sketch.select("h", "ca", F.col("ca").alias("label")) if labels is None else _with_labels(sketch, labels)
-        hub = F.min_by(F.struct("ca", "label"), F.xxhash64(F.lit(r), "ca"))
-        hubs = named.groupBy("h").agg(hub.alias("hub"), F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("h", "hub")
-        met = named.join(hubs, "h").filter("label <> hub.label").groupBy("ca", F.col("hub.ca").alias("hub")).count()
-        pairs = met.select(F.least("ca", "hub").alias("a"), F.greatest("ca", "hub").alias("b"), "ca", "count")
+    work = shared_dir(spark, "links")
+    each = sets.select("ca", "n", F.explode("sh").alias("sh"))
+    shared = stored(each.groupBy("sh").agg(F.count("*").alias("cost")).filter("cost > 1"), "shared", work)
+    held = each.join(shared, "sh").groupBy("ca").agg(F.first("n").alias("n"), F.collect_list(F.struct("cost", "sh")).alias("held"))
+    index = stored(held.filter("4 * size(held) >= 3 * n").mapInArrow(_probes, PROBES), "probes", work)
+    named = index.withColumn("label", F.col("ca"))
+    edges = labels = tried = None
+    for r in range(hub_rounds + 1):
+        if labels is not None:
+            named = index.join(labels.select(F.col("node").alias("ca"), "label"), "ca", "left").withColumn("label", F.coalesce("label", "ca"))
+        per = named.groupBy("sig", "label").agg(F.count("*").alias("k"), F.min(_central(r)).alias("hub")).groupBy("sig").agg(
+            F.sum("k").alias("k"), F.max(F.struct("k", "label")).alias("most"), F.min("hub").alias("hub"), F.count("*").alias("labels")
+        )
+        meeting = stored(per.filter("labels > 1").select("sig", "k", F.col("most.k").alias("same"), F.col("most.label").alias("largest"), "hub"), "meeting", work)
+        left = meeting.agg(F.sum(F.expr("k * (k - same)")).alias("w"), F.sum("k").alias("k")).first()
+        if not left["k"]:
+            break
+        last = r == hub_rounds or (r and left["w"] <= 16 * left["k"])
+        if last:
+            rows = named.join(meeting.select("sig", "largest"), "sig")
+            one = rows.filter("label <> largest").select("sig", F.col("ca").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("bound").alias("ma"))
+            two = named.select("sig", F.col("ca").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("bound").alias("mb"))
+            met = one.join(two, "sig").filter("la <> lb and na <= mb and nb <= ma")
+            pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        else:
+            met = named.join(meeting.select("sig", "hub"), "sig").filter("label <> hub.label and n <= hub.bound and hub.n <= bound")
+            pairs = met.groupBy(F.col("ca").alias("a"), F.col("hub.ca").alias("b")).count()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        best = pairs.groupBy("ca").agg(F.max_by(F.struct("a", "b"), F.struct("count", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
-        best = stored(best, "tried", work)
-        found = stored(_linked(best, sets, small, work), "star", work)
-        tried = best if tried is None else tried.unionByName(best)
-        edges = found if edges is None else edges.unionByName(found)
-        release(spark)
-        if found.isEmpty():
+        if not last:
+            pairs = pairs.groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b"))
+        pairs = stored(pairs.select("a", "b"), "tried", work)
+        both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        tried = both if tried is None else tried.unionByName(both)
+        found = stored(_linked(pairs, sets), "found", work)
+        if not found.isEmpty():
+            edges = found if edges is None else edges.unionByName(found)
+            labels = components(edges, within=work)
+        if last:
             break
-        labels = components(edges, within=work)
-    return edges, components(edges, within=work) if labels is None else labels
-
-
-def _still_open(sets: DataFrame, labels: DataFrame, work: str) -> DataFrame:
-    """ca, n, sh, label of the sets that may have partners outside their component."""
-    named = _with_labels(sets, labels).select("ca", "n", "label", "sh")
-    rows = named.mapInArrow(_counted_again, "sh long, ca long, label long, n long")
-    crossed = rows.groupBy("sh").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("sh")
-    total = rows.groupBy("ca").agg(F.count("*").alias("counted"), F.first("n").alias("n"))
-    met = rows.join(crossed, "sh").groupBy("ca").agg(F.count("*").alias("met"))
-    # counted - met shingles stand in this component alone
-    open_ = total.join(met, "ca").filter("4 * (counted - met) <= n").select("ca")
-    small = sets.select("ca", "n").join(
-        sets.filter(f"size(filter(sh, x -> (x & 15) < {COUNTED})) = 0").select("ca"), "ca", "left_semi"
-    ).select("ca")  # nothing of theirs was counted
-    return stored(named.join(stored(open_.unionByName(small).distinct(), "open", work), "ca"), "open_sets", work)
-
-
-def links(sets: DataFrame) -> DataFrame:
-    """Edges (u, v) between classes that make the same components as all links between them; a stored table."""
-    spark = sets.sparkSession
-    work = shared_dir(spark, "links")
-    small = stored(_fingerprints(sets), "fingerprints", work)
-    edges, labels = _stars(sets, small, work)
-    rest = _still_open(sets, labels, work)
-    release(spark)
-    pairs = None if rest.isEmpty() else _candidates(rest, work)
-    if pairs is not None:
-        edges = edges.unionByName(_linked(pairs, rest, small, work))
-    edges = stored(edges, "edges")
-    discard(spark, work)  # the edges are all that is read from here on
-    release(spark)
-    return edges
-
-
-def _candidates(sets: DataFrame, work: str) -> DataFrame | None:
-    """Step 3: pairs (a, b) of classes of different components that the allotted segments let meet."""
-    label = sets.select("ca", "label")
-    named = stored(sets.select("ca", "sh").mapInArrow(_index(False), INDEX_SCHEMA).join(label, "ca"), "segments", work)
-    crossed = named.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("sig")
-    short = (
-        named.join(crossed, "sig").groupBy("ca", "sc").agg(F.count("*").alias("met"), F.first("have").alias("have"), F.first("need").alias("need"))
-        .filter("have - met < need").select("ca", "sc")
-    )
-    short = stored(short, "short", work)
-    if short.isEmpty():
-        return None
-    # Both ends of a link that is still open are short in the partition that they share.
-    full = stored(named.join(short, ["ca", "sc"]), "full", work)
-    only = short.groupBy("ca").agg(F.collect_set("sc").alias("only"))
-    less = stored(sets.select("ca", "sh").join(only, "ca").mapInArrow(_index(True), INDEX_SCHEMA).join(label, "ca"), "less", work)
-    release(sets.sparkSession)
-    per_sig = full.groupBy("sig").agg(F.count("*").alias("nf"), F.min("label").alias("x"), F.max("label").alias("y"))
-    per_less = less.groupBy("sig").agg(F.count("*").alias("nd"))
-    key = ["ca", "sc", "seg"]
-    whole_cost = (
-        full.join(per_sig, "sig").join(per_less, "sig", "left")
-        .select(*key, "sig", "label", "size", "need", F.when(F.col("x") == F.col("y"), 0).otherwise(F.col("nf") - 1).alias("c0"), F.coalesce("nd", F.lit(0)).alias("cd"))
-    )
-    drop_cost = less.join(per_sig.select("sig", "nf"), "sig").groupBy(*key).agg(F.sum("nf").alias("cf"))
-    cost = whole_cost.join(drop_cost, key, "left").withColumn("c1", F.col("cd") + F.coalesce("cf", F.lit(0)))
-    steps = cost.select(*key, "need", F.lit(0).alias("e"), F.col("c0").alias("c")).unionByName(
-        cost.filter("size > 1").select(*key, "need", F.lit(1).alias("e"), F.greatest("c0", "c1").alias("c"))
-    )
-    rank = F.row_number().over(Window.partitionBy("ca", "sc").orderBy("c", "e", "seg"))
-    allotted = stored(steps.withColumn("r", rank).filter("r <= need").select(*key, "e"), "allotted", work)
-    mine = full.join(allotted, key).select("sig", F.col("ca").alias("a"), F.col("label").alias("la"), "e")
-    # The other side is named by component: however many of its sets share a segment, it is met once.
-    other = lambda t: t.select("sig", F.col("label").alias("lb")).distinct()
-    mine_less = less.join(allotted.filter("e = 1"), key).select("sig", F.col("ca").alias("a"), F.col("label").alias("la"))
-    meets = (
-        mine.filter("e = 0").drop("e").join(other(full), "sig").filter("la <> lb").select("a", "lb")
-        .unionByName(mine.filter("e = 1").drop("e").join(other(less), "sig").filter("la <> lb").select("a", "lb"))
-        .unionByName(mine_less.join(other(full), "sig").filter("la <> lb").select("a", "lb")).distinct()
-    )
-    meets = stored(meets, "meets", work)
-    release(sets.sparkSession)
-    sizes = sets.groupBy("label").agg(F.count("*").alias("k")).select(F.col("label").alias("lb"), "k")
-    meets = meets.join(sizes, "lb")
-    members = sets.select(F.col("label").alias("lb"), F.col("ca").alias("b"))
-    pairs = meets.filter("k = 1").join(members, "lb").select("a", "b")
-    # No set of a larger component holds more of a's shingles than all of them together do: that must be three quarters of a.
-    large = stored(meets.filter("k > 1").select("a", "lb"), "large", work)
-    of_a = large.join(sets.select(F.col("ca").alias("a"), "n", "sh"), "a").select("a", "lb", "n", F.explode("sh").alias("s"))
-    unions = (
-        sets.join(large.select(F.col("lb").alias("label")).distinct(), "label", "left_semi")
-        .select(F.col("label").alias("lb"), F.explode("sh").alias("s")).distinct()
-    )
-    reach = of_a.join(unions, ["lb", "s"]).groupBy("a", "lb").agg(F.count("*").alias("held"), F.first("n").alias("n")).filter("4 * held >= 3 * n")
-    more = stored(reach.select("a", "lb"), "reach", work).join(members, "lb").select("a", "b")
-    release(sets.sparkSession)
-    return pairs.unionByName(more).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    none = spark.createDataFrame([], "u long, v long")
+    out = stored(none if edges is None else edges, "edges"), stored(none.toDF("node", "label") if labels is None else labels, "labels")
+    discard(spark, work)  # these two are all that is read from here on
+    return out
+
+
+def _central(r: int):
+    """The order in which a segment's sets are hubs: in round 0 by their place there, then at random."""
+    place = F.col("place") if r == 0 else F.lit(0)
+    return F.struct(place.alias("place"), F.xxhash64(F.lit(r), "ca").alias("h"), "ca", "label", "n", "bound")
 
 
 def _live(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -401,7 +279,6 @@ def near_duplicates(
     rid = docs[row_key].cast("long") if row_key else F.lit(None).cast("long")
     rows = picked(docs, id_col, text_col, rid.alias("rid"))
     table, classes, live = _live(rows, k)
-    release(docs.sparkSession)
     wanted = live.select("ca", F.col("rep").alias("doc_id"))
     if live.count() <= broadcast_rows:
         wanted = F.broadcast(wanted)
@@ -410,7 +287,7 @@ def near_duplicates(
     sets = stored(fetched, "live_sets")
     if not sets.groupBy("ca").count().filter("count > 1").isEmpty():  # repeated rows of an id were fetched
         sets = stored(sets.dropDuplicates(["ca"]), "live_sets")
-    labels = components(links(sets))
+    _, labels = links(sets)
     named = classes.join(labels.select(F.col("node").alias("ca"), "label"), "ca", "left").withColumn("label", F.coalesce("label", "ca"))
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     of_class = named.join(least, "label").select("ca", "cb", "n", "component_id", F.col("label").alias("component"))
