@@ -195,8 +195,8 @@ def links(sets: DataFrame, hub_rounds: int = 6) -> tuple[DataFrame, DataFrame]:
     """Edges (u, v) between classes that make the same components as all links between them, and the components.
 
     ``sets``: ca, n, sh. In each of at most ``hub_rounds`` rounds every class that meets other
-    components tries one hub, the one it meets most often; the last step pairs what is left,
-    however much that is.
+    components tries one hub, the one it meets most often. They end when few classes still
+    have a hub to try; the last step pairs what is left, however much that is.
     """
     spark = sets.sparkSession
     work = shared_dir(spark, "links")
@@ -216,21 +216,17 @@ def links(sets: DataFrame, hub_rounds: int = 6) -> tuple[DataFrame, DataFrame]:
         left = meeting.agg(F.sum(F.expr("k * (k - same)")).alias("w"), F.sum("k").alias("k")).first()
         if not left["k"]:
             break
-        last = r == hub_rounds or (r and left["w"] <= 16 * left["k"])
+        pairs = None if r == hub_rounds or (r and left["w"] <= 16 * left["k"]) else _with_hubs(named, meeting, tried, work)
+        last = pairs is None or (r > 0 and 16 * pairs.count() < left["k"])
         if last:
             rows = named.join(meeting.select("sig", "largest"), "sig")
             one = rows.filter("label <> largest").select("sig", F.col("ca").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("bound").alias("ma"))
             two = named.select("sig", F.col("ca").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("bound").alias("mb"))
             met = one.join(two, "sig").filter("la <> lb and na <= mb and nb <= ma")
             pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        else:
-            met = named.join(meeting.select("sig", "hub"), "sig").filter("label <> hub.label and n <= hub.bound and hub.n <= bound")
-            pairs = met.groupBy(F.col("ca").alias("a"), F.col("hub.ca").alias("b")).count()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        if not last:
-            pairs = pairs.groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b"))
-        pairs = stored(pairs.select("a", "b"), "tried", work)
+            if tried is not None:
+                pairs = pairs.join(tried, ["a", "b"], "left_anti")
+            pairs = stored(pairs, "tried", work)
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         tried = both if tried is None else tried.unionByName(both)
         found = stored(_linked(pairs, sets), "found", work)
@@ -245,6 +241,15 @@ def links(sets: DataFrame, hub_rounds: int = 6) -> tuple[DataFrame, DataFrame]:
     return out
 
 
+def _with_hubs(named: DataFrame, meeting: DataFrame, tried: DataFrame | None, work: str) -> DataFrame:
+    """For each class the untried hub (b) of another component that it (a) meets most often; a stored table."""
+    met = named.join(meeting.select("sig", "hub"), "sig").filter("label <> hub.label and n <= hub.bound and hub.n <= bound")
+    pairs = met.groupBy(F.col("ca").alias("a"), F.col("hub.ca").alias("b")).count()
+    if tried is not None:
+        pairs = pairs.join(tried, ["a", "b"], "left_anti")
+    return stored(pairs.groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b")), "hubs", work)
+
+
 def _central(r: int):
     """The order in which a segment's sets are hubs: in round 0 by their place there, then at random."""
     place = F.col("place") if r == 0 else F.lit(0)
