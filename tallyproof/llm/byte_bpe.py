@@ -94,7 +94,7 @@ class PairTable:
 class ByteBpe:
     """Encodes pieces of text by ranks and decodes ids."""
 
-    def __init__(self, path: str, pattern: str, cache: int = 400_000, cells: int = 1 << 19):
+    def __init__(self, path: str, pattern: str, cache: int = 150_000, cells: int = 1 << 19):
         self.tokens = read_ranks(path)
         self.pairs = PairTable(self.tokens)
         self.rank_of = {t: i for i, t in enumerate(self.tokens) if t}
@@ -220,7 +220,7 @@ def encoded(docs: DataFrame, vocabulary: str, pattern: str, *, id_col: str = "do
 
     def run(batches):
         bpe = coder(vocabulary, pattern)
-        for batch in pieces(batches, most=2 << 20):
+        for batch in pieces(batches):
             yield pa.RecordBatch.from_pydict(
                 {"doc_id": batch.column("doc_id"), "ids": pa.array(bpe.encode(code_points(batch)), pa.binary())}
             )
@@ -249,7 +249,7 @@ def round_trip(docs: DataFrame, vocabulary: str, pattern: str, *, id_col: str =
 
     def run(batches):
         bpe = coder(vocabulary, pattern)
-        for batch in pieces(batches, most=2 << 20):
+        for batch in pieces(batches):
             ids = bpe.encode(code_points(batch))
             yield pa.RecordBatch.from_pydict(
                 {

@@ -49,6 +49,16 @@ def discard(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def carried(docs: DataFrame, keep: tuple[str, ...], text_col: str) -> list:
+    """The columns of ``keep`` that go through a Python step beside the text, as kept_<c>; the text itself goes once."""
+    return [docs[c].alias(f"kept_{c}") for c in keep if c != text_col]
+
+
+def kept_of(batch: pa.RecordBatch, keep: tuple[str, ...], text_col: str) -> dict:
+    """The kept columns of a batch, in the order of kept_schema."""
+    return {f"kept_{c}": batch.column("text" if c == text_col else f"kept_{c}") for c in keep}
+
+
 def kept_schema(docs: DataFrame, keep: tuple[str, ...]) -> str:
     """The kept columns' part of a schema string."""
     return "".join(f", `kept_{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
@@ -57,10 +67,11 @@ def kept_schema(docs: DataFrame, keep: tuple[str, ...]) -> str:
 def picked(docs: DataFrame, id_col: str, text_col: str, *more) -> DataFrame:
     """Only the id (as ``doc_id``), the text (as ``text``) and the columns asked for.
 
-    Whatever else the caller's table holds can't clash with an operator's own columns.
+    Whatever else the caller's table holds can't clash with an operator's own columns. Ids
+    that are no whole numbers count as null.
     """
     return docs.select(
-        docs[id_col].cast("long").alias("doc_id"),
+        docs[id_col].try_cast("long").alias("doc_id"),
         docs[text_col].cast("string").alias("text"),
         *(docs[c] if isinstance(c, str) else c for c in more),
     )
@@ -105,13 +116,15 @@ def crc32_of_id(column: str = "doc_id"):
 #: What parts words of the kind ``[^\\x20\\x09-\\x0D]+``.
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
-def word_spans(data: np.ndarray, offsets: np.ndarray, parted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the blank-separated words of many texts in one byte array, and words by text.
+def word_spans(
+    data: np.ndarray, offsets: np.ndarray, parted: np.ndarray | None = None, apart: np.ndarray = _BLANK
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words of many texts in one byte array, and words by text; ``apart``: the bytes between words, blanks.
 
     Text i is data[offsets[i]:offsets[i + 1]]; no word crosses a border of texts, nor a
     place where ``parted`` (a flag for each byte) lets another begin.
     """
-    word = ~_BLANK[data]
+    word = ~apart[data]
     begins = np.ones(len(word), dtype=bool) if parted is None else parted.copy()
     begins[1:] = ~word[:-1] if parted is None else begins[1:] | ~word[:-1]
     begins[:1] = True

@@ -2,7 +2,7 @@
 
 The blended-spectrum presence kernel of two texts is the number of byte n-grams (two and
 three bytes, ASCII letters lower-cased) that both hold, over the root of the product of
-their own numbers. Landmark texts give Nystroem features: a text's kernel values with the
+their own numbers; of a text, those count that any landmark holds. Landmark texts give Nystroem features: a text's kernel values with the
 landmarks, whitened. One-versus-rest kernel ridge regression on them yields one score a
 language. Scoring a batch is a presence matrix times the landmarks' and two small products.
 """
@@ -17,48 +17,83 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, crc32_of_id, kept_schema, picked, pieces
-from .labelled import sample
+from .common import bytes_of, carried, crc32_of_id, kept_of, kept_schema, picked, pieces
+from .labelled import LONGEST, sample
 
 UNKNOWN = "und"
-_BITS = 20
+#: Cells of a presence matrix, which bounds the texts of one batch.
+CELLS = 4 << 20
 
 
 def _codes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the two- and three-byte n-grams that begin at each place."""
+    """Codes of the two- and three-byte n-grams that begin at each place; those of three lie above all of two."""
     low = data + (((data >= 65) & (data <= 90)) * 32).astype(np.uint8)
     low = low.astype(np.uint32)
     two = (low[:-1] << 8) | low[1:]
-    three = (((low[:-2] << 16) | (low[1:-1] << 8) | low[2:]) * np.uint32(0x9E3779B1)) >> np.uint32(32 - _BITS)
+    three = ((low[:-2] << 16) | (low[1:-1] << 8) | low[2:]) + np.uint32(1 << 16)
     return two, three
 
 
+def grams(text: bytes) -> np.ndarray:
+    """The sorted codes of the distinct n-grams of a text; of fewer than three bytes none."""
+    return np.unique(np.concatenate(_codes(np.frombuffer(text, dtype=np.uint8)))) if len(text) >= 3 else np.zeros(0, np.uint32)
+
+
+class Columns:
+    """N-gram codes by column: a first table by hash, and a small second one for codes whose slot is taken."""
+
+    BITS = 20
+
+    def __init__(self, codes: np.ndarray):
+        self.codes = np.append(codes, np.uint32(0xFFFFFFFF))
+        self.first = np.full(1 << self.BITS, len(codes), dtype=np.int32)
+        slot = self._slot(codes)
+        self.first[slot[::-1]] = np.arange(len(codes), dtype=np.int32)[::-1]
+        self.rest = np.flatnonzero(self.first[slot] != np.arange(len(codes)))
+
+    def _slot(self, codes: np.ndarray) -> np.ndarray:
+        return (codes * np.uint32(0x9E3779B1)) >> np.uint32(32 - self.BITS)
+
+    def of(self, codes: np.ndarray) -> np.ndarray:
+        """The column of each code, their number where it has none."""
+        found = self.first[self._slot(codes)]
+        other = np.flatnonzero(self.codes[found] != codes)
+        none = np.int32(len(self.codes) - 1)
+        if len(self.rest):  # sorted, as codes are
+            at = np.searchsorted(self.codes[self.rest], codes[other])
+            column = self.rest[np.minimum(at, len(self.rest) - 1)]
+            found[other] = np.where(self.codes[column] == codes[other], column, none)
+        else:
+            found[other] = none
+        return found
+
+
 @dataclass
 class Model:
     """N-gram columns, landmarks and weights; a few megabytes whatever the corpus."""
 
     languages: list[str]
-    of_two: np.ndarray
-    of_three: np.ndarray
-    columns: int
+    columns: Columns
     landmarks: np.ndarray
     weights: np.ndarray
     usual: np.ndarray  # by language: the median lead of rows that were not fitted
 
     def presence(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """One row a text, 1 where it holds the n-gram of the column, scaled to length 1."""
-        rows = len(offsets) - 1
-        out = np.zeros((rows, self.columns + 1), dtype=np.float32)
+        rows, none = len(offsets) - 1, len(self.columns.codes) - 1
+        out = np.zeros((rows, none + 1), dtype=np.float32)
         if len(data) >= 3:
             of = np.repeat(np.arange(rows), np.diff(offsets))
-            two, three = _codes(data)
-            for code, table, n in ((two, self.of_two, 2), (three, self.of_three, 3)):
-                column = table[code]
-                inside = (column < self.columns) & (of[: len(column)] == of[n - 1 :])
-                out[of[: len(column)][inside], column[inside]] = 1
+            long = np.repeat(np.diff(offsets) >= 3, np.diff(offsets))
+            for n, code in enumerate(_codes(data), 2):
+                inside = (of[: len(code)] == of[n - 1 :]) & long[: len(code)]
+                out[of[: len(code)][inside], self.columns.of(code[inside])] = 1
         out = out[:, :-1]
         return out / np.sqrt(np.maximum(out.sum(axis=1, keepdims=True), 1))
 
+    def rows_at_once(self) -> int:
+        return max(8, CELLS // len(self.columns.codes))
+
     def raw(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Ridge scores of the languages, one row a text."""
         return (self.presence(data, offsets) @ self.landmarks.T) @ self.weights[:-1] + self.weights[-1]
@@ -76,27 +111,8 @@ def leads(z: np.ndarray) -> np.ndarray:
     return z[:, 0] + 1 if z.shape[1] == 1 else np.diff(np.partition(z, -2, axis=1)[:, -2:], axis=1)[:, 0]
 
 
-def _columns(rows: list[tuple[bytes, str]], languages: list[str], columns: int, least: int) -> list[int]:
-    """The most widespread n-grams of each language in equal numbers, then of all rows up to ``columns``."""
-    of: dict[str, Counter] = {name: Counter() for name in languages}
-    for t, y in rows:
-        two, three = _codes(np.frombuffer(t.ljust(3), dtype=np.uint8))
-        of[y].update(np.unique(two).tolist())
-        of[y].update((np.unique(three).astype(np.int64) + (1 << 16)).tolist())
-    ranked = lambda c: [g for g, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))]
-    own = max(least, columns // len(languages))
-    kept = dict.fromkeys(g for name in languages for g in ranked(of[name])[:own])
-    for g in ranked(sum(of.values(), Counter())):
-        if len(kept) >= columns:
-            break
-        kept.setdefault(g)
-    return list(kept)
-
-
-def fit(
-    rows: list[tuple[bytes, str]], *, columns: int = 4096, least_columns: int = 128, landmarks: int = 32, ridge: float = 0.1
-) -> Model | None:
-    """``landmarks`` a language and ``columns`` n-grams, ``least_columns`` or more a language; None without rows.
+def fit(rows: list[tuple[bytes, str]], *, landmarks: int = 32, ridge: float = 0.1) -> Model | None:
+    """``landmarks`` a language, all of whose n-grams are columns; None without rows.
 
     Of languages with ten rows or more every fifth is not fitted, but tells the usual lead of its language.
     """
@@ -110,21 +126,15 @@ def fit(
         seen[row[1]] += 1
         (held if many[row[1]] >= 10 and seen[row[1]] % 5 == 0 else fitted).append(row)
     rows = fitted
-    kept = _columns(rows, languages, columns, least_columns)
-    of_two = np.full(1 << 16, len(kept), dtype=np.int32)
-    of_three = np.full(1 << _BITS, len(kept), dtype=np.int32)
-    for i, g in enumerate(kept):
-        if g < 1 << 16:
-            of_two[g] = i
-        else:
-            of_three[g - (1 << 16)] = i
-    model = Model(languages, of_two, of_three, len(kept), np.zeros((0, len(kept)), np.float32), np.zeros((1, len(languages))), np.ones(len(languages)))
-    x = np.concatenate(
-        [model.presence(*_joined([t for t, _ in rows[i : i + 256]])) for i in range(0, len(rows), 256)]
-    )
     chosen = [i for name in languages for i in [j for j, (_, y) in enumerate(rows) if y == name][:landmarks]]
-    model.landmarks = x[chosen]
-    k = (x @ model.landmarks.T).astype(np.float64)
+    columns = Columns(np.unique(np.concatenate([grams(rows[i][0]) for i in chosen])).astype(np.uint32))
+    width = len(columns.codes) - 1
+    model = Model(languages, columns, np.zeros((0, width), np.float32), np.zeros((1, len(languages))), np.ones(len(languages)))
+    model.landmarks = model.presence(*_joined([rows[i][0] for i in chosen]))
+    step = model.rows_at_once()
+    near = [model.presence(*_joined([t for t, _ in rows[i : i + step]])) @ model.landmarks.T for i in range(0, len(rows), step)]
+    k = np.concatenate(near)
+    k = k.astype(np.float64)
     value, vector = np.linalg.eigh(model.landmarks.astype(np.float64) @ model.landmarks.T.astype(np.float64))
     whiten = vector / np.sqrt(np.maximum(value, 1e-6))
     phi = np.c_[k @ whiten, np.ones(len(k))]
@@ -133,7 +143,7 @@ def fit(
     beta = np.linalg.solve(phi.T @ (phi * share) + ridge * np.eye(phi.shape[1]), phi.T @ (y * share))
     model.weights = np.r_[whiten @ beta[:-1], beta[-1:]].astype(np.float32)
     held = held or rows
-    z = np.concatenate([model.raw(*_joined([t for t, _ in held[i : i + 256]])) for i in range(0, len(held), 256)])
+    z = np.concatenate([model.raw(*_joined([t for t, _ in held[i : i + step]])) for i in range(0, len(held), step)])
     lead, best, true = leads(z), z.argmax(axis=1), np.array([languages.index(lang) for _, lang in held])
     right = best == true
     common = float(np.median(lead[right])) if right.any() else 1.0
@@ -159,27 +169,28 @@ def lettered(data: np.ndarray, offsets: np.ndarray) -> list[bool]:
 def identify(
     docs: DataFrame, train: DataFrame, *, most: int = 400, folds: int = 4, held_out_fold: int = 2,
     id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    keep: tuple[str, ...] = (),
+    keep: tuple[str, ...] = (), longest: int = LONGEST,
 ) -> DataFrame:
     """doc_id, held_out, lang_pred, score (share of the predicted language, 0 to 1), lead, kept_<c> for each column c of ``keep``.
 
-    The model is fitted on at most ``most`` rows of ``train`` of each language, of the folds
+    The model is fitted on at most ``most`` rows of ``train`` of each language, of at most ``longest`` bytes, of the folds
     crc32(doc_id as text) mod ``folds`` that are not ``held_out_fold``; a prediction reads the
     text alone. ``lead`` is how far the language is before the second, 1 where it is as far as the
-    median of known rows of it that were not fitted; unlike the share it doesn't depend on how many languages there are. ``und`` with score 0: null, empty and letterless texts, and every text if no
+    median of known rows of it that were not fitted; unlike the share it doesn't depend on how many languages there are. Of languages that score alike
+    the first by name is taken. ``und`` with score 0: null, empty and letterless texts, and every text if no
     language could be learned. Repeated ids stay apart; a null id is held out of nothing.
     """
     spark = docs.sparkSession
-    rows = picked(docs, id_col, text_col, *(docs[c].alias(f"kept_{c}") for c in keep))
+    rows = picked(docs, id_col, text_col, *carried(docs, keep, text_col))
     fold = F.pmod(crc32_of_id(), F.lit(folds)) == held_out_fold
     known = picked(train, id_col, text_col, lang_col).withColumnRenamed(lang_col, "lang")
     marks = known.filter("text is not null").select("doc_id", "lang")
-    fitted, _ = sample(known.select("doc_id", "text"), marks, F.col("lang"), ~fold, most)
+    fitted, _ = sample(known.select("doc_id", "text"), marks, F.col("lang"), ~fold, most, longest)
     shared = spark.sparkContext.broadcast(fit([(t.encode(), y) for t, y in fitted if t]))
 
     def run(batches):
         model: Model | None = shared.value
-        for batch in pieces(batches, most=2 << 20, rows=512):
+        for batch in pieces(batches, rows=model.rows_at_once() if model else 512):
             data, offsets = bytes_of(batch.column("text"))
             n = len(offsets) - 1
             share, ahead = model.scores(data, offsets) if model else (np.zeros((n, 1)), np.zeros(n))
@@ -192,7 +203,7 @@ def identify(
                     "lang_pred": pa.array([names[b] if k else UNKNOWN for b, k in zip(best.tolist(), ok, strict=True)], pa.string()),
                     "score": pa.array(np.where(ok, share[np.arange(n), best], 0.0).astype(np.float64)),
                     "lead": pa.array(np.where(ok, ahead, 0.0).astype(np.float64)),
-                    **{c: batch.column(c) for c in batch.schema.names if c.startswith("kept_")},
+                    **kept_of(batch, keep, text_col),
                 }
             )
 

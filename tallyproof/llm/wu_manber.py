@@ -11,58 +11,75 @@ so that walkers are independent and numpy moves them together.
 from __future__ import annotations
 
 import hashlib
-import re
-from collections import defaultdict
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept_schema, picked, pieces, stored, text_bytes
+from .common import bytes_of, carried, kept_of, kept_schema, lanes_of, picked, pieces, span_hashes, stored, word_spans
 
-#: Words of lower-cased UTF-8: ASCII digits and letters, and every byte above ASCII.
-WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 WINDOW = 10
 TABLE_BITS = 20
 _MIX = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], dtype=np.uint64)
+#: Bytes that stand in no word: words are ASCII digits and letters, and every byte above ASCII.
+_APART = np.ones(256, dtype=bool)
+_APART[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 
 
-def words_of(text: bytes) -> list[bytes]:
-    """bytes.lower() lower-cases A-Z alone."""
-    return WORD.findall(text.lower())
+def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first eight bytes and length of each word of many texts, A-Z lower-cased, and the words by text."""
+    data, offsets = bytes_of(column)
+    data = data + (((data >= 65) & (data <= 90)) * 32).astype(np.uint8)
+    starts, ends, per_text = word_spans(data, offsets, apart=_APART)
+    lanes, _, first = lanes_of(data, starts, ends)
+    return span_hashes(data, starts, ends), lanes[first], ends - starts, per_text
 
 
 class Matcher:
-    """Patterns of one block of benchmark items, by length."""
-
-    def __init__(self, items: list[tuple[int, str | None]], window: int = WINDOW):
-        self.vocabulary: dict[bytes, int] = {}
-        owners: dict[int, dict[tuple[int, ...], set]] = defaultdict(lambda: defaultdict(set))
-        for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of((text or "").encode())]
-            length = min(window, len(ids))
-            for i in range(len(ids) - length + 1 if ids else 0):
-                owners[length][tuple(ids[i : i + length])].add(item)
-        self.by_length = [_Tables(length, patterns) for length, patterns in sorted(owners.items())]
-
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.vocabulary.get, words, repeat(0)), dtype=np.int32, count=len(words))
+    """Patterns of one block of benchmark items, by length: numpy tables only, made once and broadcast."""
+
+    def __init__(self, items: list[tuple[object, str | None]], window: int = WINDOW):
+        self.items = [i for i, _ in items]
+        h, lane, size, per_item = words_of(pa.array([t for _, t in items], pa.string()))
+        self.hashes, at, ids = np.unique(h, return_index=True, return_inverse=True)
+        self.lanes, self.sizes = lane[at], size[at]
+        ids = (ids + 1).astype(np.int32)
+        ends = np.cumsum(per_item)
+        self.by_length = []
+        for length in np.unique(np.minimum(per_item, window)).tolist():
+            if length:
+                of = np.flatnonzero(np.minimum(per_item, window) == length)
+                many = per_item[of] - length + 1
+                begin = np.repeat(ends[of] - per_item[of] - np.cumsum(many) + many, many) + np.arange(many.sum())
+                self.by_length.append(_Tables(length, ids[begin[:, None] + np.arange(length)], np.repeat(of, many)))
+
+    def ids(self, h: np.ndarray, lane: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Numbers of the words in the items' vocabulary, 0 for others."""
+        if not len(self.hashes):
+            return np.zeros(len(h), np.int32)
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        same = (self.hashes[at] == h) & (self.lanes[at] == lane) & (self.sizes[at] == size)
+        return np.where(same, at + 1, 0).astype(np.int32)
 
 
 class _Tables:
-    def __init__(self, length: int, patterns: dict[tuple[int, ...], set]):
+    """Patterns of one length; ``patterns`` may repeat, ``items`` has the item of each."""
+
+    def __init__(self, length: int, patterns: np.ndarray, items: np.ndarray):
         self.length, self.block = length, min(3, length)
         self.stride = length - self.block + 1
-        self.patterns = np.array(list(patterns), dtype=np.int32).reshape(-1, length)
-        self.owners = [sorted(x, key=str) for x in patterns.values()]
-        self.shift = np.full(1 << TABLE_BITS, self.stride, dtype=np.int8)
+        self.patterns, which = np.unique(patterns, axis=0, return_inverse=True)
+        which = which.ravel()
+        pairs = np.unique(np.c_[which, items], axis=0)
+        self.owner_starts, self.owners = np.searchsorted(pairs[:, 0], np.arange(len(self.patterns) + 1)), pairs[:, 1].astype(np.int32)
+        self.bits = min(TABLE_BITS, max(8, int(16 * len(self.patterns)).bit_length()))
+        self.shift = np.full(1 << self.bits, self.stride, dtype=np.int8)
         for end in range(self.block - 1, length):
             np.minimum.at(self.shift, self.hashed(self.patterns, np.full(len(self.patterns), end)), length - 1 - end)
         suffix = self.hashed(self.patterns, np.full(len(self.patterns), length - 1))
-        self.order = np.argsort(suffix, kind="stable")
-        self.starts = np.searchsorted(suffix[self.order], np.arange((1 << TABLE_BITS) + 1)).astype(np.int32)
+        self.order = np.argsort(suffix, kind="stable").astype(np.int32)
+        self.starts = np.searchsorted(suffix[self.order], np.arange((1 << self.bits) + 1)).astype(np.int32)
 
     def hashed(self, rows: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hash of the block that ends at ``end``, in each row of a matrix or at places of a vector."""
@@ -70,7 +87,7 @@ class _Tables:
         for k in range(self.block):
             word = rows[np.arange(len(end)), end - k] if rows.ndim == 2 else rows[end - k]
             code = code * np.uint64(31) + word.astype(np.uint64) * _MIX[k]
-        return ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+        return ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def search(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(last word's place, pattern) of every occurrence in ``ids``."""
@@ -105,15 +122,11 @@ class _Tables:
 
 def _searched(matcher: Matcher, batch: pa.RecordBatch) -> tuple[list[int], list[list[int]], list[list]]:
     """Words, hit stretches (start, end, start, end ...) and items of each text."""
-    data, offsets = text_bytes(batch.column("text"))
-    vectors, lengths = [], []
-    gap = np.zeros(1, np.int32)
-    for i in range(batch.num_rows):
-        ids = matcher.ids(words_of(bytes(data[offsets[i] : offsets[i + 1]])))
-        lengths.append(len(ids))
-        vectors += [ids, gap]  # no pattern holds id 0, so none matches across texts
-    ids = np.concatenate(vectors) if vectors else gap
-    first = np.concatenate([[0], np.cumsum(np.array(lengths, dtype=np.int64) + 1)])
+    h, lane, size, lengths = words_of(batch.column("text"))
+    first = np.concatenate([[0], np.cumsum(lengths + 1)])
+    ids = np.zeros(int(first[-1]), dtype=np.int32)  # no pattern holds id 0, so none matches across texts
+    ids[np.arange(len(h)) + np.repeat(np.arange(len(lengths)), lengths)] = matcher.ids(h, lane, size)
+    lengths = lengths.tolist()
     edge = np.zeros(len(ids) + 1, dtype=np.int32)
     items: list[set] = [set() for _ in lengths]
     for tables in matcher.by_length:
@@ -121,7 +134,8 @@ def _searched(matcher: Matcher, batch: pa.RecordBatch) -> tuple[list[int], list[
         np.add.at(edge, ends - tables.length + 1, 1)
         np.add.at(edge, ends + 1, -1)
         for row, p in set(zip((np.searchsorted(first, ends, side="right") - 1).tolist(), patterns.tolist(), strict=True)):
-            items[row].update(tables.owners[p])
+            owners = tables.owners[tables.owner_starts[p] : tables.owner_starts[p + 1]]
+            items[row].update(matcher.items[i] for i in owners.tolist())
     hit = np.cumsum(edge[:-1]) > 0
     turns = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
     rows = np.searchsorted(first, turns[::2], side="right") - 1
@@ -131,13 +145,9 @@ def _searched(matcher: Matcher, batch: pa.RecordBatch) -> tuple[list[int], list[
     return lengths, stretches, [list(x) for x in items]
 
 
-def _kept(batch: pa.RecordBatch) -> dict:
-    return {c: batch.column(c) for c in batch.schema.names if c.startswith("kept_")}
-
-
-def _searcher(shared, window: int):
+def _searcher(shared):
     def run(batches):
-        matcher = Matcher(shared.value, window)
+        matcher: Matcher = shared.value
         for batch in pieces(batches):
             _, stretches, items = _searched(matcher, batch)
             old = batch.column("stretches").to_pylist(), batch.column("items").to_pylist()
@@ -145,19 +155,19 @@ def _searcher(shared, window: int):
                 {
                     "doc_id": batch.column("doc_id"), "text": batch.column("text"),
                     "stretches": pa.array([(a or []) + b for a, b in zip(old[0], stretches, strict=True)], pa.list_(pa.int64())),
-                    "items": pa.array([(a or []) + b for a, b in zip(old[1], items, strict=True)], pa.list_(pa.int64())),
-                    **_kept(batch),
+                    "items": pa.array([(a or []) + b for a, b in zip(old[1], items, strict=True)], pa.list_(pa.string())),
+                    **{c: batch.column(c) for c in batch.schema.names if c.startswith("kept_")},
                 }
             )
 
     return run
 
 
-def _digester(shared, window: int):
+def _digester(shared, keep: tuple[str, ...], text_col: str):
     """The last (mostly the only) block of items: search and sum up, so that no text leaves the task."""
 
     def run(batches):
-        matcher = Matcher(shared.value, window)
+        matcher: Matcher = shared.value
         for batch in pieces(batches):
             lengths, stretches, items = _searched(matcher, batch)
             if "stretches" in batch.schema.names:
@@ -177,7 +187,7 @@ def _digester(shared, window: int):
                     "n_items": pa.array([len(x) for x in names], pa.int64()),
                     "items_sha256": pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in names]),
                     "contaminated": pa.array([n > 0 for n in hits]),
-                    **_kept(batch),
+                    **kept_of(batch, keep, text_col),
                 }
             )
 
@@ -191,7 +201,7 @@ def blocks_of(benchmark: DataFrame, block_bytes: int, item_col: str = "item_id",
     bound (the usual case) is one block and no more than that is ever broadcast.
     """
     items = benchmark.select(
-        benchmark[item_col].cast("long").alias("item_id"), benchmark[text_col].cast("string").alias("text")
+        benchmark[item_col].cast("string").alias("item_id"), benchmark[text_col].cast("string").alias("text")
     ).filter(F.col("text").isNotNull())
     size = items.agg(F.sum(F.octet_length("text").cast("long") + 64)).first()[0] or 0
     n = -(-size // block_bytes) or 1
@@ -214,21 +224,21 @@ def contamination(
     far are stored with the texts between the passes, so every block sees every text.
     """
     spark = docs.sparkSession
-    rows = picked(docs, id_col, text_col, *(docs[c].alias(f"kept_{c}") for c in keep))
+    rows = picked(docs, id_col, text_col, *carried(docs, keep, text_col))
     kept = kept_schema(docs, keep)
     for last, items in blocks_of(benchmark, block_bytes):
-        shared = spark.sparkContext.broadcast(items)
+        shared = spark.sparkContext.broadcast(Matcher(items, window))
         if last:
             return rows.mapInArrow(
-                _digester(shared, window),
+                _digester(shared, keep, text_col),
                 "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean" + kept,
             )
         if "stretches" not in rows.columns:
-            rows = rows.withColumn("stretches", F.lit(None).cast("array<long>")).withColumn("items", F.lit(None).cast("array<long>"))
+            rows = rows.withColumn("stretches", F.lit(None).cast("array<long>")).withColumn("items", F.lit(None).cast("array<string>"))
         rows = stored(
             rows.mapInArrow(
-                _searcher(shared, window),
-                "doc_id long, text string, stretches array<long>, items array<long>" + kept,
+                _searcher(shared),
+                "doc_id long, text string, stretches array<long>, items array<string>" + kept_schema(docs, tuple(c for c in keep if c != text_col)),
             ),
             "contamination",
         )

@@ -60,3 +60,22 @@ def test_too_many_labels_are_refused(spark):
     with pytest.raises(ValueError):
         identify(docs, docs)
     assert labelled.MOST_LABELS == 1000
+
+
+def test_kernel_values_equal_sets_of_n_grams():
+    rng = random.Random(3)
+    rows = [(made(rng, lang).encode(), lang) for lang in SYLLABLES for _ in range(40)]
+    model = fit(rows, landmarks=4)
+    grams_of = lambda t: {t.lower()[i : i + n] for n in (2, 3) for i in range(len(t) - n + 1)}
+    seen, fitted = {y: 0 for y in SYLLABLES}, []
+    for t, y in rows:
+        seen[y] += 1
+        if seen[y] % 5:
+            fitted.append((t, y))
+    marks = [grams_of(t) for y in sorted(SYLLABLES) for t in [t for t, z in fitted if z == y][:4]]
+    every = set().union(*marks)
+    for text in [rows[7][0], b"", b"ab", "ÄÖ zz zz".encode() + rows[50][0] * 9, b"no such thing"]:
+        own = grams_of(text) & every if len(text) >= 3 else set()
+        want = [len(own & m) / max(1, len(own)) ** 0.5 / len(m) ** 0.5 for m in marks]
+        got = (model.presence(*_joined([b"xx", text])) @ model.landmarks.T)[1]
+        assert all(abs(a - b) < 1e-5 for a, b in zip(got, want, strict=True))

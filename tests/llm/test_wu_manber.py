@@ -1,9 +1,15 @@
+import hashlib
 import random
+import re
 
 import pyarrow as pa
 import pytest
 
-from tallyproof.llm.wu_manber import Matcher, _searched, contamination, words_of
+from tallyproof.llm.wu_manber import Matcher, _searched, contamination
+
+
+def words_of(text):
+    return re.findall(rb"[0-9a-z\x80-\xff]+", text.lower())
 
 
 def brute(docs, items, window=10):
@@ -52,3 +58,14 @@ def test_operator_in_one_and_in_many_blocks(spark):
     assert got == {(x[0], n, h, len(f)) for x, (n, h, f) in zip(docs, expected)}
     assert contamination(d.limit(0), b).count() == 0
     assert not any(r["contaminated"] for r in contamination(d, b.limit(0)).collect())
+
+
+def test_items_named_by_words_and_a_very_long_text(spark):
+    rng = random.Random(4)
+    vocabulary = [f"w{k}" for k in range(60)]
+    items = [("b-two", made(rng, 15, vocabulary)), ("b-one", made(rng, 12, vocabulary))]
+    long = "Ö " * 400_000 + items[0][1].upper() + " x" * 100_000 + " " + items[1][1]
+    d = spark.createDataFrame([(1, long)], "doc_id long, text string")
+    r = contamination(d, spark.createDataFrame(items, "item_id string, text string")).first()
+    assert (r["n_words"], r["n_hit"], r["n_items"]) == (500_027, 27, 2)
+    assert r["items_sha256"] == hashlib.sha256(b"b-one,b-two").hexdigest()
