@@ -58,6 +58,22 @@ def _shuffle_bucket(seed: int):
     return run
 
 
+def _with_place(rows: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """Adds place: the row's place in the input where its id and checksum stand in another row too, else null.
+
+    The repeated pairs are broadcast up to ``most``; beyond, all rows take their place.
+    """
+    twice = rows.groupBy("doc_id", "crc").count().filter("count > 1").select(F.col("doc_id").alias("_i"), F.col("crc").alias("_c"))
+    found = twice.limit(most + 1).count()
+    place = F.monotonically_increasing_id()
+    if found > most:
+        return rows.withColumn("place", place)
+    if not found:
+        return rows.withColumn("place", F.lit(None).cast("long"))
+    marked = rows.withColumn("_at", place).join(F.broadcast(twice.withColumn("_r", F.lit(True))), F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("crc") == F.col("_c")), "left")
+    return marked.withColumn("place", F.when(F.col("_r"), F.col("_at"))).drop("_i", "_c", "_r", "_at")
+
+
 def external_shuffle(
     docs: DataFrame, *, shards: int = 8, seed: int = 20240229, bucket_bytes: int = 32 << 20,
     id_col: str = "doc_id", text_col: str = "text", path: str | None = None,
@@ -66,8 +82,9 @@ def external_shuffle(
 
     Columns: shard int, bucket int, pos long (place in the bucket), doc_id long, text.
     The number of buckets follows from the bytes of the texts, so that a bucket stays near
-    ``bucket_bytes``. The bucket hash takes the id, the text and the row's place in the
-    input files: thousands of repeats of one row spread over all buckets of their shard.
+    ``bucket_bytes``. The bucket hash takes the id and the text, so the same rows and seed
+    give the same order however the input files are cut. Only repeats of one row (which
+    no order tells apart) also take their place in the input, so that thousands of them spread over all buckets of their shard.
     Null texts and ids are kept as they are; an empty table gives an empty result; a
     single text larger than a bucket is a bucket's problem alone (a row can't be split).
     """
@@ -75,10 +92,10 @@ def external_shuffle(
     rows = picked(docs, id_col, text_col)
     total = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1)).first()[0] or 0
     buckets = max(1, math.ceil(total / shards / bucket_bytes))
+    rows = rows.withColumn("crc", F.crc32(F.coalesce("text", F.lit(""))))
     scattered = (
-        rows.withColumn("shard", shard_of(F.col("doc_id"), shards, seed))
-        .withColumn("crc", F.crc32(F.coalesce("text", F.lit(""))))
-        .withColumn("mix", F.xxhash64(F.lit(seed + 1), "doc_id", "crc", F.monotonically_increasing_id()))
+        _with_place(rows).withColumn("shard", shard_of(F.col("doc_id"), shards, seed))
+        .withColumn("mix", F.xxhash64(F.lit(seed + 1), "doc_id", "crc", "place"))
         .withColumn("bucket", F.pmod("mix", F.lit(buckets)).cast("int"))
     )
     shuffled = scattered.groupBy("shard", "bucket").applyInArrow(

@@ -105,14 +105,12 @@ def _quality_sql() -> str:
         ends = [f"{r.measure} < {r.low}"] * (r.low is not None) + [f"{r.measure} > {r.high}"] * (r.high is not None)
         tests.append(f"CASE WHEN {' OR '.join(ends)} THEN '{r.name}' END")
     return rf"""
-WITH d AS (SELECT doc_id, row_number() OVER () AS rid, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^ 	-
-]+') AS w FROM documents),
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 win AS (SELECT rid, i, array_to_string(w[i : i + 4], ' ') AS g FROM d, unnest(range(1, len(w) - 3)) AS r(i)),
 twice AS (SELECT rid, g FROM win GROUP BY rid, g HAVING count(*) > 1),
 hit AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + 5)) AS p FROM win JOIN twice USING (rid, g)) GROUP BY rid),
 l AS (SELECT rid, count(*) AS n_lines, count(*) - count(DISTINCT x) AS n_dup FROM (SELECT rid, unnest(string_split(t, chr(10))) AS x FROM d)
-      WHERE regexp_matches(x, '[^ 	-
-]') GROUP BY rid),
+      WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY rid),
 s AS (SELECT rid, count(*) AS n FROM (SELECT rid, unnest(w) AS x FROM d) WHERE regexp_matches(lower(x), '^(?:{stop})(?:[.,;:!?]|$)') GROUP BY rid),
 m AS (SELECT doc_id, cast(len(w) AS BIGINT) AS n_words, cast(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
              cast(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(n_dup, 0) AS n_dup_lines,

@@ -96,7 +96,7 @@ def find_secrets(
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     found = stored(
         docs.select(
-            F.monotonically_increasing_id().alias("_rid"), docs[id_col].cast("long").alias("_id"),
+            F.monotonically_increasing_id().alias("_rid"), docs[id_col].try_cast("long").alias("_id"),
             docs[owner_col].cast("string").alias("_owner"), base_spans(text).alias("_base"), further_spans(text).alias("_more"),
             *(docs[c].alias(f"_keep_{c}") for c in keep),
         ),
@@ -108,9 +108,11 @@ def find_secrets(
         F.explode(F.concat("_base", apart)).alias("c"),
     ).withColumn("hash", F.xxhash64("c.v"))
     live = F.col("owners") <= most_owners  # repositories grow with the corpus and with copies of one text; owners judge
+    # Written first, one row a hash: the join then meets a plain table and can split the rows of a widespread hash.
+    verdicts = stored(ownership(one).select("hash", live.alias("live")), "verdicts")
     judged = (
-        one.select("_rid", "c", "hash").join(ownership(one), "hash")
-        .select("_rid", "c", live.alias("live"), looks_random(F.col("c.v")).alias("random"))
+        one.select("_rid", "c", "hash").join(verdicts, "hash")
+        .select("_rid", "c", "live", looks_random(F.col("c.v")).alias("random"))
         .filter("live or c.k <> 'live'")  # copied candidates beyond the base are no secrets
         .groupBy("_rid").agg(
             F.array_sort(F.collect_list(F.struct("c.s", F.array_position(F.array(*(F.lit(k) for k in (*KINDS, "live"))), F.col("c.k")).alias("o"), "c.k", "c.e"))).alias("_all"),

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bytes_of, picked, pieces, shared_dir, span_hashes, word_spans
+from .common import bytes_of, lanes_of, picked, pieces, shared_dir, span_hashes, word_spans
 
 BLOCK_SCHEMA = (
     "shard int, block int, doc_ids array<long>, counts array<long>, n_ids long, base int, rules binary, lengths binary, symbols binary"
@@ -174,6 +174,18 @@ _SIGN = np.zeros(256, dtype=bool)
 _SIGN[[*range(33, 39), *range(40, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 
 
+def alike(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first span of each distinct content, and the content of each span: by hash, then compared byte by byte."""
+    _, first, which = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    value, j, at = lanes_of(data, starts, ends)
+    like, size = first[which], ends - starts
+    if np.array_equal(size, size[like]) and np.array_equal(value, value[np.repeat(at[like], (size + 7) >> 3) + j]):
+        return first, which
+    place: dict[bytes, int] = {}
+    which = np.array([place.setdefault(data[a:b].tobytes(), len(place)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+    return np.unique(which, return_index=True)[1], which
+
+
 class WordEncoder:
     """Encodes texts with the tokenizers library, each distinct blank-separated chunk once.
 
@@ -226,8 +238,8 @@ class WordEncoder:
     def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, ``end_id`` after each, and the ids by text.
 
-        Text i is data[offsets[i]:offsets[i + 1]] in UTF-8. Chunks are told apart by 64-bit
-        hashes; each distinct one is looked up or encoded once, and the rest is a gather.
+        Text i is data[offsets[i]:offsets[i + 1]] in UTF-8. Each distinct chunk is looked up or
+        encoded once, and the rest is a gather.
         """
         # A-Z may be lower-cased first where neither a special token nor a combining sign (U+0300 on) can stand.
         odd = np.searchsorted(offsets, np.flatnonzero((data == 0x3C) | (data == 0xCC) | (data == 0xCD)), side="right") - 1
@@ -244,8 +256,8 @@ class WordEncoder:
         if len(odd):
             parted &= ~np.repeat(as_is, np.diff(offsets))
         starts, ends, per_text = word_spans(data, offsets, parted)
-        _, first, which = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
         raw = data.tobytes()
+        first, which = alike(data, starts, ends)
         distinct = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
         if len(self.known) + len(distinct) > self.most:
             self.known.clear()

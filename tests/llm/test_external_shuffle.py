@@ -1,7 +1,7 @@
 import zlib
 from collections import Counter, defaultdict
 
-from tallyproof.llm.external_shuffle import external_shuffle, shard_digest
+from tallyproof.llm.external_shuffle import external_shuffle, fisher_yates, shard_digest
 
 
 def test_shards_hold_every_row_once_and_grow_into_the_new_one(spark):
@@ -33,3 +33,23 @@ def test_files_hold_the_texts_in_order_and_empty_tables_pass(spark, tmp_path):
     assert sorted(table.collect()) == sorted(again.collect())
     assert {(r["doc_id"], r["text"]) for r in table.collect()} == {(i, str(i) * 50) for i in range(200)}
     assert shard_digest(docs.limit(0)).count() == 0
+
+
+def test_order_depends_on_rows_and_seed_alone_and_equals_a_plain_shuffle(spark):
+    rows = [(i, f"text {i} " * (i % 7)) for i in range(300)]
+    schema = "doc_id long, text string"
+    same = [
+        external_shuffle(spark.createDataFrame(r, schema).repartition(n), shards=3, seed=5, bucket_bytes=900).orderBy("shard", "bucket", "pos").collect()
+        for r, n in ((rows, 1), (rows[::-1], 4))
+    ]
+    assert same[0] == same[1] and len({(r["shard"], r["bucket"]) for r in same[0]}) > 6
+    other = external_shuffle(spark.createDataFrame(rows, schema), shards=3, seed=6, bucket_bytes=900).orderBy("shard", "bucket", "pos").collect()
+    assert [r["doc_id"] for r in other] != [r["doc_id"] for r in same[0]]
+    keyed = spark.createDataFrame(rows, schema).selectExpr("doc_id", "xxhash64(6, doc_id, crc32(text), cast(null as bigint)) AS mix").collect()
+    mix = {r["doc_id"]: r["mix"] for r in keyed}
+    groups = {}
+    for r in same[0]:
+        groups.setdefault((r["shard"], r["bucket"]), []).append(r["doc_id"])
+    for (shard, bucket), ids in groups.items():
+        held = sorted(ids, key=lambda i: mix[i])
+        assert ids == [held[k] for k in fisher_yates(len(held), zlib.crc32(f"5:{shard}:{bucket}".encode()))]

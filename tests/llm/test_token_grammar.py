@@ -6,6 +6,7 @@ import public_tokenizers as P
 import pytest
 from tokenizers import Tokenizer
 
+from tallyproof.llm import token_grammar
 from tallyproof.llm.token_grammar import decode_range, expand, lengths, re_pair, read_back, unpacked, write_grammar
 
 VOCABULARY = P.path("word_bpe_49k.json")
@@ -73,3 +74,21 @@ def test_blocks_store_the_lengths_that_range_access_reads(spark):
         assert len(size) == len(rules) > 0 and (size == lengths(rules, row["base"])).all()
         ids = expand(symbols, rules, row["base"])
         assert len(ids) == row["n_ids"] and decode_range(rules, symbols, row["base"], 17, 400, size).tolist() == ids[17:400].tolist()
+
+
+def test_words_that_a_polynomial_hash_confuses_and_a_very_long_text(spark):
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    other = one.translate(str.maketrans("ab", "ba"))
+    tok = Tokenizer.from_file(VOCABULARY)
+    rows = [(1, f"{one} {other}"), (2, other), (3, "word and signs, " * 40_000)]
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in read_back(write_grammar(spark.createDataFrame(rows, "doc_id long, text string"), VOCABULARY)).collect()}
+    for i, t in rows:
+        ids = tok.encode(t, add_special_tokens=False).ids + [2]
+        assert got[i] == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+
+
+def test_equal_hashes_are_told_apart_by_bytes(monkeypatch):
+    monkeypatch.setattr(token_grammar, "span_hashes", lambda data, starts, ends: (ends - starts).astype(np.uint64))
+    data = np.frombuffer(b"one two ten one six", dtype=np.uint8)
+    first, which = token_grammar.alike(data, np.array([0, 4, 8, 12, 16]), np.array([3, 7, 11, 15, 19]))
+    assert which[0] == which[3] and len({*which.tolist()}) == 4 and first.tolist() == [0, 1, 2, 4]
