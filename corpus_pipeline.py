@@ -19,21 +19,33 @@ from tallyproof.llm.wu_manber import contamination
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Documents whose language leads by less than this part of its usual lead go, however many languages there are.
 LEAST_LEAD = 0.1
+#: Bytes of an Arrow batch.
+BATCH_BYTES = 4 << 20
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """Bounds the bytes that go to a Python worker at once, as texts differ in length by thousands; a bound already lower stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not spark.conf.get(key).isdigit() or int(spark.conf.get(key)) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a known language stay, as they are; those without letters or any clear language go."""
+    _small_batches(spark)
     found = identify(docs, docs, keep=COLUMNS).filter((F.col("lang_pred") != UNKNOWN) & (F.col("lead") >= LEAST_LEAD))
     return found.select(*(F.col(f"kept_{c}").alias(c) for c in COLUMNS))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays, the one with the least id."""
+    _small_batches(spark)
     return deduplicated(docs.select(*COLUMNS))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
+    _small_batches(spark)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = contamination(docs, items, keep=COLUMNS).filter(~F.col("contaminated"))
     return found.select(*(F.col(f"kept_{c}").alias(c) for c in COLUMNS))
@@ -52,6 +64,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text as digests, and of what they decode to."""
+    _small_batches(spark)
     import public_tokenizers
 
     return round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)

@@ -94,7 +94,7 @@ class PairTable:
 class ByteBpe:
     """Encodes pieces of text by ranks and decodes ids."""
 
-    def __init__(self, path: str, pattern: str, cache: int = 150_000, cells: int = 1 << 19):
+    def __init__(self, path: str, pattern: str, cache: int = 100_000, cells: int = 1 << 19):
         self.tokens = read_ranks(path)
         self.pairs = PairTable(self.tokens)
         self.rank_of = {t: i for i, t in enumerate(self.tokens) if t}
