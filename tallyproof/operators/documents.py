@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import _day
+from ..functions.scalars import _MONTHS, _day
 
 #: Only so much of a statement's head is looked at for its issuer.
 HEAD = 6000
@@ -36,31 +36,36 @@ def kind_of(text: Column, kinds: list[tuple[str, list[str]]]) -> Column:
     return F.lit(None).cast("string") if out is None else out
 
 
-def profile_scores(docs: DataFrame, profiles: DataFrame, patterns: DataFrame, most_patterns: int = 20_000) -> DataFrame:
+def profile_scores(docs: DataFrame, profiles: DataFrame, patterns: DataFrame, most_patterns: int = 2_000) -> DataFrame:
     """Key, score and confidence of each document's profile.
 
     ``profiles``: key, ordinal; ``patterns``: key, kind, pattern, weight, of which the kind
     ``fingerprint`` counts, each pattern once and in any case, on the first 6,000 characters.
     The highest sum wins, the earlier profile of equals, the catch-all where nothing matches.
     A ``profile_key`` column of ``docs`` that is not null is taken instead (confidence 97).
-    The vocabulary is small by nature: beyond ``most_patterns`` rows this is refused, not broadcast.
+    The vocabulary is small by nature: it becomes terms of one projection, and beyond
+    ``most_patterns`` rows it is refused.
     """
     prints = patterns.filter("kind = 'fingerprint'").join(profiles.select("key", "ordinal"), "key")
-    if prints.limit(most_patterns + 1).count() > most_patterns:
-        raise ValueError("too many fingerprints to send to every task")
+    found = prints.select("key", "ordinal", "pattern", "weight").limit(most_patterns + 1).collect()
+    if len(found) > most_patterns:
+        raise ValueError("too many fingerprints for one projection")
     given = F.col("profile_key") if "profile_key" in docs.columns else F.lit(None).cast("string")
     heads = docs.select("doc_id", F.substring("text", 1, HEAD).alias("head"), given.alias("given"))
-    hits = heads.join(F.broadcast(prints), F.expr("head rlike concat('(?i)', pattern)"))
-    sums = hits.groupBy("doc_id", "key", "ordinal").agg(F.sum("weight").cast("int").alias("score"))
-    best = sums.filter("score > 0").groupBy("doc_id").agg(F.max_by(F.struct("key", "score"), F.struct("score", -F.col("ordinal"))).alias("b"))
+    terms: dict[tuple[int, str], Column] = {}
+    for r in found:
+        hit = F.when(F.col("head").rlike("(?i)" + r["pattern"]), r["weight"]).otherwise(0)
+        place = (r["ordinal"], r["key"])
+        terms[place] = terms[place] + hit if place in terms else hit
+    each = [F.struct(v.cast("int").alias("score"), F.lit(-o).alias("before"), F.lit(k).alias("key")) for (o, k), v in sorted(terms.items())]
+    best = F.array_max(F.array(*each)) if each else F.lit(None).cast("struct<score:int,before:int,key:string>")
+    scored = heads.withColumn("b", best).withColumn("b", F.when(F.col("b.score") > 0, F.col("b")))
     score = F.coalesce(F.col("b.score"), F.lit(0))
     confidence = (
         F.when(F.col("given").isNotNull(), 97).when(F.col("b").isNull(), 50)
         .when(score >= 40, F.least(F.lit(97), score + 30)).otherwise(F.greatest(F.lit(40), score))
     )
-    return heads.drop("head").join(best, "doc_id", "left").select(
-        "doc_id", F.coalesce("given", F.col("b.key"), F.lit(CATCH_ALL)).alias("key"), score.alias("score"), confidence.alias("confidence")
-    )
+    return scored.select("doc_id", F.coalesce("given", F.col("b.key"), F.lit(CATCH_ALL)).alias("key"), score.alias("score"), confidence.alias("confidence"))
 
 
 def statement_split(pages: DataFrame) -> DataFrame:
@@ -76,57 +81,91 @@ def document_profile(statements: DataFrame) -> DataFrame:
     return statements.groupBy("doc_id").agg(F.coalesce(F.max_by("key", some), F.min_by("key", "stmt_no")).alias("key"))
 
 
-_MONTH = "(January|February|March|April|May|June|July|August|September|October|November|December|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sep|Sept|Oct|Nov|Dec)"
-_SPAN = r"\s*(?:-|–|to|through|thru)\s*"
+def _month_pattern() -> str:
+    """A month's name or its first three letters (of September also four), as one group."""
+    rest = lambda m: "(?:t(?:ember)?)?" if m == "september" else f"(?:{m[3:]})?" if m[3:] else ""
+    return "(" + "|".join(m[:3] + rest(m) for m in _MONTHS) + ")"
+
+
+_NAMED = _month_pattern() + r"\.?\s+(\d{1,2})"  # month and day
+_NUMERIC = r"(\d{1,2})/(\d{1,2})/(\d{2}|\d{4})(?!\d)"
+_YEAR = r",?\s*(\d{4})"
+_TO = r"\s*(?:[-\u2013]|to|thru|through)\s*"
 
 
 def _month_number(name: Column) -> Column:
-    at = F.instr(F.lit("janfebmaraprmayjunjulaugsepoctnovdec"), F.lower(F.substring(name, 1, 3)))
+    at = F.instr(F.lit("".join(m[:3] for m in _MONTHS)), F.lower(F.substring(name, 1, 3)))
     return F.when(name != "", F.floor((at + 2) / 3).cast("int"))
 
 
+def _full_year(y: Column) -> Column:
+    return F.when(y < 100, y + 2000).otherwise(y)
+
+
 def find_period(text: Column) -> Column:
     """struct(start, end) of a statement's period, null if none is found.
 
     In this order: two dates with month names and years; two numeric dates; two month-name
-    dates that share one year (the start may fall in the year before); one month-name date
-    (the 35 days before it); the span of three or more full numeric dates. A span is valid
-    from 0 to 400 days.
+    dates that share one year (the start may fall in the year before); the dates of a previous and a
+    new balance at most 300 characters apart; one month-name date (the 35 days before it); the
+    span of three or more full numeric dates. A span is valid from 0 to 400 days.
     """
-    day = r"\.?\s+([0-9]{1,2})"
-    year = r",?\s+([0-9]{4})"
-    two_names = f"(?i){_MONTH}{day}{year}{_SPAN}{_MONTH}{day}{year}"
-    numeric = rf"([0-9]{{1,2}})[/-]([0-9]{{1,2}})[/-]([0-9]{{4}}|[0-9]{{2}}){_SPAN}([0-9]{{1,2}})[/-]([0-9]{{1,2}})[/-]([0-9]{{4}}|[0-9]{{2}})"
-    one_year = f"(?i){_MONTH}{day}{_SPAN}{_MONTH}{day}{year}"
-    single = f"(?i){_MONTH}{day}{year}"
-    g = lambda p, i: F.regexp_extract(text, p, i)
-    number = lambda p, i: g(p, i).try_cast("int")
-    full_year = lambda y: F.when(y < 100, y + 2000).otherwise(y)
+    balance_of = lambda which: rf"{which}\s*balance\s*as\s*of\s*{_NUMERIC}"
+    forms = {
+        "named": f"(?i){_NAMED}{_YEAR}{_TO}{_NAMED}{_YEAR}",
+        "numeric": f"(?i){_NUMERIC}{_TO}{_NUMERIC}",
+        "one_year": f"(?i){_NAMED}{_TO}{_NAMED}{_YEAR}",
+        "balances": f"(?is){balance_of('previous')}.{{0,300}}?{balance_of('new')}",
+        "single": rf"(?i){_NAMED},\s*(\d{{4}})",
+    }
+    g = lambda form, i: F.regexp_extract(text, forms[form], i)
+    number = lambda form, i: g(form, i).try_cast("int")
 
     def valid(a: Column, b: Column) -> Column:
         return F.when(F.datediff(b, a).between(0, 400), F.struct(a.alias("start"), b.alias("end")))
 
-    first = valid(
-        _day(number(two_names, 3), _month_number(g(two_names, 1)), number(two_names, 2)),
-        _day(number(two_names, 6), _month_number(g(two_names, 4)), number(two_names, 5)),
-    )
-    second = valid(
-        _day(full_year(number(numeric, 3)), number(numeric, 1), number(numeric, 2)),
-        _day(full_year(number(numeric, 6)), number(numeric, 4), number(numeric, 5)),
-    )
-    m1, m2, y = _month_number(g(one_year, 1)), _month_number(g(one_year, 3)), number(one_year, 5)
-    third = valid(_day(F.when(m1 <= m2, y).otherwise(y - 1), m1, number(one_year, 2)), _day(y, m2, number(one_year, 4)))
-    end = _day(number(single, 3), _month_number(g(single, 1)), number(single, 2))
-    fourth = F.when(end.isNotNull(), F.struct(F.date_sub(end, 35).alias("start"), end.alias("end")))
-    tokens = F.regexp_extract_all(text, F.lit(r"\b([0-9]{1,2}[/-][0-9]{1,2}[/-](?:[0-9]{4}|[0-9]{2}))\b"), F.lit(1))
+    def named(form: str, i: int) -> Column:
+        return _day(number(form, i + 2), _month_number(g(form, i)), number(form, i + 1))
+
+    def numeric(form: str, i: int) -> Column:
+        return _day(_full_year(number(form, i + 2)), number(form, i), number(form, i + 1))
+
+    m1, m2, y = _month_number(g("one_year", 1)), _month_number(g("one_year", 3)), number("one_year", 5)
+    shared = valid(_day(F.when(m1 <= m2, y).otherwise(y - 1), m1, number("one_year", 2)), _day(y, m2, number("one_year", 4)))
+    end = named("single", 1)
+    alone = F.when(end.isNotNull(), F.struct(F.date_sub(end, 35).alias("start"), end.alias("end")))
+    tokens = F.regexp_extract_all(text, F.lit(r"\b(\d{1,2}[/-]\d{1,2}[/-](?:\d{4}|\d\d))\b"), F.lit(1))
 
     def as_day(t: Column) -> Column:
-        p = F.split(t, "[/-]")
-        return _day(full_year(F.get(p, 2).cast("int")), F.get(p, 0), F.get(p, 1))
+        part = F.split(t, "[/-]")
+        return _day(_full_year(F.get(part, 2).cast("int")), F.get(part, 0), F.get(part, 1))
 
     days = F.filter(F.transform(tokens, as_day), lambda d: d.isNotNull())
-    fifth = F.when(F.size(days) >= 3, valid(F.array_min(days), F.array_max(days)))
-    return F.coalesce(first, second, third, fourth, fifth)
+    spread = F.when(F.size(days) >= 3, valid(F.array_min(days), F.array_max(days)))
+    return F.coalesce(
+        valid(named("named", 1), named("named", 4)), valid(numeric("numeric", 1), numeric("numeric", 4)), shared,
+        valid(numeric("balances", 1), numeric("balances", 4)), alone, spread,
+    )
+
+
+def bundle_label(text: Column, patterns: list[str]) -> Column:
+    """What the first of the patterns that occurs captures (its first group), in title case; null if none does."""
+    found = [F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in patterns]
+    return F.initcap(F.trim(F.coalesce(*found))) if found else F.lit(None).cast("string")
+
+
+def bundle_names(statements: DataFrame, patterns: list[str]) -> DataFrame:
+    """``statements`` (doc_id, stmt_no, block_name, text) with the label behind the block name where a document holds several statements."""
+    several = statements.groupBy("doc_id").agg(F.count_distinct("stmt_no").alias("_many"))
+    label = F.when(F.col("_many") > 1, bundle_label(F.col("text"), patterns))
+    return statements.join(several, "doc_id").withColumn("block_name", F.concat_ws(" ", "block_name", label)).drop("_many")
+
+
+def owner_name(text: Column, first_line: str | None = None, anywhere: str | None = None) -> Column:
+    """Whose document it is: what ``first_line`` captures of the first line that isn't blank, else what ``anywhere`` captures."""
+    line = F.trim(F.regexp_extract(text, r"^\s*([^\n]*)", 1))
+    tried = [F.regexp_extract(x, p, 1) for x, p in ((line, first_line), (text, anywhere)) if p]
+    return F.coalesce(*(F.nullif(F.trim(x), F.lit("")) for x in tried)) if tried else F.lit(None).cast("string")
 
 
 def account_number(text: Column, pattern: str) -> Column:

@@ -33,9 +33,15 @@ def chain_segments(ledger: DataFrame, keys: list[str], order: list[str]) -> Data
     balance is missing or the segment holds an unread amount. An unread amount restarts
     the chain from its own printed balance.
     """
+    return _segments(ledger, keys, order).drop("marked")
+
+
+def _segments(ledger: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """chain_segments, and marked: rows whose amount is unread or whose own status (column ``status``, if there is one) asks for a review."""
     rows = with_segments(ledger, keys, order, F.col("balance").isNotNull() | F.col("amount").isNull())
+    doubtful = F.col("amount").isNull() | (F.col("status") == "NEEDS_REVIEW" if "status" in ledger.columns else F.lit(False))
     groups = rows.groupBy(*keys, "seg").agg(
-        F.first("beginning").alias("beginning"), F.sum("amount").cast(MONEY).alias("move"), F.count("amount").alias("n"),
+        F.sum(F.coalesce(doubtful, F.lit(False)).cast("int")).alias("marked"), F.max("beginning").alias("beginning"), F.sum("amount").cast(MONEY).alias("move"), F.count("amount").alias("n"),
         F.max("balance").alias("closing"), F.max(F.col("amount").isNull().cast("int")).alias("broken"),
     )
     last = F.lag("closing").over(Window.partitionBy(*keys).orderBy("seg"))
@@ -45,21 +51,21 @@ def chain_segments(ledger: DataFrame, keys: list[str], order: list[str]) -> Data
         .when(_far(F.col("move"), F.col("closing") - F.col("opening")), "NEEDS_REVIEW")
         .otherwise("OK")
     )
-    return groups.select(*keys, "seg", "opening", "closing", "move", "n", state.alias("state"))
+    return groups.select(*keys, "seg", "opening", "closing", "move", "n", state.alias("state"), "marked")
 
 
 def chain_flags(ledger: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """the ledger with status and note; every row of a failing segment carries its reason in figures."""
     rows = with_segments(ledger, keys, order, F.col("balance").isNotNull() | F.col("amount").isNull())
-    segments = chain_segments(ledger, keys, order)
+    segments = chain_segments(ledger, keys, order).select(*keys, "seg", "opening", "closing", "move", "n", F.col("state"))
     moved = F.col("closing") - F.col("opening")
     single = F.concat(
-        F.lit("This row reads "), printed(F.col("amount")), F.lit(" but the printed balance moved by "), printed(moved),
-        F.lit(" (from "), printed(F.col("opening")), F.lit(" to "), printed(F.col("closing")), F.lit(")."),
+        F.lit("Amount "), printed(F.col("amount")), F.lit(" against a balance change of "), printed(moved),
+        F.lit(": "), printed(F.col("opening")), F.lit(" before, "), printed(F.col("closing")), F.lit(" after."),
     )
     group = F.concat(
-        F.lit("The "), F.col("n").cast("string"), F.lit(" rows between printed balances "), printed(F.col("opening")), F.lit(" and "),
-        printed(F.col("closing")), F.lit(" sum to "), printed(F.col("move")), F.lit(", but the balance moved by "), printed(moved), F.lit("."),
+        F.col("n").cast("string"), F.lit(" amounts add up to "), printed(F.col("move")), F.lit("; from balance "), printed(F.col("opening")),
+        F.lit(" to balance "), printed(F.col("closing")), F.lit(" it should be "), printed(moved), F.lit("."),
     )
     note = F.when(F.col("state") == "NEEDS_REVIEW", F.when(F.col("n") == 1, single).otherwise(group))
     return rows.join(segments, [*keys, "seg"]).select(
@@ -72,32 +78,28 @@ def block_proof(ledger: DataFrame, keys: list[str], order: list[str]) -> DataFra
     """one row a block: n, total, passed (true, false or null: not provable), detail, flagged.
 
     Both balances printed: beginning + movements against ending. Else the chain, if any of its
-    segments could be checked. Else null.
+    segments could be checked: it proves only if no row is flagged. Else null. Flagged are the rows of
+    failing segments, unread amounts, and rows whose ``status`` asks for a review.
     """
     totals = ledger.groupBy(*keys).agg(
-        F.first("beginning").alias("beginning"), F.first("ending").alias("ending"), F.count("amount").alias("n"),
+        F.max("beginning").alias("beginning"), F.max("ending").alias("ending"), F.count("amount").alias("n"),
         F.coalesce(F.sum("amount"), F.lit(0)).cast(MONEY).alias("total"), F.count("*").alias("rows"),
     )
-    chains = chain_segments(ledger, keys, order).groupBy(*keys).agg(
+    chains = _segments(ledger, keys, order).groupBy(*keys).agg(
         F.max((F.col("state") != "UNCHECKED").cast("int")).alias("checked"),
-        F.sum(F.when(F.col("state") == "NEEDS_REVIEW", F.col("n")).otherwise(0)).alias("flagged"),
+        F.sum(F.when(F.col("state") == "NEEDS_REVIEW", F.col("n")).otherwise(F.col("marked"))).alias("flagged"),
     )
     expected = (F.col("beginning") + F.col("total")).cast(MONEY)
     both = F.col("beginning").isNotNull() & F.col("ending").isNotNull()
     passed = F.when(both, ~_far(expected, F.col("ending"))).when(F.col("checked") == 1, F.col("flagged") == 0)
-    head = F.concat(
-        F.lit("Beginning balance "), printed(F.col("beginning")), F.lit(" plus "), F.col("n").cast("string"), F.lit(" movements totalling "), printed(F.col("total"))
-    )
+    count = F.concat(F.lit(" ("), F.col("n").cast("string"), F.lit(" amounts)"))
+    head = F.concat(printed(F.col("beginning")), F.lit(" + "), printed(F.col("total")), count, F.lit(" = "), printed(expected))
     detail = (
-        F.when(both & passed, F.concat(head, F.lit(" equals the ending balance "), printed(F.col("ending")), F.lit(".")))
-        .when(
-            both,
-            F.concat(head, F.lit(" gives "), printed(expected), F.lit(", but the statement prints an ending balance of "), printed(F.col("ending")),
-                     F.lit(" (difference "), printed(F.col("ending") - expected), F.lit(").")),
-        )
-        .when(passed, F.lit("Proven by the printed running balance: every movement matches the balance change."))
-        .when(~passed, F.lit("The printed running balance does not match the movements everywhere; the affected rows are marked."))
-        .otherwise(F.lit("No printed beginning/ending balance pair or running balance was found, so the figures cannot be proven by arithmetic."))
+        F.when(both & passed, F.concat(head, F.lit(", as printed at the end.")))
+        .when(both, F.concat(head, F.lit(", printed at the end is "), printed(F.col("ending")), F.lit(", off by "), printed(F.col("ending") - expected), F.lit(".")))
+        .when(passed, F.lit("Each printed running balance follows from the amounts before it."))
+        .when(~passed, F.lit("Running balances and amounts disagree, or amounts are unread: see the marked rows."))
+        .otherwise(F.lit("Neither two end balances nor a running balance is printed: nothing proves the amounts."))
     )
     return totals.join(chains, keys).select(
         *keys, "rows", "n", "total", "beginning", "ending", "flagged", passed.alias("passed"), detail.alias("detail")
@@ -136,24 +138,28 @@ def printed_group_totals(rows: DataFrame, keys: list[str], order: list[str]) ->
     ).filter("printed_n is not null").withColumn("mismatch", mismatch)
 
 
-def document_outcome(blocks: DataFrame, keys: list[str]) -> DataFrame:
-    """one row a document: rows, flagged, state (proven, unproven, failed), verdict, detail.
+def document_outcome(blocks: DataFrame, keys: list[str], detail: bool = True) -> DataFrame:
+    """one row a document: rows, flagged, state (proven, unproven, failed), verdict and (if asked for) detail.
 
-    ``blocks``: keys, block, block_name, rows, flagged, passed, detail, complete.
+    ``blocks``: keys, block, block_name, rows, flagged, passed, detail, complete, and ``reason`` (why a read is
+    incomplete, else null) if it is known.
     """
     passed, failed = F.min(F.coalesce("passed", F.lit(False))), F.max(~F.coalesce("passed", F.lit(True)))
-    text = F.when(F.col("many") > 1, F.concat_ws(": ", "block_name", "detail")).otherwise(F.col("detail"))
-    rows = blocks.withColumn("many", F.count("*").over(Window.partitionBy(*keys))).groupBy(*keys).agg(
+    reason = F.max("reason") if "reason" in blocks.columns else F.lit(None).cast("string")
+    parts = F.array_sort(F.collect_list(F.struct("block", "block_name", "detail"))) if detail else F.lit(None).cast("array<struct<block:int,block_name:string,detail:string>>")
+    rows = blocks.groupBy(*keys).agg(
         F.sum("rows").alias("rows"), F.sum("flagged").alias("flagged"), passed.alias("all_passed"), failed.alias("any_failed"),
-        F.min("complete").alias("complete"), F.array_sort(F.collect_list(F.struct("block", text.alias("t")))).alias("parts"),
+        F.min("complete").alias("complete"), reason.alias("reason"), parts.alias("parts"),
     )
     proven = F.col("all_passed") & (F.col("flagged") == 0) & F.col("complete")
-    joined = F.array_join(F.transform("parts", lambda p: p["t"]), " | ")
+    many = F.size("parts") > 1
+    texts = F.transform("parts", lambda p: F.when(many, F.concat_ws(": ", p["block_name"], p["detail"])).otherwise(p["detail"]))
+    incomplete = F.when(~F.col("complete"), F.concat_ws(": ", F.lit("INCOMPLETE READ"), "reason"))
     return rows.select(
         *keys, "rows", "flagged",
         F.when(F.col("rows") == 0, "failed").when(proven, "proven").otherwise("unproven").alias("state"),
         F.when(proven, "PASSED").when(F.col("any_failed"), "FAILED").otherwise("NOT PROVABLE").alias("verdict"),
-        F.when(F.col("complete"), joined).otherwise(F.concat(F.lit("INCOMPLETE READ | "), joined)).alias("detail"),
+        *([F.concat_ws(" | ", incomplete, F.array_join(texts, " | ")).alias("detail")] if detail else []),
     )
 
 
@@ -161,3 +167,19 @@ def run_summary(outcomes: DataFrame) -> DataFrame:
     """F8: documents by state, with each state's severity (proven 0, unproven 1, failed 2)."""
     severity = F.when(F.col("state") == "proven", 0).when(F.col("state") == "unproven", 1).otherwise(2)
     return outcomes.groupBy("state").agg(F.count("*").alias("documents")).withColumn("severity", severity)
+
+
+def run_severity(outcomes: DataFrame) -> DataFrame:
+    """F8: one row: documents, severity of the worst state, 3 where there was no document at all."""
+    severity = F.when(F.col("state") == "proven", 0).when(F.col("state") == "unproven", 1).otherwise(2)
+    return outcomes.agg(F.count("*").alias("documents"), F.coalesce(F.max(severity), F.lit(3)).alias("severity"))
+
+
+def pages_read(statements: DataFrame, keys: list[str]) -> DataFrame:
+    """pages read of each document: of each statement up to its stopping page. ``statements``: keys, stop_page (null: none), pages."""
+    return statements.groupBy(*keys).agg(F.sum(F.least(F.coalesce("stop_page", "pages"), F.col("pages"))).alias("pages_read"), F.sum("pages").alias("pages"))
+
+
+def unexpected_states(outcomes: DataFrame, expected: list[str]) -> DataFrame:
+    """The states that a run must not end in, with their documents; no rows where all is as expected."""
+    return outcomes.filter(~F.coalesce(F.col("state").isin(expected), F.lit(False))).groupBy("state").agg(F.count("*").alias("documents"))

@@ -8,7 +8,7 @@ _E, _L, _W = (f"({V.in_duckdb(x)})" for x in (V.EVENT_LEDGER, V.LINE_LEDGER, V.M
 _LINES = f"({V.in_duckdb(V.EVENT_LINES)})"
 _JOBS, _CODES = (f"({V.in_duckdb(x)})" for x in (V.JOB_ROWS, V.CODE_ROWS))
 _PRICE = "cast(l_extendedprice AS decimal(18,2))"
-_FIGURE = r"[-+]?\$?\s?[0-9]{1,3}(?:,[0-9]{3})*\.[0-9]{2}-?|\(\$?[0-9]{1,3}(?:,[0-9]{3})*\.[0-9]{2}\)"
+_FIGURE = r"\(\$?\d{1,3}(?:,\d{3})*\.\d\d\)|[+-]?(?:\$\s?)?\d{1,3}(?:,\d{3})*\.\d\d-?"  # the grammar of FIXTURES.md
 _FIGURES = f"[cast(regexp_replace(x, '[^0-9.]', '', 'g') AS decimal(18,2)) FOR x IN regexp_extract_all(text, '{_FIGURE}')]"
 
 
@@ -18,11 +18,11 @@ def _chain(rows: str, key: str) -> str:
 s AS (SELECT *, coalesce(sum(CASE WHEN balance IS NOT NULL OR amount IS NULL THEN 1 ELSE 0 END)
         OVER (PARTITION BY {key} ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seg FROM {rows}),
 g AS (SELECT {key}, seg, max(beginning) AS beginning, cast(sum(amount) AS decimal(18,2)) AS move, count(amount) AS n, max(balance) AS closing,
-        max(CASE WHEN amount IS NULL THEN 1 ELSE 0 END) AS broken FROM s GROUP BY {key}, seg),
+        max(CASE WHEN amount IS NULL THEN 1 ELSE 0 END) AS broken, count(*) - count(amount) AS unread FROM s GROUP BY {key}, seg),
 o AS (SELECT *, CASE WHEN seg = 0 THEN beginning ELSE lag(closing) OVER (PARTITION BY {key} ORDER BY seg) END AS opening FROM g),
 c AS (SELECT {key}, cast(seg AS bigint) AS seg, opening, closing, move, n,
         CASE WHEN broken = 1 OR closing IS NULL OR opening IS NULL THEN 'UNCHECKED'
-             WHEN abs(move - (closing - opening)) > 0.01 THEN 'NEEDS_REVIEW' ELSE 'OK' END AS state FROM o)"""
+             WHEN abs(move - (closing - opening)) > 0.01 THEN 'NEEDS_REVIEW' ELSE 'OK' END AS state, unread FROM o)"""
 
 
 def _money(x: str) -> str:
@@ -54,19 +54,19 @@ p AS (SELECT doc_id, word_idx, text, l * 0.24e0 AS x0, (l + 125) * 0.24e0 AS x1,
 _OUTCOME = f"""
 WITH {_chain(_E, "block_id")},
 b AS (SELECT block_id, count(*) AS rows FROM {_E} GROUP BY block_id),
-k AS (SELECT block_id, max(CASE WHEN state <> 'UNCHECKED' THEN 1 ELSE 0 END) AS checked, sum(CASE WHEN state = 'NEEDS_REVIEW' THEN n ELSE 0 END) AS flagged FROM c GROUP BY block_id),
-p AS (SELECT block_id % 50 AS doc_id, block_id, rows, flagged, CASE WHEN checked = 1 THEN flagged = 0 END AS passed, block_id % 11 <> 0 AS complete FROM b JOIN k USING (block_id)),
+k AS (SELECT block_id, max(CASE WHEN state <> 'UNCHECKED' THEN 1 ELSE 0 END) AS checked, sum(CASE WHEN state = 'NEEDS_REVIEW' THEN n ELSE unread END) AS flagged FROM c GROUP BY block_id),
+p AS (SELECT block_id // 3 AS doc_id, block_id, rows, flagged, CASE WHEN checked = 1 THEN flagged = 0 END AS passed, block_id % 11 <> 0 AS complete FROM b JOIN k USING (block_id)),
 t AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS many,
-        CASE WHEN passed THEN 'Proven by the printed running balance: every movement matches the balance change.'
-             WHEN NOT passed THEN 'The printed running balance does not match the movements everywhere; the affected rows are marked.'
-             ELSE 'No printed beginning/ending balance pair or running balance was found, so the figures cannot be proven by arithmetic.' END AS detail FROM p),
+        CASE WHEN passed THEN 'Each printed running balance follows from the amounts before it.'
+             WHEN NOT passed THEN 'Running balances and amounts disagree, or amounts are unread: see the marked rows.'
+             ELSE 'Neither two end balances nor a running balance is printed: nothing proves the amounts.' END AS detail FROM p),
 d AS (SELECT doc_id, cast(sum(rows) AS bigint) AS rows, cast(sum(flagged) AS bigint) AS flagged, bool_and(coalesce(passed, false)) AS all_passed,
         bool_or(NOT coalesce(passed, true)) AS any_failed, bool_and(complete) AS complete,
         string_agg(CASE WHEN many > 1 THEN 'Account ' || block_id || ': ' || detail ELSE detail END, ' | ' ORDER BY block_id) AS detail FROM t GROUP BY doc_id),
 outcome AS (SELECT doc_id, rows, flagged,
         CASE WHEN rows = 0 THEN 'failed' WHEN all_passed AND flagged = 0 AND complete THEN 'proven' ELSE 'unproven' END AS state,
         CASE WHEN all_passed AND flagged = 0 AND complete THEN 'PASSED' WHEN any_failed THEN 'FAILED' ELSE 'NOT PROVABLE' END AS verdict,
-        cast(length(CASE WHEN complete THEN detail ELSE 'INCOMPLETE READ | ' || detail END) AS int) AS detail_length FROM d)"""
+        CASE WHEN complete THEN detail ELSE 'INCOMPLETE READ | ' || detail END AS detail FROM d)"""
 
 _VOCABULARY = """
 v(key, ordinal, pattern, weight) AS (VALUES ('english', 0, ' the ', 30), ('english', 0, ' and ', 15), ('english', 0, ' of ', 10), ('french', 1, ' les? ', 30),
@@ -85,12 +85,15 @@ SELECT l_orderkey, l_linenumber, l_partkey, cast(month(l_shipdate) AS int) AS m,
     "statement_periods": """
 SELECT o_orderkey, cast(CASE WHEN o_orderkey % 4 = 3 THEN last_day(o_orderdate) - 35 ELSE date_trunc('month', o_orderdate) END AS date) AS start_day,
        last_day(o_orderdate) AS end_day FROM orders""",
+    "statement_periods_more": """
+SELECT o_orderkey, cast(CASE WHEN o_orderkey % 3 < 2 THEN date_trunc('month', o_orderdate) END AS date) AS start_day,
+       cast(CASE WHEN o_orderkey % 3 < 2 THEN last_day(o_orderdate) END AS date) AS end_day FROM orders""",
     "text_facts": r"""
 SELECT doc_id, cast(length(regexp_replace(text, '\s+', '', 'g')) AS bigint) AS squashed, cast(length(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS bigint) AS collapsed,
        substr(trim(regexp_replace(text, '\s+', ' ', 'g')), 1, 60) AS head, format('{:,.2f}', cast(n_chars AS double)) AS chars FROM documents""",
     "native_or_scan": """
-SELECT page_id % 40 AS doc_id, cast(sum(length(substr(html, 1, 90))) AS bigint) AS chars, count(*) AS pages,
-       sum(length(substr(html, 1, 90))) >= 200 * greatest(1, count(*) // 3) AS is_native FROM pages GROUP BY 1""",
+SELECT page_id // 4 AS doc_id, cast(coalesce(sum(length(html)), 0) AS bigint) AS chars, count(*) AS pages,
+       coalesce(sum(length(html)), 0) >= 200 * greatest(1, count(*) // 3) AS is_native FROM pages GROUP BY 1""",
     "profile_scores": f"""
 WITH {_VOCABULARY},
 s AS (SELECT doc_id, key, ordinal, cast(sum(weight) AS int) AS score FROM documents, v WHERE regexp_matches(substr(text, 1, 6000), pattern, 'i') GROUP BY doc_id, key, ordinal),
@@ -119,19 +122,18 @@ SELECT m.doc_id, round(center, 6) AS center, arg_min(name, {{'f': abs(mid - cent
 WHERE many >= 2 AND abs(mid - center) < 80 GROUP BY m.doc_id, center""",
     "ocr_confidence": f"WITH {_BOXES} SELECT doc_id, round(avg(conf), 6) AS conf, count(*) AS n, round(max(x1), 6) AS right_edge FROM p GROUP BY doc_id",
     "ocr_lines": f"WITH {_BOXES} SELECT doc_id, cast(floor(top / 8e0) AS bigint) AS bucket, string_agg(text, ' ' ORDER BY x0, word_idx, text) AS text FROM p GROUP BY 1, 2",
-    "balance_chain": f"WITH {_chain(_E, 'block_id')} SELECT * FROM c",
+    "balance_chain": f"WITH {_chain(_E, 'block_id')} SELECT * EXCLUDE (unread) FROM c",
     "chain_flags": f"""
 WITH {_chain(_E, 'block_id')}
 SELECT s.block_id, s.seq, CASE WHEN state = 'NEEDS_REVIEW' THEN 'NEEDS_REVIEW' ELSE 'OK' END AS status,
   CASE WHEN state <> 'NEEDS_REVIEW' THEN ''
-       WHEN n = 1 THEN 'This row reads ' || {_money('amount')} || ' but the printed balance moved by ' || {_money('closing - opening')} || ' (from ' || {_money('opening')} || ' to ' || {_money('closing')} || ').'
-       ELSE 'The ' || n || ' rows between printed balances ' || {_money('opening')} || ' and ' || {_money('closing')} || ' sum to ' || {_money('move')} || ', but the balance moved by ' || {_money('closing - opening')} || '.' END AS note
+       WHEN n = 1 THEN 'Amount ' || {_money('amount')} || ' against a balance change of ' || {_money('closing - opening')} || ': ' || {_money('opening')} || ' before, ' || {_money('closing')} || ' after.'
+       ELSE n || ' amounts add up to ' || {_money('move')} || '; from balance ' || {_money('opening')} || ' to balance ' || {_money('closing')} || ' it should be ' || {_money('closing - opening')} || '.' END AS note
 FROM s JOIN c ON s.block_id = c.block_id AND s.seg = c.seg""",
     "block_proof": f"""
 SELECT block_id, n, total, ending, abs(100 + total - ending) <= 0.01 AS passed,
-  'Beginning balance 100.00 plus ' || n || ' movements totalling ' || {_money('total')} ||
-  CASE WHEN abs(100 + total - ending) <= 0.01 THEN ' equals the ending balance ' || {_money('ending')} || '.'
-       ELSE ' gives ' || {_money('100 + total')} || ', but the statement prints an ending balance of ' || {_money('ending')} || ' (difference ' || {_money('ending - 100 - total')} || ').' END AS detail
+  '100.00 + ' || {_money('total')} || ' (' || n || ' amounts) = ' || {_money('100 + total')} ||
+  CASE WHEN abs(100 + total - ending) <= 0.01 THEN ', as printed at the end.' ELSE ', printed at the end is ' || {_money('ending')} || ', off by ' || {_money('ending - 100 - total')} || '.' END AS detail
 FROM (SELECT block_id, count(*) AS n, cast(sum(amount) AS decimal(18,2)) AS total, max(ending) AS ending FROM {_L} GROUP BY block_id)""",
     "section_totals": f"""
 WITH l AS (SELECT * FROM {_L}), a AS (SELECT block_id, sum(amount) AS found FROM l GROUP BY block_id),
@@ -139,11 +141,13 @@ t AS (SELECT block_id, 'Deposits and Additions ' || section AS name, sum(amount)
 SELECT block_id, name, cast(printed AS decimal(18,2)) AS printed, cast(found AS decimal(18,2)) AS found FROM t JOIN a USING (block_id) WHERE abs(found - printed) > 0.01""",
     "document_outcome": f"{_OUTCOME} SELECT * FROM outcome",
     "run_summary": f"{_OUTCOME} SELECT state, count(*) AS documents, cast(CASE state WHEN 'proven' THEN 0 WHEN 'unproven' THEN 1 ELSE 2 END AS int) AS severity FROM outcome GROUP BY state",
+    "run_severity": f"{_OUTCOME} SELECT count(*) AS documents, cast(coalesce(max(CASE state WHEN 'proven' THEN 0 WHEN 'unproven' THEN 1 ELSE 2 END), 3) AS int) AS severity FROM outcome",
+    "unexpected_states": f"{_OUTCOME} SELECT state, count(*) AS documents FROM outcome WHERE state <> 'proven' GROUP BY state",
     "code_totals": f"""
 WITH r AS (SELECT *, (seq - 1) // 10 AS seg FROM {_CODES}),
 g AS (SELECT doc_id, cast(seg AS bigint) AS seg, count(amount) AS n, cast(coalesce(sum(amount), 0) AS decimal(18,2)) AS total, max(printed_n) AS printed_n, max(printed_sum) AS printed_sum FROM r GROUP BY doc_id, seg)
 SELECT *, CASE WHEN n <> printed_n THEN 'count' WHEN abs(total - printed_sum) > 0.01 THEN 'sum' END AS mismatch FROM g WHERE printed_n IS NOT NULL""",
-    "job_chain": f"WITH {_chain(_JOBS, 'job_id')} SELECT * FROM c",
+    "job_chain": f"WITH {_chain(_JOBS, 'job_id')} SELECT * EXCLUDE (unread) FROM c",
     "job_proof": f"""
 WITH r AS (SELECT * FROM {_JOBS}),
 last AS (SELECT job_id, max(CASE WHEN balance IS NOT NULL THEN seq END) AS last_seq, arg_max(balance, CASE WHEN balance IS NOT NULL THEN seq END) AS sub FROM r GROUP BY job_id),

@@ -84,6 +84,19 @@ def statement_periods(spark, d):
     return V.table(spark, d, "orders").select("o_orderkey", p["start"].alias("start_day"), p["end"].alias("end_day"))
 
 
+def statement_periods_more(spark, d):
+    """The dates of two balances, a comma without a blank, a month's name with its year but no comma (no date)."""
+    start, end = F.trunc("o_orderdate", "month"), F.last_day("o_orderdate")
+    shape = F.col("o_orderkey") % 3
+    text = (
+        F.when(shape == 0, F.concat(F.lit("Your previous balance as of "), F.date_format(start, "MM/dd/yyyy"), F.lit(" was 12.00\nNew balanceasof"), F.date_format(end, "M/d/yyyy")))
+        .when(shape == 1, F.concat(F.date_format(start, "MMM d,yyyy"), F.lit(" thru "), F.date_format(end, "MMMM d,yyyy")))
+        .otherwise(F.concat(F.lit("printed "), F.date_format(end, "MMMM d yyyy")))
+    )
+    p = documents.find_period(text)
+    return V.table(spark, d, "orders").select("o_orderkey", p["start"].alias("start_day"), p["end"].alias("end_day"))
+
+
 def text_facts(spark, d):
     text = F.col("text")
     return V.table(spark, d, "documents").select(
@@ -93,7 +106,7 @@ def text_facts(spark, d):
 
 
 def native_or_scan(spark, d):
-    pages = V.table(spark, d, "pages").select((F.col("page_id") % 40).alias("doc_id"), F.col("page_id").alias("page"), F.substring("html", 1, 90).alias("text"))
+    pages = V.table(spark, d, "pages").select(F.floor(F.col("page_id") / 4).alias("doc_id"), F.col("page_id").alias("page"), F.col("html").alias("text"))
     return documents.native_or_scan(pages)
 
 
@@ -201,17 +214,29 @@ def section_totals(spark, d):
     return reconcile.section_mismatches(ledger, totals, ["block_id"])
 
 
-def document_outcome(spark, d):
-    blocks = reconcile.block_proof(_events(spark, d), ["block_id"], ["seq"]).select(
-        (F.col("block_id") % 50).alias("doc_id"), F.col("block_id").alias("block"), F.concat(F.lit("Account "), F.col("block_id").cast("string")).alias("block_name"),
+def _outcome_blocks(spark, d):
+    return reconcile.block_proof(_events(spark, d), ["block_id"], ["seq"]).select(
+        F.floor(F.col("block_id") / 3).alias("doc_id"), F.col("block_id").alias("block"), F.concat(F.lit("Account "), F.col("block_id").cast("string")).alias("block_name"),
         "rows", "flagged", "passed", "detail", (F.col("block_id") % 11 != 0).alias("complete"),
     )
-    return reconcile.document_outcome(blocks, ["doc_id"]).select("doc_id", "rows", "flagged", "state", "verdict", F.length("detail").alias("detail_length"))
+
+
+def document_outcome(spark, d):
+    outcomes = reconcile.document_outcome(_outcome_blocks(spark, d), ["doc_id"])
+    return outcomes.select("doc_id", "rows", "flagged", "state", "verdict", "detail")
 
 
 def run_summary(spark, d):
     """The flagship: which documents' ledgers are proven by their own balances?"""
-    return reconcile.run_summary(document_outcome(spark, d))
+    return reconcile.run_summary(reconcile.document_outcome(_outcome_blocks(spark, d), ["doc_id"], detail=False))
+
+
+def run_severity(spark, d):
+    return reconcile.run_severity(reconcile.document_outcome(_outcome_blocks(spark, d), ["doc_id"], detail=False))
+
+
+def unexpected_states(spark, d):
+    return reconcile.unexpected_states(reconcile.document_outcome(_outcome_blocks(spark, d), ["doc_id"], detail=False), ["proven"])
 
 
 def code_totals(spark, d):
@@ -440,9 +465,9 @@ def incremental_ingest(spark, d):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
-        money_tokens, document_figures, date_tokens, month_name_dates, statement_periods, text_facts, native_or_scan, profile_scores, statement_split,
+        money_tokens, document_figures, date_tokens, month_name_dates, statement_periods, statement_periods_more, text_facts, native_or_scan, profile_scores, statement_split,
         page_skew, line_groups, line_text, money_columns, nearest_column, column_labels, ocr_confidence, ocr_lines, balance_chain, chain_flags,
-        block_proof, section_totals, document_outcome, run_summary, code_totals, job_chain, job_proof, order_pay_proof, cross_foot, section_subtotals,
+        block_proof, section_totals, document_outcome, run_summary, run_severity, unexpected_states, code_totals, job_chain, job_proof, order_pay_proof, cross_foot, section_subtotals,
         escrow_rollforward, printed_vs_captured, golden_compare, bank_projection, row_scan, section_fill, stop_resume, wrapped_rows, sign_resolution,
         card_summary_charges, account_blocks, printed_balances, section_total_lines, incremental_ingest,
         native_pages, statement_split_pages, printed_vs_altered, cross_foot_parts, report_totals,

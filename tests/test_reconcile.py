@@ -1,6 +1,8 @@
 import random
 from decimal import Decimal as D
 
+from pyspark.sql import functions as F
+
 from tallyproof.operators import reconcile as R
 
 LEDGER = "block_id long, seq long, amount decimal(18,2), balance decimal(18,2), beginning decimal(18,2), ending decimal(18,2), section string"
@@ -55,7 +57,7 @@ def test_block_proof(spark):
             (2, 1, 10, None, 100, 999, ""), (2, 2, 20, None, 100, 999, ""), (3, 1, 1, None, None, None, ""), (4, 1, 50, None, 100, 150, "")]
     got = {r["block_id"]: r for r in R.block_proof(ledger(spark, rows), ["block_id"], ["seq"]).collect()}
     assert [got[i]["passed"] for i in (1, 2, 3, 4)] == [True, False, None, True] and got[2]["flagged"] == 0
-    assert "difference 869.00" in got[2]["detail"]
+    assert "off by 869.00" in got[2]["detail"]
 
 
 def test_section_totals_stay_in_their_block(spark):
@@ -71,3 +73,22 @@ def test_printed_group_totals(spark):
     df = spark.createDataFrame(rows, "doc_id long, seq long, amount decimal(18,2), printed_n long, printed_sum decimal(18,2)")
     got = R.printed_group_totals(df, ["doc_id"], ["seq"]).orderBy("seg").collect()
     assert [r["mismatch"] for r in got] == [None, "count", "sum"]
+
+
+def test_an_unread_amount_is_never_proven(spark):
+    # the balance jumps over the unread amount; all that could be checked agrees
+    rows = [(1, 1, 10, 110, 100, None, ""), (1, 2, None, 500, 100, None, ""), (1, 3, 5, 505, 100, None, ""),
+            (2, 1, 10, 110, 100, 120, ""), (2, 2, 10, None, 100, 120, ""), (2, 3, None, None, 100, 120, ""), (3, 1, 10, 110, 100, None, "")]
+    proofs = R.block_proof(ledger(spark, rows), ["block_id"], ["seq"])
+    got = {r["block_id"]: (r["passed"], r["flagged"]) for r in proofs.collect()}
+    assert got == {1: (False, 1), 2: (True, 1), 3: (True, 0)}
+    blocks = proofs.selectExpr("block_id AS doc_id", "block_id AS block", "'a' AS block_name", "rows", "flagged", "passed", "detail", "true AS complete")
+    out = {r["doc_id"]: (r["state"], r["verdict"]) for r in R.document_outcome(blocks, ["doc_id"]).collect()}
+    assert out == {1: ("unproven", "FAILED"), 2: ("unproven", "NOT PROVABLE"), 3: ("proven", "PASSED")}
+    marked = ledger(spark, rows).withColumn("status", F.when(F.col("block_id") == 3, "NEEDS_REVIEW").otherwise("OK"))
+    assert {r["block_id"]: r["passed"] for r in R.block_proof(marked, ["block_id"], ["seq"]).collect()}[3] is False
+    assert R.run_severity(R.document_outcome(blocks, ["doc_id"])).first()["severity"] == 1
+    assert R.run_severity(R.document_outcome(blocks.limit(0), ["doc_id"])).first()["severity"] == 3
+    assert [tuple(r) for r in R.unexpected_states(R.document_outcome(blocks, ["doc_id"]), ["proven"]).collect()] == [("unproven", 2)]
+    read = spark.createDataFrame([(1, 3, 5), (1, None, 2), (2, 9, 4)], "doc_id long, stop_page int, pages int")
+    assert {r["doc_id"]: r["pages_read"] for r in R.pages_read(read, ["doc_id"]).collect()} == {1: 5, 2: 4}

@@ -42,5 +42,8 @@ def test_period_and_account(spark):
     assert period("Dec 14 - Jan 13, 2022") == (dt.date(2021, 12, 14), dt.date(2022, 1, 13))
     assert period("closing March 31, 2022") == (dt.date(2022, 2, 24), dt.date(2022, 3, 31))
     assert period("1/5/2022 x 1/9/22 y 2/1/2022") == (dt.date(2022, 1, 5), dt.date(2022, 2, 1)) and period("none") is None
+    assert period("January 1,2022 through January 31,2022") == jan and period("Sept. 2 2022 thru Sep 30, 2022") == (dt.date(2022, 9, 2), dt.date(2022, 9, 30))
+    assert period("previous balance as of 02/28/25 and so on; newbalanceasof03/31/2025") == (dt.date(2025, 2, 28), dt.date(2025, 3, 31))
+    assert period("Mar 3 2024") is None and period("previous balance as of 02/28/2025" + " x" * 200 + " new balance as of 03/31/2025") is None
     assert one(spark, "Account: 12-345", lambda c: account_number(c, r"Account:\s*([0-9-]+)")) == "12-345"
     assert one(spark, "Account: 123", lambda c: account_number(c, r"Account:\s*([0-9-]+)")) is None
