@@ -52,6 +52,15 @@ def line_text(lined: DataFrame) -> DataFrame:
     ).select(*PAGE, "line_no", F.array_join(F.transform("words", lambda w: w["text"]), " ").alias("text"), "top", "words")
 
 
+def date_led_edges(lines: DataFrame) -> DataFrame:
+    """The right edges that make columns: those of the figures on lines that a date leads.
+
+    ``lines``: page keys, line_no, scan (as from statement.row_scan). Result: page keys, edge_id, x1.
+    """
+    dated = lines.filter("scan.date is not null").select(*PAGE, "line_no", F.posexplode("scan.moneys").alias("i", "m"))
+    return dated.select(*PAGE, (F.col("line_no") * 1000 + F.col("i")).alias("edge_id"), F.col("m.x1").alias("x1"))
+
+
 def money_columns(edges: DataFrame, tol: float = 6.0) -> DataFrame:
     """Centres of right-edge clusters of a page, from left to right.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import views as V
 
 _E, _L, _W = (f"({V.in_duckdb(x)})" for x in (V.EVENT_LEDGER, V.LINE_LEDGER, V.MADE_WORDS))
+_FLOW = f"({V.in_duckdb(V.FLOW_LEDGER)})"
 _LINES = f"({V.in_duckdb(V.EVENT_LINES)})"
 _JOBS, _CODES = (f"({V.in_duckdb(x)})" for x in (V.JOB_ROWS, V.CODE_ROWS))
 _PRICE = "cast(l_extendedprice AS decimal(18,2))"
@@ -143,6 +144,44 @@ SELECT block_id, name, cast(printed AS decimal(18,2)) AS printed, cast(found AS
     "run_summary": f"{_OUTCOME} SELECT state, count(*) AS documents, cast(CASE state WHEN 'proven' THEN 0 WHEN 'unproven' THEN 1 ELSE 2 END AS int) AS severity FROM outcome GROUP BY state",
     "run_severity": f"{_OUTCOME} SELECT count(*) AS documents, cast(coalesce(max(CASE state WHEN 'proven' THEN 0 WHEN 'unproven' THEN 1 ELSE 2 END), 3) AS int) AS severity FROM outcome",
     "unexpected_states": f"{_OUTCOME} SELECT state, count(*) AS documents FROM outcome WHERE state <> 'proven' GROUP BY state",
+    "statements_end_to_end": f"""
+WITH l AS (SELECT * FROM {_FLOW}), {_chain("l", "block_id")},
+k AS (SELECT block_id, sum(CASE WHEN state = 'NEEDS_REVIEW' THEN n ELSE 0 END) AS flagged FROM c GROUP BY block_id),
+n AS (SELECT block_id, count(*) AS rows FROM l GROUP BY block_id)
+SELECT block_id AS doc_id, rows, cast(flagged AS bigint) AS flagged, CASE WHEN block_id % 7 <> 0 AND flagged = 0 THEN 'proven' ELSE 'unproven' END AS state,
+       CASE WHEN block_id % 7 = 0 THEN 'FAILED' WHEN flagged = 0 THEN 'PASSED' ELSE 'NOT PROVABLE' END AS verdict FROM n JOIN k USING (block_id)""",
+    "account_proofs": f"""
+WITH l AS (SELECT * FROM {_FLOW}), {_chain("l", "block_id")},
+k AS (SELECT block_id, sum(CASE WHEN state = 'NEEDS_REVIEW' THEN n ELSE 0 END) AS flagged FROM c GROUP BY block_id),
+n AS (SELECT block_id, count(*) AS rows, cast(sum(amount) AS decimal(18,2)) AS total, max(ending) AS ending FROM l GROUP BY block_id)
+SELECT block_id AS doc_id, cast(1 AS bigint) AS block, 'No-' || block_id AS block_name, rows, total, cast(0 AS decimal(18,2)) AS beginning, ending, cast(flagged AS bigint) AS flagged,
+       block_id % 7 <> 0 AS passed, true AS complete FROM n JOIN k USING (block_id)""",
+    "job_rows": f"""
+WITH i AS (SELECT o_custkey AS doc_id, o_orderkey AS job, {_PRICE} AS p, l_returnflag = 'R' AS back FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+j AS (SELECT doc_id, job, sum(p) AS s, coalesce(sum(CASE WHEN back THEN p END), 0) AS given, count(*) AS n, job % 10 = 0 AS bad FROM i GROUP BY doc_id, job),
+r AS (SELECT doc_id, 'Job' AS section, 'COD' AS type, 3 AS amount, 0 AS bad FROM j UNION ALL SELECT doc_id, 'Job', 'Total Cost', s + 1000, bad::int FROM j
+      UNION ALL SELECT doc_id, 'Job', 'Subtotal', 2 * given + 1000 + bad::int, bad::int FROM j
+      UNION ALL SELECT doc_id, 'Job', CASE WHEN back THEN 'Add-back' ELSE 'Deduction' END, CASE WHEN back THEN p ELSE -p END, (job % 10 = 0)::int FROM i
+      UNION ALL SELECT doc_id, 'Summary', 'Subtotal', sum(2 * given + 1000 + bad::int), 0 FROM j GROUP BY doc_id UNION ALL SELECT DISTINCT doc_id, 'Summary', 'Adjustment', -5, 0 FROM j
+      UNION ALL SELECT doc_id, 'Summary', 'Total', sum(2 * given + 1000 + bad::int) - 5 + CASE WHEN doc_id % 9 = 0 THEN 1 ELSE 0 END, 0 FROM j GROUP BY doc_id
+      UNION ALL SELECT DISTINCT doc_id, 'Side column', 'Entry', 2, 0 FROM j UNION ALL SELECT DISTINCT doc_id, 'Notes', 'Balance', 4, 0 FROM j)
+SELECT doc_id, section, type, count(*) AS n, cast(sum(amount) AS decimal(18,2)) AS total, cast(sum(bad) AS bigint) AS flagged FROM r GROUP BY doc_id, section, type""",
+    "job_settlement": f"""
+WITH j AS (SELECT o_custkey AS doc_id, o_orderkey AS job, 2 * coalesce(sum(CASE WHEN l_returnflag = 'R' THEN {_PRICE} END), 0) + 1000 + CASE WHEN o_orderkey % 10 = 0 THEN 1 ELSE 0 END AS net
+           FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)
+SELECT doc_id, count(*) AS jobs, cast(sum(net) AS decimal(18,2)) AS nets, true AS jobs_ok, doc_id % 9 <> 0 AS pay_ok, doc_id % 9 <> 0 AS passed FROM j GROUP BY doc_id""",
+    "coded_report": """
+WITH s AS (SELECT l_suppkey AS doc_id, count(*) AS rows, count(DISTINCT l_returnflag) AS codes FROM lineitem GROUP BY 1)
+SELECT doc_id, rows, codes, cast(1 AS bigint) AS reports, CASE WHEN doc_id % 3 = 0 OR doc_id % 5 = 0 THEN codes ELSE 0 END AS mismatches, doc_id % 3 <> 0 AND doc_id % 5 <> 0 AS passed,
+       codes AS sections, CASE WHEN doc_id % 3 = 0 OR doc_id % 5 = 0 THEN rows ELSE 0 END AS flagged FROM s""",
+    "load_settlement": f"""
+WITH i AS (SELECT o_custkey AS doc_id, o_orderkey AS job, cast(o_totalprice AS decimal(18,2)) AS net, {_PRICE} AS p FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+o AS (SELECT doc_id, job, max(net) AS net, max(net) + sum(p) + CASE WHEN job % 13 = 0 THEN 1 ELSE 0 END AS t FROM i GROUP BY doc_id, job),
+r AS (SELECT doc_id, 'order' AS section, 'Gross Pay' AS type, job, net * 2 AS amount, 0 AS bad FROM o UNION ALL SELECT doc_id, 'order', 'Net Pay', job, net, 0 FROM o
+      UNION ALL SELECT doc_id, 'order', 'Earning', job, p, 0 FROM i UNION ALL SELECT doc_id, 'order', 'Order Total', job, t, (job % 13 = 0)::int FROM o
+      UNION ALL SELECT DISTINCT doc_id, 'driver', 'Deduction', NULL::bigint, -20, 0 FROM o UNION ALL SELECT DISTINCT doc_id, 'driver', 'Subtotal', NULL::bigint, -20, 0 FROM o
+      UNION ALL SELECT DISTINCT doc_id, 'pay_summary', 'Total', NULL::bigint, 7, 0 FROM o UNION ALL SELECT DISTINCT doc_id, 'dispatch', 'Information', NULL::bigint, 0, 0 FROM o)
+SELECT doc_id, section, type, count(*) AS n, count(DISTINCT job) AS orders, cast(sum(amount) AS decimal(18,2)) AS total, cast(sum(bad) AS bigint) AS flagged FROM r GROUP BY doc_id, section, type""",
     "code_totals": f"""
 WITH r AS (SELECT *, (seq - 1) // 10 AS seg FROM {_CODES}),
 g AS (SELECT doc_id, cast(seg AS bigint) AS seg, count(amount) AS n, cast(coalesce(sum(amount), 0) AS decimal(18,2)) AS total, max(printed_n) AS printed_n, max(printed_sum) AS printed_sum FROM r GROUP BY doc_id, seg)
@@ -208,7 +247,7 @@ t AS (SELECT *, CASE sign_source WHEN 'column:credit' THEN 1 WHEN 'column:debit'
 SELECT doc_id, seq, cast(CASE WHEN sign_source = 'explicit' THEN CASE WHEN doc_id % 3 = 0 THEN value ELSE -value END WHEN dir = 0 THEN value
          ELSE abs(value) * CASE WHEN doc_id % 3 = 0 THEN -dir ELSE dir END END AS decimal(18,2)) AS signed, sign_source,
        CASE WHEN sign_source = 'unknown' THEN 'NEEDS_REVIEW' ELSE 'OK' END AS status,
-       CASE WHEN sign_source = 'unknown' THEN 'Direction of ' || value || ' could not be determined (no sign, no matching section or wording).' ELSE '' END AS note FROM t""",
+       CASE WHEN sign_source = 'unknown' THEN 'Nothing tells whether ' || value || ' is a credit or a debit.' ELSE '' END AS note FROM t""",
     "card_summary_charges": f"""
 WITH s AS (SELECT doc_id, seq, CASE WHEN event_id % 2 = 0 THEN 'Interest' ELSE 'Fees' END AS charge, CASE WHEN event_id % 9 = 0 THEN 0 ELSE value END AS amount FROM {_LINES} WHERE event_type = 'view' AND event_id % 4 <> 0),
 f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, charge ORDER BY seq) AS r FROM s),

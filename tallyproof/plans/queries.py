@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import audit, documents, geometry, projection, reconcile, settlement, statement
+from ..operators import audit, documents, flow, geometry, grammars, projection, reconcile, settlement, statement
 from ..streaming.ingest import ingest
 from . import views as V
 
@@ -239,6 +239,126 @@ def unexpected_states(spark, d):
     return reconcile.unexpected_states(reconcile.document_outcome(_outcome_blocks(spark, d), ["doc_id"], detail=False), ["proven"])
 
 
+def _printed_pages(spark, d):
+    """FLOW_LEDGER as words on pages of forty lines: an account's name, its beginning, the rows, its ending."""
+    rows = V.view(spark, d, V.FLOW_LEDGER)
+    word = lambda i, text, x0, x1: F.struct(F.lit(i).alias("i"), text.cast("string").alias("text"), F.lit(float(x0)).alias("x0"), F.lit(float(x1)).alias("x1"))
+    shown = lambda v: F.concat(F.when(v < 0, "-").otherwise(""), F.lit("$"), F.format_number(F.abs(v), 2))
+    line = F.array(
+        word(0, F.date_format("day", "MM/dd/yyyy"), 30, 80), word(1, F.lit("Card"), 90, 110), word(2, F.col("section"), 115, 150),
+        word(3, F.format_number("amount", 2), 350, 400), word(4, F.format_number("balance", 2), 450, 500),
+    )
+    body = rows.select("block_id", (F.col("seq") + 1).alias("at"), F.filter(line, lambda w: w["text"].isNotNull()).alias("w"))
+    ends = rows.groupBy("block_id").agg(F.max("seq").alias("n"), F.max("ending").alias("ending"))
+    words_of = lambda *ts: F.array(*(word(i, t, 30 + 60 * i, 80 + 60 * i) for i, t in enumerate(ts)))
+    head = ends.select("block_id", F.lit(0).alias("at"), words_of(F.lit("Account"), F.concat(F.lit("No-"), F.col("block_id").cast("string"))).alias("w"))
+    first = ends.select("block_id", F.lit(1).alias("at"), words_of(F.lit("Beginning"), F.lit("balance"), F.lit("$0.00")).alias("w"))
+    last = ends.select("block_id", (F.col("n") + 2).alias("at"), words_of(F.lit("Ending"), F.lit("balance"), shown(F.col("ending"))).alias("w"))
+    lines = body.unionByName(head).unionByName(first).unionByName(last)
+    each = lines.select(F.col("block_id").alias("doc_id"), (F.floor(F.col("at") / 40) + 1).cast("int").alias("page"), "at", F.explode("w").alias("w"))
+    top = (F.col("at") % 40) * 14.0
+    return each.select("doc_id", "page", (F.col("at") * 10 + F.col("w.i")).cast("int").alias("word_idx"), "w.text", "w.x0", "w.x1", top.alias("top"), (top + 10.0).alias("bottom"))
+
+
+PRINTED = flow.Profile(markers=(r"^Account\s+(No-\d+)",), credit_words=("signup", "click", "view"))
+
+
+def statements_end_to_end(spark, d):
+    """From words on pages to each document's outcome."""
+    return flow.statement_outcomes(_printed_pages(spark, d), PRINTED).drop("detail")
+
+
+def account_proofs(spark, d):
+    """The accounts of the same pages: names, balances and movements as read."""
+    found = flow.statement_proofs(_printed_pages(spark, d), PRINTED)
+    return found.select("doc_id", "block", "block_name", "rows", "total", "beginning", "ending", "flagged", "passed", "complete")
+
+
+JOB_WORDS = grammars.JobWords(job=r"\d+-JB", cost_labels=("Total Cost", "Driver Pay"), commission=r"House\s*\d+%")
+
+
+def _job_texts(spark, d):
+    """Orders as jobs of a customer's settlement, printed as text: some subtotals and some totals are off by one."""
+    price = F.col("l_extendedprice").cast(S.MONEY)
+    back = F.col("l_returnflag") == "R"
+    items = V.table(spark, d, "lineitem").join(V.table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(
+        F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("job"), price.alias("price"), back.alias("back"), F.struct("l_linenumber", "l_partkey", price).alias("at")
+    )
+    usd = lambda v: F.concat(F.lit("$"), F.format_number(v, 2))
+    text = F.when(F.col("back"), F.concat(usd(F.col("price")), F.lit(" given back"))).otherwise(F.concat(F.lit("-"), usd(F.col("price")), F.lit(" for a part")))
+    jobs = items.groupBy("doc_id", "job").agg(
+        F.sum("price").cast(S.MONEY).alias("sum"), F.coalesce(F.sum(F.when(F.col("back"), F.col("price"))), F.lit(0)).cast(S.MONEY).alias("given"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", text.alias("t")))), lambda x: x["t"]), "\n").alias("lines"),
+    )
+    off = lambda c, k: F.when(F.col(c) % k == 0, 1).otherwise(0)
+    jobs = jobs.withColumn("printed", (2 * F.col("given") + 1000 + off("job", 10)).cast(S.MONEY))
+    head = F.concat(F.lit("Cust of "), F.col("job").cast("string"), F.lit(" $3.00 "), F.col("job").cast("string"), F.lit("-JB "), usd(F.col("sum") + 1000), F.lit(" Total Cost"))
+    docs = jobs.groupBy("doc_id").agg(
+        F.sum("printed").cast(S.MONEY).alias("total"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("job", F.concat_ws("\n", head, "lines", usd(F.col("printed"))).alias("t")))), lambda x: x["t"]), "\n").alias("body"),
+    )
+    tail = F.concat(F.lit("Total Jobs: "), usd(F.col("total")), F.lit(" $2.00\nInsurance -$5.00\nTOTAL PAY TO DRIVER "), usd(F.col("total") - 5 + off("doc_id", 9)), F.lit("\n**NOTES**\nBalance left $4.00"))
+    return docs.select("doc_id", F.concat_ws("\n", "body", tail).alias("text"))
+
+
+def job_rows(spark, d):
+    """G1-G4, G8, G9 from text: rows, sums and flagged rows by kind."""
+    rows = grammars.job_rows(_job_texts(spark, d), JOB_WORDS)
+    return rows.groupBy("doc_id", "section", "type").agg(F.count("*").alias("n"), F.sum("amount").cast(S.MONEY).alias("total"), F.sum((F.col("status") != "OK").cast("long")).alias("flagged"))
+
+
+def job_settlement(spark, d):
+    """G5, G6 from text: job nets against the total of jobs, that and adjustments against the total pay."""
+    rows = grammars.job_rows(_job_texts(spark, d), JOB_WORDS)
+    nets = settlement.job_nets(grammars.job_ledger(rows), ["doc_id", "job_no"], ["line_no", "part"])
+    return settlement.job_proof(nets, grammars.job_totals(rows))
+
+
+def coded_report(spark, d):
+    """G10-G12 from text: a supplier's line items as rows of three codes, with printed counts and sums, some off."""
+    price, flag = F.col("l_extendedprice").cast(S.MONEY), F.col("l_returnflag")
+    items = V.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("doc_id"), flag.alias("code"), F.when(flag == "R", -price).otherwise(price).cast(S.MONEY).alias("amount"), F.struct("l_orderkey", "l_linenumber", "l_partkey", price).alias("at"), "l_orderkey")
+    text = F.concat(F.lpad(F.col("l_orderkey").cast("string"), 7, "1"), F.lit(" PAYEE Some Name 01/02/2024 "), F.format_number("amount", 2))
+    codes = items.groupBy("doc_id", "code").agg(
+        F.sum("amount").cast(S.MONEY).alias("s"), F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", text.alias("t")))), lambda x: x["t"]), "\n").alias("lines")
+    )
+    off = lambda k: F.when(F.col("doc_id") % k == 0, 1).otherwise(0)
+    total = F.concat(F.lit("Deduct/Earning code X"), F.col("code"), F.lit(" totals: "), (F.col("n") + off(5)).cast("string"), F.lit(" Records __"), F.format_number(F.col("s") + off(3), 2))
+    docs = codes.withColumn("t", F.concat_ws("\n", F.concat(F.lit("X"), F.col("code"), F.lit(" PARTS SENT")), "lines", total)).groupBy("doc_id").agg(
+        F.sum("s").cast(S.MONEY).alias("s"), F.sum("n").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("code", "t"))), lambda x: x["t"]), "\n").alias("body")
+    )
+    report = F.concat(F.lit("Report total: "), F.col("n").cast("string"), F.lit(" Records "), F.format_number("s", 2))
+    rows = grammars.coded_rows(docs.select("doc_id", F.concat_ws("\n", "body", report).alias("text")))
+    flagged = rows.filter("kind = 'row'").groupBy("doc_id").agg(F.count_distinct("section").alias("sections"), F.sum((F.col("status") != "OK").cast("long")).alias("flagged"))
+    return settlement.report_totals(grammars.coded_totals(rows), ["doc_id"], ["line_no"]).join(flagged, "doc_id")
+
+
+LOAD_WORDS = grammars.LoadWords(furniture=(r"^Page \d+$",), headings=((r"^Driver Ledger$", "driver"), (r"^DISPATCH$", "dispatch")))
+
+
+def load_settlement(spark, d):
+    """G13-G15, G19 from text: orders as loads of a customer's settlement, their items as earnings; some totals are off."""
+    price = F.col("l_extendedprice").cast(S.MONEY)
+    usd = lambda v: F.concat(F.lit("$"), F.format_number(v, 2))
+    net = F.col("o_totalprice").cast(S.MONEY)
+    rows = V.table(spark, d, "lineitem").join(V.table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    orders = rows.groupBy(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("job"), net.alias("net")).agg(
+        F.sum(price).cast(S.MONEY).alias("s"),
+        F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("Earning Part 01/03/24 1.00 1.00 "), usd(price)))), "\n").alias("lines"),
+    )
+    total = F.col("net") + F.col("s") + F.when(F.col("job") % 13 == 0, 1).otherwise(0)
+    text = F.concat_ws(
+        "\n", F.concat(F.lit("SETTLEMENT "), F.col("job").cast("string")), F.lit("Page 2"),
+        F.concat(F.lit("A B Loaded 5.0 T1 01/02/24 01/03/24 "), usd(F.col("net") * 2), F.lit(" 50.00% "), usd(F.col("net"))), "lines", F.concat(F.lit("ORDER TOTAL _"), usd(total)),
+    )
+    docs = orders.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("job", text.alias("t")))), lambda x: x["t"]), "\n").alias("body"))
+    tail = F.lit("Driver Ledger\nDeduction Diesel 01/03/24 1.00 20.00 -$20.00\n-$20.00\nPAY SUMMARY Order Pay: $7.00\nDISPATCH\nsome note")
+    found = grammars.load_rows(docs.select("doc_id", F.concat_ws("\n", "body", tail).alias("text")), LOAD_WORDS)
+    return found.groupBy("doc_id", "section", "type").agg(
+        F.count("*").alias("n"), F.count_distinct("job").alias("orders"), F.sum("amount").cast(S.MONEY).alias("total"), F.sum((F.col("status") != "OK").cast("long")).alias("flagged")
+    )
+
+
 def code_totals(spark, d):
     return reconcile.printed_group_totals(V.view(spark, d, V.CODE_ROWS), ["doc_id"], ["seq"])
 
@@ -467,6 +587,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         money_tokens, document_figures, date_tokens, month_name_dates, statement_periods, statement_periods_more, text_facts, native_or_scan, profile_scores, statement_split,
         page_skew, line_groups, line_text, money_columns, nearest_column, column_labels, ocr_confidence, ocr_lines, balance_chain, chain_flags,
+        statements_end_to_end, account_proofs, job_rows, job_settlement, coded_report, load_settlement,
         block_proof, section_totals, document_outcome, run_summary, run_severity, unexpected_states, code_totals, job_chain, job_proof, order_pay_proof, cross_foot, section_subtotals,
         escrow_rollforward, printed_vs_captured, golden_compare, bank_projection, row_scan, section_fill, stop_resume, wrapped_rows, sign_resolution,
         card_summary_charges, account_blocks, printed_balances, section_total_lines, incremental_ingest,

@@ -23,6 +23,19 @@ FROM (SELECT user_id AS block_id, event_id AS seq, cast(ts AS date) AS day, even
             FROM {events}) s) t
 """
 
+#: A user's events as a statement that is printed in full: balances at the end of a day, some off; every seventh user's ending is off by one.
+FLOW_LEDGER = """
+SELECT block_id, seq, day, section, amount, cast(0 AS decimal(18,2)) AS beginning,
+       cast(running + CASE WHEN event_id % 97 = 0 THEN 0.05 ELSE 0.00 END AS decimal(18,2)) AS running, last_of_day = 1 AS closes,
+       cast(total + CASE WHEN block_id % 7 = 0 THEN 1 ELSE 0 END AS decimal(18,2)) AS ending,
+       cast(CASE WHEN last_of_day = 1 THEN running + CASE WHEN event_id % 97 = 0 THEN 0.05 ELSE 0.00 END END AS decimal(18,2)) AS balance
+FROM (SELECT user_id AS block_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, cast(ts AS date) AS day, event_type AS section, amount,
+             sum(amount) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS running, sum(amount) OVER (PARTITION BY user_id) AS total,
+             row_number() OVER (PARTITION BY user_id, cast(ts AS date) ORDER BY ts DESC, event_id DESC) AS last_of_day
+      FROM (SELECT user_id, event_id, ts, event_type, cast(cast(value AS decimal(18,2)) * CASE WHEN event_type IN ('purchase', 'error') THEN -1 ELSE 1 END AS decimal(18,2)) AS amount
+            FROM {events}) s) t
+"""
+
 #: A customer's line items as a ledger with both balances; every seventh customer's ending is off by one.
 LINE_LEDGER = """
 SELECT o.o_custkey AS block_id,

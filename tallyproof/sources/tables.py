@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,3 +49,12 @@ def write_results(results: DataFrame, path: str, run_id: str, *, by_state: bool
         writer = results.withColumn("route", F.when(F.col("state") == "failed", "failed").otherwise("processed"))
     out = writer.write.mode("errorifexists")
     (out.partitionBy("route") if by_state else out).parquet(target)
+
+
+def shared_table(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the folder that all executors share (``spark.checkpoint.dir``, else under the warehouse) and read again: its lineage ends here."""
+    spark = df.sparkSession
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
