@@ -181,11 +181,14 @@ def _probes(batches):
             )
 
 
-def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes whose sets reach the similarity, by the exact intersection; b is the hub, if there is one."""
+def _linked(pairs: DataFrame, sets: DataFrame, work: str) -> DataFrame:
+    """The pairs (a, b) of classes whose sets reach the similarity, by the exact intersection; b is the hub, if there is one.
+
+    The sets of b are written first: a plain table is broadcast if it is small, else the rows of a widespread hub can be split.
+    """
     left = sets.select(F.col("ca").alias("a"), F.col("n").alias("na"), F.col("sh").alias("sa"))
     right = sets.select(F.col("ca").alias("b"), F.col("n").alias("nb"), F.col("sh").alias("sb"))
-    right = right.join(pairs.select("b").distinct(), "b", "left_semi")
+    right = stored(right.join(pairs.select("b").distinct(), "b", "left_semi"), "hub_sets", work)
     both = pairs.select("a", "b").join(left, "a").join(right, "b")
     same = F.size(F.array_intersect("sa", "sb")).cast("long")
     return both.filter(100 * same >= PERCENT * (F.col("na") + F.col("nb") - same)).select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -229,7 +232,7 @@ def links(sets: DataFrame, hub_rounds: int = 6) -> tuple[DataFrame, DataFrame]:
             pairs = stored(pairs, "tried", work)
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         tried = both if tried is None else tried.unionByName(both)
-        found = stored(_linked(pairs, sets), "found", work)
+        found = stored(_linked(pairs, sets, work), "found", work)
         if not found.isEmpty():
             edges = found if edges is None else edges.unionByName(found)
             labels = components(edges, within=work)
