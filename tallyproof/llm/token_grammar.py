@@ -14,6 +14,7 @@ import zlib
 from itertools import compress, repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -176,7 +177,9 @@ _SIGN[[*range(33, 39), *range(40, 48), *range(58, 65), *range(91, 97), *range(12
 
 def alike(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The first span of each distinct content, and the content of each span: by hash, then compared byte by byte."""
-    _, first, which = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    which, kinds = pd.factorize(span_hashes(data, starts, ends))
+    first = np.empty(len(kinds), dtype=np.int64)
+    first[which[::-1]] = np.arange(len(which) - 1, -1, -1)
     value, j, at = lanes_of(data, starts, ends)
     like, size = first[which], ends - starts
     if np.array_equal(size, size[like]) and np.array_equal(value, value[np.repeat(at[like], (size + 7) >> 3) + j]):
