@@ -103,8 +103,8 @@ SELECT doc_id, coalesce(key, 'generic') AS key, coalesce(score, 0) AS score,
        cast(CASE WHEN key IS NULL THEN 50 WHEN score >= 40 THEN least(97, score + 30) ELSE greatest(40, score) END AS int) AS confidence
 FROM documents LEFT JOIN b USING (doc_id)""",
     "statement_split": """
-SELECT page_id % 25 AS doc_id, page_id AS page, cast(sum(CASE WHEN page_id % 3 = 0 OR first THEN 1 ELSE 0 END) OVER (PARTITION BY page_id % 25 ORDER BY page_id) AS bigint) AS stmt_no
-FROM (SELECT page_id, row_number() OVER (PARTITION BY page_id % 25 ORDER BY page_id) = 1 AS first FROM pages)""",
+SELECT page_id // 25 AS doc_id, page_id AS page, cast(sum(CASE WHEN page_id % 3 = 0 OR first THEN 1 ELSE 0 END) OVER (PARTITION BY page_id // 25 ORDER BY page_id) AS bigint) AS stmt_no
+FROM (SELECT page_id, row_number() OVER (PARTITION BY page_id // 25 ORDER BY page_id) = 1 AS first FROM pages)""",
     "page_skew": f"WITH {_SKEW} SELECT doc_id, n, slope, tol FROM k",
     "line_groups": f"WITH {_SKEW} SELECT doc_id, line_no, count(*) AS n, min(top) AS top, min(word_idx) AS first FROM lines GROUP BY doc_id, line_no",
     "line_text": f"WITH {_SKEW} SELECT doc_id, line_no, string_agg(text, ' ' ORDER BY x0, v, word_idx) AS text FROM lines GROUP BY doc_id, line_no",

@@ -118,7 +118,7 @@ def profile_scores(spark, d):
 
 def statement_split(spark, d):
     pages = V.table(spark, d, "pages").select(
-        (F.col("page_id") % 25).alias("doc_id"), F.col("page_id").alias("page"),
+        F.floor(F.col("page_id") / 25).alias("doc_id"), F.col("page_id").alias("page"),
         F.when(F.col("page_id") % 3 == 0, "head PAGE 1 of 3 tail").otherwise("Page 2 of 3").alias("text"),
     )
     return documents.statement_split(pages).drop("text")
@@ -539,7 +539,8 @@ def sign_resolution(spark, d):
 
 def card_summary_charges(spark, d):
     lines = _event_lines(spark, d)
-    rows = lines.filter("event_type = 'purchase' and event_id % 50 = 0").select("doc_id", F.lit("In terest charge on purchases").alias("description"))
+    said = F.when(F.col("event_id") % 50 == 0, "In terest charge on purchases").otherwise("Shop in town")
+    rows = lines.filter("event_type = 'purchase'").select("doc_id", said.alias("description"))
     summaries = lines.filter("event_type = 'view'").select(
         "doc_id", F.col("seq").alias("line_no"), F.when(F.col("event_id") % 2 == 0, "Interest").otherwise("Fees").alias("charge"),
         F.when(F.col("event_id") % 9 == 0, 0).otherwise(F.col("value")).cast(S.MONEY).alias("amount"), F.lit("2024-01-31").cast("date").alias("period_end"),
