@@ -80,6 +80,32 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_table(spark, sf_dir, "documents")).withColumn("failed_rules", F.array_join("failed_rules", ","))
 
 
+def op11_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .reply_trees import conversation_digest
+
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    says = F.lit(r"\### Assistant: </turn> ok")
+    kinds = dict(turns.dtypes)
+    more = spark.range(2).select(
+        F.lit(-7).cast(kinds["conv_id"]).alias("conv_id"), F.col("id").cast(kinds["turn"]).alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), says.alias("text")
+    )
+    return conversation_digest(turns.unionByName(more))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .periodic_runs import periodic_runs, run_digest, with_repeated_tails
+
+    return run_digest(periodic_runs(with_repeated_tails(_table(spark, sf_dir, "documents"))))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hard_negatives import hard_negatives
+
+    vectors = _table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(vectors.withColumn("label", label), F.col("id") % 100 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_grammar": op1_token_grammar,
@@ -92,6 +118,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_zstd_toxicity": op8_zstd_toxicity,
         "op9_jaccard_join": op9_jaccard_join,
         "op10_quality_rules": op10_quality_rules,
+        "op11_reply_trees": op11_reply_trees,
+        "op12_periodic_runs": op12_periodic_runs,
+        "op13_hard_negatives": op13_hard_negatives,
     }
 
 
@@ -177,3 +206,36 @@ FROM d LEFT JOIN h USING (rid) LEFT JOIN t USING (rid)
 """,
 }
 ORACLE_SQL["op10_quality_rules"] = _quality_sql()
+ORACLE_SQL["op11_reply_trees"] = r"""
+WITH c AS (
+  SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS n FROM c),
+e AS (SELECT *, length(text) + length(text) - length(replace(text, '\', '')) + (length(text) - length(replace(text, '<|', ''))) // 2 AS n_text,
+             length(role) + length(role) - length(replace(role, '\', '')) + (length(role) - length(replace(role, '<|', ''))) // 2 AS n_role FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+       cast(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       cast(sum(n_role + n_text + 23) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+# The first ranks of each positive's window, over integer inner products; pairs of anchors and rows are all scored.
+ORACLE_SQL["op13_hard_negatives"] = r"""
+WITH v AS (
+  SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * cast(x AS DOUBLE))) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.rid, a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id, cast(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.rid <> b.rid WHERE a.vec_id % 100 = 0),
+p AS (
+  SELECT rid, anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id) AS k
+  FROM s WHERE same QUALIFY k <= 5),
+n AS (
+  SELECT p.anchor_id, positive_id, vec_id AS negative_id, positive_score, score AS negative_score,
+         row_number() OVER (PARTITION BY p.rid, k ORDER BY score DESC, vec_id) AS rank
+  FROM p JOIN s ON s.rid = p.rid AND NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score)
+SELECT anchor_id, positive_id, cast(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""
