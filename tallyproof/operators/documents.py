@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import _MONTHS, _day
+from .profiles import best_profile, confidence
 
 #: Only so much of a statement's head is looked at for its issuer.
 HEAD = 6000
@@ -51,27 +52,23 @@ def profile_scores(docs: DataFrame, profiles: DataFrame, patterns: DataFrame, mo
     if len(found) > most_patterns:
         raise ValueError("too many fingerprints for one projection")
     given = F.col("profile_key") if "profile_key" in docs.columns else F.lit(None).cast("string")
-    heads = docs.select("doc_id", F.substring("text", 1, HEAD).alias("head"), given.alias("given"))
-    terms: dict[tuple[int, str], Column] = {}
-    for r in found:
-        hit = F.when(F.col("head").rlike("(?i)" + r["pattern"]), r["weight"]).otherwise(0)
-        place = (r["ordinal"], r["key"])
-        terms[place] = terms[place] + hit if place in terms else hit
-    each = [F.struct(v.cast("int").alias("score"), F.lit(-o).alias("before"), F.lit(k).alias("key")) for (o, k), v in sorted(terms.items())]
-    best = F.array_max(F.array(*each)) if each else F.lit(None).cast("struct<score:int,before:int,key:string>")
-    scored = heads.withColumn("b", best).withColumn("b", F.when(F.col("b.score") > 0, F.col("b")))
-    score = F.coalesce(F.col("b.score"), F.lit(0))
-    confidence = (
-        F.when(F.col("given").isNotNull(), 97).when(F.col("b").isNull(), 50)
-        .when(score >= 40, F.least(F.lit(97), score + 30)).otherwise(F.greatest(F.lit(40), score))
-    )
-    return scored.select("doc_id", F.coalesce("given", F.col("b.key"), F.lit(CATCH_ALL)).alias("key"), score.alias("score"), confidence.alias("confidence"))
+    best = best_profile(F.col("head"), [(r["ordinal"], r["key"], r["pattern"], r["weight"]) for r in found])
+    scored = docs.select("doc_id", F.substring("text", 1, HEAD).alias("head"), given.alias("given")).withColumn("b", best)
+    sure = F.when(F.col("given").isNotNull(), 97).otherwise(confidence(F.col("b.score")))
+    return scored.select(
+        "doc_id", F.coalesce("given", F.col("b.key"), F.lit(CATCH_ALL)).alias("key"), F.coalesce(F.col("b.score"), F.lit(0)).alias("score"), sure.alias("confidence")
+    )
+
+
+def starts_statement(text: Column) -> Column:
+    """Whether a page says ``Page 1 of n``."""
+    return text.rlike(r"(?i)Page\s*1\s*of\s*[0-9]+")
 
 
 def statement_split(pages: DataFrame) -> DataFrame:
     """stmt_no of each page: a page that says ``Page 1 of n`` starts a new statement, page 1 always does."""
     w = Window.partitionBy("doc_id").orderBy("page")
-    starts = F.col("text").rlike(r"(?i)Page\s*1\s*of\s*[0-9]+") | (F.row_number().over(w) == 1)
+    starts = starts_statement(F.col("text")) | (F.row_number().over(w) == 1)
     return pages.withColumn("_s", F.coalesce(starts, F.lit(False)).cast("int")).withColumn("stmt_no", F.sum("_s").over(w)).drop("_s")
 
 
@@ -102,14 +99,12 @@ def _full_year(y: Column) -> Column:
     return F.when(y < 100, y + 2000).otherwise(y)
 
 
-def find_period(text: Column) -> Column:
-    """struct(start, end) of a statement's period, null if none is found.
+PERIOD = "struct<start: date, end: date>"
+_FORMS = ("named", "numeric", "one_year", "balances", "single")
 
-    In this order: two dates with month names and years; two numeric dates; two month-name
-    dates that share one year (the start may fall in the year before); the dates of a previous and a
-    new balance at most 300 characters apart; one month-name date (the 35 days before it); the
-    span of three or more full numeric dates. A span is valid from 0 to 400 days.
-    """
+
+def _period_forms(text: Column) -> tuple[dict[str, str], dict[str, Column], Column]:
+    """The patterns of the forms, the span that each form's first occurrence gives, and all full numeric dates."""
     balance_of = lambda which: rf"{which}\s*balance\s*as\s*of\s*{_NUMERIC}"
     forms = {
         "named": f"(?i){_NAMED}{_YEAR}{_TO}{_NAMED}{_YEAR}",
@@ -131,9 +126,14 @@ def find_period(text: Column) -> Column:
         return _day(_full_year(number(form, i + 2)), number(form, i), number(form, i + 1))
 
     m1, m2, y = _month_number(g("one_year", 1)), _month_number(g("one_year", 3)), number("one_year", 5)
-    shared = valid(_day(F.when(m1 <= m2, y).otherwise(y - 1), m1, number("one_year", 2)), _day(y, m2, number("one_year", 4)))
     end = named("single", 1)
-    alone = F.when(end.isNotNull(), F.struct(F.date_sub(end, 35).alias("start"), end.alias("end")))
+    spans = {
+        "named": valid(named("named", 1), named("named", 4)),
+        "numeric": valid(numeric("numeric", 1), numeric("numeric", 4)),
+        "one_year": valid(_day(F.when(m1 <= m2, y).otherwise(y - 1), m1, number("one_year", 2)), _day(y, m2, number("one_year", 4))),
+        "balances": valid(numeric("balances", 1), numeric("balances", 4)),
+        "single": F.when(end.isNotNull(), F.struct(F.date_sub(end, 35).alias("start"), end.alias("end"))),
+    }
     tokens = F.regexp_extract_all(text, F.lit(r"\b(\d{1,2}[/-]\d{1,2}[/-](?:\d{4}|\d\d))\b"), F.lit(1))
 
     def as_day(t: Column) -> Column:
@@ -141,11 +141,45 @@ def find_period(text: Column) -> Column:
         return _day(_full_year(F.get(part, 2).cast("int")), F.get(part, 0), F.get(part, 1))
 
     days = F.filter(F.transform(tokens, as_day), lambda d: d.isNotNull())
-    spread = F.when(F.size(days) >= 3, valid(F.array_min(days), F.array_max(days)))
-    return F.coalesce(
-        valid(named("named", 1), named("named", 4)), valid(numeric("numeric", 1), numeric("numeric", 4)), shared,
-        valid(numeric("balances", 1), numeric("balances", 4)), alone, spread,
-    )
+    return forms, {f: spans[f].cast(PERIOD) for f in _FORMS}, days
+
+
+def _spread(lo: Column, hi: Column, n: Column) -> Column:
+    return F.when((n >= 3) & F.datediff(hi, lo).between(0, 400), F.struct(lo.alias("start"), hi.alias("end"))).cast(PERIOD)
+
+
+def period_marks(text: Column) -> Column:
+    """What a text, or one page of it, says of its statement's period.
+
+    A struct with, for each form, struct(hit, span) of its first occurrence, and lo, hi and n of all full numeric dates.
+    """
+    forms, spans, days = _period_forms(text)
+    hit = lambda f: F.coalesce(text.rlike(forms[f]), F.lit(False))
+    each = [F.struct(hit(f).alias("hit"), F.when(hit(f), spans[f]).alias("span")).alias(f) for f in _FORMS]
+    return F.struct(*each, F.array_min(days).alias("lo"), F.array_max(days).alias("hi"), F.coalesce(F.size(days), F.lit(0)).alias("n"))
+
+
+def period_of(marks: Column) -> Column:
+    """The period of a text's marks."""
+    return F.coalesce(*(marks[f]["span"] for f in _FORMS), _spread(marks["lo"], marks["hi"], marks["n"]))
+
+
+def joined_marks(marks: str, order: str) -> Column:
+    """The marks of a statement from those of its pages, as an aggregate: of each form the first page's that has it; all dates."""
+    first = [F.min_by(F.col(f"{marks}.{f}"), F.when(F.col(f"{marks}.{f}.hit"), F.col(order))).alias(f) for f in _FORMS]
+    return F.struct(*first, F.min(f"{marks}.lo").alias("lo"), F.max(f"{marks}.hi").alias("hi"), F.sum(f"{marks}.n").alias("n"))
+
+
+def find_period(text: Column) -> Column:
+    """struct(start, end) of a statement's period, null if none is found.
+
+    In this order: two dates with month names and years; two numeric dates; two month-name
+    dates that share one year (the start may fall in the year before); the dates of a previous and a
+    new balance at most 300 characters apart; one month-name date (the 35 days before it); the
+    span of three or more full numeric dates. A span is valid from 0 to 400 days.
+    """
+    _, spans, days = _period_forms(text)
+    return F.coalesce(*(spans[f] for f in _FORMS), _spread(F.array_min(days), F.array_max(days), F.size(days)))
 
 
 def bundle_label(text: Column, patterns: list[str]) -> Column:

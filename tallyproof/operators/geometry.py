@@ -8,25 +8,26 @@ from pyspark.sql import functions as F
 PAGE = ["doc_id", "page"]
 
 
-def page_skew(words: DataFrame) -> DataFrame:
+def page_skew(words: DataFrame, *more: Column) -> DataFrame:
     """Slope of the base lines (0 unless strong) and the line tolerance of each page.
 
     The slope counts for 40 words or more, spread in both directions, R-squared of 0.5 or
     more and at most 0.25. The tolerance is 0.45 of the upper median height, 2 at least;
-    a median of zero counts as 8.
+    a median of zero counts as 8. ``more``: further aggregates of the page.
     """
     x, y = (F.col("x0") + F.col("x1")) / 2, F.col("bottom")
     height = F.col("bottom") - F.col("top")
     page = words.groupBy(*PAGE).agg(
         F.count("*").alias("n"), F.regr_slope(y, x).alias("b"), F.regr_r2(y, x).alias("r2"), F.regr_sxx(y, x).alias("sxx"),
-        F.regr_syy(y, x).alias("syy"), F.sort_array(F.collect_list(height)).alias("heights"),
+        F.regr_syy(y, x).alias("syy"), F.sort_array(F.collect_list(height)).alias("heights"), *more,
     )
     strong = (F.col("n") >= 40) & (F.col("sxx") >= 1e-6) & (F.col("syy") >= 1e-6) & (F.col("r2") >= 0.5) & (F.abs("b") <= 0.25)
     median = F.get("heights", (F.floor(F.col("n") / 2)).cast("int"))
     median = F.when(median == 0, 8.0).otherwise(median)
     return page.select(
-        *PAGE, "n", F.when(strong, F.col("b")).otherwise(0.0).alias("slope"), F.greatest(F.lit(2.0), median * 0.45).alias("tol")
-    )
+        *PAGE, "n", F.when(strong, F.col("b")).otherwise(0.0).alias("slope"), F.greatest(F.lit(2.0), median * 0.45).alias("tol"),
+        *page.columns[len(PAGE) + 6 :],
+    )
 
 
 def gap_islands(rows: DataFrame, keys: list[str], value: Column, ties: list[str], tol: Column, name: str) -> DataFrame:
@@ -52,6 +53,72 @@ def line_text(lined: DataFrame) -> DataFrame:
     ).select(*PAGE, "line_no", F.array_join(F.transform("words", lambda w: w["text"]), " ").alias("text"), "top", "words")
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often it is named."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _runs(values: Column, at, tol: Column) -> Column:
+    """A sorted array cut where neighbours' ``at`` lie further apart than ``tol``: an array of arrays."""
+    n = F.size(values)
+    cuts = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: (i == 0) | (at(F.get(values, i)) - at(F.get(values, i - 1)) > tol))
+
+    def cut(c: Column) -> Column:
+        return F.transform(c, lambda a, k: F.slice(values, a + 1, F.coalesce(F.get(c, k + 1), n) - a))
+
+    return F.when(n > 0, _let(cuts, cut))
+
+
+def page_lines(words: DataFrame) -> DataFrame:
+    """D1-D4 in one shuffle: one row a page, with its lines as an array of struct(line_no, text, words).
+
+    The same lines as line_text(group_lines(words)); a page is put together once, so no table joins back to its words.
+    """
+    fields = ["x0", "v", "word_idx", "x1", "top", "bottom", "text"]
+    pages = page_skew(words, F.collect_list(F.struct("top", "word_idx", "x0", "x1", "bottom", "text")).alias("ws"))
+    v = lambda w: w["top"] - F.col("slope") * (w["x0"] + w["x1"]) / 2
+    placed = F.array_sort(F.transform("ws", lambda w: F.struct(v(w).alias("v"), *(w[c].alias(c) for c in ("word_idx", "x0", "x1", "top", "bottom", "text")))))
+    line = lambda ws: F.sort_array(F.transform(ws, lambda w: F.struct(*(w[c].alias(c) for c in fields))))
+    grouped = _let(placed, lambda p: F.transform(_runs(p, lambda w: w["v"], F.col("tol")), line))
+    said = lambda ws: F.array_join(F.transform(ws, lambda w: w["text"]), " ")
+    lines = F.transform(grouped, lambda ws, k: F.struct((k + 1).alias("line_no"), said(ws).alias("text"), ws.alias("words")))
+    return pages.select(*PAGE, lines.alias("lines"))
+
+
+def page_centers(edges: Column, tol: float = 6.0) -> Column:
+    """D5 for a page's right edges as an array: the centres from left to right. Clusters of one edge go, unless there is no other."""
+    clusters = lambda e: F.transform(
+        _runs(e, lambda x: x, F.lit(tol)), lambda c: F.struct((F.aggregate(c, F.lit(0.0), lambda a, x: a + x) / F.size(c)).alias("center"), F.size(c).alias("n"))
+    )
+    kept = lambda cs: F.filter(cs, lambda c: (c["n"] >= 2) | (F.array_max(F.transform(cs, lambda x: x["n"])) < 2))
+    return F.coalesce(_let(F.sort_array(edges), lambda e: F.transform(_let(clusters(e), kept), lambda c: c["center"])), F.array().cast("array<double>"))
+
+
+# The words that head money columns, and those of them that make a line a header.
+HEADER_WORDS = ("credits", "debits", "balance", "amount", "deposits", "withdrawals", "additions", "subtractions", "charges")
+DIRECTION_WORDS = ("credits", "debits", "withdrawals", "balance")
+
+
+def header_words(words: Column) -> Column:
+    """struct(name, mid) of the words of a column header's line; none unless two names stand there, one of them a direction."""
+    name = lambda w: F.regexp_replace(F.lower(w["text"]), r"^[():]+|[():]+$", "")
+    found = F.filter(F.transform(words, lambda w: F.struct(name(w).alias("name"), ((w["x0"] + w["x1"]) / 2).alias("mid"))), lambda h: h["name"].isin(*HEADER_WORDS))
+
+    def header(f: Column) -> Column:
+        names = F.array_distinct(F.transform(f, lambda h: h["name"]))
+        return F.when((F.size(names) >= 2) & F.exists(names, lambda n: n.isin(*DIRECTION_WORDS)), f).otherwise(F.slice(f, 1, 0))
+
+    return _let(found, header)
+
+
+def center_labels(centers: Column, headers: Column, reach: float = 80.0) -> Column:
+    """D8 for a page: the nearest header word of each centre (array of string, null beyond ``reach``); the first of two as near."""
+    near = lambda c: F.array_min(
+        F.filter(F.transform(headers, lambda h, i: F.struct(F.abs(h["mid"] - c).alias("far"), i.alias("i"), h["name"].alias("name"))), lambda s: s["far"] < reach)
+    )
+    return F.transform(centers, lambda c: near(c)["name"])
+
+
 def date_led_edges(lines: DataFrame) -> DataFrame:
     """The right edges that make columns: those of the figures on lines that a date leads.
 

@@ -33,16 +33,16 @@ def chain_segments(ledger: DataFrame, keys: list[str], order: list[str]) -> Data
     balance is missing or the segment holds an unread amount. An unread amount restarts
     the chain from its own printed balance.
     """
-    return _segments(ledger, keys, order).drop("marked")
+    return _segments(ledger, keys, order).select(*keys, "seg", "opening", "closing", "move", "n", "state")
 
 
-def _segments(ledger: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """chain_segments, and marked: rows whose amount is unread or whose own status (column ``status``, if there is one) asks for a review."""
+def _segments(ledger: DataFrame, keys: list[str], order: list[str], carry: tuple[str, ...] = ()) -> DataFrame:
+    """chain_segments, with the segment's rows, its block's balances, the greatest of each column of ``carry``, and marked: rows whose amount is unread or whose own status (column ``status``, if there is one) asks for a review."""
     rows = with_segments(ledger, keys, order, F.col("balance").isNotNull() | F.col("amount").isNull())
     doubtful = F.col("amount").isNull() | (F.col("status") == "NEEDS_REVIEW" if "status" in ledger.columns else F.lit(False))
     groups = rows.groupBy(*keys, "seg").agg(
         F.sum(F.coalesce(doubtful, F.lit(False)).cast("int")).alias("marked"), F.max("beginning").alias("beginning"), F.sum("amount").cast(MONEY).alias("move"), F.count("amount").alias("n"),
-        F.max("balance").alias("closing"), F.max(F.col("amount").isNull().cast("int")).alias("broken"),
+        F.max("balance").alias("closing"), F.max(F.col("amount").isNull().cast("int")).alias("broken"), F.count("*").alias("rows"), F.max("ending").alias("ending"), *(F.max(c).alias(c) for c in carry),
     )
     last = F.lag("closing").over(Window.partitionBy(*keys).orderBy("seg"))
     groups = groups.withColumn("opening", F.when(F.col("seg") == 0, F.col("beginning")).otherwise(last))
@@ -51,7 +51,7 @@ def _segments(ledger: DataFrame, keys: list[str], order: list[str]) -> DataFrame
         .when(_far(F.col("move"), F.col("closing") - F.col("opening")), "NEEDS_REVIEW")
         .otherwise("OK")
     )
-    return groups.select(*keys, "seg", "opening", "closing", "move", "n", state.alias("state"), "marked")
+    return groups.withColumn("state", state)
 
 
 def chain_flags(ledger: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -74,20 +74,18 @@ def chain_flags(ledger: DataFrame, keys: list[str], order: list[str]) -> DataFra
     )
 
 
-def block_proof(ledger: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+def block_proof(ledger: DataFrame, keys: list[str], order: list[str], carry: tuple[str, ...] = ()) -> DataFrame:
     """one row a block: n, total, passed (true, false or null: not provable), detail, flagged.
 
     Both balances printed: beginning + movements against ending. Else the chain, if any of its
     segments could be checked: it proves only if no row is flagged. Else null. Flagged are the rows of
-    failing segments, unread amounts, and rows whose ``status`` asks for a review.
+    failing segments, unread amounts, and rows whose ``status`` asks for a review. ``carry``: columns that are one to a block. One
+    shuffle by the keys serves all of it.
     """
-    totals = ledger.groupBy(*keys).agg(
-        F.max("beginning").alias("beginning"), F.max("ending").alias("ending"), F.count("amount").alias("n"),
-        F.coalesce(F.sum("amount"), F.lit(0)).cast(MONEY).alias("total"), F.count("*").alias("rows"),
-    )
-    chains = _segments(ledger, keys, order).groupBy(*keys).agg(
-        F.max((F.col("state") != "UNCHECKED").cast("int")).alias("checked"),
-        F.sum(F.when(F.col("state") == "NEEDS_REVIEW", F.col("n")).otherwise(F.col("marked"))).alias("flagged"),
+    blocks = _segments(ledger, keys, order, carry).groupBy(*keys).agg(
+        F.max("beginning").alias("beginning"), F.max("ending").alias("ending"), F.sum("n").alias("n"), F.coalesce(F.sum("move"), F.lit(0)).cast(MONEY).alias("total"), F.sum("rows").alias("rows"),
+        F.max((F.col("state") != "UNCHECKED").cast("int")).alias("checked"), F.sum(F.when(F.col("state") == "NEEDS_REVIEW", F.col("n")).otherwise(F.col("marked"))).alias("flagged"),
+        *(F.max(c).alias(c) for c in carry),
     )
     expected = (F.col("beginning") + F.col("total")).cast(MONEY)
     both = F.col("beginning").isNotNull() & F.col("ending").isNotNull()
@@ -101,9 +99,7 @@ def block_proof(ledger: DataFrame, keys: list[str], order: list[str]) -> DataFra
         .when(~passed, F.lit("Running balances and amounts disagree, or amounts are unread: see the marked rows."))
         .otherwise(F.lit("Neither two end balances nor a running balance is printed: nothing proves the amounts."))
     )
-    return totals.join(chains, keys).select(
-        *keys, "rows", "n", "total", "beginning", "ending", "flagged", passed.alias("passed"), detail.alias("detail")
-    )
+    return blocks.select(*keys, "rows", "n", "total", "beginning", "ending", "flagged", passed.alias("passed"), detail.alias("detail"), *carry)
 
 
 def section_mismatches(ledger: DataFrame, printed_totals: DataFrame, keys: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from . import views as V
 _E, _L, _W = (f"({V.in_duckdb(x)})" for x in (V.EVENT_LEDGER, V.LINE_LEDGER, V.MADE_WORDS))
 _FLOW = f"({V.in_duckdb(V.FLOW_LEDGER)})"
 _LINES = f"({V.in_duckdb(V.EVENT_LINES)})"
+_BUNDLE = f"({V.in_duckdb(V.BUNDLE_LEDGER)})"
 _JOBS, _CODES = (f"({V.in_duckdb(x)})" for x in (V.JOB_ROWS, V.CODE_ROWS))
 _PRICE = "cast(l_extendedprice AS decimal(18,2))"
 _FIGURE = r"\(\$?\d{1,3}(?:,\d{3})*\.\d\d\)|[+-]?(?:\$\s?)?\d{1,3}(?:,\d{3})*\.\d\d-?"  # the grammar of FIXTURES.md
@@ -156,6 +157,17 @@ k AS (SELECT block_id, sum(CASE WHEN state = 'NEEDS_REVIEW' THEN n ELSE 0 END) A
 n AS (SELECT block_id, count(*) AS rows, cast(sum(amount) AS decimal(18,2)) AS total, max(ending) AS ending FROM l GROUP BY block_id)
 SELECT block_id AS doc_id, cast(1 AS bigint) AS block, 'No-' || block_id AS block_name, rows, total, cast(0 AS decimal(18,2)) AS beginning, ending, cast(flagged AS bigint) AS flagged,
        block_id % 7 <> 0 AS passed, true AS complete FROM n JOIN k USING (block_id)""",
+    "mixed_statements": f"""
+SELECT doc_id, cast(stmt_no AS bigint) AS stmt_no, cast(1 AS bigint) AS block, 'No-' || doc_id AS block_name, CASE doc_id % 3 WHEN 0 THEN 'columns' WHEN 1 THEN 'running' ELSE 'headings' END AS key, cast(70 AS int) AS confidence,
+       count(*) AS rows, cast(sum(amount) AS decimal(18,2)) AS total, max(beginning) AS beginning, max(ending) AS ending, cast(0 AS bigint) AS flagged,
+       max(ending) = max(beginning) + sum(amount) AS passed, true AS complete FROM {_BUNDLE} GROUP BY doc_id, stmt_no""",
+    "mixed_ledger": f"""
+SELECT doc_id, cast(stmt_no AS bigint) AS stmt_no, seq AS n, day AS date, amount, CASE WHEN doc_id % 3 = 1 THEN running END AS balance, 'OK' AS status, 'No-' || doc_id AS block_name,
+       CASE doc_id % 3 WHEN 0 THEN 'columns' WHEN 1 THEN 'running' ELSE 'headings' END AS key FROM {_BUNDLE}""",
+    "mixed_outcomes": f"""
+WITH s AS (SELECT doc_id, stmt_no, count(*) AS rows, max(ending) = max(beginning) + sum(amount) AS passed FROM {_BUNDLE} GROUP BY doc_id, stmt_no)
+SELECT doc_id, cast(sum(rows) AS bigint) AS rows, cast(0 AS bigint) AS flagged, CASE WHEN min(passed) THEN 'proven' ELSE 'unproven' END AS state, CASE WHEN min(passed) THEN 'PASSED' ELSE 'FAILED' END AS verdict,
+       CASE doc_id % 3 WHEN 0 THEN 'columns' WHEN 1 THEN 'running' ELSE 'headings' END AS profile, cast(70 AS int) AS confidence FROM s GROUP BY doc_id""",
     "job_rows": f"""
 WITH i AS (SELECT o_custkey AS doc_id, o_orderkey AS job, {_PRICE} AS p, l_returnflag = 'R' AS back FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 j AS (SELECT doc_id, job, sum(p) AS s, coalesce(sum(CASE WHEN back THEN p END), 0) AS given, count(*) AS n, job % 10 = 0 AS bad FROM i GROUP BY doc_id, job),

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import audit, documents, flow, geometry, grammars, projection, reconcile, settlement, statement
+from ..operators.profiles import Profile
 from ..streaming.ingest import ingest
 from . import views as V
 
@@ -260,12 +261,12 @@ def _printed_pages(spark, d):
     return each.select("doc_id", "page", (F.col("at") * 10 + F.col("w.i")).cast("int").alias("word_idx"), "w.text", "w.x0", "w.x1", top.alias("top"), (top + 10.0).alias("bottom"))
 
 
-PRINTED = flow.Profile(markers=(r"^Account\s+(No-\d+)",), credit_words=("signup", "click", "view"))
+PRINTED = Profile(markers=(r"^Account\s+(No-\d+)",), credit_words=("signup", "click", "view"), running_balance=True)
 
 
 def statements_end_to_end(spark, d):
     """From words on pages to each document's outcome."""
-    return flow.statement_outcomes(_printed_pages(spark, d), PRINTED).drop("detail")
+    return flow.statement_outcomes(_printed_pages(spark, d), PRINTED).select("doc_id", "rows", "flagged", "state", "verdict")
 
 
 def account_proofs(spark, d):
@@ -274,6 +275,69 @@ def account_proofs(spark, d):
     return found.select("doc_id", "block", "block_name", "rows", "total", "beginning", "ending", "flagged", "passed", "complete")
 
 
+#: Three issuers: two money columns under a header, a running balance, and headings with amounts on a line of their own.
+ISSUERS = (
+    Profile("columns", fingerprints=(("Bank Alpha", 40),), markers=(r"^Account\s+(No-\d+)",), credit_words=("signup", "click", "view"), debit_words=("purchase", "error")),
+    Profile("running", fingerprints=(("Bank Beta", 40),), markers=(r"^Account\s+(No-\d+)",), credit_words=("signup", "click", "view"), debit_words=("purchase", "error"), running_balance=True),
+    Profile("headings", fingerprints=(("Bank Gamma", 40),), markers=(r"^Account\s+(No-\d+)",), credit_headings=("^Money in",), debit_headings=("^Money out",), require_section=True),
+)
+
+
+def _bundled_pages(spark, d):
+    """BUNDLE_LEDGER as words: pages of 33 lines, each with its number, the issuer and the account; dates without years."""
+    rows = V.view(spark, d, V.BUNDLE_LEDGER).withColumn("p", F.col("doc_id") % 3)
+    word = lambda i, text, x0, x1: F.struct(F.lit(i).alias("i"), text.cast("string").alias("text"), F.lit(float(x0)).alias("x0"), F.lit(float(x1)).alias("x1"))
+    said = lambda *ts: F.array(*(word(i, t if not isinstance(t, str) else F.lit(t), 30 + 60 * i, 80 + 60 * i) for i, t in enumerate(ts)))
+    shown = lambda v: F.concat(F.when(v < 0, "-").otherwise(""), F.lit("$"), F.format_number(F.abs(v), 2))
+    none = F.array().cast("array<struct<i:int,text:string,x0:double,x1:double>>")
+    day, price, income = F.date_format("day", "MM/dd"), F.format_number(F.abs("amount"), 2), F.col("amount") >= 0
+    dated = said(day, "Card", F.col("section"))
+    columns = F.concat(dated, F.when(income, F.array(word(3, price, 450, 500))).otherwise(F.array(word(3, price, 350, 400))))
+    running = F.concat(dated, F.array(word(3, price, 350, 400), word(4, shown(F.col("running")), 450, 500)))
+    parts = F.when(F.col("p") == 0, F.array(columns)).when(F.col("p") == 1, F.array(running)).otherwise(
+        F.array(F.when(income, said("Money", "in")).otherwise(said("Money", "out")), dated, F.array(word(3, price, 350, 400)))
+    )
+    keys = ("doc_id", "stmt_no", "p")
+    body = rows.select(*keys, "seq", F.posexplode(parts).alias("k", "w")).withColumn("slot", (F.col("seq") - 1) * F.when(F.col("p") == 2, 3).otherwise(1) + F.col("k"))
+    body = body.select(*keys, F.floor(F.col("slot") / 33).alias("at_page"), (6 + F.col("slot") % 33).alias("line"), "w")
+    ends = rows.groupBy(*keys).agg(F.max("n").alias("n"), F.max("ending").alias("ending"), F.max("beginning").alias("beginning"), F.max("start_day").alias("a"), F.max("end_day").alias("b"))
+    ends = ends.withColumn("last", F.floor((F.col("n") * F.when(F.col("p") == 2, 3).otherwise(1) - 1) / 33))
+    pages = ends.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("at_page"))
+    name = F.when(F.col("p") == 0, "Alpha").when(F.col("p") == 1, "Beta").otherwise("Gamma")
+    first = F.col("at_page") == 0
+    head = F.array(
+        said("Page", (F.col("at_page") + 1).cast("string"), "of", (F.col("last") + 1).cast("string")), said("Bank", name), said("Account", F.concat(F.lit("No-"), F.col("doc_id").cast("string"))),
+        F.when(F.col("p") == 0, F.array(word(0, F.lit("Date"), 30, 80), word(1, F.lit("Withdrawals"), 340, 400), word(2, F.lit("Deposits"), 450, 500))).otherwise(none),
+        F.when(first, said("Period", F.date_format("a", "MM/dd/yyyy"), "through", F.date_format("b", "MM/dd/yyyy"))).otherwise(none),
+        F.when(first, said("Beginning", "balance", shown(F.col("beginning")))).otherwise(none),
+    )
+    foot = F.when(F.col("at_page") == F.col("last"), said("Ending", "balance", shown(F.col("ending")))).otherwise(none)
+    heads = pages.select(*keys, "at_page", F.posexplode(F.concat(head, F.array(foot))).alias("line", "w")).withColumn("line", F.when(F.col("line") == 6, 39).otherwise(F.col("line")))
+    each = body.unionByName(heads).select("doc_id", "stmt_no", "at_page", "line", F.explode("w").alias("w"))
+    top = F.col("line") * 14.0
+    page = (F.col("stmt_no") * 1000 + F.col("at_page")).cast("int")
+    return each.select("doc_id", page.alias("page"), (F.col("line") * 10 + F.col("w.i")).cast("int").alias("word_idx"), "w.text", "w.x0", "w.x1", top.alias("top"), (top + 10.0).alias("bottom"))
+
+
+def mixed_statements(spark, d):
+    """Bundles of three issuers' statements in one plan: the proof of each account of each statement."""
+    found = flow.statement_proofs(_bundled_pages(spark, d), ISSUERS)
+    return found.select("doc_id", "stmt_no", "block", "block_name", "key", "confidence", "rows", "total", "beginning", "ending", "flagged", "passed", "complete")
+
+
+def mixed_ledger(spark, d):
+    """The movements of the same bundles: dated by their statement's period and signed by their issuer's conventions."""
+    lines = flow.statement_lines(_bundled_pages(spark, d), ISSUERS)
+    rows = flow.statement_rows(lines, ISSUERS)
+    by = Window.partitionBy("doc_id", "stmt_no").orderBy("seq")
+    return rows.select("doc_id", "stmt_no", F.row_number().over(by).cast("long").alias("n"), "date", "amount", "balance", "status", "block_name", "key")
+
+
+def mixed_outcomes(spark, d):
+    """What becomes of the same documents: rows, state, verdict and the profile they count by."""
+    return flow.statement_outcomes(_bundled_pages(spark, d), ISSUERS).select("doc_id", "rows", "flagged", "state", "verdict", "profile", "confidence")
+
+
 JOB_WORDS = grammars.JobWords(job=r"\d+-JB", cost_labels=("Total Cost", "Driver Pay"), commission=r"House\s*\d+%")
 
 
@@ -588,7 +652,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         money_tokens, document_figures, date_tokens, month_name_dates, statement_periods, statement_periods_more, text_facts, native_or_scan, profile_scores, statement_split,
         page_skew, line_groups, line_text, money_columns, nearest_column, column_labels, ocr_confidence, ocr_lines, balance_chain, chain_flags,
-        statements_end_to_end, account_proofs, job_rows, job_settlement, coded_report, load_settlement,
+        statements_end_to_end, account_proofs, mixed_statements, mixed_ledger, mixed_outcomes, job_rows, job_settlement, coded_report, load_settlement,
         block_proof, section_totals, document_outcome, run_summary, run_severity, unexpected_states, code_totals, job_chain, job_proof, order_pay_proof, cross_foot, section_subtotals,
         escrow_rollforward, printed_vs_captured, golden_compare, bank_projection, row_scan, section_fill, stop_resume, wrapped_rows, sign_resolution,
         card_summary_charges, account_blocks, printed_balances, section_total_lines, incremental_ingest,

@@ -36,6 +36,20 @@ FROM (SELECT user_id AS block_id, event_id, row_number() OVER (PARTITION BY user
             FROM {events}) s) t
 """
 
+#: A user's events as bundles of up to six monthly statements, the fourth across a year's end; in the third, every seventh user's printed ending is off by one.
+BUNDLE_LEDGER = """
+SELECT doc_id, cast(dense_rank() OVER (PARTITION BY doc_id ORDER BY s) AS int) AS stmt_no, seq, start_day + 5 * part AS day, start_day, end_day, section, amount,
+       cast(coalesce(upto - total, 0) AS decimal(18,2)) AS beginning, cast(upto - total + inner_sum AS decimal(18,2)) AS running,
+       cast(upto + CASE WHEN doc_id % 7 = 0 AND s = 2 THEN 1 ELSE 0 END AS decimal(18,2)) AS ending, cast(n AS int) AS n
+FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, s ORDER BY ts, event_id) AS seq, sum(amount) OVER (PARTITION BY doc_id, s ORDER BY ts, event_id) AS inner_sum,
+             sum(amount) OVER (PARTITION BY doc_id, s) AS total, count(*) OVER (PARTITION BY doc_id, s) AS n, sum(amount) OVER (PARTITION BY doc_id ORDER BY s) AS upto,
+             CASE s WHEN 0 THEN DATE '2023-09-21' WHEN 1 THEN DATE '2023-10-21' WHEN 2 THEN DATE '2023-11-21' WHEN 3 THEN DATE '2023-12-21' WHEN 4 THEN DATE '2024-01-21' ELSE DATE '2024-02-21' END AS start_day,
+             CASE s WHEN 0 THEN DATE '2023-10-20' WHEN 1 THEN DATE '2023-11-20' WHEN 2 THEN DATE '2023-12-20' WHEN 3 THEN DATE '2024-01-20' WHEN 4 THEN DATE '2024-02-20' ELSE DATE '2024-03-20' END AS end_day
+      FROM (SELECT user_id AS doc_id, event_id, ts, event_type AS section, cast(least((extract(day FROM ts) - 1) // 5, 5) AS int) AS s, cast((extract(day FROM ts) - 1) % 5 AS int) AS part,
+                   cast(cast(value AS decimal(18,2)) * CASE WHEN event_type IN ('purchase', 'error') THEN -1 ELSE 1 END AS decimal(18,2)) AS amount
+            FROM {events}) a) b
+"""
+
 #: A customer's line items as a ledger with both balances; every seventh customer's ending is off by one.
 LINE_LEDGER = """
 SELECT o.o_custkey AS block_id,

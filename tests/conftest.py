@@ -16,6 +16,7 @@ def spark():
         .config("spark.sql.warehouse.dir", f"{tmp}/warehouse")
         .config("spark.checkpoint.dir", f"{tmp}/shared")
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", "4g")
         .getOrCreate()
     )
