@@ -338,7 +338,11 @@ def mixed_outcomes(spark, d):
     return flow.statement_outcomes(_bundled_pages(spark, d), ISSUERS).select("doc_id", "rows", "flagged", "state", "verdict", "profile", "confidence")
 
 
-JOB_WORDS = grammars.JobWords(job=r"\d+-JB", cost_labels=("Total Cost", "Driver Pay"), commission=r"House\s*\d+%")
+JOB_WORDS = grammars.JobWords(
+    job=r"\d+-JB", cost_labels=("Total Cost", "Driver Pay"), commission=r"House\s*\d+%", total_jobs="Total Jobs:", total_pay="TOTAL PAY TO DRIVER", negative="Negative Settlement",
+    held="holding", column_head=r"Job\s?#", trailer_head=r"Settlement Week\s+Job\s?#", opening="settlement week",
+)
+CODE_WORDS = grammars.CodeWords(code_total="Deduct/Earning code", totals="totals?:", records="Record", report_total="Report totals?:")
 
 
 def _job_texts(spark, d):
@@ -392,12 +396,16 @@ def coded_report(spark, d):
         F.sum("s").cast(S.MONEY).alias("s"), F.sum("n").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("code", "t"))), lambda x: x["t"]), "\n").alias("body")
     )
     report = F.concat(F.lit("Report total: "), F.col("n").cast("string"), F.lit(" Records "), F.format_number("s", 2))
-    rows = grammars.coded_rows(docs.select("doc_id", F.concat_ws("\n", "body", report).alias("text")))
+    rows = grammars.coded_rows(docs.select("doc_id", F.concat_ws("\n", "body", report).alias("text")), CODE_WORDS)
     flagged = rows.filter("kind = 'row'").groupBy("doc_id").agg(F.count_distinct("section").alias("sections"), F.sum((F.col("status") != "OK").cast("long")).alias("flagged"))
     return settlement.report_totals(grammars.coded_totals(rows), ["doc_id"], ["line_no"]).join(flagged, "doc_id")
 
 
-LOAD_WORDS = grammars.LoadWords(furniture=(r"^Page \d+$",), headings=((r"^Driver Ledger$", "driver"), (r"^DISPATCH$", "dispatch")))
+LOAD_WORDS = grammars.LoadWords(
+    furniture=(r"^Page \d+$",), order="SETTLEMENT", order_total="ORDER TOTAL", loaded="Loaded", kinds=("Earning", "Reimbursement", "Deduction"), summary="PAY SUMMARY", information=("dispatch",),
+    headings=((r"^Driver Ledger$", "driver"), (r"^RECURRING$", "recurring"), (r"^DEDUCTIONS$", "deductions"), (r"^ESCROW$", "escrow"), (r"^DISPATCH$", "dispatch")),
+    untyped=(("deductions", "Deduction"),), recurring=("recurring",), accounts=("escrow",),
+)
 
 
 def load_settlement(spark, d):

@@ -140,7 +140,7 @@ def test_wrapped_rows_of_all_kinds(spark):
 
 def test_pages_are_grouped_like_windows_do(spark):
     pages = {d: [[f"row {i} {d}.00@{300 + (i * d) % 9} tail" for i in range(d * 7)]] for d in range(1, 6)}
-    w = words(spark, pages).withColumn("top", words(spark, pages)["top"] + words(spark, pages)["x0"] * 0.01)
+    w = words(spark, pages).selectExpr("* except (top)", "top + x0 * 0.01 as top")
     want = sorted((r["doc_id"], r["page"], r["line_no"], r["text"]) for r in geometry.line_text(geometry.group_lines(w)).collect())
     got = geometry.page_lines(w).selectExpr("doc_id", "page", "inline(lines)").collect()
     assert sorted((r["doc_id"], r["page"], r["line_no"], r["text"]) for r in got) == want
