@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import MONEY, printed
+from . import scan
 
 TOLERANCE = 0.01
 
@@ -20,7 +21,12 @@ def _far(a: Column, b: Column) -> Column:
 
 
 def with_segments(rows: DataFrame, keys: list[str], order: list[str], closes: Column) -> DataFrame:
-    """Adds seg: how many closing rows stand before the row in its group. Serves chains and printed totals alike."""
+    """Adds seg: how many closing rows stand before the row in its group. Serves chains and printed totals alike.
+
+    Rows with a column ``chunk`` (from scan.chunked) are counted in two levels, so that no task holds a whole group.
+    """
+    if scan.CHUNK in rows.columns:
+        return scan.count_before(rows, keys, order, closes.cast("int"), "seg")
     before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return rows.withColumn("seg", F.coalesce(F.sum(F.when(closes, 1).otherwise(0)).over(before), F.lit(0)))
 
@@ -44,7 +50,11 @@ def _segments(ledger: DataFrame, keys: list[str], order: list[str], carry: tuple
         F.sum(F.coalesce(doubtful, F.lit(False)).cast("int")).alias("marked"), F.max("beginning").alias("beginning"), F.sum("amount").cast(MONEY).alias("move"), F.count("amount").alias("n"),
         F.max("balance").alias("closing"), F.max(F.col("amount").isNull().cast("int")).alias("broken"), F.count("*").alias("rows"), F.max("ending").alias("ending"), *(F.max(c).alias(c) for c in carry),
     )
-    last = F.lag("closing").over(Window.partitionBy(*keys).orderBy("seg"))
+    if scan.CHUNK in ledger.columns:  # by a join of neighbours, as a window would hold all segments of a block
+        prior = groups.select(*keys, (F.col("seg") + 1).alias("seg"), F.col("closing").alias("_last"))
+        groups, last = groups.join(prior, [*keys, "seg"], "left"), F.col("_last")
+    else:
+        last = F.lag("closing").over(Window.partitionBy(*keys).orderBy("seg"))
     groups = groups.withColumn("opening", F.when(F.col("seg") == 0, F.col("beginning")).otherwise(last))
     state = (
         F.when((F.col("broken") == 1) | F.col("closing").isNull() | F.col("opening").isNull(), "UNCHECKED")

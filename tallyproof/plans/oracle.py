@@ -7,10 +7,11 @@ from . import views as V
 _E, _L, _W = (f"({V.in_duckdb(x)})" for x in (V.EVENT_LEDGER, V.LINE_LEDGER, V.MADE_WORDS))
 _FLOW = f"({V.in_duckdb(V.FLOW_LEDGER)})"
 _LINES = f"({V.in_duckdb(V.EVENT_LINES)})"
+_HOT = f"({V.in_duckdb(V.HOT_LEDGER)})"
 _BUNDLE = f"({V.in_duckdb(V.BUNDLE_LEDGER)})"
 _JOBS, _CODES = (f"({V.in_duckdb(x)})" for x in (V.JOB_ROWS, V.CODE_ROWS))
 _PRICE = "cast(l_extendedprice AS decimal(18,2))"
-_FIGURE = r"\(\$?\d{1,3}(?:,\d{3})*\.\d\d\)|[+-]?(?:\$\s?)?\d{1,3}(?:,\d{3})*\.\d\d-?"  # the grammar of FIXTURES.md
+_FIGURE = r"[0-9]{1,3}(,[0-9]{3})*[.][0-9][0-9]"  # digits in running text, as FIXTURES.md has them
 _FIGURES = f"[cast(regexp_replace(x, '[^0-9.]', '', 'g') AS decimal(18,2)) FOR x IN regexp_extract_all(text, '{_FIGURE}')]"
 
 
@@ -137,6 +138,22 @@ SELECT block_id, n, total, ending, abs(100 + total - ending) <= 0.01 AS passed,
   '100.00 + ' || {_money('total')} || ' (' || n || ' amounts) = ' || {_money('100 + total')} ||
   CASE WHEN abs(100 + total - ending) <= 0.01 THEN ', as printed at the end.' ELSE ', printed at the end is ' || {_money('ending')} || ', off by ' || {_money('ending - 100 - total')} || '.' END AS detail
 FROM (SELECT block_id, count(*) AS n, cast(sum(amount) AS decimal(18,2)) AS total, max(ending) AS ending FROM {_L} GROUP BY block_id)""",
+    "hot_account_proof": f"""
+WITH l AS (SELECT * FROM {_HOT}), {_chain("l", "block_id")},
+k AS (SELECT block_id, max(CASE WHEN state <> 'UNCHECKED' THEN 1 ELSE 0 END) AS checked, cast(sum(CASE WHEN state = 'NEEDS_REVIEW' THEN n ELSE unread END) AS bigint) AS flagged FROM c GROUP BY block_id),
+t AS (SELECT block_id, count(*) AS n, cast(sum(amount) AS decimal(18,2)) AS total FROM l GROUP BY block_id)
+SELECT block_id, n, total, flagged, CASE WHEN checked = 1 THEN flagged = 0 END AS passed FROM t JOIN k USING (block_id)""",
+    "hot_account_flags": f"""
+WITH l AS (SELECT * FROM {_HOT}), {_chain("l", 'block_id')}
+SELECT s.block_id, s.seq, CASE WHEN state = 'NEEDS_REVIEW' THEN 'NEEDS_REVIEW' ELSE 'OK' END AS status,
+  CASE WHEN state <> 'NEEDS_REVIEW' THEN ''
+       WHEN n = 1 THEN 'Amount ' || {_money('amount')} || ' against a balance change of ' || {_money('closing - opening')} || ': ' || {_money('opening')} || ' before, ' || {_money('closing')} || ' after.'
+       ELSE n || ' amounts add up to ' || {_money('move')} || '; from balance ' || {_money('opening')} || ' to balance ' || {_money('closing')} || ' it should be ' || {_money('closing - opening')} || '.' END AS note
+FROM s JOIN c ON s.block_id = c.block_id AND s.seg = c.seg""",
+    "hot_section_fill": f"""
+WITH m AS (SELECT block_id, seq, CASE section WHEN 'error' THEN 'x' WHEN 'signup' THEN section WHEN 'view' THEN section END AS mark FROM {_HOT}),
+f AS (SELECT *, last_value(mark IGNORE NULLS) OVER (PARTITION BY block_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS cur FROM m)
+SELECT block_id, seq, CASE WHEN cur IN ('signup', 'view') THEN cur ELSE '' END AS section, CASE cur WHEN 'signup' THEN 1 WHEN 'view' THEN -1 END AS section_dir FROM f""",
     "section_totals": f"""
 WITH l AS (SELECT * FROM {_L}), a AS (SELECT block_id, sum(amount) AS found FROM l GROUP BY block_id),
 t AS (SELECT block_id, 'Deposits and Additions ' || section AS name, sum(amount) + CASE WHEN block_id % 5 = 0 THEN 2 ELSE 0 END AS printed FROM l GROUP BY block_id, section)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import audit, documents, flow, geometry, grammars, projection, reconcile, settlement, statement
+from ..operators import audit, documents, flow, geometry, grammars, projection, reconcile, scan, settlement, statement
 from ..operators.profiles import Profile
 from ..streaming.ingest import ingest
 from . import views as V
@@ -206,6 +206,28 @@ def block_proof(spark, d):
     return reconcile.block_proof(_lines(spark, d), ["block_id"], ["seq"]).select("block_id", "n", "total", "ending", "passed", "detail")
 
 
+def _hot(spark, d):
+    return scan.chunked(V.view(spark, d, V.HOT_LEDGER), ["block_id"], ["seq"])
+
+
+def hot_account_proof(spark, d):
+    """F1-F3 where one account holds a third of all rows: in chunks, none of which is an account's whole."""
+    return reconcile.block_proof(_hot(spark, d), ["block_id"], ["seq"]).select("block_id", "n", "total", "flagged", "passed")
+
+
+def hot_account_flags(spark, d):
+    """F2 on the same ledger."""
+    return reconcile.chain_flags(_hot(spark, d), ["block_id"], ["seq"]).select("block_id", "seq", "status", "note")
+
+
+def hot_section_fill(spark, d):
+    """E4 where one statement holds a third of all lines."""
+    rows = V.view(spark, d, V.HOT_LEDGER)
+    lines = scan.chunked(rows.select("block_id", "seq", "section"), ["block_id"], ["seq"])
+    direction = F.when(F.col("section") == "signup", 1).when(F.col("section") == "view", -1)
+    return statement.section_fill(lines, ["block_id"], ["seq"], F.col("section"), direction, F.col("section") == "error").select("block_id", "seq", "section", "section_dir")
+
+
 def section_totals(spark, d):
     ledger = _lines(spark, d).withColumn("section", F.concat(F.lit("Deposits and Additions "), F.col("section")))
     totals = ledger.groupBy("block_id", F.col("section").alias("name")).agg(F.sum("amount").alias("s")).select(
@@ -661,7 +683,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         money_tokens, document_figures, date_tokens, month_name_dates, statement_periods, statement_periods_more, text_facts, native_or_scan, profile_scores, statement_split,
         page_skew, line_groups, line_text, money_columns, nearest_column, column_labels, ocr_confidence, ocr_lines, balance_chain, chain_flags,
         statements_end_to_end, account_proofs, mixed_statements, mixed_ledger, mixed_outcomes, job_rows, job_settlement, coded_report, load_settlement,
-        block_proof, section_totals, document_outcome, run_summary, run_severity, unexpected_states, code_totals, job_chain, job_proof, order_pay_proof, cross_foot, section_subtotals,
+        block_proof, hot_account_proof, hot_account_flags, hot_section_fill, section_totals, document_outcome, run_summary, run_severity, unexpected_states, code_totals, job_chain, job_proof, order_pay_proof, cross_foot, section_subtotals,
         escrow_rollforward, printed_vs_captured, golden_compare, bank_projection, row_scan, section_fill, stop_resume, wrapped_rows, sign_resolution,
         card_summary_charges, account_blocks, printed_balances, section_total_lines, incremental_ingest,
         native_pages, statement_split_pages, printed_vs_altered, cross_foot_parts, report_totals,

@@ -23,6 +23,15 @@ FROM (SELECT user_id AS block_id, event_id AS seq, cast(ts AS date) AS day, even
             FROM {events}) s) t
 """
 
+#: Every third event on one account, whose balances follow from the rows' numbers, some off; all others on accounts without printed balances.
+HOT_LEDGER = """
+SELECT CASE WHEN event_id % 3 = 0 THEN 0 ELSE user_id + 1 END AS block_id, event_id AS seq,
+       cast(CASE WHEN event_id % 3 = 0 THEN 1 + (event_id // 3) % 2 ELSE value END AS decimal(18,2)) AS amount, event_type AS section,
+       cast(0 AS decimal(18,2)) AS beginning, cast(NULL AS decimal(18,2)) AS ending,
+       cast(CASE WHEN event_id % 3 = 0 AND (event_id // 3) % 4 = 3 THEN (event_id // 3) + 1 + ((event_id // 3) + 1) // 2 + CASE WHEN (event_id // 3) % 67 = 3 THEN 1 ELSE 0 END END AS decimal(18,2)) AS balance
+FROM {events}
+"""
+
 #: A user's events as a statement that is printed in full: balances at the end of a day, some off; every seventh user's ending is off by one.
 FLOW_LEDGER = """
 SELECT block_id, seq, day, section, amount, cast(0 AS decimal(18,2)) AS beginning,

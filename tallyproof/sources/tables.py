@@ -33,22 +33,50 @@ def read_page_text(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PAGE_TEXT).parquet(path)
 
 
-def write_results(results: DataFrame, path: str, run_id: str, *, by_state: bool = False) -> None:
+def claim_run(spark: SparkSession, path: str, run_id: str, owner: str) -> None:
+    """Makes ``owner`` the only writer of a run; raises ValueError if it is another's.
+
+    A claim is a folder that holds its owner's name. It is made elsewhere and moved into place, which one mover alone can do, as a
+    folder that isn't empty is never replaced; whoever's name then stands there has the run. So an owner may come back to a run that it was cut short in.
+    """
+    jvm = spark.sparkContext._jvm
+    claim, mine = (jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_claims/{x}") for x in (run_id, f"_{run_id}-{uuid.uuid4().hex}"))
+    fs = claim.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    name = lambda folder: jvm.org.apache.hadoop.fs.Path(folder, "owner")
+    if not fs.exists(claim):
+        out = fs.create(name(mine))
+        out.writeUTF(owner)
+        out.close()
+        fs.rename(mine, claim)
+    held = fs.open(name(claim))
+    said = held.readUTF()
+    held.close()
+    if said != owner:
+        raise ValueError(f"run {run_id} is another's: {claim}")
+
+
+def write_results(results: DataFrame, path: str, run_id: str, *, by_state: bool = False, owner: str | None = None) -> None:
     """A5-A10: append a run's rows under its own run_id; never over another run's.
 
-    With ``by_state`` the rows of proven and unproven documents go to route=processed, those of failed
-    ones to route=failed. The file committer makes the run's files appear together.
+    The run is claimed first, then written beside, then moved into place as one folder: readers see all of it or nothing. A run that is in place is never
+    written again. ``owner``: a name under which a writer that was cut short may go on; without one it may not. With ``by_state`` the rows of proven and unproven
+    documents go to route=processed, those of failed ones to route=failed.
     """
     spark = results.sparkSession
-    target = f"{path.rstrip('/')}/run_id={run_id}"
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
-    if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+    root, own = path.rstrip("/"), owner or uuid.uuid4().hex
+    place = lambda p: spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+    target, staged = place(f"{root}/run_id={run_id}"), place(f"{root}/_staged/{run_id}-{own}")
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(target):
         raise ValueError(f"run {run_id} is there already: {target}")
+    claim_run(spark, path, run_id, own)
     writer = results
     if by_state:
         writer = results.withColumn("route", F.when(F.col("state") == "failed", "failed").otherwise("processed"))
-    out = writer.write.mode("errorifexists")
-    (out.partitionBy("route") if by_state else out).parquet(target)
+    out = writer.write.mode("overwrite")
+    (out.partitionBy("route") if by_state else out).parquet(staged.toString())
+    if not fs.rename(staged, target):
+        raise ValueError(f"run {run_id} could not be moved into place: {target}")
 
 
 def shared_table(df: DataFrame, name: str) -> DataFrame:
