@@ -44,7 +44,7 @@ def _shuffle_bucket(seed: int):
     def run(key, table):
         shard, bucket = (k.as_py() for k in key)
         # Rows of a bucket arrive in no fixed order: first one that does not depend on the run.
-        table = table.sort_by([("mix", "ascending"), ("doc_id", "ascending"), ("crc", "ascending")])
+        table = table.sort_by([("mix", "ascending"), ("doc_id", "ascending"), ("crc", "ascending"), ("hash", "ascending")])
         order = fisher_yates(table.num_rows, zlib.crc32(f"{seed}:{shard}:{bucket}".encode()))
         out = table.take(pa.array(order))
         return pa.table(
@@ -58,33 +58,36 @@ def _shuffle_bucket(seed: int):
     return run
 
 
-def _with_place(rows: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """Adds place: the row's place in the input where its id and checksum stand in another row too, else null.
+def _with_place(rows: DataFrame, most_broadcast: int) -> DataFrame:
+    """Adds place: 1, 2, ... for rows of one id and text, null for a row without repeats.
 
-    The repeated pairs are broadcast up to ``most``; beyond, all rows take their place.
+    Repeats are alike, so any numbering gives the same table: one of each such row is kept with its count and
+    written out again that many times, and no task has to hold them all. Up to ``most_broadcast`` such rows are broadcast, more are joined by a shuffle.
     """
-    twice = rows.groupBy("doc_id", "crc").count().filter("count > 1").select(F.col("doc_id").alias("_i"), F.col("crc").alias("_c"))
-    found = twice.limit(most + 1).count()
-    place = F.monotonically_increasing_id()
-    if found > most:
-        return rows.withColumn("place", place)
+    same = lambda a, b: F.col(f"a.{a}").eqNullSafe(F.col(f"b.{b}"))
+    twice = rows.groupBy("doc_id", "crc", "hash").count().filter("count > 1").drop("count")
+    found = twice.count()
     if not found:
         return rows.withColumn("place", F.lit(None).cast("long"))
-    marked = rows.withColumn("_at", place).join(F.broadcast(twice.withColumn("_r", F.lit(True))), F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("crc") == F.col("_c")), "left")
-    return marked.withColumn("place", F.when(F.col("_r"), F.col("_at"))).drop("_i", "_c", "_r", "_at")
+    twice = (F.broadcast(twice) if found <= most_broadcast else twice).alias("b")
+    on = [same(c, c) for c in ("doc_id", "crc", "hash")]
+    alone = rows.alias("a").join(twice, on, "left_anti").withColumn("place", F.lit(None).cast("long"))
+    kept = rows.alias("a").join(twice, on, "left_semi").groupBy("doc_id", "crc", "hash").agg(F.any_value("text").alias("text"), F.count("*").alias("n"))
+    again = kept.select("doc_id", "text", "crc", "hash", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("place"))
+    return alone.unionByName(again)
 
 
 def external_shuffle(
     docs: DataFrame, *, shards: int = 8, seed: int = 20240229, bucket_bytes: int = 32 << 20,
-    id_col: str = "doc_id", text_col: str = "text", path: str | None = None,
+    id_col: str = "doc_id", text_col: str = "text", path: str | None = None, most_broadcast: int = 100_000,
 ) -> DataFrame:
     """Write ``docs`` as shuffled shards under ``path`` and return the written table.
 
     Columns: shard int, bucket int, pos long (place in the bucket), doc_id long, text.
     The number of buckets follows from the bytes of the texts, so that a bucket stays near
     ``bucket_bytes``. The bucket hash takes the id and the text, so the same rows and seed
-    give the same order however the input files are cut. Only repeats of one row (which
-    no order tells apart) also take their place in the input, so that thousands of them spread over all buckets of their shard.
+    give the same order however the input files are cut. Repeats of one row are numbered, in any order as they are alike,
+    so that thousands of them spread over all buckets of their shard.
     Null texts and ids are kept as they are; an empty table gives an empty result; a
     single text larger than a bucket is a bucket's problem alone (a row can't be split).
     """
@@ -92,9 +95,9 @@ def external_shuffle(
     rows = picked(docs, id_col, text_col)
     total = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1)).first()[0] or 0
     buckets = max(1, math.ceil(total / shards / bucket_bytes))
-    rows = rows.withColumn("crc", F.crc32(F.coalesce("text", F.lit(""))))
+    rows = rows.withColumn("crc", F.crc32(F.coalesce("text", F.lit("")))).withColumn("hash", F.xxhash64(F.lit(seed + 2), "text", F.col("text").isNull()))
     scattered = (
-        _with_place(rows).withColumn("shard", shard_of(F.col("doc_id"), shards, seed))
+        _with_place(rows, most_broadcast).withColumn("shard", shard_of(F.col("doc_id"), shards, seed))
         .withColumn("mix", F.xxhash64(F.lit(seed + 1), "doc_id", "crc", "place"))
         .withColumn("bucket", F.pmod("mix", F.lit(buckets)).cast("int"))
     )

@@ -35,6 +35,17 @@ def test_files_hold_the_texts_in_order_and_empty_tables_pass(spark, tmp_path):
     assert shard_digest(docs.limit(0)).count() == 0
 
 
+def test_repeats_give_one_order_in_any_layout(spark):
+    rows = [(i, f"text {i} " * (i % 7)) for i in range(200)] + [(5, "again")] * 90 + [(5, "other")] * 3 + [(None, None)] * 4 + [(None, "")] * 2 + [(6, None), (6, "")]
+    shuffled = lambda r, n, **more: external_shuffle(
+        spark.createDataFrame(r, "doc_id long, text string").repartition(n), shards=3, seed=5, bucket_bytes=900, **more
+    ).orderBy("shard", "bucket", "pos").collect()
+    one = shuffled(rows, 1)
+    assert one == shuffled(rows[::-1], 5) == shuffled(rows, 3, most_broadcast=0)
+    assert Counter((r["doc_id"], r["text"]) for r in one) == Counter(rows)
+    assert len({r["bucket"] for r in one if r["text"] == "again"}) > 2
+
+
 def test_order_depends_on_rows_and_seed_alone_and_equals_a_plain_shuffle(spark):
     rows = [(i, f"text {i} " * (i % 7)) for i in range(300)]
     schema = "doc_id long, text string"
