@@ -189,6 +189,8 @@ def ocr_lines(words: DataFrame, bucket: float = 8.0) -> DataFrame:
 
 
 def ocr_confidence(words: DataFrame) -> DataFrame:
-    """Mean of the pages' mean confidences, as a rounded percent; pages without words don't count."""
+    """Mean of the pages' mean confidences as a rounded percent, ``n/a`` where no word has one; pages without words don't count."""
     pages = words.groupBy(*PAGE).agg(F.avg("conf").alias("c"))
-    return pages.groupBy("doc_id").agg(F.avg("c").alias("conf"))
+    return pages.groupBy("doc_id").agg(F.avg("c").alias("mean")).select(
+        "doc_id", F.coalesce(F.concat(F.round("mean").cast("int").cast("string"), F.lit("%")), F.lit("n/a")).alias("conf"), "mean"
+    )

@@ -24,16 +24,19 @@ def bank_projection(txns: DataFrame) -> DataFrame:
     )
 
 
-def settlement_projection(rows: DataFrame) -> DataFrame:
-    """H5: the settlement table; raw text stays on flagged rows."""
+def settlement_projection(rows: DataFrame, *keys: str) -> DataFrame:
+    """H5: the settlement table; raw text stays on flagged rows. ``keys``: columns that lead."""
     return rows.select(
-        "section", "job", "customer", "type", F.substring("description", 1, 400).alias("description"), "amount", "status", "note",
+        *keys, "section", "job", "customer", "type", F.substring("description", 1, 400).alias("description"), "amount", "status", "note",
         F.when(F.col("status") != "OK", F.substring("raw", 1, 400)).alias("raw"),
     )
 
 
 def run_info(outcomes: DataFrame, facts: DataFrame) -> DataFrame:
-    """One row a document: its facts (format, confidence, method, pages) with rows, rows to review and verdict."""
-    return facts.join(outcomes, "doc_id").select(
-        "doc_id", "key", "confidence", "is_native", "pages", "rows", F.col("flagged").alias("to_review"), "state", "verdict", "detail"
+    """One row a document: profile, confidence, method, OCR confidence, pages, rows, rows to review and verdict.
+
+    ``outcomes``: as from flow.statement_outcomes or route.settlement_outcomes; ``facts``: as from route.run_facts.
+    """
+    return outcomes.join(facts, "doc_id", "left").select(
+        "doc_id", "profile", "confidence", "method", "ocr_confidence", "pages", "rows", F.col("flagged").alias("to_review"), "state", "verdict", "detail"
     )

@@ -33,6 +33,33 @@ def _money(x: str) -> str:
     return f"coalesce(format('{{:,.2f}}', cast({x} AS double)), '?')"
 
 
+#: The rows of settlements of three kinds, as r (doc_id, section, type, status, n, total, customers).
+_ROUTED = f"""
+i AS (SELECT o_custkey AS doc, o_orderkey AS job, cast(o_totalprice AS decimal(18,2)) AS net, {_PRICE} AS p, l_returnflag = 'R' AS back FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+j AS (SELECT doc, job, max(net) AS net, sum(p) AS s, coalesce(sum(CASE WHEN back THEN p END), 0) AS given, CASE WHEN job % 10 = 0 THEN 1 ELSE 0 END AS bad, CASE WHEN job % 13 = 0 THEN 1 ELSE 0 END AS off FROM i GROUP BY doc, job),
+c AS (SELECT l_suppkey AS doc, l_returnflag AS code, CASE WHEN l_returnflag = 'R' THEN -{_PRICE} ELSE {_PRICE} END AS p, CASE WHEN l_suppkey % 3 = 0 OR l_suppkey % 5 = 0 THEN 1 ELSE 0 END AS bad FROM lineitem),
+u AS (
+  SELECT doc * 10 + 1 AS doc_id, 'Job' AS section, 'COD' AS type, 0 AS bad, 3 AS amount, 1 AS customer FROM j
+  UNION ALL SELECT doc * 10 + 1, 'Job', 'Total Cost', bad, s + 1000, 1 FROM j
+  UNION ALL SELECT doc * 10 + 1, 'Job', 'Subtotal', bad, 2 * given + 1000 + bad, 1 FROM j
+  UNION ALL SELECT doc * 10 + 1, 'Job', CASE WHEN back THEN 'Add-back' ELSE 'Deduction' END, (job % 10 = 0)::int, CASE WHEN back THEN p ELSE -p END, 1 FROM i
+  UNION ALL SELECT doc * 10 + 1, 'Summary', 'Subtotal', 0, sum(2 * given + 1000 + bad), 0 FROM j GROUP BY doc
+  UNION ALL SELECT DISTINCT doc * 10 + 1, 'Summary', 'Adjustment', 0, -5, 0 FROM j
+  UNION ALL SELECT doc * 10 + 1, 'Summary', 'Total', 0, sum(2 * given + 1000 + bad) - 5 + (doc % 9 = 0)::int, 0 FROM j GROUP BY doc
+  UNION ALL SELECT DISTINCT doc * 10 + 1, 'Side column', 'Entry', 0, 2, 0 FROM j UNION ALL SELECT DISTINCT doc * 10 + 1, 'Notes', 'Balance', 0, 4, 0 FROM j
+  UNION ALL SELECT doc * 10 + 2, 'X' || code || ' Parts Sent', CASE WHEN p < 0 THEN 'Deduction' ELSE 'Earning' END, bad, p, 0 FROM c
+  UNION ALL SELECT DISTINCT doc * 10 + 2, 'X' || code || ' Parts Sent', 'Total', bad, NULL::decimal(18,2), 0 FROM c
+  UNION ALL SELECT doc * 10 + 2, 'X' || max(code) || ' Parts Sent', 'Total', 0, NULL::decimal(18,2), 0 FROM c GROUP BY doc
+  UNION ALL SELECT doc * 10 + 3, 'order', 'Gross Pay', 0, 2 * net, 1 FROM j UNION ALL SELECT doc * 10 + 3, 'order', 'Net Pay', 0, net, 1 FROM j UNION ALL SELECT doc * 10 + 3, 'order', 'Earning', 0, p, 0 FROM i
+  UNION ALL SELECT doc * 10 + 3, 'order', 'Order Total', off, net + s + off, 0 FROM j
+  UNION ALL SELECT DISTINCT doc * 10 + 3, x.section, x.type, 0, x.amount, x.customer FROM j, (VALUES ('driver', 'Deduction', -20, 0), ('driver', 'Subtotal', -20, 0), ('recurring', 'Deduction', -25, 0), ('recurring', 'Subtotal', -25, 0),
+    ('deductions', 'Deduction', -15, 0), ('deductions', 'Subtotal', -15, 0), ('escrow', 'Account', 0, 1), ('dispatch', 'Information', 0, 0)) x(section, type, amount, customer)
+  UNION ALL SELECT doc * 10 + 3, 'pay_summary', 'Total', 0, sum(net + s + off), 0 FROM j GROUP BY doc UNION ALL SELECT DISTINCT doc * 10 + 3, 'pay_summary', 'Total', 0, -60, 0 FROM j
+  UNION ALL SELECT doc * 10 + 3, 'pay_summary', 'Total', 0, sum(net + s + off) - 60 + (doc % 11 = 0)::int, 0 FROM j GROUP BY doc
+  UNION ALL SELECT DISTINCT doc * 10 + 3, 'escrow', 'Total', 0, 50, 1 FROM j UNION ALL SELECT DISTINCT doc * 10 + 3, 'escrow', 'Total', 0, 25, 1 FROM j
+  UNION ALL SELECT DISTINCT doc * 10 + 3, 'escrow', 'Total', 0, 75 + (doc % 17 = 0)::int, 1 FROM j),
+r AS (SELECT doc_id, section, type, CASE WHEN bad = 1 THEN 'NEEDS_REVIEW' ELSE 'OK' END AS status, count(*) AS n, sum(amount) AS total, sum(customer) AS customers FROM u GROUP BY ALL)"""
+
 _SKEW = f"""
 w AS (SELECT * FROM {_W}),
 h AS (SELECT doc_id, count(*) AS n, regr_slope(bottom, (x0 + x1) / 2) AS b, regr_r2(bottom, (x0 + x1) / 2) AS r2,
@@ -123,7 +150,7 @@ h AS (SELECT doc_id, 1 AS seq, 'withdrawals' AS name, lo + 10 AS mid FROM b UNIO
 m AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS many FROM cols)
 SELECT m.doc_id, round(center, 6) AS center, arg_min(name, {{'f': abs(mid - center), 's': seq}}) AS label FROM m JOIN h USING (doc_id)
 WHERE many >= 2 AND abs(mid - center) < 80 GROUP BY m.doc_id, center""",
-    "ocr_confidence": f"WITH {_BOXES} SELECT doc_id, round(avg(conf), 6) AS conf, count(*) AS n, round(max(x1), 6) AS right_edge FROM p GROUP BY doc_id",
+    "ocr_confidence": f"WITH {_BOXES} SELECT doc_id, round(avg(conf), 6) AS conf, cast(round(avg(conf)) AS int) || '%' AS percent, count(*) AS n, round(max(x1), 6) AS right_edge FROM p GROUP BY doc_id",
     "ocr_lines": f"WITH {_BOXES} SELECT doc_id, cast(floor(top / 8e0) AS bigint) AS bucket, string_agg(text, ' ' ORDER BY x0, word_idx, text) AS text FROM p GROUP BY 1, 2",
     "balance_chain": f"WITH {_chain(_E, 'block_id')} SELECT * EXCLUDE (unread) FROM c",
     "chain_flags": f"""
@@ -185,6 +212,31 @@ SELECT doc_id, cast(stmt_no AS bigint) AS stmt_no, seq AS n, day AS date, amount
 WITH s AS (SELECT doc_id, stmt_no, count(*) AS rows, max(ending) = max(beginning) + sum(amount) AS passed FROM {_BUNDLE} GROUP BY doc_id, stmt_no)
 SELECT doc_id, cast(sum(rows) AS bigint) AS rows, cast(0 AS bigint) AS flagged, CASE WHEN min(passed) THEN 'proven' ELSE 'unproven' END AS state, CASE WHEN min(passed) THEN 'PASSED' ELSE 'FAILED' END AS verdict,
        CASE doc_id % 3 WHEN 0 THEN 'columns' WHEN 1 THEN 'running' ELSE 'headings' END AS profile, cast(70 AS int) AS confidence FROM s GROUP BY doc_id""",
+    "document_kind": """
+SELECT DISTINCT o_custkey * 10 + 1 AS doc_id, 'jobs' AS kind FROM lineitem JOIN orders ON l_orderkey = o_orderkey UNION ALL SELECT DISTINCT l_suppkey * 10 + 2, 'codes' FROM lineitem
+UNION ALL SELECT DISTINCT o_custkey * 10 + 3, 'loads' FROM lineitem JOIN orders ON l_orderkey = o_orderkey UNION ALL SELECT doc_id * 10 + 4, NULL FROM documents""",
+    "settlement_route": f"""
+WITH {_ROUTED},
+f AS (SELECT doc_id, sum(n) AS rows, sum(CASE WHEN status <> 'OK' THEN n ELSE 0 END) AS flagged FROM r GROUP BY doc_id),
+p AS (SELECT doc_id, CASE doc_id % 10 WHEN 1 THEN m % 9 <> 0 WHEN 2 THEN m % 3 <> 0 AND m % 5 <> 0 ELSE m % 11 <> 0 AND m % 17 <> 0 AND flagged = 0 END AS passed, rows, flagged FROM (SELECT *, doc_id // 10 AS m FROM f) x)
+SELECT doc_id, cast(rows AS bigint) AS rows, cast(flagged AS bigint) AS flagged, CASE WHEN passed THEN 'proven' ELSE 'unproven' END AS state, CASE WHEN passed THEN 'PASSED' ELSE 'FAILED' END AS verdict,
+       CASE doc_id % 10 WHEN 1 THEN 'jobs' WHEN 2 THEN 'codes' ELSE 'loads' END AS profile, cast(97 AS int) AS confidence FROM p""",
+    "settlement_projection": f"""
+WITH {_ROUTED} SELECT doc_id, section, type, status, cast(sum(n) AS bigint) AS n, cast(sum(total) AS decimal(18,2)) AS total, cast(sum(CASE WHEN status <> 'OK' THEN n ELSE 0 END) AS bigint) AS raws,
+       cast(sum(customers) AS bigint) AS customers FROM r GROUP BY ALL""",
+    "run_info": f"""
+WITH s AS (SELECT doc_id, stmt_no, count(*) AS rows, max(ending) = max(beginning) + sum(amount) AS passed, (count(*) * CASE WHEN doc_id % 3 = 2 THEN 3 ELSE 1 END - 1) // 33 + 1 AS pages FROM {_BUNDLE} GROUP BY doc_id, stmt_no)
+SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'columns' WHEN 1 THEN 'running' ELSE 'headings' END AS profile, cast(70 AS int) AS confidence, 'native' AS method, 'n/a' AS ocr_confidence, cast(sum(pages) AS bigint) AS pages,
+       cast(sum(rows) AS bigint) AS rows, cast(0 AS bigint) AS to_review, CASE WHEN min(passed) THEN 'proven' ELSE 'unproven' END AS state, CASE WHEN min(passed) THEN 'PASSED' ELSE 'FAILED' END AS verdict,
+       CASE WHEN min(passed) THEN 0 ELSE 1 END AS severity FROM s GROUP BY doc_id""",
+    "unread_tail": f"""
+WITH l AS (SELECT *, event_id % 41 = 0 AS stop FROM {_LINES}), s AS (SELECT doc_id, min(CASE WHEN stop THEN page END) AS stop_page, max(page) AS pages FROM l GROUP BY doc_id),
+t AS (SELECT doc_id, bool_or(page > stop_page AND event_type = 'purchase') AS tail, bool_or(stop AND seq = 1) AS at_once FROM l JOIN s USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, cast(coalesce(stop_page, pages) AS bigint) AS pages_read, cast(pages AS bigint) AS pages, coalesce(tail, false) OR coalesce(at_once, false) AS incomplete FROM s JOIN t USING (doc_id)""",
+    "amount_balance": f"""
+WITH l AS (SELECT *, {_PRICE} AS price, l_linenumber % 3 AS k, CASE WHEN l_partkey % 4 = 0 THEN -1 END AS s1, CASE WHEN l_partkey % 5 = 0 THEN -1 END AS s2 FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, price, CASE WHEN k <> 1 THEN price END AS amount, CASE WHEN k <> 1 THEN s1 END AS sign, CASE WHEN k = 0 THEN cast(300 AS double) END AS column,
+       cast(CASE WHEN k = 1 THEN price * coalesce(s1, 1) ELSE (price + 1) * coalesce(s2, 1) END AS decimal(18,2)) AS balance FROM l""",
     "job_rows": f"""
 WITH i AS (SELECT o_custkey AS doc_id, o_orderkey AS job, {_PRICE} AS p, l_returnflag = 'R' AS back FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 j AS (SELECT doc_id, job, sum(p) AS s, coalesce(sum(CASE WHEN back THEN p END), 0) AS given, count(*) AS n, job % 10 = 0 AS bad FROM i GROUP BY doc_id, job),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import audit, documents, flow, geometry, grammars, projection, reconcile, scan, settlement, statement
+from ..operators import audit, documents, flow, geometry, grammars, projection, reconcile, route, scan, settlement, statement
 from ..operators.profiles import Profile
 from ..streaming.ingest import ingest
 from . import views as V
@@ -187,7 +187,7 @@ def _boxes(spark, d):
 def ocr_confidence(spark, d):
     words = geometry.ocr_words(_boxes(spark, d))
     facts = words.groupBy("doc_id").agg(F.count("*").alias("n"), F.round(F.max("x1"), 6).alias("right_edge"))
-    return geometry.ocr_confidence(words).join(facts, "doc_id").select("doc_id", F.round("conf", 6).alias("conf"), "n", "right_edge")
+    return geometry.ocr_confidence(words).join(facts, "doc_id").select("doc_id", F.round("mean", 6).alias("conf"), F.col("conf").alias("percent"), "n", "right_edge")
 
 
 def ocr_lines(spark, d):
@@ -404,8 +404,8 @@ def job_settlement(spark, d):
     return settlement.job_proof(nets, grammars.job_totals(rows))
 
 
-def coded_report(spark, d):
-    """G10-G12 from text: a supplier's line items as rows of three codes, with printed counts and sums, some off."""
+def _coded_texts(spark, d):
+    """A supplier's line items as rows of three codes, with printed counts and sums, some off."""
     price, flag = F.col("l_extendedprice").cast(S.MONEY), F.col("l_returnflag")
     items = V.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("doc_id"), flag.alias("code"), F.when(flag == "R", -price).otherwise(price).cast(S.MONEY).alias("amount"), F.struct("l_orderkey", "l_linenumber", "l_partkey", price).alias("at"), "l_orderkey")
     text = F.concat(F.lpad(F.col("l_orderkey").cast("string"), 7, "1"), F.lit(" PAYEE Some Name 01/02/2024 "), F.format_number("amount", 2))
@@ -418,7 +418,12 @@ def coded_report(spark, d):
         F.sum("s").cast(S.MONEY).alias("s"), F.sum("n").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("code", "t"))), lambda x: x["t"]), "\n").alias("body")
     )
     report = F.concat(F.lit("Report total: "), F.col("n").cast("string"), F.lit(" Records "), F.format_number("s", 2))
-    rows = grammars.coded_rows(docs.select("doc_id", F.concat_ws("\n", "body", report).alias("text")), CODE_WORDS)
+    return docs.select("doc_id", F.concat_ws("\n", "body", report).alias("text"))
+
+
+def coded_report(spark, d):
+    """G10-G12 from text."""
+    rows = grammars.coded_rows(_coded_texts(spark, d), CODE_WORDS)
     flagged = rows.filter("kind = 'row'").groupBy("doc_id").agg(F.count_distinct("section").alias("sections"), F.sum((F.col("status") != "OK").cast("long")).alias("flagged"))
     return settlement.report_totals(grammars.coded_totals(rows), ["doc_id"], ["line_no"]).join(flagged, "doc_id")
 
@@ -430,8 +435,8 @@ LOAD_WORDS = grammars.LoadWords(
 )
 
 
-def load_settlement(spark, d):
-    """G13-G15, G19 from text: orders as loads of a customer's settlement, their items as earnings; some totals are off."""
+def _load_bodies(spark, d):
+    """Orders as loads of a customer's settlement, their items as earnings; some totals are off. doc_id, body, printed (their sum)."""
     price = F.col("l_extendedprice").cast(S.MONEY)
     usd = lambda v: F.concat(F.lit("$"), F.format_number(v, 2))
     net = F.col("o_totalprice").cast(S.MONEY)
@@ -445,7 +450,13 @@ def load_settlement(spark, d):
         "\n", F.concat(F.lit("SETTLEMENT "), F.col("job").cast("string")), F.lit("Page 2"),
         F.concat(F.lit("A B Loaded 5.0 T1 01/02/24 01/03/24 "), usd(F.col("net") * 2), F.lit(" 50.00% "), usd(F.col("net"))), "lines", F.concat(F.lit("ORDER TOTAL _"), usd(total)),
     )
-    docs = orders.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("job", text.alias("t")))), lambda x: x["t"]), "\n").alias("body"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("job", text.alias("t")))), lambda x: x["t"]), "\n")
+    return orders.groupBy("doc_id").agg(body.alias("body"), F.sum(total).cast(S.MONEY).alias("printed"))
+
+
+def load_settlement(spark, d):
+    """G13-G15, G19 from text."""
+    docs = _load_bodies(spark, d)
     tail = F.lit("Driver Ledger\nDeduction Diesel 01/03/24 1.00 20.00 -$20.00\n-$20.00\nPAY SUMMARY Order Pay: $7.00\nDISPATCH\nsome note")
     found = grammars.load_rows(docs.select("doc_id", F.concat_ws("\n", "body", tail).alias("text")), LOAD_WORDS)
     return found.groupBy("doc_id", "section", "type").agg(
@@ -453,6 +464,84 @@ def load_settlement(spark, d):
     )
 
 
+LOAD_PROOF = route.LoadProof(
+    labels=(("order_pay", "pay_summary", "ORDER PAY"), ("deductions", "pay_summary", "DEDUCTIONS"), ("net_pay", "pay_summary", "NET PAY")),
+    sums=(("order_totals", "order", "Order Total"), ("taken", "driver", "Deduction"), ("taken", "recurring", "Deduction"), ("taken", "deductions", "Deduction")),
+    identities=(("orders", ("order_totals",), "order_pay"), ("deductions", ("taken",), "deductions"), ("net_pay", ("order_pay", "deductions"), "net_pay")),
+    accounts=("escrow", {"previous": "PREVIOUS", "withdrawals": "WITHDRAWAL", "deposits": "DEPOSIT", "new": "NEW BALANCE"}),
+)
+KINDS = (
+    route.Kind("jobs", (r"Total Jobs:", r"-JB "), JOB_WORDS), route.Kind("codes", (r"Deduct/Earning code",), CODE_WORDS), route.Kind("loads", (r"ORDER TOTAL", r"(?m)^SETTLEMENT "), LOAD_WORDS, LOAD_PROOF),
+)
+
+
+def _settlement_texts(spark, d):
+    """Settlements of three kinds and prose that is none; doc_id is 10 * the maker's id + 1, 2, 3 and 4."""
+    usd = lambda v: F.concat(F.when(v < 0, "-").otherwise(""), F.lit("$"), F.format_number(F.abs(v), 2))
+    pay = F.col("printed")
+    off = F.when(F.col("doc_id") % 11 == 0, 1).otherwise(0)
+    tail = F.concat(
+        F.lit("Driver Ledger\nDeduction Diesel 01/03/24 1.00 20.00 -$20.00\n-$20.00\nRECURRING\nDeduction Lease escrow 1,000.00 Per Settlement -$25.00\n-$25.00\nDEDUCTIONS\nFuel advance 01/02/24 5.0 3.00 -$15.00\n_-_$15.00\nPAY SUMMARY Order Pay: "),
+        usd(pay), F.lit("\nDeductions: -$60.00\nNET PAY: "), usd(pay - 60 + off), F.lit("\nESCROW\n10.1 Tire Fund\nPrevious Balance: $50.00\nDeposits: $25.00\nNew Balance: $"),
+        F.when(F.col("doc_id") % 17 == 0, "76").otherwise("75"), F.lit(".00\nDISPATCH\nMiles: 12"),
+    )
+    loads = _load_bodies(spark, d).select("doc_id", F.concat_ws("\n", "body", tail).alias("text"))
+    prose = V.table(spark, d, "documents").select("doc_id", "text")
+    out = None
+    for k, docs in enumerate((_job_texts(spark, d), _coded_texts(spark, d), loads, prose), 1):
+        named = docs.select((F.col("doc_id") * 10 + k).alias("doc_id"), "text")
+        out = named if out is None else out.unionByName(named)
+    return out
+
+
+def document_kind(spark, d):
+    """B2 over texts of three kinds and prose."""
+    return route.with_kinds(_settlement_texts(spark, d), KINDS).select("doc_id", "kind")
+
+
+def settlement_route(spark, d):
+    """From text of three kinds to each settlement's outcome."""
+    return route.settlement_outcomes(*route.settlement_rows(_settlement_texts(spark, d), KINDS)).select("doc_id", "rows", "flagged", "state", "verdict", "profile", "confidence")
+
+
+def settlement_projection(spark, d):
+    """H5: the same settlements' output rows, summed up by kind of row."""
+    rows = route.settlement_table(route.settlement_rows(_settlement_texts(spark, d), KINDS)[0])
+    return rows.groupBy("doc_id", "section", "type", "status").agg(F.count("*").alias("n"), F.sum("amount").cast(S.MONEY).alias("total"), F.count("raw").alias("raws"), F.count("customer").alias("customers"))
+
+
+def run_info(spark, d):
+    """What a run says of the bundles of mixed_statements."""
+    outcomes = flow.statement_outcomes(_bundled_pages(spark, d), ISSUERS)
+    pages = _bundled_pages(spark, d).groupBy("doc_id", "page").agg(F.array_join(F.collect_list("text"), " ").alias("text"))
+    info = projection.run_info(outcomes, route.run_facts(pages))
+    log = route.run_log(outcomes).select("doc_id", "severity")
+    return info.drop("detail").join(log, "doc_id")
+
+
+def unread_tail(spark, d):
+    """statements' pages behind a stop, and whether anything there looks like a row."""
+    lines = _event_lines(spark, d).select(
+        "doc_id", "seq", "page", "event_id", (F.col("event_type") == "purchase").alias("has_date"), (F.col("event_type") == "purchase").alias("has_money")
+    )
+    stop = F.col("event_id") % 41 == 0
+    read = statement.stop_reading(lines, ["doc_id"], "page", ["seq"], stop, F.lit(False)).groupBy("doc_id").agg(F.max("incomplete").alias("incomplete"))
+    stops = lines.groupBy("doc_id").agg(F.min(F.when(stop, F.col("page"))).cast("long").alias("stop_page"), F.max("page").cast("long").alias("pages"))
+    return reconcile.pages_read(stops, ["doc_id"]).join(read, "doc_id", "left").withColumn("incomplete", F.coalesce("incomplete", F.lit(True)))
+
+
+def amount_balance(spark, d):
+    """Amounts and balances of lines by money columns."""
+    price = F.col("l_extendedprice").cast(S.MONEY)
+    at = F.when(F.col("l_linenumber") % 3 == 0, 302.0).when(F.col("l_linenumber") % 3 == 1, 500.0).otherwise(430.0)
+    moneys = F.array(
+        F.struct(price.alias("value"), F.when(F.col("l_partkey") % 4 == 0, -1).alias("sign"), at.alias("x1")),
+        F.struct((price + 1).cast(S.MONEY).alias("value"), F.when(F.col("l_partkey") % 5 == 0, -1).alias("sign"), F.lit(498.5).alias("x1")),
+    )
+    both = statement.amount_balance(moneys, F.array(F.lit(300.0), F.lit(400.0), F.lit(500.0)), F.lit(500.0))
+    return V.table(spark, d, "lineitem").select(*KEY, price.alias("price"), both["amount"].alias("amount"), both["sign"].alias("sign"), both["column"].alias("column"), both["balance"].alias("balance"))
+
+
 def code_totals(spark, d):
     return reconcile.printed_group_totals(V.view(spark, d, V.CODE_ROWS), ["doc_id"], ["seq"])
 
@@ -686,6 +775,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         block_proof, hot_account_proof, hot_account_flags, hot_section_fill, section_totals, document_outcome, run_summary, run_severity, unexpected_states, code_totals, job_chain, job_proof, order_pay_proof, cross_foot, section_subtotals,
         escrow_rollforward, printed_vs_captured, golden_compare, bank_projection, row_scan, section_fill, stop_resume, wrapped_rows, sign_resolution,
         card_summary_charges, account_blocks, printed_balances, section_total_lines, incremental_ingest,
-        native_pages, statement_split_pages, printed_vs_altered, cross_foot_parts, report_totals,
+        document_kind, settlement_route, settlement_projection, run_info, unread_tail, amount_balance, native_pages, statement_split_pages, printed_vs_altered, cross_foot_parts, report_totals,
     )
     return {f.__name__: f for f in every}
