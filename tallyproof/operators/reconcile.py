@@ -48,7 +48,8 @@ def _segments(ledger: DataFrame, keys: list[str], order: list[str], carry: tuple
     doubtful = F.col("amount").isNull() | (F.col("status") == "NEEDS_REVIEW" if "status" in ledger.columns else F.lit(False))
     groups = rows.groupBy(*keys, "seg").agg(
         F.sum(F.coalesce(doubtful, F.lit(False)).cast("int")).alias("marked"), F.max("beginning").alias("beginning"), F.sum("amount").cast(MONEY).alias("move"), F.count("amount").alias("n"),
-        F.max("balance").alias("closing"), F.max(F.col("amount").isNull().cast("int")).alias("broken"), F.count("*").alias("rows"), F.max("ending").alias("ending"), *(F.max(c).alias(c) for c in carry),
+        F.max("balance").alias("closing"), F.max(F.col("amount").isNull().cast("int")).alias("broken"), F.count("*").alias("rows"),
+        (F.max("ending") if "ending" in ledger.columns else F.lit(None).cast(MONEY)).alias("ending"), *(F.max(c).alias(c) for c in carry),
     )
     if scan.CHUNK in ledger.columns:  # by a join of neighbours, as a window would hold all segments of a block
         prior = groups.select(*keys, (F.col("seg") + 1).alias("seg"), F.col("closing").alias("_last"))
