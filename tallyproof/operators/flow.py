@@ -88,7 +88,7 @@ def statement_lines(words: DataFrame, profiles: Profile | Sequence[Profile]) ->
     """
     chosen = _profiles(profiles)
     pages = shared_table(statement_pages(words), "statement-pages")
-    facts = shared_table(statement_facts(pages, profiles), "statement-facts")
+    facts = statement_facts(pages, profiles)
     numbered = _numbered(pages.select(*geometry.PAGE, "starts", "n_chars")).select(*geometry.PAGE, "stmt_no")
     of_page = numbered.join(facts.select(*STATEMENT, "key", "period", "confidence", F.col("label").alias("stmt_label")), STATEMENT)
     lines = pages.select(*geometry.PAGE, "centers", "labels", "lines").join(of_page, geometry.PAGE).select("*", F.explode("lines").alias("l")).drop("lines")
@@ -332,7 +332,7 @@ def statement_outcomes(words: DataFrame, profiles: Profile | Sequence[Profile])
 
 def document_outcomes(lines: DataFrame, ledger: DataFrame) -> DataFrame:
     """The outcomes of all documents of ``lines`` by their ledger."""
-    proofs = account_proofs(ledger)
+    proofs = shared_table(account_proofs(ledger), "account-proofs")  # read twice
     blocks = proofs.withColumn("block", (F.col("stmt_no") * 1_000_000 + F.col("block")).cast("long"))
     found = reconcile.document_outcome(blocks, ["doc_id"])
     every = lines.groupBy("doc_id", "stmt_no").agg(F.min("key").alias("key"), F.min("confidence").alias("confidence"))
