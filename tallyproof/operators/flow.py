@@ -36,8 +36,11 @@ def _profiles(profiles: Profile | Sequence[Profile]) -> list[Profile]:
 def statement_pages(words: DataFrame) -> DataFrame:
     """A row a page: lines (line_no, text, scan), centers, headings of columns, and what its text says of statements and periods."""
     pages = geometry.page_lines(words)
+    some = "(?i)" + "|".join(geometry.HEADER_WORDS)
+    none = F.array().cast("array<struct<name:string,mid:double>>")
+    headers_of = lambda l: F.when(l["text"].rlike(some), geometry.header_words(l["words"])).otherwise(none)
     scanned = F.transform("lines", lambda l: F.struct(
-        l["line_no"].alias("line_no"), l["text"].alias("text"), statement.row_scan(l["words"]).alias("scan"), geometry.header_words(l["words"]).alias("headers"),
+        l["line_no"].alias("line_no"), l["text"].alias("text"), statement.row_scan(l["words"]).alias("scan"), headers_of(l).alias("headers"),
     ))
     pages = pages.select(*geometry.PAGE, scanned.alias("lines"))
     edges = F.flatten(F.transform(F.filter("lines", lambda l: l["scan"]["date"].isNotNull()), lambda l: F.transform(l["scan"]["moneys"], lambda m: m["x1"])))
