@@ -7,20 +7,22 @@ from pyspark.sql import functions as F
 
 #: Texts longer than this many bytes are not fitted on unless the caller says otherwise (they are scored whole like all others).
 LONGEST = 200_000
+#: Bytes of texts that a sample brings to the driver at most.
+MOST_BYTES = 512 << 20
 #: Tables with more labels than this are refused, as each is one query and a part of the model.
 MOST_LABELS = 1000
 
 
 def sample(
-    docs: DataFrame, labels: DataFrame, label: Column, fit: Column, most: int, longest: int = LONGEST
+    docs: DataFrame, labels: DataFrame, label: Column, fit: Column, most: int, longest: int = LONGEST, most_bytes: int = MOST_BYTES
 ) -> tuple[list[tuple[str, object]], dict]:
     """At most ``most`` (text, label) rows of each label, one a doc_id, those with the lowest id hashes; and all labels' counts.
 
     ``labels`` holds doc_id and what ``label`` and ``fit`` are built from; only rows where
     ``fit`` holds and the label is not null take part. One pass counts the labels, another
     takes the ids below a hash bound set by the count, which lets about twice ``most`` a label in.
-    Only then are texts fetched, so what reaches the driver is bounded by ``most`` texts of
-    at most ``longest`` bytes a label, however large the tables are.
+    Only then are texts fetched: ``most`` a label, each of at most ``longest`` bytes and of at most an equal share of ``most_bytes``,
+    which bounds what reaches the driver, however large the tables and however many the labels are.
     """
     spark = docs.sparkSession
     known = labels.select("doc_id", label.alias("label"), fit.alias("fit")).filter("fit and label is not null and doc_id is not null")
@@ -40,6 +42,7 @@ def sample(
         if left[r["label"]]:
             left[r["label"]] -= 1
             of[r["doc_id"]] = r["label"]
+    longest = min(longest, most_bytes // (most * len(counts)))
     ids = spark.createDataFrame([(i,) for i in of], "doc_id long")
     texts = (
         docs.select("doc_id", "text").filter(F.octet_length("text") <= longest)

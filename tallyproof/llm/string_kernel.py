@@ -2,7 +2,7 @@
 
 The blended-spectrum presence kernel of two texts is the number of byte n-grams (two and
 three bytes, ASCII letters lower-cased) that both hold, over the root of the product of
-their own numbers; of a text, those count that any landmark holds. Landmark texts give Nystroem features: a text's kernel values with the
+their own numbers. Landmark texts give Nystroem features: a text's kernel values with the
 landmarks, whitened. One-versus-rest kernel ridge regression on them yields one score a
 language. Scoring a batch is a presence matrix times the landmarks' and two small products.
 """
@@ -23,6 +23,10 @@ from .labelled import LONGEST, sample
 UNKNOWN = "und"
 #: Cells of a presence matrix, which bounds the texts of one batch.
 CELLS = 4 << 20
+#: Cells of the landmarks' matrix, beyond which no language gets another landmark.
+LANDMARK_CELLS = 16 << 20
+#: Bytes whose n-grams are sorted at once.
+_SLICE = 1 << 20
 
 
 def _codes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -68,9 +72,27 @@ class Columns:
         return found
 
 
+def presences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Text number and code of the distinct n-grams of each text, in order; a text of fewer than three bytes has none."""
+    size = np.diff(offsets)
+    of = np.repeat(np.where(size >= 3, np.arange(len(size)), -1), size)
+    seen, new, waiting = np.zeros(0, np.int64), [], 0
+    for a in range(0, max(len(data) - 1, 0), _SLICE):
+        for n, code in enumerate(_codes(data[a : a + _SLICE + 2]), 2):
+            code = code[:_SLICE]
+            text = of[a : a + len(code)]
+            inside = (text == of[a + n - 1 : a + n - 1 + len(code)]) & (text >= 0)
+            new.append(np.unique(text[inside] << 25 | code[inside]))
+            waiting += len(new[-1])
+        if waiting > 4 * _SLICE:
+            seen, new, waiting = np.unique(np.concatenate([seen, *new])), [], 0
+    seen = np.unique(np.concatenate([seen, *new]))
+    return seen >> 25, (seen & ((1 << 25) - 1)).astype(np.uint32)
+
+
 @dataclass
 class Model:
-    """N-gram columns, landmarks and weights; a few megabytes whatever the corpus."""
+    """N-gram columns, landmarks and weights. The landmarks travel as bits, so that LANDMARK_CELLS and one landmark a language bound what is sent."""
 
     languages: list[str]
     columns: Columns
@@ -79,17 +101,23 @@ class Model:
     usual: np.ndarray  # by language: the median lead of rows that were not fitted
 
     def presence(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """One row a text, 1 where it holds the n-gram of the column, scaled to length 1."""
+        """One row a text: where it holds the n-gram of the column 1 over the root of the number of all its n-grams, else 0."""
         rows, none = len(offsets) - 1, len(self.columns.codes) - 1
-        out = np.zeros((rows, none + 1), dtype=np.float32)
-        if len(data) >= 3:
-            of = np.repeat(np.arange(rows), np.diff(offsets))
-            long = np.repeat(np.diff(offsets) >= 3, np.diff(offsets))
-            for n, code in enumerate(_codes(data), 2):
-                inside = (of[: len(code)] == of[n - 1 :]) & long[: len(code)]
-                out[of[: len(code)][inside], self.columns.of(code[inside])] = 1
-        out = out[:, :-1]
-        return out / np.sqrt(np.maximum(out.sum(axis=1, keepdims=True), 1))
+        text, code = presences(data, offsets)
+        column = self.columns.of(code)
+        out = np.zeros((rows, none), dtype=np.float32)
+        weight = (1 / np.sqrt(np.maximum(np.bincount(text, minlength=rows), 1))).astype(np.float32)
+        known = column < none
+        out[text[known], column[known]] = weight[text[known]]
+        return out
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"landmarks": (np.packbits(self.landmarks > 0, axis=1), self.landmarks.max(axis=1, initial=0))}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= state
+        bits, weight = state["landmarks"]
+        self.landmarks = np.unpackbits(bits, axis=1, count=len(self.columns.codes) - 1).astype(np.float32) * weight[:, None]
 
     def rows_at_once(self) -> int:
         return max(8, CELLS // len(self.columns.codes))
@@ -111,8 +139,26 @@ def leads(z: np.ndarray) -> np.ndarray:
     return z[:, 0] + 1 if z.shape[1] == 1 else np.diff(np.partition(z, -2, axis=1)[:, -2:], axis=1)[:, 0]
 
 
-def fit(rows: list[tuple[bytes, str]], *, landmarks: int = 32, ridge: float = 0.1) -> Model | None:
-    """``landmarks`` a language, all of whose n-grams are columns; None without rows.
+def _landmarks(rows: list[tuple[bytes, str]], languages: list[str], most: int, cells: int) -> list[int]:
+    """Rows that are landmarks: in turns one of each language, at most ``most`` of each, while their matrix has ``cells`` at most; the first turn is whole."""
+    of: dict[str, list[int]] = {name: [] for name in languages}
+    for i, (_, y) in enumerate(rows):
+        of[y].append(i)
+    chosen: list[int] = []
+    known = np.zeros(0, np.uint32)
+    for turn in range(most):
+        more = [x[turn] for x in of.values() if turn < len(x)]
+        if not more:
+            break
+        wider = np.unique(np.concatenate([known, *(grams(rows[i][0]) for i in more)]))
+        if turn and (len(chosen) + len(more)) * len(wider) > cells:
+            break
+        known, chosen = wider, chosen + more
+    return sorted(chosen, key=lambda i: (rows[i][1], i))
+
+
+def fit(rows: list[tuple[bytes, str]], *, landmarks: int = 32, ridge: float = 0.1, cells: int = LANDMARK_CELLS) -> Model | None:
+    """At most ``landmarks`` a language (fewer, the same number for all, where their matrix would pass ``cells``), all of whose n-grams are columns; None without rows.
 
     Of languages with ten rows or more every fifth is not fitted, but tells the usual lead of its language.
     """
@@ -126,7 +172,7 @@ def fit(rows: list[tuple[bytes, str]], *, landmarks: int = 32, ridge: float = 0.
         seen[row[1]] += 1
         (held if many[row[1]] >= 10 and seen[row[1]] % 5 == 0 else fitted).append(row)
     rows = fitted
-    chosen = [i for name in languages for i in [j for j, (_, y) in enumerate(rows) if y == name][:landmarks]]
+    chosen = _landmarks(rows, languages, landmarks, cells)
     columns = Columns(np.unique(np.concatenate([grams(rows[i][0]) for i in chosen])).astype(np.uint32))
     width = len(columns.codes) - 1
     model = Model(languages, columns, np.zeros((0, width), np.float32), np.zeros((1, len(languages))), np.ones(len(languages)))
@@ -173,7 +219,7 @@ def identify(
 ) -> DataFrame:
     """doc_id, held_out, lang_pred, score (share of the predicted language, 0 to 1), lead, kept_<c> for each column c of ``keep``.
 
-    The model is fitted on at most ``most`` rows of ``train`` of each language, of at most ``longest`` bytes, of the folds
+    The model is fitted on at most ``most`` rows of ``train`` of each language, of at most ``longest`` bytes (fewer with many languages, see labelled.sample), of the folds
     crc32(doc_id as text) mod ``folds`` that are not ``held_out_fold``; a prediction reads the
     text alone. ``lead`` is how far the language is before the second, 1 where it is as far as the
     median of known rows of it that were not fitted; unlike the share it doesn't depend on how many languages there are. Of languages that score alike

@@ -147,7 +147,7 @@ def fit(rows: list[tuple[bytes, int]], share: float | None = None, *, words: int
 
     The threshold is calibrated to the best balance of precision and recall (F1) where
     toxic documents are ``share`` of all (None: as in ``rows``), and moved to 0.5. The ordinary dictionary is
-    trained on at most ``most_windows`` windows of ordinary rows, drawn at random. Without rows of both labels the model scores 0 throughout.
+    trained on at most ``most_windows`` windows of ordinary rows, drawn at random. With fewer than five rows of a label the model scores 0 throughout.
     """
     rng = random.Random(seed)
     rows = rows[:]
@@ -199,7 +199,7 @@ def toxicity(
     crc32(doc_id as text) mod ``folds`` is not ``held_out_fold``; neither labels nor ids nor
     any other column takes part in a score. Every whole text is scored in windows; null and
     empty texts are scored as no windows. Repeated ids stay apart, each text scored by itself;
-    a null id is held out of nothing (held_out false). Without labels all scores are 0.
+    a null id is held out of nothing (held_out false). All scores are 0 with fewer than five fitted rows of either label.
     """
     spark = docs.sparkSession
     rows = picked(docs, id_col, text_col)

@@ -56,10 +56,26 @@ def test_stages_equal_brute_force(spark, tmp_path):
     assert masked == sorted(want, key=str) and any("[secret]" in r[1] for r in masked)
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
     coder = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(setting, before := str(9 << 20))
     last = corpus_pipeline.run(spark, str(tmp_path))
+    assert spark.conf.get(setting) == before
     got = sorted(map(tuple, last.collect()), key=str)
     want = []
     for i, t, *_ in masked:
         ids = coder.encode_ordinary(t)
         want.append((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()))
     assert got == sorted(want, key=str) and re.match("^doc_id", last.columns[0])
+
+
+def test_empty_tables_and_columns_beyond_the_five(spark, tmp_path):
+    names = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], names).write.parquet(f"{tmp_path}/a/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/a/benchmark.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/a").count() == 0
+    rng = random.Random(2)
+    rows = [(i, made(rng, "aa" if i % 2 else "bb"), "aa" if i % 2 else "bb", "s", 3, "p", 1.0) for i in range(80)] + [(90, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, names + ", lang_pred string, kept_text double")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, f"{tmp_path}/a")
+        assert got.columns == list(corpus_pipeline.COLUMNS) and 60 <= got.count() <= 81

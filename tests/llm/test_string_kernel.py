@@ -1,11 +1,14 @@
+import pickle
 import random
 import zlib
 
+import numpy as np
 import pytest
 
 from corpus_pipeline import language_id
 from tallyproof.llm import labelled
-from tallyproof.llm.string_kernel import fit, identify, _joined
+from tallyproof.llm import string_kernel
+from tallyproof.llm.string_kernel import fit, identify, presences, _joined
 
 SYLLABLES = {"aa": ["ka", "to", "ni", "ra"], "bb": ["sch", "ung", "ein", "ber"], "cc": ["ção", "lho", "que", "mente"]}
 
@@ -73,9 +76,35 @@ def test_kernel_values_equal_sets_of_n_grams():
         if seen[y] % 5:
             fitted.append((t, y))
     marks = [grams_of(t) for y in sorted(SYLLABLES) for t in [t for t, z in fitted if z == y][:4]]
-    every = set().union(*marks)
     for text in [rows[7][0], b"", b"ab", "ÄÖ zz zz".encode() + rows[50][0] * 9, b"no such thing"]:
-        own = grams_of(text) & every if len(text) >= 3 else set()
+        own = grams_of(text) if len(text) >= 3 else set()
         want = [len(own & m) / max(1, len(own)) ** 0.5 / len(m) ** 0.5 for m in marks]
         got = (model.presence(*_joined([b"xx", text])) @ model.landmarks.T)[1]
         assert all(abs(a - b) < 1e-5 for a, b in zip(got, want, strict=True))
+
+
+def test_distinct_n_grams_of_texts_cut_in_slices(monkeypatch):
+    rng = random.Random(8)
+    texts = [b"", b"ab", bytes(rng.choice(b"abcdef") for _ in range(900)), b"abc", b"A" * 70, bytes(range(256))]
+    whole = [x.tolist() for x in presences(*_joined(texts))]
+    want = sorted((i, int(c)) for i, t in enumerate(texts) for c in string_kernel.grams(t))
+    assert list(zip(*whole, strict=True)) == want
+    monkeypatch.setattr(string_kernel, "_SLICE", 7)
+    assert [x.tolist() for x in presences(*_joined(texts))] == whole
+    assert [len(x) for x in presences(*_joined([]))] == [0, 0]
+
+
+def test_landmarks_are_bounded_in_all_and_travel_as_bits():
+    rng = random.Random(9)
+    rows = [(made(rng, lang).encode(), lang) for lang in SYLLABLES for _ in range(60)]
+    whole, small = fit(rows), fit(rows, cells=9 * 400)
+    assert len(whole.landmarks) == 3 * 32 and len(whole.landmarks) > len(small.landmarks) >= 3 and len(small.landmarks) % 3 == 0
+    assert small.landmarks.size <= max(9 * 400, small.landmarks.shape[1] * 3)
+    sent = pickle.dumps(whole)
+    assert np.allclose(pickle.loads(sent).landmarks, whole.landmarks) and len(pickle.dumps(whole.__getstate__()["landmarks"])) < whole.landmarks.nbytes / 20
+
+
+def test_a_sample_is_bounded_in_bytes(spark):
+    docs = spark.createDataFrame([(i, "x" * (10 if i % 2 else 1000), f"l{i % 3}") for i in range(60)], "doc_id long, text string, lang string")
+    got, counts = labelled.sample(docs, docs, docs["lang"], docs["doc_id"] >= 0, 10, most_bytes=10 * 3 * 100)
+    assert sum(counts.values()) == 60 and got and all(len(t) == 10 for t, _ in got)
