@@ -1,7 +1,11 @@
 """A corpus pipeline in five stages over ``documents``.
 
 Each stage takes (spark, docs, sf_dir) and returns a table; all but the last return the
-columns of ``documents``. Between stages the rows are written as Parquet and read again.
+columns of ``documents``, any others go. Between stages the rows are written as Parquet and read again.
+A stage makes one row of each row that it keeps: repeated rows stay repeated but for the near duplicates, and empty tables stay empty.
+
+Stages with Python workers lower ``spark.sql.execution.arrow.maxBytesPerBatch`` of the session, as that is read only
+when their rows are; ``run`` sets it back at its end.
 """
 
 from __future__ import annotations
@@ -19,15 +23,15 @@ from tallyproof.llm.wu_manber import contamination
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Documents whose language leads by less than this part of its usual lead go, however many languages there are.
 LEAST_LEAD = 0.1
-#: Bytes of an Arrow batch.
+#: Bytes of an Arrow batch, and the setting that holds them.
 BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def _small_batches(spark: SparkSession) -> None:
     """Bounds the bytes that go to a Python worker at once, as texts differ in length by thousands; a bound already lower stays."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if not spark.conf.get(key).isdigit() or int(spark.conf.get(key)) > BATCH_BYTES:
-        spark.conf.set(key, str(BATCH_BYTES))
+    if not spark.conf.get(_BATCH).isdigit() or int(spark.conf.get(_BATCH)) > BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,13 +42,16 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one with the least id."""
+    """One document of each group of near duplicates stays, the one with the least id.
+
+    Repeats of one id are documents like others; texts without words are like no other and all stay.
+    """
     _small_batches(spark)
     return deduplicated(docs.select(*COLUMNS))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
+    """Documents that hold a window of a benchmark item go; null and empty texts, and all documents where there is no item, stay."""
     _small_batches(spark)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = contamination(docs, items, keep=COLUMNS).filter(~F.col("contaminated"))
@@ -52,7 +59,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents stay; secrets in their texts are masked and n_chars follows the text."""
+    """All documents stay; secrets in their texts are masked and n_chars follows the text. A null text stays null."""
     found = find_secrets(docs, keep=COLUMNS)
     text = masked(F.col("kept_text"), F.col("places"))
     changed = F.coalesce(F.size("places"), F.lit(0)) > 0
@@ -63,7 +70,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text as digests, and of what they decode to."""
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every text; a null text counts as empty."""
     _small_batches(spark)
     import public_tokenizers
 
@@ -85,8 +92,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written and read again; the last stage's rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = stored(docs, name)
+    before = spark.conf.get(_BATCH)
+    try:
+        for name, stage in STAGES:
+            docs = stored(stage(spark, docs, sf_dir), name)
+    finally:
+        spark.conf.set(_BATCH, before)
     return docs
