@@ -245,6 +245,7 @@ def round_trip(docs: DataFrame, vocabulary: str, pattern: str, *, id_col: str =
 
     doc_id, n_tokens long, ids_sha256, decoded_sha256 (lowercase hex); a row for each input
     row, repeated ids stay apart. Null counts as empty: no ids. One pass, no shuffle.
+    Pieces of over LONG bytes are merged by a heap instead of a matrix row, to the same ids.
     """
 
     def run(batches):

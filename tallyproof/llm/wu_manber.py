@@ -197,12 +197,12 @@ def _digester(shared, keep: tuple[str, ...], text_col: str):
 def blocks_of(benchmark: DataFrame, block_bytes: int, item_col: str = "item_id", text_col: str = "text"):
     """Blocks of whole items of about ``block_bytes`` of text each, one at a time on the driver.
 
-    The blocks are cut by a running sum over the items' sizes; a benchmark below the
-    bound (the usual case) is one block and no more than that is ever broadcast.
+    Equal items are one before they are cut by a hash, so copies of an item fill no block. A benchmark
+    below the bound (the usual case) is one block and no more than that is ever broadcast.
     """
     items = benchmark.select(
-        benchmark[item_col].cast("string").alias("item_id"), benchmark[text_col].cast("string").alias("text")
-    ).filter(F.col("text").isNotNull())
+        F.coalesce(benchmark[item_col].cast("string"), F.lit("")).alias("item_id"), benchmark[text_col].cast("string").alias("text")
+    ).filter(F.col("text").isNotNull()).distinct()
     size = items.agg(F.sum(F.octet_length("text").cast("long") + 64)).first()[0] or 0
     n = -(-size // block_bytes) or 1
     for b in range(n):
@@ -219,7 +219,7 @@ def contamination(
     Result: doc_id, n_words, n_hit, n_items, items_sha256, contaminated and kept_<c> for each
     column c of ``keep``; a row for each row of ``docs``. A window is ``window``
     consecutive words of an item, or all words of a shorter one; items without words and
-    null texts have none. Repeated items count once by item_id. The items are broadcast in
+    null texts have none. Repeated items count once by item_id; those without an item_id are one item, whose name is empty. The items are broadcast in
     blocks of at most about ``block_bytes``; with more than one block the stretches found so
     far are stored with the texts between the passes, so every block sees every text.
     """

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc32_of_id, picked, pieces, text_bytes
-from .labelled import sample
+from .labelled import LONGEST, sample
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: Closes each window: zstandard looks for no match in a block's last bytes, and keeps small blocks raw.
@@ -147,13 +147,14 @@ def fit(rows: list[tuple[bytes, int]], share: float | None = None, *, words: int
 
     The threshold is calibrated to the best balance of precision and recall (F1) where
     toxic documents are ``share`` of all (None: as in ``rows``), and moved to 0.5. The ordinary dictionary is
-    trained on at most ``most_windows`` windows of ordinary rows, drawn at random. With fewer than five rows of a label the model scores 0 throughout.
+    trained on at most ``most_windows`` windows of ordinary rows, drawn at random. A label of so few rows that none is left for the curve
+    has all of them on both sides; with no row of a label the model scores 0 throughout.
     """
     rng = random.Random(seed)
     rows = rows[:]
     rng.shuffle(rows)
     toxic, ordinary = [t for t, y in rows if y == 1], [t for t, y in rows if y == 0]
-    if len(toxic) < 5 or len(ordinary) < 5:
+    if not toxic or not ordinary:
         return Model(b"", b"", words)
     a, b = max(1, len(toxic) * 2 // 3), max(1, len(ordinary) * 2 // 3)
     samples = [w[: -len(PAD)] + b" " for t in ordinary[:b] for w in cut(t, 8)]
@@ -162,11 +163,11 @@ def fit(rows: list[tuple[bytes, int]], share: float | None = None, *, words: int
         shared = zstandard.train_dictionary(8192, samples[:most_windows], k=32, d=6).as_bytes()
         shared = shared[shared.index(_REPEATS) + len(_REPEATS) :]
     except (zstandard.ZstdError, ValueError):  # too few or too short samples to train on
-        shared = b"".join(samples)[-8192:]
+        shared = b"".join(samples)[-8192:] or b" "
     strong, short, points = contrast(toxic[:a], ordinary[:b])
     model = Model(shared, strong + shared, words, short=short, points=points)
     one, two = model.lengths()
-    held = [(t, 1) for t in toxic[a:]] + [(t, 0) for t in ordinary[b:]]
+    held = [(t, 1) for t in toxic[a:] or toxic] + [(t, 0) for t in ordinary[b:] or ordinary]
     x = np.array([model.features(t, one, two) for t, _ in held])
     y = np.array([k for _, k in held], dtype=float)
     model.mean, model.scale = x.mean(axis=0), x.std(axis=0) + 1e-6
@@ -189,23 +190,23 @@ def fit(rows: list[tuple[bytes, int]], share: float | None = None, *, words: int
 
 
 def toxicity(
-    docs: DataFrame, labels: DataFrame, *, most: int = 3000, most_windows: int = 20_000, folds: int = 5, held_out_fold: int = 0,
+    docs: DataFrame, labels: DataFrame, *, most: int = 3000, most_windows: int = 20_000, longest: int = LONGEST, folds: int = 5, held_out_fold: int = 0,
     id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic",
 ) -> DataFrame:
     """doc_id, held_out, score (0 to 1, higher: likelier toxic), predicted (score >= 0.5).
 
     The model is fitted on at most ``most`` labelled documents of each label (its ordinary
-    dictionary on at most ``most_windows`` windows of eight words of them) whose
+    dictionary on at most ``most_windows`` windows of eight words of them), of at most ``longest`` bytes each, whose
     crc32(doc_id as text) mod ``folds`` is not ``held_out_fold``; neither labels nor ids nor
     any other column takes part in a score. Every whole text is scored in windows; null and
     empty texts are scored as no windows. Repeated ids stay apart, each text scored by itself;
-    a null id is held out of nothing (held_out false). All scores are 0 with fewer than five fitted rows of either label.
+    a null id is held out of nothing (held_out false). All scores are 0 without any fitted row of either label.
     """
     spark = docs.sparkSession
     rows = picked(docs, id_col, text_col)
     fold = F.pmod(crc32_of_id(), F.lit(folds)) == held_out_fold
     marks = labels.select(labels[id_col].cast("long").alias("doc_id"), labels[toxic_col].cast("int").alias("toxic"))
-    known, counts = sample(rows, marks.filter("toxic in (0, 1)"), F.col("toxic"), ~fold, most)
+    known, counts = sample(rows, marks.filter("toxic in (0, 1)"), F.col("toxic"), ~fold, most, longest)
     shared = spark.sparkContext.broadcast(
         fit([(t.encode(), y) for t, y in known], counts.get(1, 0) / max(1, sum(counts.values())), most_windows=most_windows)
     )

@@ -82,3 +82,41 @@ def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(50)] + [(7, 7), (2000, 2001), (2001, 2000)]
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert all(got[i] == 0 for i in range(201)) and all(got[1000 + i] == 1000 for i in range(50)) and got[2001] == 2000
+
+
+def test_a_large_family_and_a_very_long_text(spark):
+    """1,500 copies, each with one word of its own, beside as many that share a passage too short to link, and a long pair."""
+    rng = random.Random(8)
+    base, passage = [f"b{i}" for i in range(60)], [f"p{i}" for i in range(20)]
+    rows = []
+    for i in range(1500):
+        t = base[:]
+        t[rng.randrange(60)] = f"own{i}"
+        rows.append((2 * i + 2, " ".join(t)))
+        rows.append((2 * i + 3, " ".join([f"c{i}_{j}" for j in range(40)] + passage)))
+    long = [f"l{i % 90_000}x{i % 7}" for i in range(200_000)]
+    rows += [(7001, " ".join(long)), (7000, " ".join(long[:190_000]))]
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()}
+    # One changed word costs five shingles of 56; two sets share 46 of 66 unless the words are near the ends or each other.
+    sets = {d: sets_of(t) for d, t in rows if d < 7000 and d % 2 == 0}
+    holes = {}
+    for d, t in rows:
+        if d < 7000 and d % 2 == 0:
+            holes.setdefault(next(i for i, w in enumerate(t.split()) if w.startswith("own")), []).append(d)
+    first = {h: ds[0] for h, ds in holes.items()}
+    parent = {d: d for d in sets}
+
+    def find(d):
+        while parent[d] != d:
+            d = parent[d]
+        return d
+
+    for h, ds in holes.items():  # members with the same word changed are alike to all others
+        for g, e in first.items():
+            if 100 * len(sets[ds[-1]] & sets[e]) >= 75 * len(sets[ds[-1]] | sets[e]):
+                for d in (ds if g != h or len(ds) > 1 else ds[:1]):
+                    a, b = sorted((find(d), find(e)))
+                    parent[b] = a
+    assert all(got[d] == find(d) for d in sets)
+    assert all(got[d] == d for d, _ in rows if d < 7000 and d % 2)
+    assert got[7001] == got[7000] == 7000

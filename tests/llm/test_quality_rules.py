@@ -55,3 +55,9 @@ def test_verdicts(spark):
     assert quality(docs.limit(0)).count() == 0
     plan = quality(docs, rules=RULES)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_a_very_long_text(spark):
+    long = " ".join(f"w{i % 70_000}" for i in range(140_000)) + "\n" + "the a of " * 5000
+    got = quality(spark.createDataFrame([(1, long)], "doc_id long, text string")).first()
+    assert tuple(got)[:7] == (1, *brute(long))

@@ -69,3 +69,16 @@ def test_items_named_by_words_and_a_very_long_text(spark):
     r = contamination(d, spark.createDataFrame(items, "item_id string, text string")).first()
     assert (r["n_words"], r["n_hit"], r["n_items"]) == (500_027, 27, 2)
     assert r["items_sha256"] == hashlib.sha256(b"b-one,b-two").hexdigest()
+
+
+def test_repeated_and_nameless_items(spark):
+    rng = random.Random(5)
+    vocabulary = [f"w{k}" for k in range(200)]
+    one, two = made(rng, 14, vocabulary), made(rng, 11, vocabulary)
+    items = [("x", one)] * 300 + [(None, two), (None, two), (None, None)]
+    docs = spark.createDataFrame([(1, one + " . " + two), (2, two), (3, "clean")], "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id string, text string")
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    for block_bytes in (1 << 20, 100):
+        got = {r["doc_id"]: (r["n_hit"], r["n_items"], r["items_sha256"]) for r in contamination(docs, b, block_bytes=block_bytes).collect()}
+        assert got == {1: (25, 2, sha(",x")), 2: (11, 1, sha("")), 3: (0, 0, sha(""))}
