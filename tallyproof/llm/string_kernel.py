@@ -25,8 +25,8 @@ UNKNOWN = "und"
 CELLS = 4 << 20
 #: Cells of the landmarks' matrix, beyond which no language gets another landmark.
 LANDMARK_CELLS = 16 << 20
-#: Bytes whose n-grams are sorted at once.
-_SLICE = 1 << 20
+#: Bytes whose n-grams are sorted at once; so many of texts, or one text, make a batch.
+_SLICE = 1 << 18
 
 
 def _codes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -75,14 +75,14 @@ class Columns:
 def presences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Text number and code of the distinct n-grams of each text, in order; a text of fewer than three bytes has none."""
     size = np.diff(offsets)
-    of = np.repeat(np.where(size >= 3, np.arange(len(size)), -1), size)
+    of = np.repeat(np.where(size >= 3, np.arange(len(size)), -1).astype(np.int32), size)
     seen, new, waiting = np.zeros(0, np.int64), [], 0
     for a in range(0, max(len(data) - 1, 0), _SLICE):
         for n, code in enumerate(_codes(data[a : a + _SLICE + 2]), 2):
             code = code[:_SLICE]
             text = of[a : a + len(code)]
             inside = (text == of[a + n - 1 : a + n - 1 + len(code)]) & (text >= 0)
-            new.append(np.unique(text[inside] << 25 | code[inside]))
+            new.append(np.unique(text[inside].astype(np.int64) << 25 | code[inside]))
             waiting += len(new[-1])
         if waiting > 4 * _SLICE:
             seen, new, waiting = np.unique(np.concatenate([seen, *new])), [], 0
@@ -204,8 +204,7 @@ def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def lettered(data: np.ndarray, offsets: np.ndarray) -> list[bool]:
     """Whether each text holds a letter of any script."""
     ascii_letter = ((data | 32) >= 97) & ((data | 32) <= 122)
-    count = np.concatenate([[0], np.cumsum(ascii_letter)])
-    out = (count[offsets[1:]] > count[offsets[:-1]]).tolist()
+    out = [bool(ascii_letter[a:b].any()) for a, b in zip(offsets, offsets[1:])]
     for i, found in enumerate(out):
         if not found:
             out[i] = any(c.isalpha() for c in bytes(data[offsets[i] : offsets[i + 1]]).decode(errors="ignore"))
@@ -236,7 +235,7 @@ def identify(
 
     def run(batches):
         model: Model | None = shared.value
-        for batch in pieces(batches, rows=model.rows_at_once() if model else 512):
+        for batch in pieces(batches, most=_SLICE, rows=model.rows_at_once() if model else 512):
             data, offsets = bytes_of(batch.column("text"))
             n = len(offsets) - 1
             share, ahead = model.scores(data, offsets) if model else (np.zeros((n, 1)), np.zeros(n))
