@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import let
+
 PAGE = ["doc_id", "page"]
 
 
@@ -53,11 +55,6 @@ def line_text(lined: DataFrame) -> DataFrame:
     ).select(*PAGE, "line_no", F.array_join(F.transform("words", lambda w: w["text"]), " ").alias("text"), "top", "words")
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is worked out once, however often it is named."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _runs(values: Column, at, tol: Column) -> Column:
     """A sorted array cut where neighbours' ``at`` lie further apart than ``tol``: an array of arrays."""
     n = F.size(values)
@@ -66,7 +63,7 @@ def _runs(values: Column, at, tol: Column) -> Column:
     def cut(c: Column) -> Column:
         return F.transform(c, lambda a, k: F.slice(values, a + 1, F.coalesce(F.get(c, k + 1), n) - a))
 
-    return F.when(n > 0, _let(cuts, cut))
+    return F.when(n > 0, let(cuts, cut))
 
 
 def page_lines(words: DataFrame) -> DataFrame:
@@ -79,7 +76,7 @@ def page_lines(words: DataFrame) -> DataFrame:
     v = lambda w: w["top"] - F.col("slope") * (w["x0"] + w["x1"]) / 2
     placed = F.array_sort(F.transform("ws", lambda w: F.struct(v(w).alias("v"), *(w[c].alias(c) for c in ("word_idx", "x0", "x1", "top", "bottom", "text")))))
     line = lambda ws: F.sort_array(F.transform(ws, lambda w: F.struct(*(w[c].alias(c) for c in fields))))
-    grouped = _let(placed, lambda p: F.transform(_runs(p, lambda w: w["v"], F.col("tol")), line))
+    grouped = let(placed, lambda p: F.transform(_runs(p, lambda w: w["v"], F.col("tol")), line))
     said = lambda ws: F.array_join(F.transform(ws, lambda w: w["text"]), " ")
     lines = F.transform(grouped, lambda ws, k: F.struct((k + 1).alias("line_no"), said(ws).alias("text"), ws.alias("words")))
     return pages.select(*PAGE, lines.alias("lines"))
@@ -91,7 +88,7 @@ def page_centers(edges: Column, tol: float = 6.0) -> Column:
         _runs(e, lambda x: x, F.lit(tol)), lambda c: F.struct((F.aggregate(c, F.lit(0.0), lambda a, x: a + x) / F.size(c)).alias("center"), F.size(c).alias("n"))
     )
     kept = lambda cs: F.filter(cs, lambda c: (c["n"] >= 2) | (F.array_max(F.transform(cs, lambda x: x["n"])) < 2))
-    return F.coalesce(_let(F.sort_array(edges), lambda e: F.transform(_let(clusters(e), kept), lambda c: c["center"])), F.array().cast("array<double>"))
+    return F.coalesce(let(F.sort_array(edges), lambda e: F.transform(let(clusters(e), kept), lambda c: c["center"])), F.array().cast("array<double>"))
 
 
 # The words that head money columns, and those of them that make a line a header.
@@ -108,7 +105,7 @@ def header_words(words: Column) -> Column:
         names = F.array_distinct(F.transform(f, lambda h: h["name"]))
         return F.when((F.size(names) >= 2) & F.exists(names, lambda n: n.isin(*DIRECTION_WORDS)), f).otherwise(F.slice(f, 1, 0))
 
-    return _let(found, header)
+    return let(found, header)
 
 
 def center_labels(centers: Column, headers: Column, reach: float = 80.0) -> Column:

@@ -58,12 +58,10 @@ def date_tokens(spark, d):
         F.when(shape == 0, F.date_format(day, "M/d/yyyy")).when(shape == 1, F.date_format(day, "MM-dd-yy"))
         .when(shape == 2, F.concat(F.date_format(day, "MM/dd"), F.lit("*"))).otherwise(F.date_format(day, "M-d"))
     )
-    t = S.date_token(text)
-    end = F.last_day(day)
     start = F.date_sub(F.trunc(day, "month"), 1)
-    return V.table(spark, d, "lineitem").select(
-        *KEY, t["m"].alias("m"), t["d"].alias("d"), t["y"].alias("y"), S.resolve_year(t, start, end).alias("day")
-    )
+    said = V.table(spark, d, "lineitem").select(*KEY, text.alias("text"), start.alias("start"), F.last_day(day).alias("end"))
+    read = said.select(*KEY, S.date_token(F.col("text")).alias("t"), "start", "end")
+    return read.select(*KEY, "t.m", "t.d", "t.y", S.resolve_year(F.col("t"), F.col("start"), F.col("end")).alias("day"))
 
 
 def month_name_dates(spark, d):
@@ -81,8 +79,8 @@ def statement_periods(spark, d):
         .when(shape == 2, F.concat(F.date_format(start, "MMM d"), F.lit(" to "), F.date_format(end, "MMM d, yyyy")))
         .otherwise(F.concat(F.lit("Statement date "), F.date_format(end, "MMMM d, yyyy")))
     )
-    p = documents.find_period(text)
-    return V.table(spark, d, "orders").select("o_orderkey", p["start"].alias("start_day"), p["end"].alias("end_day"))
+    found = V.table(spark, d, "orders").select("o_orderkey", text.alias("text")).select("o_orderkey", documents.find_period(F.col("text")).alias("p"))
+    return found.select("o_orderkey", F.col("p.start").alias("start_day"), F.col("p.end").alias("end_day"))
 
 
 def statement_periods_more(spark, d):
@@ -94,8 +92,8 @@ def statement_periods_more(spark, d):
         .when(shape == 1, F.concat(F.date_format(start, "MMM d,yyyy"), F.lit(" thru "), F.date_format(end, "MMMM d,yyyy")))
         .otherwise(F.concat(F.lit("printed "), F.date_format(end, "MMMM d yyyy")))
     )
-    p = documents.find_period(text)
-    return V.table(spark, d, "orders").select("o_orderkey", p["start"].alias("start_day"), p["end"].alias("end_day"))
+    found = V.table(spark, d, "orders").select("o_orderkey", text.alias("text")).select("o_orderkey", documents.find_period(F.col("text")).alias("p"))
+    return found.select("o_orderkey", F.col("p.start").alias("start_day"), F.col("p.end").alias("end_day"))
 
 
 def text_facts(spark, d):
