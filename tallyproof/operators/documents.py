@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import _MONTHS, _day
+from ..functions.scalars import _MONTHS, _day, let
 from .profiles import best_profile, confidence
 
 #: Only so much of a statement's head is looked at for its issuer.
@@ -103,45 +105,51 @@ PERIOD = "struct<start: date, end: date>"
 _FORMS = ("named", "numeric", "one_year", "balances", "single")
 
 
-def _period_forms(text: Column) -> tuple[dict[str, str], dict[str, Column], Column]:
-    """The patterns of the forms, the span that each form's first occurrence gives, and all full numeric dates."""
+def _period_forms(text: Column) -> tuple[dict[str, Column], dict[str, Callable[[Column], Column]], Column]:
+    """What each form's first occurrence holds (empty if there is none), the span that such a piece gives, and all full numeric dates.
+
+    A piece is found once and taken apart once: its fields are written side by side and split.
+    """
     balance_of = lambda which: rf"{which}\s*balance\s*as\s*of\s*{_NUMERIC}"
     forms = {
-        "named": f"(?i){_NAMED}{_YEAR}{_TO}{_NAMED}{_YEAR}",
-        "numeric": f"(?i){_NUMERIC}{_TO}{_NUMERIC}",
-        "one_year": f"(?i){_NAMED}{_TO}{_NAMED}{_YEAR}",
-        "balances": f"(?is){balance_of('previous')}.{{0,300}}?{balance_of('new')}",
-        "single": rf"(?i){_NAMED},\s*(\d{{4}})",
+        "named": (6, f"(?i){_NAMED}{_YEAR}{_TO}{_NAMED}{_YEAR}"),
+        "numeric": (6, f"(?i){_NUMERIC}{_TO}{_NUMERIC}"),
+        "one_year": (5, f"(?i){_NAMED}{_TO}{_NAMED}{_YEAR}"),
+        "balances": (6, f"(?is){balance_of('previous')}.{{0,300}}?{balance_of('new')}"),
+        "single": (3, rf"(?i){_NAMED},\s*(\d{{4}})"),
     }
-    g = lambda form, i: F.regexp_extract(text, forms[form], i)
-    number = lambda form, i: g(form, i).try_cast("int")
 
     def valid(a: Column, b: Column) -> Column:
-        return F.when(F.datediff(b, a).between(0, 400), F.struct(a.alias("start"), b.alias("end")))
+        between = lambda x: F.when(F.datediff(x["end"], x["start"]).between(0, 400), x)
+        return let(F.struct(a.alias("start"), b.alias("end")), between)
 
-    def named(form: str, i: int) -> Column:
-        return _day(number(form, i + 2), _month_number(g(form, i)), number(form, i + 1))
+    number = lambda g, i: F.get(g, i - 1).try_cast("int")
+    month = lambda g, i: _month_number(F.get(g, i - 1))
+    named = lambda g, i: _day(number(g, i + 2), month(g, i), number(g, i + 1))
+    numeric = lambda g, i: _day(_full_year(number(g, i + 2)), number(g, i), number(g, i + 1))
 
-    def numeric(form: str, i: int) -> Column:
-        return _day(_full_year(number(form, i + 2)), number(form, i), number(form, i + 1))
+    def one_year(g: Column) -> Column:
+        m1, m2, y = month(g, 1), month(g, 3), number(g, 5)
+        return valid(_day(F.when(m1 <= m2, y).otherwise(y - 1), m1, number(g, 2)), _day(y, m2, number(g, 4)))
 
-    m1, m2, y = _month_number(g("one_year", 1)), _month_number(g("one_year", 3)), number("one_year", 5)
-    end = named("single", 1)
     spans = {
-        "named": valid(named("named", 1), named("named", 4)),
-        "numeric": valid(numeric("numeric", 1), numeric("numeric", 4)),
-        "one_year": valid(_day(F.when(m1 <= m2, y).otherwise(y - 1), m1, number("one_year", 2)), _day(y, m2, number("one_year", 4))),
-        "balances": valid(numeric("balances", 1), numeric("balances", 4)),
-        "single": F.when(end.isNotNull(), F.struct(F.date_sub(end, 35).alias("start"), end.alias("end"))),
+        "named": lambda g: valid(named(g, 1), named(g, 4)),
+        "numeric": lambda g: valid(numeric(g, 1), numeric(g, 4)),
+        "one_year": one_year,
+        "balances": lambda g: valid(numeric(g, 1), numeric(g, 4)),
+        "single": lambda g: let(named(g, 1), lambda end: F.when(end.isNotNull(), F.struct(F.date_sub(end, 35).alias("start"), end.alias("end")))),
     }
-    tokens = F.regexp_extract_all(text, F.lit(r"\b(\d{1,2}[/-]\d{1,2}[/-](?:\d{4}|\d\d))\b"), F.lit(1))
+    pieces = {f: F.regexp_extract(text, pattern, 0) for f, (_, pattern) in forms.items()}
 
-    def as_day(t: Column) -> Column:
-        part = F.split(t, "[/-]")
-        return _day(_full_year(F.get(part, 2).cast("int")), F.get(part, 0), F.get(part, 1))
+    def span_of(f: str) -> Callable[[Column], Column]:
+        n, pattern = forms[f]
+        fields = "|".join(f"${i}" for i in range(1, n + 1))
+        return lambda piece: F.when(piece != "", let(F.split(F.regexp_replace(piece, pattern, fields), "[|]"), spans[f])).cast(PERIOD)
 
-    days = F.filter(F.transform(tokens, as_day), lambda d: d.isNotNull())
-    return forms, {f: spans[f].cast(PERIOD) for f in _FORMS}, days
+    tokens = F.regexp_extract_all(text, F.lit(r"\b(\d{1,2}[/-]\d{1,2}[/-](?:\d{4}|\d\d))\b"), F.lit(1))
+    as_day = lambda part: _day(_full_year(F.get(part, 2).cast("int")), F.get(part, 0), F.get(part, 1))
+    days = F.filter(F.transform(tokens, lambda t: let(F.split(t, "[/-]"), as_day)), lambda d: d.isNotNull())
+    return pieces, {f: span_of(f) for f in _FORMS}, days
 
 
 def _spread(lo: Column, hi: Column, n: Column) -> Column:
@@ -153,10 +161,11 @@ def period_marks(text: Column) -> Column:
 
     A struct with, for each form, struct(hit, span) of its first occurrence, and lo, hi and n of all full numeric dates.
     """
-    forms, spans, days = _period_forms(text)
-    hit = lambda f: F.coalesce(text.rlike(forms[f]), F.lit(False))
-    each = [F.struct(hit(f).alias("hit"), F.when(hit(f), spans[f]).alias("span")).alias(f) for f in _FORMS]
-    return F.struct(*each, F.array_min(days).alias("lo"), F.array_max(days).alias("hi"), F.coalesce(F.size(days), F.lit(0)).alias("n"))
+    pieces, spans, days = _period_forms(text)
+    said = lambda f: let(pieces[f], lambda p: F.struct(F.coalesce(p != "", F.lit(False)).alias("hit"), spans[f](p).alias("span")))
+    dates = lambda d: F.struct(F.array_min(d).alias("lo"), F.array_max(d).alias("hi"), F.coalesce(F.size(d), F.lit(0)).alias("n"))
+    every = F.struct(*(said(f).alias(f) for f in _FORMS), let(days, dates).alias("d"))
+    return let(every, lambda x: F.struct(*(x[f].alias(f) for f in _FORMS), *(x["d"][c].alias(c) for c in ("lo", "hi", "n"))))
 
 
 def period_of(marks: Column) -> Column:
@@ -178,8 +187,9 @@ def find_period(text: Column) -> Column:
     new balance at most 300 characters apart; one month-name date (the 35 days before it); the
     span of three or more full numeric dates. A span is valid from 0 to 400 days.
     """
-    _, spans, days = _period_forms(text)
-    return F.coalesce(*(spans[f] for f in _FORMS), _spread(F.array_min(days), F.array_max(days), F.size(days)))
+    pieces, spans, days = _period_forms(text)
+    dates = let(days, lambda d: _spread(F.array_min(d), F.array_max(d), F.size(d)))
+    return F.coalesce(*(let(pieces[f], spans[f]) for f in _FORMS), dates)
 
 
 def bundle_label(text: Column, patterns: list[str]) -> Column:
