@@ -47,12 +47,22 @@ def statement_pages(words: DataFrame) -> DataFrame:
     pages = pages.withColumn("centers", geometry.page_centers(edges)).withColumn("text", F.array_join(F.transform("lines", lambda l: l["text"]), "\n"))
     headers = F.flatten(F.transform("lines", lambda l: l["headers"]))
     return pages.select(
-        *geometry.PAGE, "centers", geometry.center_labels(F.col("centers"), headers).alias("labels"), documents.starts_statement(F.col("text")).alias("starts"),
+        *geometry.PAGE, "centers", _lone(F.col("lines"), F.col("centers")).alias("lone"), geometry.center_labels(F.col("centers"), headers).alias("labels"), documents.starts_statement(F.col("text")).alias("starts"),
         F.substring("text", 1, documents.HEAD).alias("head"), F.length("text").alias("n_chars"), documents.period_marks(F.col("text")).alias("marks"),
         F.transform("lines", lambda l: l.dropFields("headers")).alias("lines"),
     )
 
 
+def _lone(lines: Column, centers: Column, reach: float = 7.0) -> Column:
+    """The right edge of a last figure that stands alone, right of a page's only column and behind another figure of its dated line; null if there is none.
+
+    One edge makes no column (D5), but where an issuer prints running balances this is the one balance of its page.
+    """
+    several = F.filter(lines, lambda l: l["scan"]["date"].isNotNull() & (F.size(l["scan"]["moneys"]) >= 2))
+    lasts = F.transform(several, lambda l: F.try_element_at(l["scan"]["moneys"], F.lit(-1))["x1"])
+    return F.when(F.size(centers) == 1, F.array_max(F.filter(lasts, lambda x: x > F.get(centers, F.lit(0)) + reach)))
+
+
 def _numbered(pages: DataFrame) -> DataFrame:
     """B5 on page facts: stmt_no, and how many characters of the statement stand before the page."""
     order = Window.partitionBy("doc_id").orderBy("page")
@@ -94,10 +104,11 @@ def statement_lines(words: DataFrame, profiles: Profile | Sequence[Profile]) ->
     facts = statement_facts(pages, profiles)
     numbered = _numbered(pages.select(*geometry.PAGE, "starts", "n_chars")).select(*geometry.PAGE, "stmt_no")
     of_page = numbered.join(facts.select(*STATEMENT, "key", "period", "confidence", F.col("label").alias("stmt_label")), STATEMENT)
-    lines = pages.select(*geometry.PAGE, "centers", "labels", "lines").join(of_page, geometry.PAGE).select("*", F.explode("lines").alias("l")).drop("lines")
+    lines = pages.select(*geometry.PAGE, "centers", "lone", "labels", "lines").join(of_page, geometry.PAGE).select("*", F.explode("lines").alias("l")).drop("lines")
     text, n = F.col("text"), F.size("moneys")
+    centers = F.when(flag(chosen, "running_balance") & F.col("lone").isNotNull(), F.concat("centers", F.array("lone"))).otherwise(F.col("centers"))
     lines = lines.select(
-        *STATEMENT, "page", "key", "period", "confidence", "stmt_label", "centers", "labels", F.col("l.line_no").alias("line_no"), (F.col("page").cast("long") * 1_000_000 + F.col("l.line_no")).alias("seq"),
+        *STATEMENT, "page", "key", "period", "confidence", "stmt_label", centers.alias("centers"), "labels", F.col("l.line_no").alias("line_no"), (F.col("page").cast("long") * 1_000_000 + F.col("l.line_no")).alias("seq"),
         F.col("l.text").alias("text"), F.col("l.scan.date").alias("date"), F.col("l.scan.description").alias("description"), F.col("l.scan.moneys").alias("moneys"),
     )
     many = F.size("centers") >= 2
