@@ -286,8 +286,9 @@ def statement_rows(lines: DataFrame, profiles: Profile | Sequence[Profile]) -> D
     unplaced = F.col("day").isNull()
     late = F.when(unplaced, F.concat(F.lit("Date '"), F.coalesce("date.raw", F.lit("")), F.lit("' lies in no year of the statement's period.")))
     lost = F.when(F.col("balance_only"), F.lit("No amount could be read for this transaction row."))
-    note = F.concat_ws(" ", late, lost, F.nullif(F.col("note"), F.lit("")))
-    review = unplaced | F.col("balance_only") | (F.col("status") == "NEEDS_REVIEW")
+    nothing = F.coalesce((F.col("signed") == 0) & (F.col("sign_source") == "unknown"), F.lit(False))  # 0.00 is the same as a credit and a debit
+    note = F.concat_ws(" ", late, lost, F.when(~nothing, F.nullif(F.col("note"), F.lit(""))))
+    review = unplaced | F.col("balance_only") | ((F.col("status") == "NEEDS_REVIEW") & ~nothing)
     return dated.select(
         *BLOCK, "seq", "page", F.col("day").alias("date"), F.col("date.raw").alias("date_raw"), "description", "section",
         F.col("signed").cast(MONEY).alias("amount"), "balance", "beginning", "ending", F.coalesce(F.nullif("block_name", F.lit("")), F.concat(F.lit("Account "), F.col("block_no").cast("string"))).alias("block_name"),
