@@ -86,3 +86,12 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(table: DataFrame, *keys: str, rows_each: int = 400_000) -> DataFrame:
+    """``table``, as it is read, dealt by ``keys`` into parts of about ``rows_each`` rows, as many as that takes.
+
+    What is then sorted, windowed or grouped by these keys is shuffled no more, and no task's memory grows with the table. Counting reads the files' footers alone.
+    """
+    n = max(table.sparkSession.sparkContext.defaultParallelism, -(-table.count() // rows_each))
+    return table.repartition(n, *keys)
