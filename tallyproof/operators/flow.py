@@ -81,7 +81,7 @@ def statement_facts(pages: DataFrame, profiles: Profile | Sequence[Profile]) ->
     facts = _numbered(pages.select(*geometry.PAGE, "starts", "n_chars", "head", "marks"))
     head = F.collect_list(F.when(F.col("before") < documents.HEAD, F.struct("page", "head")))
     said = facts.groupBy(*STATEMENT).agg(head.alias("heads"), documents.joined_marks("marks", "page").alias("marks"), F.min("page").alias("first_page"), F.max("page").alias("last_page"))
-    text = F.substring(F.array_join(F.transform(F.array_sort("heads"), lambda h: h["head"]), "\n"), 1, documents.HEAD)
+    text = F.substring(F.array_join(F.transform(F.sort_array("heads"), lambda h: h["head"]), "\n"), 1, documents.HEAD)
     said = said.withColumn("head", text)
     if isinstance(profiles, Profile):
         key, score, sure = F.lit(profiles.key), F.lit(0), F.lit(97)
@@ -203,7 +203,7 @@ def account_events(lines: DataFrame, profiles: Sequence[Profile]) -> DataFrame:
         "seq", "page", "marker", (F.col("cls") == "B").alias("begins"), F.substring(collapsed(F.col("description")), 1, 60).alias("title"), (F.col("cls").eqNullSafe("B") & value.isNotNull()).alias("valued"),
         sets.alias("sets"), F.coalesce("rows", F.lit(0)).alias("rows"), "stop", "resume",
     )
-    events = lines.filter("_event").groupBy(*STATEMENT, "key").agg(F.array_sort(F.collect_list(fields)).alias("e"))
+    events = lines.filter("_event").groupBy(*STATEMENT, "key").agg(F.sort_array(F.collect_list(fields)).alias("e"))
     resumed = F.array_max(F.transform(F.filter("e", lambda e: e["resume"]), lambda e: e["page"]))
     ends = F.get(F.filter("e", lambda e: e["stop"] & ~F.coalesce(F.col("resumed") > e["page"], F.lit(False))), 0)
     events = events.withColumn("resumed", resumed).withColumn("end", ends)
@@ -272,7 +272,7 @@ def statement_rows(lines: DataFrame, profiles: Profile | Sequence[Profile]) -> D
     facts = ("key", "period", "confidence", "stmt_label", "incomplete", "stop_page")
     part = F.struct("seq", "kind", "text", "description", "amount", "label", "balance", "date", "page")
     account = ("block_name", "card", "beginning", "ending", *facts)
-    joined = read.groupBy(*BLOCK, "anchor").agg(F.array_sort(F.collect_list(F.when(F.col("kind") != "C", part))).alias("parts"), *(F.min(c).alias(c) for c in account), F.min_by("section", "seq").alias("section"), F.min_by("m", "seq")["dir"].alias("section_dir"))
+    joined = read.groupBy(*BLOCK, "anchor").agg(F.sort_array(F.collect_list(F.when(F.col("kind") != "C", part))).alias("parts"), *(F.min(c).alias(c) for c in account), F.min_by("section", "seq").alias("section"), F.min_by("m", "seq")["dir"].alias("section_dir"))
     rows = statement.assembled_rows(joined)
     charges = _summary_charges(charged, chosen, joined)
     rows = rows.unionByName(charges, allowMissingColumns=True) if charges is not None else rows

@@ -74,7 +74,7 @@ def page_lines(words: DataFrame) -> DataFrame:
     fields = ["x0", "v", "word_idx", "x1", "top", "bottom", "text"]
     pages = page_skew(words, F.collect_list(F.struct("top", "word_idx", "x0", "x1", "bottom", "text")).alias("ws"))
     v = lambda w: w["top"] - F.col("slope") * (w["x0"] + w["x1"]) / 2
-    placed = F.array_sort(F.transform("ws", lambda w: F.struct(v(w).alias("v"), *(w[c].alias(c) for c in ("word_idx", "x0", "x1", "top", "bottom", "text")))))
+    placed = F.sort_array(F.transform("ws", lambda w: F.struct(v(w).alias("v"), *(w[c].alias(c) for c in ("word_idx", "x0", "x1", "top", "bottom", "text")))))
     line = lambda ws: F.sort_array(F.transform(ws, lambda w: F.struct(*(w[c].alias(c) for c in fields))))
     grouped = let(placed, lambda p: F.transform(_runs(p, lambda w: w["v"], F.col("tol")), line))
     said = lambda ws: F.array_join(F.transform(ws, lambda w: w["text"]), " ")
