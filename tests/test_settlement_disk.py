@@ -75,7 +75,11 @@ def test_notes_without_a_join_are_those_of_chain_flags(spark):
             rows.append((block, seq, amount, beginning, balance))
     ledger = spark.createDataFrame(rows, "block int, seq int, amount decimal(18,2), beginning decimal(18,2), balance decimal(18,2)")
     want = {(r.block, r.seq): r.note for r in reconcile.chain_flags(ledger, ["block"], ["seq"]).collect()}
-    notes = reconcile.chain_notes(ledger, ["block"], ["seq"], F.col("amount"), F.col("balance"), F.col("beginning"))
+    apart = ledger.unionByName(ledger.withColumn("seq", F.col("seq") + 100))
+    chain = F.when(F.col("seq") < 100, F.col("block"))  # rows of no chain stand between the chains
+    notes = reconcile.chain_notes(apart.withColumn("doc", F.floor(F.col("block") / 7)), ["doc"], ["block", "seq"], chain, F.col("amount"), F.col("balance"), F.col("beginning"))
+    assert not notes.filter("seq >= 100 and note is not null").count()
+    notes = notes.filter("seq < 100")
     assert {(r.block, r.seq): r.note or "" for r in notes.collect()} == want and len(set(want.values())) > 10
 
 
